@@ -54,8 +54,14 @@ def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
     rows are numbered inside each bucket by a window over that bucket only, and
     each bucket is shifted by the row count of the buckets before it (a table of
     ``buckets`` rows, so broadcasting it is bounded).
+
+    The input is checkpointed to the shared folder first: the quantile pass
+    and the numbering pass then read the stored rows instead of running the
+    input's lineage twice, and a lost executor does not recompute it.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
     if buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     probs = [i / buckets for i in range(1, buckets)]

@@ -35,11 +35,14 @@ def build_session(cpus: int | str = "*", app: str = "matflow",
 
 
 def checkpoint_root(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir`` (None if unset)."""
-    d = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir`` (None if unset).
+
+    The configured folder is preferred over the context's checkpoint dir,
+    which is a per-application subfolder of it."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    return spark.sparkContext.getCheckpointDir() or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -48,9 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
-        return spark.sparkContext.getCheckpointDir() or d
+        return d
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="matflow-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir()
+    return d

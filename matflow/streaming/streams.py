@@ -1 +1,335 @@
-"""Structured Streaming versions of the guards (filled in below)."""
+"""Structured Streaming versions of the guards.
+
+* R1, R2, R4: watermarked tumbling-window aggregates in append mode; a
+  window is emitted once the watermark passes its end, later rows are dropped.
+* R3, R5: ordered folds with ``transformWithStateInPandas`` (RocksDB state
+  store, event-time timers). Rows of a key are not ordered inside a
+  micro-batch, so each row is buffered in a ``ListState``; a timer at the
+  earliest buffered time fires once the watermark passes it, and the handler
+  folds every buffered row older than the watermark in (time, id) order with
+  the same step rule as the batch fold. State per key is one small record plus
+  the rows of one watermark delay.
+
+The stream gives the rows of the batch twin as long as no row arrives later
+than the watermark delay; to flush the last rows a closing row far in the
+future is appended (``SENTINEL_ID``), and it is dropped from the output.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .. import constants as C
+from ..plans.fold import OUTCOME_FAILED, lockout_step  # noqa: F401
+from ..session import ensure_checkpoint_dir
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SENTINEL_ID = -1
+SENTINEL_TS = dt.datetime(2999, 1, 1)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """transformWithState needs the RocksDB state store provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, "") != ROCKSDB:
+        spark.conf.set(key, ROCKSDB)
+
+
+def stream_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/matflow-streams/{uuid.uuid4().hex[:12]}"
+
+
+# ---------------------------------------------------------------------------
+# Windowed counts
+# ---------------------------------------------------------------------------
+
+def event_time(df: DataFrame, delay: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; the tables hold TIMESTAMP_NTZ. The cast goes
+    through the session time zone and is undone on output (``ntz``)."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def ntz(c: str) -> F.Column:
+    return F.col(c).cast("timestamp_ntz")
+
+
+def rate_limit_stream(requests: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
+                      limit: int = C.RATE_LIMIT) -> DataFrame:
+    """R1 on a stream of (user_id, ts)."""
+    return (event_time(requests, delay)
+            .groupBy(F.window("ts", width).alias("w"), "user_id")
+            .agg(F.count(F.lit(1)).alias("requetes"))
+            .select("user_id", ntz("w.start").alias("debut"), ntz("w.end").alias("fin"), "requetes",
+                    (F.col("requetes") > limit).alias("depasse"),
+                    F.greatest(F.col("requetes") - limit, F.lit(0)).alias("refusees")))
+
+
+def login_rate_stream(attempts: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
+                      limit: int = C.LOGIN_RATE_LIMIT) -> DataFrame:
+    """R2 on a stream of log-in tries (failures only are counted)."""
+    return rate_limit_stream(attempts.where(~F.col("success")), delay, width, limit)
+
+
+def server_error_stream(log: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW) -> DataFrame:
+    """R4 on a stream of requests (status, duration_ms)."""
+    from ..functions.exprs import div_half_up
+    d = F.col("duration_ms").cast("decimal(18,2)")
+    return (event_time(log, delay)
+            .groupBy(F.window("ts", width).alias("w"))
+            .agg(F.count(F.lit(1)).alias("requetes"),
+                 F.count_if(F.col("status") >= 500).alias("erreurs"),
+                 F.sum(d).alias("duree_totale"))
+            .select(ntz("w.start").alias("debut"), ntz("w.end").alias("fin"), "requetes", "erreurs",
+                    F.col("duree_totale").cast("decimal(20,2)").alias("duree_totale"),
+                    div_half_up(F.col("duree_totale"), F.col("requetes"), 3).alias("duree_moyenne")))
+
+
+# ---------------------------------------------------------------------------
+# Ordered folds with state
+# ---------------------------------------------------------------------------
+
+def _us(ts: pd.Series) -> np.ndarray:
+    ts = pd.to_datetime(ts)
+    if getattr(ts.dt, "tz", None) is not None:
+        ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _ms(ts: pd.Series) -> np.ndarray:
+    return _us(ts) // 1000
+
+
+class _BufferedFold(StatefulProcessor):
+    """Buffer rows per key; fold the ones older than the watermark in order."""
+
+    row_schema: T.StructType       # buffered row layout (first field: event time in ms)
+    state_schema: T.StructType
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.row_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
+
+    # subclasses: to_tuples(pdf) -> list[tuple]; fold(key, state, rows) -> (state, out_pdf)
+    def _arm(self, ms: int) -> None:
+        cur = self.timer.get() if self.timer.exists() else None
+        if cur is None or ms < cur[0]:
+            if cur is not None:
+                self.handle.deleteTimer(cur[0])
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for pdf in rows:
+            new.extend(self.to_tuples(pdf))
+        if new:
+            self.pending.appendList(new)
+            self._arm(min(r[0] for r in new))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        wm = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.pending.get()) if self.pending.exists() else []
+        due = sorted((r for r in rows if r[0] < wm), key=lambda r: (r[0], r[1]))
+        rest = [r for r in rows if r[0] >= wm]
+        self.timer.clear()
+        if rest:
+            self.pending.put(rest)
+            self._arm(min(r[0] for r in rest))
+        else:
+            self.pending.clear()
+        if not due:
+            return iter([])
+        st = self.state.get() if self.state.exists() else None
+        st, out = self.fold(key, st, due)
+        self.state.update(st)
+        return iter([out])
+
+    def close(self) -> None:
+        pass
+
+
+class DeductionProcessor(_BufferedFold):
+    """Greedy deduction per material (state = remaining stock)."""
+
+    row_schema = T.StructType([T.StructField("ms", T.LongType()), T.StructField("req_id", T.LongType()),
+                               T.StructField("qte", T.LongType()), T.StructField("opening", T.LongType())])
+    state_schema = T.StructType([T.StructField("remaining", T.LongType())])
+
+    def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
+        ms = _ms(pdf["ts"])
+        return [(int(m), int(r), int(q), int(o)) for m, r, q, o in
+                zip(ms, pdf["req_id"], pdf["qte"], pdf["opening"])]
+
+    def fold(self, key, st, due):
+        remaining = st[0] if st is not None else due[0][3]
+        acc = []
+        for _, _, q, _ in due:
+            ok = remaining >= q
+            if ok:
+                remaining -= q
+            acc.append(ok)
+        out = pd.DataFrame({
+            "req_id": np.array([r[1] for r in due], dtype=np.int64),
+            "stock_id": np.full(len(due), int(key[0]), dtype=np.int64),
+            "qte": np.array([r[2] for r in due], dtype=np.int64),
+            "accepted": np.array(acc, dtype=bool),
+            "motif": [None if a else "stock_insuffisant" for a in acc],
+        })
+        return (remaining,), out
+
+
+DECISION_SCHEMA = T.StructType([
+    T.StructField("req_id", T.LongType()), T.StructField("stock_id", T.LongType()),
+    T.StructField("qte", T.LongType()), T.StructField("accepted", T.BooleanType()),
+    T.StructField("motif", T.StringType())])
+
+
+def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """M7 on a stream of (req_id, stock_id, qte, ts); ``stock`` is static.
+
+    Rows that need no state (no material, unknown material, amount <= 0)
+    bypass the stateful operator; the rest is keyed by material.
+    """
+    use_rocksdb(requests.sparkSession)
+    opening = stock.select(F.col("id").alias("_sid"), F.col("quantite").cast("long").alias("opening"))
+    r = (event_time(requests, delay)
+         .select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), "ts"))
+    j = r.join(opening, r.stock_id == opening._sid, "left")
+    known = F.col("_sid").isNotNull()
+    needs = known & (F.col("qte") > 0)
+    free = j.where(~needs).select(
+        "req_id", "stock_id", "qte", (known | F.col("stock_id").isNull()).alias("accepted"),
+        F.when(F.col("stock_id").isNotNull() & ~known, F.lit("materiau_inconnu")).alias("motif"))
+    folded = (j.where(needs).select("stock_id", "req_id", "qte", "opening", "ts")
+              .groupBy("stock_id")
+              .transformWithStateInPandas(DeductionProcessor(), DECISION_SCHEMA, "Append", "EventTime"))
+    return free.unionByName(folded)
+
+
+class LockoutProcessor(_BufferedFold):
+    """Log-in lockout per user (state = failure count, locked-until ms)."""
+
+    row_schema = T.StructType([T.StructField("ms", T.LongType()), T.StructField("event_id", T.LongType()),
+                               T.StructField("success", T.BooleanType())])
+    state_schema = T.StructType([T.StructField("count", T.IntegerType()),
+                                 T.StructField("until_ms", T.LongType())])
+
+    def __init__(self, max_failures: int = C.MAX_FAILURES, lock_minutes: float = C.LOCK_MINUTES):
+        self.max_failures = max_failures
+        self.lock_ms = int(lock_minutes * 60_000)
+
+    def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
+        # microsecond order is kept by sorting on (ms, event_id); lock ends use us below
+        us = _us(pdf["ts"])
+        return [(int(u // 1000), int(e), bool(s), int(u)) for u, e, s in
+                zip(us, pdf["event_id"], pdf["success"])]
+
+    def fold(self, key, st, due):
+        state = (0, None) if st is None else (st[0], st[1])
+        lock = self.lock_ms * 1000
+        out_id, out_ok, out_outcome, out_cnt, out_until, out_ts = [], [], [], [], [], []
+        for row in sorted(due, key=lambda r: (r[3], r[1])):
+            _, eid, ok, us = row
+            state, outcome = lockout_step(state, us, ok, self.max_failures, lock)
+            out_id.append(eid)
+            out_ok.append(ok)
+            out_outcome.append(outcome)
+            out_cnt.append(state[0])
+            out_until.append(state[1])
+            out_ts.append(us)
+        out = pd.DataFrame({
+            "event_id": np.array(out_id, dtype=np.int64),
+            "user_id": np.full(len(out_id), int(key[0]), dtype=np.int64),
+            "ts": pd.to_datetime(np.array(out_ts, dtype="datetime64[us]")),
+            "success": np.array(out_ok, dtype=bool),
+            "outcome": out_outcome,
+            "tentatives": np.array(out_cnt, dtype=np.int32),
+            "bloque_jusqu": pd.to_datetime(np.array(
+                [np.datetime64(u, "us") if u is not None else np.datetime64("NaT") for u in out_until],
+                dtype="datetime64[us]")),
+        })
+        return (state[0], state[1]), out
+
+
+LockoutProcessor.row_schema = T.StructType(
+    list(LockoutProcessor.row_schema.fields) + [T.StructField("us", T.LongType())])
+
+LOCKOUT_OUT = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()), T.StructField("success", T.BooleanType()),
+    T.StructField("outcome", T.StringType()), T.StructField("tentatives", T.IntegerType()),
+    T.StructField("bloque_jusqu", T.TimestampNTZType())])
+
+
+def login_lockout_stream(attempts: DataFrame, delay: str = "1 hour",
+                         max_failures: int = C.MAX_FAILURES,
+                         lock_minutes: float = C.LOCK_MINUTES) -> DataFrame:
+    """R3 on a stream of (event_id, user_id, ts, success)."""
+    use_rocksdb(attempts.sparkSession)
+    return (event_time(attempts, delay)
+            .select("user_id", "event_id", "ts", "success")
+            .groupBy("user_id")
+            .transformWithStateInPandas(LockoutProcessor(max_failures, lock_minutes), LOCKOUT_OUT,
+                                        "Append", "EventTime"))
+
+
+# ---------------------------------------------------------------------------
+# Running a stream over files to completion (tests and the registered query)
+# ---------------------------------------------------------------------------
+
+def run_to_table(stream: DataFrame, root: str) -> DataFrame:
+    """Run ``stream`` with ``availableNow`` into parquet under ``root`` (a
+    shared folder, with its checkpoint next to it) and read the result."""
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame,
+                          files: int = 4, delay: str = "3650 days") -> DataFrame:
+    """Write ``requests`` (req_id, stock_id, qte, ts) as ``files`` parquet
+    files plus a closing row, stream them through R5 and return the result
+    (closing row removed). ``delay`` must cover the time disorder of the
+    files, which are not sorted by time."""
+    root = stream_root(spark)
+    src = f"{root}/in"
+    requests.repartition(files, "req_id").write.parquet(src)
+    closing = spark.createDataFrame(
+        [(SENTINEL_ID, None, 0, SENTINEL_TS)],
+        "req_id long, stock_id long, qte long, ts timestamp_ntz")
+    closing.write.mode("append").parquet(src)
+    schema = T.StructType([T.StructField("req_id", T.LongType()), T.StructField("stock_id", T.LongType()),
+                           T.StructField("qte", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = run_to_table(consume_stock_stream(stream, stock, delay), root)
+    return out.where(F.col("req_id") != SENTINEL_ID)
+
+
+# register the streaming key of the inventory (rows-only check, compared with
+# M7 in the tests)
+def _register() -> None:
+    from ..plans.registry import register
+
+    @register("consume_stock_stream")
+    def _r5(t):
+        reqs = t.production.select(F.col("id").alias("req_id"), "stock_id",
+                                   F.col("qte_consommee").cast("long").alias("qte"),
+                                   F.col("date_prod").cast("timestamp_ntz").alias("ts"))
+        return deduction_stream_over(t.spark, reqs, t.stock)
+
+
+_register()
