@@ -113,7 +113,7 @@ def parse_int_or_null(s: Column) -> Column:
 
 def lenient_decimal(s: Column) -> Column:
     """``parseFloat(s) || 0`` as decimal(12,2)."""
-    lead = F.regexp_extract(s, "^" + _WS + "*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+))", 1)
+    lead = F.regexp_extract(s, "^" + _WS + "*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
     return F.coalesce(lead.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
 
 

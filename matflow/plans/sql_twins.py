@@ -100,7 +100,7 @@ def lenient_int(col: str, default: str) -> str:
 
 
 def lenient_decimal(col: str) -> str:
-    pat = f"^{WS}*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+))"
+    pat = f"^{WS}*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)"
     return f"COALESCE(TRY_CAST(regexp_extract({col}, '{pat}', 1) AS DECIMAL(12,2)), CAST(0 AS DECIMAL(12,2)))"
 
 
@@ -116,7 +116,7 @@ def json_obj(fields: list[tuple[str, str, str]]) -> str:
     """JSON object text, null fields left out. fields: (key, expr, kind) with
     kind in str / num / date."""
     parts = []
-    for i, (k, e, kind) in enumerate(fields):
+    for k, e, kind in fields:
         if kind == "str":
             v = f"CAST(to_json({e}) AS VARCHAR)"
         elif kind == "date":
@@ -142,10 +142,9 @@ def json_of(spec, prefix: str) -> str:
 # --- request streams (twins of sources.fixtures) ---------------------------
 
 def snapshot_after_sql(table: str) -> str:
-    cols = "*"
     return (f"SELECT * REPLACE (CASE WHEN id % 10 = 1 THEN quantite + 1 ELSE quantite END AS quantite) "
             f"FROM {table} WHERE id % 10 <> 0 "
-            f"UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM {table} WHERE id % 10 = 2") if cols else ""
+            f"UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM {table} WHERE id % 10 = 2")
 
 
 STOCK_CHANGE_REQUESTS = """

@@ -34,7 +34,8 @@ from ..session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SENTINEL_ID = -1
-SENTINEL_TS = dt.datetime(2999, 1, 1)
+# far future, yet inside the nanosecond range of pandas timestamps (year < 2262)
+SENTINEL_TS = dt.datetime(2200, 1, 1)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
