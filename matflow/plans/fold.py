@@ -16,8 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 
 def _sorted_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -38,41 +41,132 @@ DEDUCTION_SCHEMA = T.StructType([
 ])
 
 
-def _deduct_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cur_key, remaining = None, 0
-    for b in batches:
-        keys = b["stock_id"].to_numpy()
-        wanted = b["qte"].to_numpy(dtype=np.int64)
-        opening = b["opening"].to_numpy(dtype=np.int64)
-        n = len(b)
-        acc = np.zeros(n, dtype=bool)
-        before = np.zeros(n, dtype=np.int64)
-        after = np.zeros(n, dtype=np.int64)
-        for i in range(n):
-            k = keys[i]
-            if k != cur_key:
-                cur_key, remaining = k, int(opening[i])
-            before[i] = remaining
-            w = int(wanted[i])
-            if remaining >= w:
-                remaining -= w
-                acc[i] = True
-            after[i] = remaining
-        yield pd.DataFrame({"req_id": b["req_id"].to_numpy(dtype=np.int64),
-                            "stock_id": keys.astype(np.int64), "qte": wanted, "accepted": acc,
-                            "disponible": before, "restant": after})
-
-
-def greedy_deduction(requests: DataFrame, order: list[str]) -> DataFrame:
+def _deduct_fn(starts: dict):
+    """Sequential greedy fold over a key-sorted partition. ``starts`` gives
+    the stock on entry of a (key, partition) segment that does not begin
+    its key (see ``greedy_deduction``); otherwise a key starts at its
+    opening stock."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur_key, remaining = None, 0
+        for b in batches:
+            keys = b["stock_id"].to_numpy()
+            wanted = b["qte"].to_numpy(dtype=np.int64)
+            opening = b["opening"].to_numpy(dtype=np.int64)
+            parts = b["_p"].to_numpy() if "_p" in b.columns else np.zeros(len(b), dtype=np.int64)
+            n = len(b)
+            acc = np.zeros(n, dtype=bool)
+            before = np.zeros(n, dtype=np.int64)
+            after = np.zeros(n, dtype=np.int64)
+            for i in range(n):
+                k = keys[i]
+                if k != cur_key:
+                    cur_key = k
+                    remaining = int(starts.get((int(k), int(parts[i])), opening[i]))
+                before[i] = remaining
+                w = int(wanted[i])
+                if remaining >= w:
+                    remaining -= w
+                    acc[i] = True
+                after[i] = remaining
+            yield pd.DataFrame({"req_id": b["req_id"].to_numpy(dtype=np.int64),
+                                "stock_id": keys.astype(np.int64), "qte": wanted, "accepted": acc,
+                                "disponible": before, "restant": after})
+    return run
+
+
+_deduct_batches = _deduct_fn({})
+
+TABLE_SCHEMA = T.StructType([
+    T.StructField("stock_id", T.LongType()),
+    T.StructField("_p", T.IntegerType()),
+    T.StructField("opening", T.LongType()),
+    T.StructField("table", T.ArrayType(T.LongType())),
+])
+
+
+def _transfer_tables_fn(spanning: set):
+    """For each segment of a spanning key, the table remaining-after as a
+    function of remaining-before, over 0..opening (vectorised per request)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict = {}
+        for b in batches:
+            sub = b[b["stock_id"].isin(spanning)]
+            for k, p, w, o in zip(sub["stock_id"].to_numpy(), sub["_p"].to_numpy(),
+                                  sub["qte"].to_numpy(dtype=np.int64), sub["opening"].to_numpy()):
+                key = (int(k), int(p))
+                t = tables.get(key)
+                if t is None:
+                    t = np.arange(int(o) + 1, dtype=np.int64)
+                tables[key] = np.where(t >= w, t - w, t)
+        if tables:
+            yield pd.DataFrame({
+                "stock_id": [k for k, _ in tables], "_p": [p for _, p in tables],
+                "opening": [len(t) - 1 for t in tables.values()],
+                "table": [t.tolist() for t in tables.values()]})
+    return run
+
+
+TABLE_LIMIT = 1024
+
+
+def greedy_deduction(requests: DataFrame, order: list[str], table_limit: int = TABLE_LIMIT) -> DataFrame:
     """``requests``: req_id, stock_id, qte (> 0), opening, plus ``order``
     columns giving the arrival order within a material (ties broken by the
-    last of them, which must be unique). Returns req_id, accepted, the
-    amount available before the request and what remains after it (with
-    stock_id and qte carried through)."""
+    last of them, which must be unique). Returns req_id, stock_id, qte,
+    accepted, the amount available before the request and what remains.
+
+    Materials whose opening stock is at most ``table_limit`` are split
+    across tasks even when one material holds most requests: rows are
+    range-partitioned on (material, order) and checkpointed; a material
+    that spans several partitions gets, for each of its segments, the
+    transfer table of that segment (stock after as a function of stock
+    before, ``opening + 1`` numbers); chaining these few tables in partition
+    order gives each segment's entry stock, and then every partition folds
+    its rows in parallel. The tables are bounded by two per partition, so
+    collecting them is bounded by the partition count, not by the data.
+    Larger openings take the hash-partitioned fold, which keeps memory at one
+    batch but folds a material in one task.
+    """
     cols = ["req_id", "stock_id", "qte", "opening", *[c for c in order if c not in
                                                        ("req_id", "stock_id", "qte", "opening")]]
-    s = _sorted_by_key(requests.select(*cols), "stock_id", order)
-    return s.mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
+    r = requests.select(*cols)
+    small = _chunked_deduction(r.where(F.col("opening") <= table_limit), order)
+    large = _sorted_by_key(r.where(F.col("opening") > table_limit), "stock_id", order) \
+        .mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
+    return small.unionByName(large)
+
+
+def _chunked_deduction(r: DataFrame, order: list[str]) -> DataFrame:
+    spark = r.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    s = (r.repartitionByRange(n, "stock_id", *order)
+         .sortWithinPartitions("stock_id", *order)
+         .withColumn("_p", F.spark_partition_id()))
+    s = s.checkpoint(eager=True)
+    # key range of each partition: at most n rows
+    bounds = [(x["_p"], x["lo"], x["hi"]) for x in
+              s.groupBy("_p").agg(F.min("stock_id").alias("lo"), F.max("stock_id").alias("hi")).collect()]
+    parts_of: dict = {}
+    for p, lo, hi in bounds:
+        for k in {lo, hi}:
+            parts_of.setdefault(k, set()).update(q for q, lo2, hi2 in bounds if lo2 <= k <= hi2)
+    spanning = {k for k, ps in parts_of.items() if len(ps) > 1}
+    starts: dict = {}
+    if spanning:
+        rows = s.mapInPandas(_transfer_tables_fn(spanning), TABLE_SCHEMA).collect()
+        by_key: dict = {}
+        for x in rows:
+            by_key.setdefault(x["stock_id"], []).append((x["_p"], x["table"], x["opening"]))
+        for k, segs in by_key.items():
+            segs.sort()
+            rem = segs[0][2]
+            for p, table, _ in segs:
+                starts[(k, p)] = rem
+                rem = table[rem]
+    return s.mapInPandas(_deduct_fn(starts), DEDUCTION_SCHEMA)
 
 
 # ---------------------------------------------------------------------------
