@@ -12,8 +12,12 @@ REASON_UNKNOWN = "materiau_inconnu"
 REASON_SHORT = "stock_insuffisant"
 
 
+HOT_ROWS = 100_000
+
+
 def consume_stock(requests: DataFrame, stock: DataFrame,
-                  order: tuple[str, ...] = ("date_prod", "req_id")) -> DataFrame:
+                  order: tuple[str, ...] = ("date_prod", "req_id"),
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """M7: per material, in arrival order, accept a request when what remains
     covers it and deduct it; otherwise reject it and leave the stock as is.
 
@@ -25,7 +29,8 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     Plan: the common case needs no order at all. Per material, when the sum
     of all requested amounts fits the opening stock, every request is
     accepted (one partial aggregate + join). Only contested materials go
-    through the ordered fold (``greedy_deduction``).
+    through the ordered fold (``greedy_deduction``); contested materials
+    with more than ``hot_rows`` requests are split across tasks there.
     """
     order = list(order)
     r = requests.select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), *[
@@ -42,13 +47,17 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
 
     want = j.where(needs)
     totals = want.groupBy("stock_id").agg(F.sum("qte").alias("_total"),
-                                          F.first("opening").alias("_open"))
-    tagged = want.join(totals.select("stock_id", (F.col("_total") > F.col("_open")).alias("_contested")),
-                       "stock_id")
+                                          F.first("opening").alias("_open"),
+                                          F.count(F.lit(1)).alias("_n"))
+    contested = F.col("_total") > F.col("_open")
+    # at most rows / hot_rows materials can be hot: a bounded list
+    hot = [x.stock_id for x in totals.where(contested & (F.col("_n") > hot_rows))
+           .select("stock_id").collect()]
+    tagged = want.join(totals.select("stock_id", contested.alias("_contested")), "stock_id")
     easy = tagged.where(~F.col("_contested")).select(
         "req_id", "stock_id", "qte", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("motif"))
     hard = tagged.where(F.col("_contested"))
-    folded = greedy_deduction(hard, order)
+    folded = greedy_deduction(hard, order, hot)
     hard_out = folded.select("req_id", "stock_id", "qte", "accepted",
                              F.when(~F.col("accepted"), F.lit(REASON_SHORT)).alias("motif"))
     return free.unionByName(easy).unionByName(hard_out)

@@ -111,34 +111,43 @@ def _transfer_tables_fn(spanning: set):
 TABLE_LIMIT = 1024
 
 
-def greedy_deduction(requests: DataFrame, order: list[str], table_limit: int = TABLE_LIMIT) -> DataFrame:
+def greedy_deduction(requests: DataFrame, order: list[str], hot_keys=(),
+                     table_limit: int = TABLE_LIMIT) -> DataFrame:
     """``requests``: req_id, stock_id, qte (> 0), opening, plus ``order``
     columns giving the arrival order within a material (ties broken by the
     last of them, which must be unique). Returns req_id, stock_id, qte,
     accepted, the amount available before the request and what remains.
 
-    Materials whose opening stock is at most ``table_limit`` are split
-    across tasks even when one material holds most requests: rows are
-    range-partitioned on (material, order) and checkpointed; a material
-    that spans several partitions gets, for each of its segments, the
-    transfer table of that segment (stock after as a function of stock
-    before, ``opening + 1`` numbers); chaining these few tables in partition
-    order gives each segment's entry stock, and then every partition folds
-    its rows in parallel. The tables are bounded by two per partition, so
-    collecting them is bounded by the partition count, not by the data.
-    Larger openings take the hash-partitioned fold, which keeps memory at one
-    batch but folds a material in one task.
+    Most materials take the hash-partitioned fold: one shuffle, one pass,
+    memory of one Arrow batch, one task per material. Materials named in
+    ``hot_keys`` (the caller finds them with an aggregate; there are at most
+    rows / threshold of them) with an opening stock up to ``table_limit`` are
+    split across tasks instead (``_chunked_deduction``), so one material
+    holding a large share of the requests does not serialise the job.
     """
     cols = ["req_id", "stock_id", "qte", "opening", *[c for c in order if c not in
                                                        ("req_id", "stock_id", "qte", "opening")]]
     r = requests.select(*cols)
-    small = _chunked_deduction(r.where(F.col("opening") <= table_limit), order)
-    large = _sorted_by_key(r.where(F.col("opening") > table_limit), "stock_id", order) \
-        .mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
-    return small.unionByName(large)
+    hot_keys = list(hot_keys)
+    if not hot_keys:
+        return _sorted_by_key(r, "stock_id", order).mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
+    split = F.col("stock_id").isin(hot_keys) & (F.col("opening") <= table_limit)
+    rest = _sorted_by_key(r.where(~split), "stock_id", order).mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
+    return _chunked_deduction(r.where(split), order).unionByName(rest)
 
 
 def _chunked_deduction(r: DataFrame, order: list[str]) -> DataFrame:
+    """Exact greedy fold of hot materials split over tasks.
+
+    Rows are range-partitioned on (material, order) and checkpointed, so a
+    hot material spans several partitions. For each segment of a spanning
+    material the transfer table (stock after the segment as a function of
+    stock before it, ``opening + 1`` numbers, computed vectorised) is built;
+    chaining the tables in partition order gives each segment's entry stock,
+    and then every partition folds its rows in parallel. There are at most
+    two segments of spanning materials per partition, so the collected
+    tables are bounded by the partition count, not by the data.
+    """
     spark = r.sparkSession
     ensure_checkpoint_dir(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
