@@ -23,6 +23,8 @@ def build_session(cpus: int | str = "*", app: str = "matflow",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # small inputs: do not pack several files into one scan split
+         .config("spark.sql.files.openCostInBytes", str(1 << 20))
          .config("spark.driver.memory", os.environ.get("MATFLOW_DRIVER_MEMORY", "8g"))
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))

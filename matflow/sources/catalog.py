@@ -22,6 +22,8 @@ from . import fixtures
 from .store import SnapshotStore
 
 DOMAIN_TABLES = ("stock", "production", "audit", "users")
+# bumped when the stored layout changes, so old snapshots are not reused
+LAYOUT_VERSION = 2
 
 
 @dataclass
@@ -55,7 +57,7 @@ _CACHE: dict = {}
 
 def store_for(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     root = ensure_checkpoint_dir(spark)
-    return SnapshotStore(spark, f"{root.rstrip('/')}/matflow-store/{_fingerprint(sf_dir)}")
+    return SnapshotStore(spark, f"{root.rstrip('/')}/matflow-store/v{LAYOUT_VERSION}-{_fingerprint(sf_dir)}")
 
 
 def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Tables:

@@ -25,13 +25,23 @@ _LOG_SCHEMA = T.StructType([
 ])
 
 
+# rows per file: bounds file size whatever the number of partitions
+MAX_RECORDS_PER_FILE = 5_000_000
+
+
 def _layout_stock(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
-    return df.sortWithinPartitions("id"), []
+    # id ranges per file: point lookups and id joins skip files by min/max
+    return df.repartitionByRange(n, "id").sortWithinPartitions("id"), []
+
+
+def _layout_users(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
+    return df.repartitionByRange(n, "id").sortWithinPartitions("id"), []
 
 
 def _layout_production(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
-    # date-sorted files give tight row-group min/max on date_prod
-    return df.sortWithinPartitions("date_prod", "id"), []
+    # disjoint date ranges per file and sorted row groups: date filters and
+    # newest-first top-k read few row groups; n files give n scan tasks
+    return df.repartitionByRange(n, "date_prod", "id").sortWithinPartitions("date_prod", "id"), []
 
 
 def _layout_audit(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
@@ -45,7 +55,7 @@ def _layout_audit(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
 
 
 LAYOUTS = {"stock": _layout_stock, "production": _layout_production,
-           "audit": _layout_audit}
+           "audit": _layout_audit, "users": _layout_users}
 
 
 class SnapshotStore:
@@ -85,7 +95,7 @@ class SnapshotStore:
         for name, df in tables.items():
             layout = LAYOUTS.get(name, lambda d, k: (d, []))
             out, parts = layout(df, n)
-            w = out.write.mode("errorifexists")
+            w = out.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
             if parts:
                 w = w.partitionBy(*parts)
             w.parquet(f"{path}/{name}")
