@@ -136,6 +136,28 @@ def greedy_deduction(requests: DataFrame, order: list[str], hot_keys=(),
     return _chunked_deduction(r.where(split), order).unionByName(rest)
 
 
+def _range_split(r: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, set]:
+    """Range-partition on (key, order), sort, tag each row with its partition
+    and checkpoint (fixing partition membership for the passes that follow).
+    Returns the checkpointed rows and the keys whose rows span more than one
+    partition; only the first or last key of a partition can span, so the
+    set is bounded by twice the partition count."""
+    spark = r.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    s = (r.repartitionByRange(n, key, *order)
+         .sortWithinPartitions(key, *order)
+         .withColumn("_p", F.spark_partition_id()))
+    s = s.checkpoint(eager=True)
+    bounds = [(x["_p"], x["lo"], x["hi"]) for x in
+              s.groupBy("_p").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()]
+    parts_of: dict = {}
+    for _, lo, hi in bounds:
+        for k in {lo, hi}:
+            parts_of.setdefault(k, set()).update(q for q, lo2, hi2 in bounds if lo2 <= k <= hi2)
+    return s, {k for k, ps in parts_of.items() if len(ps) > 1}
+
+
 def _chunked_deduction(r: DataFrame, order: list[str]) -> DataFrame:
     """Exact greedy fold of hot materials split over tasks.
 
@@ -148,21 +170,7 @@ def _chunked_deduction(r: DataFrame, order: list[str]) -> DataFrame:
     two segments of spanning materials per partition, so the collected
     tables are bounded by the partition count, not by the data.
     """
-    spark = r.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    s = (r.repartitionByRange(n, "stock_id", *order)
-         .sortWithinPartitions("stock_id", *order)
-         .withColumn("_p", F.spark_partition_id()))
-    s = s.checkpoint(eager=True)
-    # key range of each partition: at most n rows
-    bounds = [(x["_p"], x["lo"], x["hi"]) for x in
-              s.groupBy("_p").agg(F.min("stock_id").alias("lo"), F.max("stock_id").alias("hi")).collect()]
-    parts_of: dict = {}
-    for p, lo, hi in bounds:
-        for k in {lo, hi}:
-            parts_of.setdefault(k, set()).update(q for q, lo2, hi2 in bounds if lo2 <= k <= hi2)
-    spanning = {k for k, ps in parts_of.items() if len(ps) > 1}
+    s, spanning = _range_split(r, "stock_id", order)
     starts: dict = {}
     if spanning:
         rows = s.mapInPandas(_transfer_tables_fn(spanning), TABLE_SCHEMA).collect()
@@ -212,8 +220,18 @@ def lockout_step(state: tuple, ts, success: bool, max_failures: int, lock):
     return (count, until), OUTCOME_FAILED
 
 
-def _lockout_fn(max_failures: int, lock_minutes: float):
+def _lockout_fn(max_failures: int, lock_minutes: float, starts: dict | None = None):
+    """Sequential lockout over a user-sorted partition; ``starts`` gives the
+    (count, locked-until in us) on entry of a (user, partition) segment that
+    does not begin its user."""
     lock = np.timedelta64(int(lock_minutes * 60_000_000), "us")
+    starts = starts or {}
+
+    def entry(k, p):
+        st = starts.get((int(k), int(p)))
+        if st is None:
+            return (0, None)
+        return (st[0], None if st[1] is None else np.datetime64(int(st[1]), "us"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, state = None, (0, None)
@@ -221,13 +239,14 @@ def _lockout_fn(max_failures: int, lock_minutes: float):
             keys = b["user_id"].to_numpy()
             ts = b["ts"].to_numpy().astype("datetime64[us]")
             ok = b["success"].to_numpy(dtype=bool)
+            parts = b["_p"].to_numpy() if "_p" in b.columns else np.zeros(len(b), dtype=np.int64)
             n = len(b)
             outcome = np.empty(n, dtype=object)
             count = np.zeros(n, dtype=np.int32)
             until = np.full(n, np.datetime64("NaT"), dtype="datetime64[us]")
             for i in range(n):
                 if keys[i] != cur_key:
-                    cur_key, state = keys[i], (0, None)
+                    cur_key, state = keys[i], entry(keys[i], parts[i])
                 state, outcome[i] = lockout_step(state, ts[i], bool(ok[i]), max_failures, lock)
                 count[i] = state[0]
                 if state[1] is not None:
@@ -239,8 +258,140 @@ def _lockout_fn(max_failures: int, lock_minutes: float):
     return run
 
 
-def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float) -> DataFrame:
-    """``attempts``: event_id (unique), user_id, ts, success."""
-    s = _sorted_by_key(attempts.select("event_id", "user_id", "ts", "success"),
-                       "user_id", ["ts", "event_id"])
-    return s.mapInPandas(_lockout_fn(max_failures, lock_minutes), LOCKOUT_SCHEMA)
+# lock end of a transfer-table state: none, carried from the entry state
+# (inactive inside the segment), or set by a lock inside the segment
+U_NONE, U_CARRY, U_SET = 0, 1, 2
+
+LOCK_TABLE_SCHEMA = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("_p", T.IntegerType()),
+    T.StructField("first_ts", T.ArrayType(T.LongType())),
+    T.StructField("e_c", T.ArrayType(T.IntegerType())), T.StructField("e_kind", T.ArrayType(T.IntegerType())),
+    T.StructField("e_u", T.ArrayType(T.LongType())),
+    T.StructField("l_c", T.ArrayType(T.IntegerType())), T.StructField("l_kind", T.ArrayType(T.IntegerType())),
+    T.StructField("l_u", T.ArrayType(T.LongType())),
+])
+
+
+class _LockSegment:
+    """Transfer table of one segment of a user's tries, built in one pass.
+
+    An entry state either has no active lock (class E_c: count c, any
+    expired lock end) or has a lock covering the first k tries (class L_k;
+    its count is then 0, since a lock resets the count and refused tries do
+    not count). All classes are run in lockstep; runs whose states become
+    equal are merged, so the work per try is the number of distinct states
+    (small), not the number of classes. Only the first tries within one lock
+    period of the segment start are kept (they decide k)."""
+
+    def __init__(self, key, part, ts0, max_failures, lock_us):
+        self.key, self.part, self.ts0 = key, part, ts0
+        self.m, self.lock = max_failures, lock_us
+        self.first_ts: list = []
+        self.runs: dict = {(c, U_CARRY, 0): [("E", c)] for c in range(max_failures)}
+        self.n = 0
+
+    def _step(self, state, ts, ok):
+        c, kind, u = state
+        if kind == U_SET and ts < u:
+            return state
+        if ok:
+            return (0, U_NONE, 0)
+        c += 1
+        if c >= self.m:
+            return (0, U_SET, ts + self.lock)
+        return (c, kind, u)
+
+    def add(self, ts, ok):
+        if self.n >= 1 and self.first_ts and len(self.first_ts) == self.n:
+            # the lock covered the tries so far: class L_n joins, count 0
+            self.runs.setdefault((0, U_CARRY, 0), []).append(("L", self.n))
+        if ts < self.ts0 + self.lock:
+            self.first_ts.append(ts)
+        nxt: dict = {}
+        for st, classes in self.runs.items():
+            nxt.setdefault(self._step(st, ts, ok), []).extend(classes)
+        self.runs = nxt
+        self.n += 1
+
+    def finish(self) -> dict:
+        if len(self.first_ts) == self.n:
+            self.runs.setdefault((0, U_CARRY, 0), []).append(("L", self.n))
+        e = [None] * self.m
+        lk = [None] * len(self.first_ts)
+        for st, classes in self.runs.items():
+            for kind, i in classes:
+                if kind == "E":
+                    e[i] = st
+                else:
+                    lk[i - 1] = st
+        return {"user_id": int(self.key), "_p": int(self.part), "first_ts": list(self.first_ts),
+                "e_c": [x[0] for x in e], "e_kind": [x[1] for x in e], "e_u": [x[2] for x in e],
+                "l_c": [x[0] for x in lk], "l_kind": [x[1] for x in lk], "l_u": [x[2] for x in lk]}
+
+
+def _lockout_tables_fn(spanning: set, max_failures: int, lock_minutes: float):
+    lock_us = int(lock_minutes * 60_000_000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, seg = [], None
+        for b in batches:
+            sub = b[b["user_id"].isin(spanning)]
+            us = sub["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            for k, p, t, ok in zip(sub["user_id"].to_numpy(), sub["_p"].to_numpy(), us,
+                                   sub["success"].to_numpy(dtype=bool)):
+                if seg is None or seg.key != k:
+                    if seg is not None:
+                        out.append(seg.finish())
+                    seg = _LockSegment(k, p, int(t), max_failures, lock_us)
+                seg.add(int(t), bool(ok))
+        if seg is not None:
+            out.append(seg.finish())
+        if out:
+            yield pd.DataFrame(out)
+    return run
+
+
+def _chain_lock_tables(rows) -> dict:
+    """Entry state of every segment of a spanning user, in partition order."""
+    from bisect import bisect_left
+    by_user: dict = {}
+    for x in rows:
+        by_user.setdefault(x["user_id"], []).append(x)
+    starts: dict = {}
+    for user, segs in by_user.items():
+        segs.sort(key=lambda x: x["_p"])
+        c, u = 0, None
+        for x in segs:
+            starts[(user, x["_p"])] = (c, u)
+            ts0 = x["first_ts"][0]
+            if u is None or u <= ts0:
+                c2, kind, uv = x["e_c"][c], x["e_kind"][c], x["e_u"][c]
+            else:
+                k = bisect_left(x["first_ts"], u)
+                c2, kind, uv = x["l_c"][k - 1], x["l_kind"][k - 1], x["l_u"][k - 1]
+            c, u = c2, (None if kind == U_NONE else u if kind == U_CARRY else uv)
+    return starts
+
+
+def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float,
+                 hot_keys=()) -> DataFrame:
+    """``attempts``: event_id (unique), user_id, ts, success.
+
+    Users take the hash-partitioned fold (one task per user, memory of one
+    batch); users named in ``hot_keys`` are range-split over tasks with the
+    transfer tables of ``_LockSegment`` and folded in parallel, exactly."""
+    a = attempts.select("event_id", "user_id", "ts", "success")
+    hot_keys = list(hot_keys)
+    rest = a if not hot_keys else a.where(~F.col("user_id").isin(hot_keys))
+    out = _sorted_by_key(rest, "user_id", ["ts", "event_id"]) \
+        .mapInPandas(_lockout_fn(max_failures, lock_minutes), LOCKOUT_SCHEMA)
+    if not hot_keys:
+        return out
+    s, spanning = _range_split(a.where(F.col("user_id").isin(hot_keys)), "user_id", ["ts", "event_id"])
+    starts: dict = {}
+    if spanning:
+        rows = s.mapInPandas(_lockout_tables_fn(spanning, max_failures, lock_minutes),
+                             LOCK_TABLE_SCHEMA).collect()
+        starts = _chain_lock_tables(rows)
+    hot = s.mapInPandas(_lockout_fn(max_failures, lock_minutes, starts), LOCKOUT_SCHEMA)
+    return hot.unionByName(out)

@@ -136,3 +136,34 @@ def test_hot_material_split_across_tasks(spark):
                                     ["date_prod", "req_id"])
     assert parts.count() == 600
     assert fold.TABLE_LIMIT < 5000
+
+
+@settings(max_examples=8, deadline=None)
+@given(tries=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 400), st.booleans()),
+                      min_size=20, max_size=160))
+def test_hot_user_lockout_split_matches(spark, tries):
+    """Every user forced through the split path: same rows as the one-task
+    fold and the same outcomes as the sequential loop."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, u, t0 + dt.timedelta(minutes=m), ok) for i, (u, m, ok) in enumerate(tries)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
+    split = sorted(map(tuple, guards.login_lockout(df, hot_rows=1).collect()))
+    plain = sorted(map(tuple, guards.login_lockout(df).collect()))
+    assert split == plain
+    assert {r[0]: r[4] for r in split} == lockout_loop(rows)
+
+
+def test_hot_user_fixture(spark):
+    """A user with a third of all tries, split over partitions, at sf0.01."""
+    from conftest import SF_CHECK
+    from matflow.sources import fixtures
+    ev = spark.read.parquet(f"{SF_CHECK}/events.parquet")
+    att = fixtures.login_attempts(ev).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
+    split = sorted(map(tuple, guards.login_lockout(att, hot_rows=1000).collect()))
+    plain = sorted(map(tuple, guards.login_lockout(att).collect()))
+    assert split == plain
+    from matflow.plans import fold
+    _, spanning = fold._range_split(att.where("user_id = 7").select("event_id", "user_id", "ts", "success"),
+                                    "user_id", ["ts", "event_id"])
+    assert spanning == {7}
