@@ -191,13 +191,13 @@ def _p10(t: Tables):
 
 
 @register("status_labels", S.q(f"""SELECT id, statut,
-  {S._case('statut', C.STATUS_CLASSES, C.STATUS_CLASS_DEFAULT)} AS classe FROM production"""))
+  {S.case('statut', C.STATUS_CLASSES, C.STATUS_CLASS_DEFAULT)} AS classe FROM production"""))
 def _p11(t: Tables):
     return production.status_labels(t.production)
 
 
 @register("role_labels", S.q(f"""SELECT id, username, role,
-  {S._case('role', C.ROLE_LABELS, C.ROLE_LABEL_DEFAULT)} AS libelle FROM users""".replace(
+  {S.case('role', C.ROLE_LABELS, C.ROLE_LABEL_DEFAULT)} AS libelle FROM users""".replace(
     "'Chef d'équipe'", "'Chef d''équipe'")))
 def _p12(t: Tables):
     return access.role_labels(t.users)
@@ -709,12 +709,10 @@ def _v4(t: Tables):
 
 
 def _capture_sql(table: str, spec, label: str) -> str:
-    cols = [k for k, _, _ in spec]
     other = ["materiel", "quantite", "date_ajout", "created_at", "updated_at", "updated_by"] \
         if table == "stock" else ["produit", "quantite", "responsable", "date_prod", "cout", "statut",
                                   "stock_id", "qte_consommee", "created_at", "updated_at", "updated_by"]
     same = " AND ".join(f"b.{c} IS NOT DISTINCT FROM a.{c}" for c in other)
-    del cols
     return S.q(f""", aft AS ({S.snapshot_after_sql(table)}),
 j AS (SELECT b.*, a.id AS a_id, a.updated_by AS a_updated_by, {', '.join(f'a.{c} AS a_{c}' for c in other if c != 'updated_by')},
   CASE WHEN b.id IS NULL THEN 'CREATE' WHEN a.id IS NULL THEN 'DELETE' WHEN NOT ({same}) THEN 'UPDATE' END AS act
@@ -779,8 +777,8 @@ def _x1(t: Tables):
 
 _ACCESS = f""", m AS ({S.permission_values()}),
 lg AS (SELECT e.event_id, e.user_id, e.ts,
-  {S._case('e.event_type', fixtures.EVENT_TO_RESOURCE)} AS resource,
-  {S._case('e.event_type', fixtures.EVENT_TO_REQUEST_ACTION)} AS action, u.username, u.role
+  {S.case('e.event_type', fixtures.EVENT_TO_RESOURCE)} AS resource,
+  {S.case('e.event_type', fixtures.EVENT_TO_REQUEST_ACTION)} AS action, u.username, u.role
   FROM events e LEFT JOIN users u ON e.user_id = u.id),
 az AS (SELECT lg.*, EXISTS (SELECT 1 FROM m WHERE m.role = lg.role AND m.resource = lg.resource
   AND m.action = lg.action) AS allowed FROM lg)"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from .. import constants as C
 
 
-def _case(col: str, mapping: dict, default: str | None = None) -> str:
+def case(col: str, mapping: dict, default: str | None = None) -> str:
     whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in mapping.items())
     d = "NULL" if default is None else f"'{default}'"
     return f"CASE {whens} ELSE {d} END"
@@ -37,7 +37,7 @@ production AS (
          COALESCE(CAST(l.l_quantity AS INTEGER), 1) AS quantite,
          c.c_name AS responsable, CAST(o.o_orderdate AS DATE) AS date_prod,
          CAST(o.o_totalprice AS DECIMAL(12,2)) AS cout,
-         {_case('o.o_orderpriority', C.PRIORITY_TO_STATUT)} AS statut,
+         {case('o.o_orderpriority', C.PRIORITY_TO_STATUT)} AS statut,
          l.l_partkey AS stock_id, COALESCE(CAST(l.l_quantity AS INTEGER), 0) AS qte_consommee,
          o.o_orderdate AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at,
          CAST(NULL AS VARCHAR) AS updated_by
@@ -46,7 +46,7 @@ production AS (
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
 users AS (
   SELECT c_custkey AS id, c_name AS username,
-         {_case('c_mktsegment', C.SEGMENT_TO_ROLE, C.DEFAULT_ROLE)} AS role,
+         {case('c_mktsegment', C.SEGMENT_TO_ROLE, C.DEFAULT_ROLE)} AS role,
          CAST(0 AS INTEGER) AS tentatives, CAST(NULL AS BIGINT) AS bloque_jusqu,
          CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS last_login,
          c_acctbal >= 0 AS actif
@@ -54,7 +54,7 @@ users AS (
 audit AS (
   SELECT e.event_id AS id, COALESCE(c.c_name, 'user' || CAST(e.user_id AS VARCHAR)) AS utilisateur,
          CAST(NULL AS VARCHAR) AS role_utilisateur,
-         {_case('e.event_type', C.EVENT_TO_ACTION)} AS action,
+         {case('e.event_type', C.EVENT_TO_ACTION)} AS action,
          CASE WHEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) % 2 = 0
               THEN '{C.TABLE_STOCK}' ELSE '{C.TABLE_PRODUCTION}' END AS table_name,
          CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS record_id,
