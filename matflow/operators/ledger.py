@@ -17,7 +17,7 @@ HOT_ROWS = 100_000
 
 def consume_stock(requests: DataFrame, stock: DataFrame,
                   order: tuple[str, ...] = ("date_prod", "req_id"),
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, fast_path: bool = False) -> DataFrame:
     """M7: per material, in arrival order, accept a request when what remains
     covers it and deduct it; otherwise reject it and leave the stock as is.
 
@@ -26,11 +26,15 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     request without material, or with an amount <= 0, is accepted without
     deduction.
 
-    Plan: the common case needs no order at all. Per material, when the sum
-    of all requested amounts fits the opening stock, every request is
-    accepted (one partial aggregate + join). Only contested materials go
-    through the ordered fold (``greedy_deduction``); contested materials
-    with more than ``hot_rows`` requests are split across tasks there.
+    Plan: requests that need stock are hash-partitioned by material, sorted
+    and folded in one pass (``greedy_deduction``): one shuffle. A partial
+    aggregate per material finds the hot ones (more than ``hot_rows``
+    requests, a bounded list), which are split across tasks. With
+    ``fast_path`` materials whose total demand fits the opening stock are
+    accepted by the aggregate + a join and only contested ones are folded;
+    that pays two more shuffles to save fold work, which helps only when
+    most materials are uncontested (at sf0.1 nearly all are: 1.7 s with it,
+    1.1 s without).
     """
     order = list(order)
     r = requests.select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), *[
@@ -53,14 +57,17 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     # at most rows / hot_rows materials can be hot: a bounded list
     hot = [x.stock_id for x in totals.where(contested & (F.col("_n") > hot_rows))
            .select("stock_id").collect()]
-    tagged = want.join(totals.select("stock_id", contested.alias("_contested")), "stock_id")
-    easy = tagged.where(~F.col("_contested")).select(
-        "req_id", "stock_id", "qte", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("motif"))
-    hard = tagged.where(F.col("_contested"))
-    folded = greedy_deduction(hard, order, hot)
+    if fast_path:
+        tagged = want.join(totals.select("stock_id", contested.alias("_contested")), "stock_id")
+        easy = tagged.where(~F.col("_contested")).select(
+            "req_id", "stock_id", "qte", F.lit(True).alias("accepted"),
+            F.lit(None).cast("string").alias("motif"))
+        free = free.unionByName(easy)
+        want = tagged.where(F.col("_contested"))
+    folded = greedy_deduction(want, order, hot)
     hard_out = folded.select("req_id", "stock_id", "qte", "accepted",
                              F.when(~F.col("accepted"), F.lit(REASON_SHORT)).alias("motif"))
-    return free.unionByName(easy).unionByName(hard_out)
+    return free.unionByName(hard_out)
 
 
 def stock_after_consumption(stock: DataFrame, decisions: DataFrame) -> DataFrame:
