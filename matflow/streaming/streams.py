@@ -63,21 +63,25 @@ def ntz(c: str) -> F.Column:
     return F.col(c).cast("timestamp_ntz")
 
 
-def rate_limit_stream(requests: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
-                      limit: int = C.RATE_LIMIT) -> DataFrame:
-    """R1 on a stream of (user_id, ts)."""
-    return (event_time(requests, delay)
-            .groupBy(F.window("ts", width).alias("w"), "user_id")
+def _window_counts(watermarked: DataFrame, width: str, limit: int) -> DataFrame:
+    return (watermarked.groupBy(F.window("ts", width).alias("w"), "user_id")
             .agg(F.count(F.lit(1)).alias("requetes"))
             .select("user_id", ntz("w.start").alias("debut"), ntz("w.end").alias("fin"), "requetes",
                     (F.col("requetes") > limit).alias("depasse"),
                     F.greatest(F.col("requetes") - limit, F.lit(0)).alias("refusees")))
 
 
+def rate_limit_stream(requests: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
+                      limit: int = C.RATE_LIMIT) -> DataFrame:
+    """R1 on a stream of (user_id, ts)."""
+    return _window_counts(event_time(requests, delay), width, limit)
+
+
 def login_rate_stream(attempts: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
                       limit: int = C.LOGIN_RATE_LIMIT) -> DataFrame:
-    """R2 on a stream of log-in tries (failures only are counted)."""
-    return rate_limit_stream(attempts.where(~F.col("success")), delay, width, limit)
+    """R2 on a stream of log-in tries. The watermark follows every try
+    (successes move event time forward too); only failures are counted."""
+    return _window_counts(event_time(attempts, delay).where(~F.col("success")), width, limit)
 
 
 def server_error_stream(log: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW) -> DataFrame:

@@ -70,3 +70,24 @@ def test_delete_detaches_jobs(spark, seed):
     assert sorted(r.id for r in jobs.where(F.col("stock_id").isNull()).collect()) == [1, 3]
     cnt = changes.dissociated_counts(seed["stock"], seed["production"], d).collect()
     assert [(r.id, r.cnt) for r in cnt] == [(1, 2)]
+
+
+def test_changes_then_capture_round_trip(spark):
+    """Apply the stock change batch (M2 updates, M3 deletes, M1 inserts), then
+    capture the snapshot change (U1): one audit row per effective change."""
+    t = open_tables(spark, SF_SMALL)
+    req = fixtures.stock_change_requests(t.stock)
+    today, now = dt.date(2024, 6, 1), dt.datetime(2024, 6, 1, 12)
+    s1 = changes.update_stock(t.stock, req.where("op = 'UPDATE'"), today)
+    s2 = changes.delete_stock(s1, req.where("op = 'DELETE'"))
+    s3 = changes.insert_stock(s2, req.where("op = 'INSERT'"), today, now)
+    cap = audit.capture_stock_changes(t.stock, s3, now)
+    got = {r.action: r.n for r in cap.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    existing = changes.requests_existing(req, t.stock)
+    upd = existing.where("op = 'UPDATE'").count()
+    dele = existing.where("op = 'DELETE'").count()
+    ins = req.where("op = 'INSERT'").count()
+    # an update changes the row (quantity + 1, and the date set to the request's)
+    assert got == {"UPDATE": upd, "DELETE": dele, "CREATE": ins}
+    assert s3.count() == t.stock.count() - dele + ins
+    assert s3.select("id").distinct().count() == s3.count()

@@ -61,6 +61,14 @@ def test_rate_windows_stream_equals_batch(spark):
     out = _drain(streams.rate_limit_stream(st, delay="3650 days", limit=2), root).where("user_id >= 0")
     batch = guards.rate_limit_windows(log, limit=2)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select(out.columns).collect()))
+    att = fixtures.login_attempts(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+    root3 = streams.stream_root(spark)
+    src3 = _files(spark, att, 2, root3)
+    spark.createDataFrame([(-1, -1, CLOSE, True)], att.schema).write.mode("append").parquet(src3)
+    st3 = spark.readStream.schema(att.schema).parquet(src3)
+    out2 = _drain(streams.login_rate_stream(st3, delay="3650 days", limit=1), root3).where("user_id >= 0")
+    b2 = guards.login_rate_windows(att, limit=1)
+    assert sorted(map(tuple, out2.collect())) == sorted(map(tuple, b2.select(out2.columns).collect()))
     root2 = f"{root}-r4"
     out4 = _drain(streams.server_error_stream(st, delay="3650 days"), root2)
     b4 = guards.server_error_windows(log)
