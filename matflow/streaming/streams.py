@@ -63,12 +63,16 @@ def ntz(c: str) -> F.Column:
     return F.col(c).cast("timestamp_ntz")
 
 
-def _window_counts(watermarked: DataFrame, width: str, limit: int) -> DataFrame:
-    return (watermarked.groupBy(F.window("ts", width).alias("w"), "user_id")
-            .agg(F.count(F.lit(1)).alias("requetes"))
-            .select("user_id", ntz("w.start").alias("debut"), ntz("w.end").alias("fin"), "requetes",
-                    (F.col("requetes") > limit).alias("depasse"),
-                    F.greatest(F.col("requetes") - limit, F.lit(0)).alias("refusees")))
+def _window_counts(watermarked: DataFrame, width: str, limit: int,
+                   counted: F.Column | None = None) -> DataFrame:
+    n = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    out = (watermarked.groupBy(F.window("ts", width).alias("w"), "user_id")
+           .agg(n.alias("requetes")))
+    if counted is not None:
+        out = out.where(F.col("requetes") > 0)
+    return out.select("user_id", ntz("w.start").alias("debut"), ntz("w.end").alias("fin"), "requetes",
+                      (F.col("requetes") > limit).alias("depasse"),
+                      F.greatest(F.col("requetes") - limit, F.lit(0)).alias("refusees"))
 
 
 def rate_limit_stream(requests: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
@@ -79,9 +83,13 @@ def rate_limit_stream(requests: DataFrame, delay: str = "1 hour", width: str = C
 
 def login_rate_stream(attempts: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW,
                       limit: int = C.LOGIN_RATE_LIMIT) -> DataFrame:
-    """R2 on a stream of log-in tries. The watermark follows every try
-    (successes move event time forward too); only failures are counted."""
-    return _window_counts(event_time(attempts, delay).where(~F.col("success")), width, limit)
+    """R2 on a stream of log-in tries: failures per client and window.
+
+    Every try moves event time forward, so successes must reach the
+    watermark; a plain filter would be pushed below it by the optimizer.
+    Failures are therefore counted with a conditional aggregate and windows
+    without failures dropped after the aggregation."""
+    return _window_counts(event_time(attempts, delay), width, limit, ~F.col("success"))
 
 
 def server_error_stream(log: DataFrame, delay: str = "1 hour", width: str = C.RATE_WINDOW) -> DataFrame:
