@@ -37,11 +37,15 @@ def test_every_query_has_an_entry():
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
-    srows = [tuple(r) for r in df.collect()]
+    table = df.toArrow()
+    srows = [tuple(r) for r in zip(*[c.to_pylist() for c in table.columns])] if table.num_columns else []
     r = con.execute(SQL[name])
     dcols = [d[0] for d in r.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, srows) == rows_of(dcols, r.fetchall())
+    # same Arrow column types on both sides
+    dtypes = {f.name: str(f.type) for f in con.sql(SQL[name]).arrow().schema}
+    assert {f.name: str(f.type) for f in table.schema} == dtypes
 
 
 def test_entry_smoke(spark):
