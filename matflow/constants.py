@@ -82,6 +82,30 @@ PERMISSIONS = {
     },
 }
 
+# role x resource -> actions as the route guards check them (they differ
+# from the table above: chef_equipe may create materials, any signed-in role
+# may update or delete jobs, statistics are for admin and chef_equipe)
+ROUTE_PERMISSIONS = {
+    "admin": {
+        "stock": ["CREATE", "READ", "UPDATE", "DELETE"],
+        "production": ["CREATE", "READ", "UPDATE", "DELETE"],
+        "stats": ["READ"],
+    },
+    "chef_equipe": {
+        "stock": ["CREATE", "READ", "UPDATE"],
+        "production": ["CREATE", "READ", "UPDATE", "DELETE"],
+        "stats": ["READ"],
+    },
+    "responsable": {
+        "stock": ["READ"],
+        "production": ["CREATE", "READ", "UPDATE", "DELETE"],
+    },
+    "lecteur": {
+        "stock": ["READ"],
+        "production": ["READ", "UPDATE", "DELETE"],
+    },
+}
+
 # log-in lockout: the 6th failure locks the account for 20 minutes
 MAX_FAILURES = 6
 LOCK_MINUTES = 20

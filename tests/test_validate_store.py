@@ -52,3 +52,18 @@ def test_store_versions(spark, seed):
     assert st.read("stock").count() == 3
     h = st.head()
     assert h[0] == 1 and h[2] == ["stock"]
+
+
+def test_authorize_with_either_matrix(spark):
+    from matflow import constants as C
+    from matflow.operators import access
+    log = spark.createDataFrame(
+        [(1, "chef_equipe", "stock", "CREATE"), (2, "lecteur", "production", "DELETE"),
+         (3, "admin", "users", "DELETE"), (4, None, "stock", "READ")],
+        "event_id long, role string, resource string, action string")
+    table = {r.event_id: r.allowed for r in access.authorize_requests(log).collect()}
+    routes = {r.event_id: r.allowed for r in access.authorize_requests(log, C.ROUTE_PERMISSIONS).collect()}
+    assert table == {1: False, 2: False, 3: True, 4: False}
+    assert routes == {1: True, 2: True, 3: False, 4: False}
+    d = {(r.role, r.action): r.refus for r in access.denied_summary(access.authorize_requests(log)).collect()}
+    assert d == {("chef_equipe", "CREATE"): 1, ("lecteur", "DELETE"): 1, ("anonyme", "READ"): 1}
