@@ -131,16 +131,10 @@ class _BufferedFold(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getListState("pending", self.row_schema)
         self.state = handle.getValueState("state", self.state_schema)
-        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
 
     # subclasses: to_tuples(pdf) -> list[tuple]; fold(key, state, rows) -> (state, out_pdf)
-    def _arm(self, ms: int) -> None:
-        cur = self.timer.get() if self.timer.exists() else None
-        if cur is None or ms < cur[0]:
-            if cur is not None:
-                self.handle.deleteTimer(cur[0])
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
+    # Every state call is a round trip to the JVM, so each handler makes as
+    # few as it can: input = append + one timer; timer = read, write back.
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = []
@@ -148,24 +142,24 @@ class _BufferedFold(StatefulProcessor):
             new.extend(self.to_tuples(pdf))
         if new:
             self.pending.appendList(new)
-            self._arm(min(r[0] for r in new))
+            # fires once the watermark passes the earliest new row; a timer
+            # that finds nothing due (an earlier one did the work) is a no-op
+            self.handle.registerTimer(min(r[0] for r in new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wm = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.pending.get()) if self.pending.exists() else []
+        rows = list(self.pending.get())
         due = sorted((r for r in rows if r[0] < wm), key=lambda r: (r[0], r[1]))
+        if not due:
+            return iter([])
         rest = [r for r in rows if r[0] >= wm]
-        self.timer.clear()
         if rest:
             self.pending.put(rest)
-            self._arm(min(r[0] for r in rest))
+            self.handle.registerTimer(min(r[0] for r in rest))
         else:
             self.pending.clear()
-        if not due:
-            return iter([])
-        st = self.state.get() if self.state.exists() else None
-        st, out = self.fold(key, st, due)
+        st, out = self.fold(key, self.state.get(), due)
         self.state.update(st)
         return iter([out])
 
