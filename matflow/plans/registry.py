@@ -113,9 +113,6 @@ def _k3(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@register("dashboard_bundle")
-def _k4(t: Tables):
-    return dashboard.dashboard_summary_flat(t.stock, t.production)
 
 
 # ---------------------------------------------------------------------------
@@ -343,6 +340,36 @@ def _a10(t: Tables):
     return dashboard.alert_summary(t.stock, t.production)
 
 
+def _bundle_sql() -> str:
+    kp = S.json_obj([(c, c, "num") for c in ("total_materiaux", "total_unites", "total_productions",
+                                             "cout_total", "alertes_stock", "alertes_prod")])
+    sc = S.json_obj([("materiel", "materiel", "str"), ("quantite", "quantite", "num"),
+                     ("couleur", "couleur", "str"), ("id", "id", "num")])
+    pc = S.json_obj([("statut", "statut", "str"), ("nombre", "nombre", "num")])
+    rc = S.json_obj([("produit", "produit", "str"), ("quantite", "quantite", "num"),
+                     ("responsable", "responsable", "str"), ("date_prod", "date_prod", "date"),
+                     ("cout", "cout", "num"), ("statut", "statut", "str"),
+                     ("materiel_nom", "materiel_nom", "str"), ("id", "id", "num")])
+    return S.q(f""", k AS ({_KPIS}),
+sc AS (SELECT id, materiel, quantite, {_COLOUR} AS couleur FROM stock ORDER BY quantite DESC, id LIMIT 10),
+pc AS (SELECT statut, COUNT(*) AS nombre FROM production GROUP BY statut),
+rc AS (SELECT p.id, p.produit, p.quantite, p.responsable, p.date_prod, p.cout, p.statut,
+         s.materiel AS materiel_nom
+       FROM (SELECT * FROM production ORDER BY date_prod DESC, id DESC LIMIT 5) p
+       LEFT JOIN stock s ON p.stock_id = s.id)
+SELECT 'kpis' AS part, CAST(0 AS INTEGER) AS pos, {kp} AS item FROM k
+UNION ALL SELECT 'stockChart', CAST(row_number() OVER (ORDER BY quantite DESC, id) - 1 AS INTEGER), {sc} FROM sc
+UNION ALL SELECT 'prodChart', CAST(row_number() OVER (ORDER BY statut) - 1 AS INTEGER), {pc} FROM pc
+UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY date_prod DESC, id DESC) - 1 AS INTEGER), {rc} FROM rc""")
+
+
+@register("dashboard_bundle", _bundle_sql())
+def _k4(t: Tables):
+    """K4 checked flattened: one row per item of the nested record (its four
+    bounded parts); the two alert lists are P5 and P7."""
+    return dashboard.dashboard_summary_flat(t.stock, t.production)
+
+
 _W = WORD.lower()
 _HITS = f"""SELECT 'stock' AS source, id, materiel AS libelle FROM stock WHERE contains(lower(materiel), '{_W}')
   UNION ALL

@@ -30,8 +30,8 @@ def test_every_query_has_an_entry():
     q = E.queries()
     assert len(q) >= 80
     missing = sorted(set(q) - set(SQL))
-    # rows-only: the side-effecting append, the nested bundle, the stream
-    assert missing == ["audit_append", "consume_stock_stream", "dashboard_bundle"]
+    # rows-only: the side-effecting append and the stream
+    assert missing == ["audit_append", "consume_stock_stream"]
 
 
 @pytest.mark.parametrize("name", NAMES)
