@@ -102,15 +102,6 @@ def _k2(t: Tables):
     return sinks.production_csv_rows(t.production, t.stock)
 
 
-@register("audit_append")
-def _k3(t: Tables):
-    """K3: append the captured stock changes to a date-partitioned audit
-    table in the shared folder, then read the table back."""
-    root = t.store.root if t.store is not None else t.spark.sparkContext.getCheckpointDir()
-    path = f"{root}/audit-append-{uuid.uuid4().hex[:12]}"
-    entries = audit.capture_stock_changes(t.stock, fixtures.snapshot_after(t.stock), NOW)
-    audit.audit_append(entries, path)
-    return t.spark.read.parquet(path)
 
 
 
@@ -735,23 +726,30 @@ def _v4(t: Tables):
     return validate.constraint_violations(t.stock, t.production, t.users)
 
 
-def _capture_sql(table: str, spec, label: str) -> str:
+def _capture_parts(table: str, spec, label: str) -> tuple[str, str]:
+    """(extra CTEs, final SELECT) of the trigger capture twin."""
     other = ["materiel", "quantite", "date_ajout", "created_at", "updated_at", "updated_by"] \
         if table == "stock" else ["produit", "quantite", "responsable", "date_prod", "cout", "statut",
                                   "stock_id", "qte_consommee", "created_at", "updated_at", "updated_by"]
     same = " AND ".join(f"b.{c} IS NOT DISTINCT FROM a.{c}" for c in other)
-    return S.q(f""", aft AS ({S.snapshot_after_sql(table)}),
+    ctes = f""", aft AS ({S.snapshot_after_sql(table)}),
 j AS (SELECT b.*, a.id AS a_id, a.updated_by AS a_updated_by, {', '.join(f'a.{c} AS a_{c}' for c in other if c != 'updated_by')},
   CASE WHEN b.id IS NULL THEN 'CREATE' WHEN a.id IS NULL THEN 'DELETE' WHEN NOT ({same}) THEN 'UPDATE' END AS act
-  FROM {table} b FULL OUTER JOIN aft a ON b.id = a.id)
-SELECT CASE WHEN act = 'DELETE' THEN '{C.SYSTEM_USER}' ELSE COALESCE(a_updated_by, '{C.SYSTEM_USER}') END AS utilisateur,
+  FROM {table} b FULL OUTER JOIN aft a ON b.id = a.id)"""
+    select = f"""SELECT CASE WHEN act = 'DELETE' THEN '{C.SYSTEM_USER}' ELSE COALESCE(a_updated_by, '{C.SYSTEM_USER}') END AS utilisateur,
   CAST(NULL AS VARCHAR) AS role_utilisateur, act AS action, '{label}' AS table_name,
   COALESCE(id, a_id) AS record_id,
   CASE WHEN id IS NOT NULL THEN {S.json_of(spec, '')} END AS ancienne_valeur,
   CASE WHEN a_id IS NOT NULL THEN {S.json_of(spec, 'a_')} END AS nouvelle_valeur,
   CAST(NULL AS VARCHAR) AS details, CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS user_agent,
   TIMESTAMP '{NOW}' AS "timestamp"
-FROM j WHERE act IS NOT NULL""")
+FROM j WHERE act IS NOT NULL"""
+    return ctes, select
+
+
+def _capture_sql(table: str, spec, label: str) -> str:
+    ctes, select = _capture_parts(table, spec, label)
+    return S.q(ctes + "\n" + select)
 
 
 @register("capture_stock_changes", _capture_sql("stock", S.STOCK_JSON, C.TABLE_STOCK))
@@ -764,6 +762,22 @@ def _u2(t: Tables):
     return audit.capture_production_changes(t.production, fixtures.snapshot_after(t.production), NOW)
 
 
+def _append_sql() -> str:
+    ctes, select = _capture_parts("stock", S.STOCK_JSON, C.TABLE_STOCK)
+    return S.q(ctes + f", cap AS ({select})\nSELECT *, CAST(\"timestamp\" AS DATE) AS audit_date FROM cap")
+
+
+@register("audit_append", _append_sql())
+def _k3(t: Tables):
+    """K3: append the captured stock changes to a date-partitioned audit
+    table in the shared folder, then read the table back."""
+    root = t.store.root if t.store is not None else t.spark.sparkContext.getCheckpointDir()
+    path = f"{root}/audit-append-{uuid.uuid4().hex[:12]}"
+    entries = audit.capture_stock_changes(t.stock, fixtures.snapshot_after(t.stock), NOW)
+    audit.audit_append(entries, path)
+    return t.spark.read.parquet(path)
+
+
 def _actions(t: Tables) -> DataFrame:
     r = fixtures.production_change_requests(t.production)
     return r.select(F.col("responsable").alias("utilisateur"), F.col("op").alias("action"),

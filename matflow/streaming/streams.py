@@ -329,9 +329,12 @@ def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataF
 # register the streaming key of the inventory (rows-only check, compared with
 # M7 in the tests)
 def _register() -> None:
+    from ..plans import sql_twins as S
     from ..plans.registry import register
 
-    @register("consume_stock_stream")
+    # the stream must give exactly the rows of the batch fold, so its twin is
+    # the recursive-CTE twin of M7
+    @register("consume_stock_stream", S.q(S.M7_CTES + " SELECT * FROM m7", recursive=True))
     def _r5(t):
         reqs = t.production.select(F.col("id").alias("req_id"), "stock_id",
                                    F.col("qte_consommee").cast("long").alias("qte"),
