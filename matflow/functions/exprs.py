@@ -15,6 +15,13 @@ from .. import constants as C
 _WS = "[ \\t\\n\\r\\f\\u000b\\u00a0\\ufeff]"
 
 
+def ts_lit(value) -> Column:
+    """A wall-clock TIMESTAMP_NTZ literal from a Python datetime, independent
+    of the session and process time zones (a datetime literal would be
+    converted through the local zone first)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def lookup(col: Column, mapping: dict, default=None) -> Column:
     """Fixed small lookup as a CASE expression (no join, stays in codegen)."""
     out = None

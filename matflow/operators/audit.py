@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.exprs import ts_lit
 from ..plans.skew import dense_rank_desc
 
 HISTORY_COLUMNS = ["id", "utilisateur", "role_utilisateur", "action", "ancienne_valeur",
@@ -80,7 +81,7 @@ def _capture(before: DataFrame, after: DataFrame, table: str, cols: list[str],
                     F.lit(None).cast("string").alias("details"),
                     F.lit(None).cast("string").alias("ip_address"),
                     F.lit(None).cast("string").alias("user_agent"),
-                    F.lit(at).cast("timestamp_ntz").alias("timestamp")))
+                    ts_lit(at).alias("timestamp")))
 
 
 def capture_stock_changes(before: DataFrame, after: DataFrame, at: dt.datetime) -> DataFrame:
@@ -113,7 +114,7 @@ def retention_cutoff(as_of: dt.datetime, days: int = C.AUDIT_RETENTION_DAYS) ->
 
 
 def _keep_predicate(audit: DataFrame, cutoff: dt.datetime) -> F.Column:
-    keep = F.col("timestamp") >= F.lit(cutoff).cast("timestamp_ntz")
+    keep = F.col("timestamp") >= ts_lit(cutoff)
     if "audit_date" in audit.columns:
         # partition column: whole days before the cutoff are never read
         keep = (F.col("audit_date") >= F.lit(cutoff.date())) & keep
@@ -130,7 +131,7 @@ def audit_retention_count(audit: DataFrame, as_of: dt.datetime,
                           days: int = C.AUDIT_RETENTION_DAYS) -> DataFrame:
     """How many rows the clean-up removes."""
     cutoff = retention_cutoff(as_of, days)
-    old = F.col("timestamp") < F.lit(cutoff).cast("timestamp_ntz")
+    old = F.col("timestamp") < ts_lit(cutoff)
     a = audit
     if "audit_date" in audit.columns:
         a = a.where(F.col("audit_date") <= F.lit(cutoff.date()))

@@ -66,7 +66,7 @@ def insert_stock(stock: DataFrame, inserts: DataFrame, today: dt.date,
         X.js_trim(F.col("materiel")).alias("materiel"),
         F.col("quantite").cast("int").alias("quantite"),
         F.coalesce(F.col("date_ajout"), F.lit(today)).alias("date_ajout"),
-        F.lit(now).cast("timestamp_ntz").alias("created_at"),
+        X.ts_lit(now).alias("created_at"),
         F.lit(None).alias("updated_at"), F.lit(None).alias("updated_by"))
     return schemas.conform(stock, schemas.STOCK).unionByName(schemas.conform(rows, schemas.STOCK))
 
@@ -122,7 +122,7 @@ def insert_production(production: DataFrame, accepted: DataFrame, now: dt.dateti
     rows = new.select(
         (base + F.col("_pos")).alias("id"), "produit", "quantite", "responsable", "date_prod",
         "cout", "statut", "stock_id", "qte_consommee",
-        F.lit(now).cast("timestamp_ntz").alias("created_at"),
+        X.ts_lit(now).alias("created_at"),
         F.lit(None).alias("updated_at"), F.lit(None).alias("updated_by"))
     return (schemas.conform(production, schemas.PRODUCTION)
             .unionByName(schemas.conform(rows, schemas.PRODUCTION)))

@@ -783,7 +783,7 @@ def _actions(t: Tables) -> DataFrame:
     return r.select(F.col("responsable").alias("utilisateur"), F.col("op").alias("action"),
                     F.lit(C.TABLE_PRODUCTION).alias("table_name"), F.col("target_id").alias("record_id"),
                     F.concat(F.lit("req "), F.col("seq").cast("string")).alias("details"),
-                    F.lit(NOW).cast("timestamp_ntz").alias("timestamp"))
+                    X.ts_lit(NOW).alias("timestamp"))
 
 
 @register("audit_entries", S.q(_PCREQ + f""" SELECT r.responsable AS utilisateur, u.role AS role_utilisateur,

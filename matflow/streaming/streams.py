@@ -38,6 +38,10 @@ SENTINEL_ID = -1
 SENTINEL_TS = dt.datetime(2200, 1, 1)
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """transformWithState needs the RocksDB state store provider."""
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -111,18 +115,30 @@ def server_error_stream(log: DataFrame, delay: str = "1 hour", width: str = C.RA
 # ---------------------------------------------------------------------------
 
 def _us(ts: pd.Series) -> np.ndarray:
+    """Wall-clock microseconds (Spark hands TIMESTAMP columns to pandas as
+    naive session-local times)."""
     ts = pd.to_datetime(ts)
     if getattr(ts.dt, "tz", None) is not None:
-        ts = ts.dt.tz_convert("UTC").dt.tz_localize(None)
+        ts = ts.dt.tz_localize(None)
     return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
-def _ms(ts: pd.Series) -> np.ndarray:
-    return _us(ts) // 1000
+def _epoch_ms(ts: pd.Series, tz: str) -> np.ndarray:
+    """Epoch milliseconds, comparable with the watermark, from the naive
+    session-local times pandas receives."""
+    ts = pd.to_datetime(ts)
+    if getattr(ts.dt, "tz", None) is None:
+        ts = ts.dt.tz_localize(tz, ambiguous=True, nonexistent="shift_forward")
+    return ts.dt.tz_convert("UTC").dt.tz_localize(None).to_numpy().astype("datetime64[ms]").astype(np.int64)
 
 
 class _BufferedFold(StatefulProcessor):
-    """Buffer rows per key; fold the ones older than the watermark in order."""
+    """Buffer rows per key; fold the ones older than the watermark in order.
+
+    ``tz`` is the session time zone: event times reach pandas as naive local
+    times, and the watermark is in epoch milliseconds."""
+
+    tz = "UTC"
 
     row_schema: T.StructType       # buffered row layout (first field: event time in ms)
     state_schema: T.StructType
@@ -174,8 +190,11 @@ class DeductionProcessor(_BufferedFold):
                                T.StructField("qte", T.LongType()), T.StructField("opening", T.LongType())])
     state_schema = T.StructType([T.StructField("remaining", T.LongType())])
 
+    def __init__(self, tz: str = "UTC"):
+        self.tz = tz
+
     def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        ms = _ms(pdf["ts"])
+        ms = _epoch_ms(pdf["ts"], self.tz)
         return [(int(m), int(r), int(q), int(o)) for m, r, q, o in
                 zip(ms, pdf["req_id"], pdf["qte"], pdf["opening"])]
 
@@ -221,7 +240,8 @@ def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1
         F.when(F.col("stock_id").isNotNull() & ~known, F.lit("materiau_inconnu")).alias("motif"))
     folded = (j.where(needs).select("stock_id", "req_id", "qte", "opening", "ts")
               .groupBy("stock_id")
-              .transformWithStateInPandas(DeductionProcessor(), DECISION_SCHEMA, "Append", "EventTime"))
+              .transformWithStateInPandas(DeductionProcessor(_session_tz(requests)), DECISION_SCHEMA,
+                                          "Append", "EventTime"))
     return free.unionByName(folded)
 
 
@@ -233,15 +253,19 @@ class LockoutProcessor(_BufferedFold):
     state_schema = T.StructType([T.StructField("count", T.IntegerType()),
                                  T.StructField("until_ms", T.LongType())])
 
-    def __init__(self, max_failures: int = C.MAX_FAILURES, lock_minutes: float = C.LOCK_MINUTES):
+    def __init__(self, max_failures: int = C.MAX_FAILURES, lock_minutes: float = C.LOCK_MINUTES,
+                 tz: str = "UTC"):
         self.max_failures = max_failures
         self.lock_ms = int(lock_minutes * 60_000)
+        self.tz = tz
 
     def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        # microsecond order is kept by sorting on (ms, event_id); lock ends use us below
+        # epoch ms decides when a row is due; wall-clock us orders the rows,
+        # times the locks and is written out
         us = _us(pdf["ts"])
-        return [(int(u // 1000), int(e), bool(s), int(u)) for u, e, s in
-                zip(us, pdf["event_id"], pdf["success"])]
+        ms = _epoch_ms(pdf["ts"], self.tz)
+        return [(int(m), int(e), bool(s), int(u)) for m, u, e, s in
+                zip(ms, us, pdf["event_id"], pdf["success"])]
 
     def fold(self, key, st, due):
         state = (0, None) if st is None else (st[0], st[1])
@@ -288,8 +312,8 @@ def login_lockout_stream(attempts: DataFrame, delay: str = "1 hour",
     return (event_time(attempts, delay)
             .select("user_id", "event_id", "ts", "success")
             .groupBy("user_id")
-            .transformWithStateInPandas(LockoutProcessor(max_failures, lock_minutes), LOCKOUT_OUT,
-                                        "Append", "EventTime"))
+            .transformWithStateInPandas(LockoutProcessor(max_failures, lock_minutes, _session_tz(attempts)),
+                                        LOCKOUT_OUT, "Append", "EventTime"))
 
 
 # ---------------------------------------------------------------------------

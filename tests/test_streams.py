@@ -74,3 +74,23 @@ def test_rate_windows_stream_equals_batch(spark):
     b4 = guards.server_error_windows(log)
     # the closing row's own window never closes, everything before it does
     assert sorted(map(tuple, out4.collect())) == sorted(map(tuple, b4.select(out4.columns).collect()))
+
+
+def test_streams_independent_of_session_time_zone(spark):
+    """Event times reach the state handlers as session-local times while
+    watermarks are epoch based: a non-UTC session must give the same rows."""
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/Los_Angeles")
+    try:
+        att = fixtures.login_attempts(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+        root = streams.stream_root(spark)
+        src = _files(spark, att, 2, root)
+        spark.createDataFrame([(-1, -1, CLOSE, True)], att.schema).write.mode("append").parquet(src)
+        st = spark.readStream.schema(att.schema).parquet(src)
+        out = _drain(streams.login_lockout_stream(st, delay="3650 days"), root).where("event_id >= 0")
+        cols = ["event_id", "user_id", "ts", "success", "outcome", "tentatives", "bloque_jusqu"]
+        got = sorted(map(tuple, out.select(cols).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert got == sorted(map(tuple, guards.login_lockout(att).select(cols).collect()))
