@@ -23,8 +23,9 @@ from ..session import ensure_checkpoint_dir
 
 
 def _sorted_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order)
+    # no explicit partition count: AQE may coalesce small partitions (fewer
+    # Python tasks on small data), large data keeps the configured count
+    return df.repartition(key).sortWithinPartitions(key, *order)
 
 
 # ---------------------------------------------------------------------------
@@ -144,8 +145,7 @@ def _range_split(r: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, s
     set is bounded by twice the partition count."""
     spark = r.sparkSession
     ensure_checkpoint_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    s = (r.repartitionByRange(n, key, *order)
+    s = (r.repartitionByRange(key, *order)
          .sortWithinPartitions(key, *order)
          .withColumn("_p", F.spark_partition_id()))
     s = s.checkpoint(eager=True)

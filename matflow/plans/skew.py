@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 NULL_SPREAD = 64
+# rows numbered by one window task in dense_sequence
+ROWS_PER_BUCKET = 1_000_000
 
 
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -38,11 +40,14 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
 
 
 def _bucket_expr(col: str, bounds: list) -> F.Column:
-    # bucket i holds bounds[i-1] < x <= bounds[i]; a fixed, small CASE chain
-    expr = F.lit(len(bounds))
-    for i in reversed(range(len(bounds))):
-        expr = F.when(F.col(col) <= F.lit(bounds[i]), F.lit(i)).otherwise(expr)
-    return expr
+    """Bucket i holds bounds[i-1] < x <= bounds[i]: one flat CASE with a
+    branch per bound (at most ``buckets`` branches)."""
+    if not bounds:
+        return F.lit(0)
+    expr = F.when(F.col(col) <= F.lit(bounds[0]), F.lit(0))
+    for i in range(1, len(bounds)):
+        expr = expr.when(F.col(col) <= F.lit(bounds[i]), F.lit(i))
+    return expr.otherwise(F.lit(len(bounds)))
 
 
 def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
@@ -63,7 +68,10 @@ def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
     ensure_checkpoint_dir(spark)
     df = df.checkpoint(eager=True)
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        # one bucket per ROWS_PER_BUCKET rows, at most one per shuffle partition
+        n = df.count()
+        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             -(-n // ROWS_PER_BUCKET)))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, 0.001))) if probs else []
     b = df.withColumn("__b", _bucket_expr(order_col, bounds))
@@ -91,9 +99,8 @@ def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     d = (df.select(*keys, order_col).where(F.col(order_col).isNotNull()).distinct()
-         .repartitionByRange(n, *[F.col(k) for k in keys], F.col(order_col).desc())
+         .repartitionByRange(*[F.col(k) for k in keys], F.col(order_col).desc())
          .withColumn("__p", F.spark_partition_id()))
     d = d.checkpoint(eager=True)
     local = F.row_number().over(Window.partitionBy("__p", *keys).orderBy(F.col(order_col).desc()))

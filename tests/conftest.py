@@ -50,3 +50,14 @@ def seed(spark):
         (4, "lecteur", "lecteur", 0, None, ts, None, True),
     ], schemas.USERS)
     return {"stock": stock, "production": production, "users": users}
+
+
+@pytest.fixture
+def no_coalesce(spark):
+    """Keep every shuffle partition (AQE would merge small ones), so that
+    small test data really spans several partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)

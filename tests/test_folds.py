@@ -1,7 +1,7 @@
 """Property tests of the ordered folds against plain sequential loops."""
 import datetime as dt
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -112,7 +112,7 @@ def test_rate_limit_fixture(spark):
     assert w.where("depasse").count() == 1739
 
 
-def test_hot_material_split_across_tasks(spark):
+def test_hot_material_split_across_tasks(spark, no_coalesce):
     """One material holds a third of all requests: it is range-split over
     several partitions and still folds exactly like the sequential loop;
     a material above the table limit takes the hash path."""
@@ -136,13 +136,16 @@ def test_hot_material_split_across_tasks(spark):
     parts = fold._chunked_deduction(req.select("req_id", "stock_id", "qte", "opening", "date_prod"),
                                     ["date_prod", "req_id"])
     assert parts.count() == 600
+    _, spanning = fold._range_split(req.select("req_id", "stock_id", "qte", "opening", "date_prod"),
+                                    "stock_id", ["date_prod", "req_id"])
+    assert spanning == {1}
     assert fold.TABLE_LIMIT < 5000
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(tries=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 400), st.booleans()),
                       min_size=20, max_size=160))
-def test_hot_user_lockout_split_matches(spark, tries):
+def test_hot_user_lockout_split_matches(spark, no_coalesce, tries):
     """Every user forced through the split path: same rows as the one-task
     fold and the same outcomes as the sequential loop."""
     t0 = dt.datetime(2024, 1, 1)
@@ -154,7 +157,7 @@ def test_hot_user_lockout_split_matches(spark, tries):
     assert {r[0]: r[4] for r in split} == lockout_loop(rows)
 
 
-def test_hot_user_fixture(spark):
+def test_hot_user_fixture(spark, no_coalesce):
     """A user with a third of all tries, split over partitions, at sf0.01."""
     from conftest import SF_CHECK
     from matflow.sources import fixtures
