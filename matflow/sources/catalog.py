@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,11 +70,16 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
     if key in _CACHE:
         return _CACHE[key]
-    store = store_for(spark, sf_dir)
-    head = store.head()
-    if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
-        store.commit(fixtures.derive_tables(spark, sf_dir))
+    try:
+        store = store_for(spark, sf_dir)
         head = store.head()
+        if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
+            store.commit(fixtures.derive_tables(spark, sf_dir))
+            head = store.head()
+    except Exception as e:  # noqa: BLE001 - no writable shared folder: stay lazy
+        warnings.warn(f"snapshot store unavailable ({type(e).__name__}: {e}); "
+                      "using the tables as lazy plans over the input")
+        return open_tables(spark, sf_dir, materialize=False)
     path = head[1]
     t = Tables(spark, sf_dir,
                stock=store.read("stock", path),

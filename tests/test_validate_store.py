@@ -67,3 +67,14 @@ def test_authorize_with_either_matrix(spark):
     assert routes == {1: True, 2: True, 3: False, 4: False}
     d = {(r.role, r.action): r.refus for r in access.denied_summary(access.authorize_requests(log)).collect()}
     assert d == {("chef_equipe", "CREATE"): 1, ("lecteur", "DELETE"): 1, ("anonyme", "READ"): 1}
+
+
+def test_lazy_tables_give_the_same_rows(spark):
+    """Without the store (materialize=False) the tables are plans over the
+    raw input and give the same rows."""
+    from conftest import SF_SMALL
+    from matflow.sources.catalog import audit_columns, open_tables
+    a, b = open_tables(spark, SF_SMALL), open_tables(spark, SF_SMALL, materialize=False)
+    for name in ("stock", "production", "users"):
+        assert sorted(map(tuple, getattr(a, name).collect())) == sorted(map(tuple, getattr(b, name).collect()))
+    assert sorted(map(tuple, audit_columns(a.audit).collect())) == sorted(map(tuple, b.audit.collect()))
