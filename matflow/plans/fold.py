@@ -2,11 +2,18 @@
 
 Both rules are sequential within a key: the outcome of a row depends on the
 state left by the rows before it, so no running sum or window aggregate can
-express them. The rows are hash-partitioned by key and sorted within each
-partition; ``mapInPandas`` then walks each partition batch by batch, carrying
-the state of the current key across Arrow batches. Memory stays at one batch
-plus one state record: no key's rows are ever collected into a list, so a key
-holding a large share of the data only makes its task longer, never larger.
+express them.
+
+* Ordinary keys: rows are hash-partitioned by key and sorted within each
+  partition; ``mapInPandas`` walks each partition batch by batch, carrying
+  the state of the current key across Arrow batches. Memory stays at one
+  batch plus one state record: no key's rows are collected into a list.
+* Hot keys (named by the caller from a partial aggregate): rows are
+  range-partitioned on (key, order) so a hot key spans several partitions
+  (``_range_split``). Each spanning segment computes its transfer table
+  (exit state as a function of entry state, over a small finite set of entry
+  classes), the tables are chained in partition order to get every
+  segment's exact entry state, and all partitions then fold in parallel.
 """
 
 from __future__ import annotations
