@@ -72,3 +72,47 @@ def test_bundle(seed):
     assert [x.materiel for x in row.stockChart][:2] == ["Ciment", "Gravier"]
     assert [x.produit for x in row.recent][0] == "Hourdis"
     assert b["alertesStock"].count() == 2 and b["alertesProd"].count() == 1
+
+
+def test_search_words(seed):
+    from matflow.operators import search
+    assert search.global_search(seed["stock"], seed["production"], "  ").count() == 0
+    c = {r.source: r.hits for r in search.global_search_counts(seed["stock"], seed["production"], "").collect()}
+    assert c == {"stock": 0, "production": 0}
+    # "sable" hits the material, the job that uses it (by material name) and
+    # the job owned by "responsable" (by owner)
+    hits = sorted((r.source, r.id) for r in search.global_search(seed["stock"], seed["production"], "SaBle").collect())
+    assert hits == [("production", 2), ("production", 4), ("stock", 2)]
+    # LIKE keeps % and _ as wildcards, the literal filter does not
+    assert stock.stock_search(seed["stock"], "c_m").count() == 1
+    assert stock.stock_contains(seed["stock"], "c_m").count() == 0
+
+
+def test_labels_defaults(spark, seed):
+    from matflow import constants as C
+    jobs = seed["production"].unionByName(seed["production"].limit(1).withColumn("statut", F.lit("Inconnu")))
+    classes = {r.statut: r.classe for r in production.status_labels(jobs).collect()}
+    assert classes["Terminé"] == "s-termine" and classes["Inconnu"] == ""
+    users = seed["users"].unionByName(seed["users"].limit(1).withColumn("role", F.lit("invite")))
+    labels = {r.role: r.libelle for r in access.role_labels(users).collect()}
+    assert labels["chef_equipe"] == "Chef d'équipe" and labels["invite"] == C.ROLE_LABEL_DEFAULT
+
+
+def test_constraint_violations_found(spark, seed):
+    from matflow.operators import validate
+    bad_stock = seed["stock"].unionByName(seed["stock"].limit(1).withColumn("id", F.lit(9).cast("long"))
+                                          .withColumn("quantite", F.lit(-3)))
+    bad_jobs = seed["production"].unionByName(
+        seed["production"].limit(1).withColumn("id", F.lit(9).cast("long"))
+        .withColumn("stock_id", F.lit(77).cast("long")).withColumn("statut", F.lit("Annulé"))
+        .withColumn("quantite", F.lit(0)))
+    bad_users = seed["users"].unionByName(seed["users"].limit(1).withColumn("id", F.lit(9).cast("long")))
+    v = {(r.table_name, r.rule): r.violations
+         for r in validate.constraint_violations(bad_stock, bad_jobs, bad_users).collect()}
+    assert v[("Stock", "quantite_negative")] == 1
+    assert v[("Production", "stock_id_missing")] == 1 and v[("Production", "statut_invalid")] == 1
+    assert v[("Production", "quantite_not_positive")] == 1
+    assert v[("Utilisateurs", "username_duplicate")] == 2
+    assert sum(v.values()) == 6
+    clean = validate.constraint_violations(seed["stock"], seed["production"], seed["users"]).collect()
+    assert all(r.violations == 0 for r in clean)
