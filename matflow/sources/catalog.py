@@ -91,6 +91,24 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
     return t
 
 
+def tables_at(spark: SparkSession, store: SnapshotStore, sf_dir: str = "") -> Tables:
+    """The current version of ``store``."""
+    h = store.head()
+    if h is None:
+        raise FileNotFoundError(f"no snapshot committed under {store.root}")
+    return Tables(spark, sf_dir, store.read("stock", h[1]), store.read("production", h[1]),
+                  store.read("audit", h[1]), store.read("users", h[1]), store=store)
+
+
+def fork_tables(t: Tables, root: str) -> Tables:
+    """Copy the four tables of ``t`` into a new store at ``root`` (version 0)
+    and open it: later commits there leave ``t``'s store untouched."""
+    store = SnapshotStore(t.spark, root)
+    store.commit({"stock": t.stock, "production": t.production,
+                  "audit": audit_columns(t.audit), "users": t.users})
+    return tables_at(t.spark, store, t.sf_dir)
+
+
 def audit_columns(audit: DataFrame) -> DataFrame:
     """The audit table without its storage partition column."""
     return audit.select([F.col(f.name) for f in schemas.AUDIT.fields])

@@ -78,3 +78,36 @@ def test_lazy_tables_give_the_same_rows(spark):
     for name in ("stock", "production", "users"):
         assert sorted(map(tuple, getattr(a, name).collect())) == sorted(map(tuple, getattr(b, name).collect()))
     assert sorted(map(tuple, audit_columns(a.audit).collect())) == sorted(map(tuple, b.audit.collect()))
+
+
+def test_job_batch_commit(spark):
+    """The write path as one batch: V2 -> V3 -> M7 -> M4 + M8 -> U1/U2,
+    committed as the next version of a forked store."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    from matflow.operators import writes
+    from matflow.sources import fixtures
+    from matflow.sources.catalog import audit_columns, fork_tables, open_tables, tables_at
+    base = open_tables(spark, SF_SMALL)
+    t = fork_tables(base, streams.stream_root(spark))
+    reqs = fixtures.production_text_requests(t.production, t.raw("orders")).withColumn(
+        "req_id", F.col("req_id") + 1_000_000)
+    today, now = dt.date(2024, 6, 1), dt.datetime(2024, 6, 1, 12)
+    nxt = writes.apply_job_requests(t, reqs, today, now)
+    d = nxt["decisions"]
+    n_ok = d.where("code = 201 AND (stock_ok OR stock_ok IS NULL)").count()
+    assert d.count() == reqs.count()
+    assert nxt["production"].count() == t.production.count() + n_ok
+    assert nxt["stock"].where("quantite < 0").count() == 0
+    batch = nxt["audit"].where(F.col("timestamp") == F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    assert batch.where("action = 'CREATE' AND table_name = 'Production'").count() == n_ok
+    assert batch.where("table_name = 'Production' AND action <> 'CREATE'").count() == 0
+    assert nxt["audit"].count() == audit_columns(t.audit).count() + batch.count()
+    assert nxt["audit"].select("id").distinct().count() == nxt["audit"].count()
+    v = writes.commit_job_requests(t, reqs, today, now)
+    t2 = tables_at(spark, t.store)
+    assert v == 1 and t2.production.count() == nxt["production"].count()
+    assert audit_columns(t2.audit).count() == nxt["audit"].count()
+    # the shared snapshot is unchanged
+    assert open_tables(spark, SF_SMALL).production.count() == base.production.count()
