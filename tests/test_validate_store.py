@@ -111,3 +111,27 @@ def test_job_batch_commit(spark):
     assert audit_columns(t2.audit).count() == nxt["audit"].count()
     # the shared snapshot is unchanged
     assert open_tables(spark, SF_SMALL).production.count() == base.production.count()
+
+
+def test_stock_batch_commit(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    from matflow.operators import changes, writes
+    from matflow.sources import fixtures
+    from matflow.sources.catalog import fork_tables, open_tables, tables_at
+    t = fork_tables(open_tables(spark, SF_SMALL), streams.stream_root(spark))
+    req = fixtures.stock_change_requests(t.stock)
+    today, now = dt.date(2024, 6, 1), dt.datetime(2024, 6, 1, 12)
+    nxt = writes.apply_stock_requests(t, req, today, now)
+    dele = changes.requests_existing(req.where("op = 'DELETE'"), t.stock)
+    ins = req.where("op = 'INSERT'").count()
+    assert nxt["stock"].count() == t.stock.count() - dele.count() + ins
+    detached = t.production.join(dele.select(F.col("target_id").alias("stock_id")), "stock_id", "left_semi").count()
+    batch = nxt["audit"].where(F.col("timestamp") == F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    got = {(r.table_name, r.action): r.n for r in batch.groupBy("table_name", "action").agg(F.count("*").alias("n")).collect()}
+    assert got[("Production", "UPDATE")] == detached and got[("Stock", "CREATE")] == ins
+    assert got[("Stock", "DELETE")] == dele.count()
+    assert nxt["missing"].count() == req.where("op = 'UPDATE' AND target_id >= 1000000").count()
+    assert writes.commit_stock_requests(t, req, today, now) == 1
+    assert tables_at(spark, t.store).stock.count() == nxt["stock"].count()
