@@ -111,12 +111,9 @@ def dissociated_counts(stock: DataFrame, production: DataFrame, deletes: DataFra
     return stock_usage(stock.join(d, "id", "left_semi"), production)
 
 
-def insert_production(production: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
-    """M4: append accepted jobs (typed by V3, amounts by M7) with new ids.
-
-    ``accepted`` has req_id, produit, quantite, responsable, date_prod, cout,
-    statut, stock_id, qte_consommee; ids follow ``req_id`` order.
-    """
+def new_production_rows(production: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
+    """The rows M4 adds: accepted jobs (typed by V3, amounts by M7) with the
+    next identity values in ``req_id`` order."""
     base = production.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new = dense_sequence(accepted, "req_id", "_pos")
     rows = new.select(
@@ -124,8 +121,17 @@ def insert_production(production: DataFrame, accepted: DataFrame, now: dt.dateti
         "cout", "statut", "stock_id", "qte_consommee",
         X.ts_lit(now).alias("created_at"),
         F.lit(None).alias("updated_at"), F.lit(None).alias("updated_by"))
+    return schemas.conform(rows, schemas.PRODUCTION)
+
+
+def insert_production(production: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
+    """M4: the job table with the accepted jobs appended.
+
+    ``accepted`` has req_id, produit, quantite, responsable, date_prod, cout,
+    statut, stock_id, qte_consommee; ids follow ``req_id`` order.
+    """
     return (schemas.conform(production, schemas.PRODUCTION)
-            .unionByName(schemas.conform(rows, schemas.PRODUCTION)))
+            .unionByName(new_production_rows(production, accepted, now)))
 
 
 PRODUCTION_UPDATE_COLUMNS = ["produit", "quantite", "responsable", "date_prod", "cout", "statut",

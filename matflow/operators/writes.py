@@ -36,30 +36,33 @@ def apply_job_requests(t: Tables, requests: DataFrame, today: dt.date,
         typed.select("req_id", "stock_id", F.col("qte_consommee").alias("qte"),
                      F.col("req_id").alias("_ord")), t.stock, ("_ord", "req_id"))
     accepted = typed.join(dec.where("accepted").select("req_id"), "req_id", "left_semi")
-    production = changes.insert_production(t.production, accepted, now)
+    production_new = changes.new_production_rows(t.production, accepted, now)
+    production = schemas.conform(t.production, schemas.PRODUCTION).unionByName(production_new)
     levels = ledger.stock_after_consumption(t.stock, dec).select("id", F.col("quantite").alias("_q"))
     stock = schemas.conform(
         t.stock.join(levels, "id", "left").withColumn("quantite", F.coalesce("_q", "quantite")),
         schemas.STOCK)
 
-    new_audit = _with_trigger_rows(audit_columns(t.audit), [
+    old = audit_columns(t.audit)
+    audit_new = _trigger_rows(old, [
         audit.capture_production_changes(t.production, production, now),
         audit.capture_stock_changes(t.stock, stock, now)])
 
     decisions = (v2.select("req_id", "code", "reject_reason")
                  .join(dec.select("req_id", F.col("accepted").alias("stock_ok"), "motif"), "req_id", "left"))
-    return {"stock": stock, "production": production, "audit": new_audit, "decisions": decisions}
+    return {"stock": stock, "production": production, "production_new": production_new,
+            "audit": old.unionByName(audit_new), "audit_new": audit_new, "decisions": decisions}
 
 
-def _with_trigger_rows(old_audit: DataFrame, rows: list[DataFrame]) -> DataFrame:
-    """Old audit rows plus trigger rows with the next identity values."""
+def _trigger_rows(old_audit: DataFrame, rows: list[DataFrame]) -> DataFrame:
+    """Trigger rows with the next identity values of the audit table."""
     trig = None
     for i, r in enumerate(rows):
         r = r.withColumn("_o", F.col("record_id") * len(rows) + i)
         trig = r if trig is None else trig.unionByName(r)
     base = old_audit.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     trig = dense_sequence(trig, "_o", "_pos").withColumn("id", base + F.col("_pos"))
-    return old_audit.unionByName(schemas.conform(trig, schemas.AUDIT))
+    return schemas.conform(trig, schemas.AUDIT)
 
 
 def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
@@ -79,11 +82,13 @@ def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
     stock = changes.delete_stock(stock, dele)
     stock = changes.insert_stock(stock, ins, today, now)
     production = changes.detach_deleted_stock(t.production, dele)
-    new_audit = _with_trigger_rows(audit_columns(t.audit), [
+    old = audit_columns(t.audit)
+    audit_new = _trigger_rows(old, [
         audit.capture_stock_changes(t.stock, stock, now),
         audit.capture_production_changes(t.production, production, now)])
     missing = changes.requests_missing(requests.where(F.col("op") != "INSERT"), t.stock)
-    return {"stock": stock, "production": production, "audit": new_audit, "missing": missing}
+    return {"stock": stock, "production": production, "audit": old.unionByName(audit_new),
+            "audit_new": audit_new, "missing": missing}
 
 
 def commit_stock_requests(t: Tables, requests: DataFrame, today: dt.date, now: dt.datetime) -> int:
@@ -91,15 +96,17 @@ def commit_stock_requests(t: Tables, requests: DataFrame, today: dt.date, now: d
     if t.store is None:
         raise ValueError("tables were opened without a snapshot store")
     nxt = apply_stock_requests(t, requests, today, now)
-    return t.store.commit({"stock": nxt["stock"], "production": nxt["production"],
-                           "audit": nxt["audit"], "users": t.users})
+    # jobs change in place (material set to null): rewritten; audit: appended
+    return t.store.commit({"stock": nxt["stock"], "production": nxt["production"]},
+                          keep=["users"], append={"audit": nxt["audit_new"]})
 
 
 def commit_job_requests(t: Tables, requests: DataFrame, today: dt.date, now: dt.datetime) -> int:
-    """Apply the batch and write the next snapshot version (all four tables;
-    users unchanged). Returns the version number."""
+    """Apply the batch and write the next snapshot version. Only the new
+    jobs and audit rows are written (appended batches) and the material
+    table is rewritten; users are kept. Returns the version number."""
     if t.store is None:
         raise ValueError("tables were opened without a snapshot store")
     nxt = apply_job_requests(t, requests, today, now)
-    return t.store.commit({"stock": nxt["stock"], "production": nxt["production"],
-                           "audit": nxt["audit"], "users": t.users})
+    return t.store.commit({"stock": nxt["stock"]}, keep=["users"],
+                          append={"production": nxt["production_new"], "audit": nxt["audit_new"]})

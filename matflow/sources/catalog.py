@@ -24,7 +24,7 @@ from .store import SnapshotStore
 
 DOMAIN_TABLES = ("stock", "production", "audit", "users")
 # bumped when the stored layout changes, so old snapshots are not reused
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 
 
 @dataclass
@@ -80,12 +80,11 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
         warnings.warn(f"snapshot store unavailable ({type(e).__name__}: {e}); "
                       "using the tables as lazy plans over the input")
         return open_tables(spark, sf_dir, materialize=False)
-    path = head[1]
     t = Tables(spark, sf_dir,
-               stock=store.read("stock", path),
-               production=store.read("production", path),
-               audit=store.read("audit", path),
-               users=store.read("users", path),
+               stock=store.read("stock", head),
+               production=store.read("production", head),
+               audit=store.read("audit", head),
+               users=store.read("users", head),
                store=store)
     _CACHE[key] = t
     return t
@@ -96,8 +95,8 @@ def tables_at(spark: SparkSession, store: SnapshotStore, sf_dir: str = "") -> Ta
     h = store.head()
     if h is None:
         raise FileNotFoundError(f"no snapshot committed under {store.root}")
-    return Tables(spark, sf_dir, store.read("stock", h[1]), store.read("production", h[1]),
-                  store.read("audit", h[1]), store.read("users", h[1]), store=store)
+    return Tables(spark, sf_dir, store.read("stock", h), store.read("production", h),
+                  store.read("audit", h), store.read("users", h), store=store)
 
 
 def fork_tables(t: Tables, root: str) -> Tables:

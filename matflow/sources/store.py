@@ -1,10 +1,17 @@
 """Versioned snapshot store on a shared folder.
 
-Each commit writes every table of a snapshot into a fresh directory and only
-then appends one row to a JSON commit log; readers take the highest committed
-version. A half-written snapshot is therefore never visible, and a lost
-executor only makes Spark retry the failed write tasks. Everything goes
-through the DataFrame reader and writer, so any Hadoop file system works.
+Each table has one root directory; every write goes to a fresh
+``batch=<tag>`` partition directory under it. A version is one row of a
+JSON commit log naming, per table, the batch tags that make it up, and it
+exists only once that row is written: a half-written batch is never visible,
+and a lost executor only makes Spark retry the failed write tasks. Readers
+filter on ``batch`` (partition pruning), so one scan reads a table whatever
+its number of batches.
+
+A commit can rewrite a table (new tag only), keep it (the previous tags) or
+append to it (previous tags plus one): appending jobs or audit rows writes
+only the new rows, not the table. Everything goes through the DataFrame
+reader and writer, so any Hadoop file system works.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ _LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("path", T.StringType()),
     T.StructField("tables", T.ArrayType(T.StringType())),
+    T.StructField("batches", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     T.StructField("committed_ms", T.LongType()),
 ])
 
@@ -29,19 +37,23 @@ _LOG_SCHEMA = T.StructType([
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def _by_range(df: DataFrame, n: int | None, *cols: str) -> DataFrame:
+    return df.repartitionByRange(*cols) if n is None else df.repartitionByRange(n, *cols)
+
+
 def _layout_stock(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
     # id ranges per file: point lookups and id joins skip files by min/max
-    return df.repartitionByRange(n, "id").sortWithinPartitions("id"), []
+    return _by_range(df, n, "id").sortWithinPartitions("id"), []
 
 
 def _layout_users(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
-    return df.repartitionByRange(n, "id").sortWithinPartitions("id"), []
+    return _by_range(df, n, "id").sortWithinPartitions("id"), []
 
 
 def _layout_production(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
     # disjoint date ranges per file and sorted row groups: date filters and
     # newest-first top-k read few row groups; n files give n scan tasks
-    return df.repartitionByRange(n, "date_prod", "id").sortWithinPartitions("date_prod", "id"), []
+    return _by_range(df, n, "date_prod", "id").sortWithinPartitions("date_prod", "id"), []
 
 
 def _layout_audit(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
@@ -49,7 +61,7 @@ def _layout_audit(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
     # range partitioning spreads a hot day over several tasks and keeps the
     # rows of a record together for the history window
     df = df.withColumn("audit_date", F.to_date("timestamp"))
-    return (df.repartitionByRange(n, "audit_date", "table_name", "record_id")
+    return (_by_range(df, n, "audit_date", "table_name", "record_id")
             .sortWithinPartitions("audit_date", "table_name", "record_id", "timestamp"),
             ["audit_date"])
 
@@ -67,39 +79,54 @@ class SnapshotStore:
     def _log(self) -> str:
         return f"{self.root}/_log"
 
-    def _entries(self) -> list:
+    def head(self):
+        """(version, root, tables, batches per table) of the newest commit, or None."""
         try:
-            return (self.spark.read.schema(_LOG_SCHEMA).json(self._log)
-                    .orderBy(F.desc("version"), F.desc("committed_ms")).limit(1).collect())
+            e = (self.spark.read.schema(_LOG_SCHEMA).json(self._log)
+                 .orderBy(F.desc("version"), F.desc("committed_ms")).limit(1).collect())
         except AnalysisException:
-            return []
-
-    def head(self):
-        """(version, path, tables) of the newest commit, or None."""
-        e = self._entries()
-        return (e[0]["version"], e[0]["path"], list(e[0]["tables"])) if e else None
-
-    def read(self, table: str, version_path: str | None = None) -> DataFrame:
-        if version_path is None:
-            h = self.head()
-            if h is None:
-                raise FileNotFoundError(f"no snapshot committed under {self.root}")
-            version_path = h[1]
-        return self.spark.read.parquet(f"{version_path}/{table}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
+            return None
+        if not e:
+            return None
+        b = {k: list(v) for k, v in (e[0]["batches"] or {}).items()}
+        return (e[0]["version"], e[0]["path"], sorted(b), b)
+
+    def read(self, table: str, head=None) -> DataFrame:
+        h = head or self.head()
+        if h is None:
+            raise FileNotFoundError(f"no snapshot committed under {self.root}")
+        tags = h[3][table]
+        return (self.spark.read.parquet(f"{self.root}/{table}")
+                .where(F.col("batch").isin(tags)).drop("batch"))
+
+    def _write(self, name: str, df: DataFrame, tag: str, n: int | None) -> None:
+        layout = LAYOUTS.get(name, lambda d, k: (d, []))
+        out, parts = layout(df, n)
+        w = out.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        if parts:
+            w = w.partitionBy(*parts)
+        w.parquet(f"{self.root}/{name}/batch={tag}")
+
+    def commit(self, tables: dict[str, DataFrame], keep=(), append: dict | None = None) -> int:
+        """Write a new version: ``tables`` are rewritten, ``keep`` names
+        tables taken over as they are, ``append`` adds rows to tables.
+        Tables not named are dropped from the version."""
         h = self.head()
         version = 0 if h is None else h[0] + 1
-        path = f"{self.root}/v{version:06d}-{uuid.uuid4().hex[:12]}"
+        prev = {} if h is None else h[3]
+        tag = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        batches = {}
         for name, df in tables.items():
-            layout = LAYOUTS.get(name, lambda d, k: (d, []))
-            out, parts = layout(df, n)
-            w = out.write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            if parts:
-                w = w.partitionBy(*parts)
-            w.parquet(f"{path}/{name}")
-        row = [(version, path, sorted(tables), int(time.time() * 1000))]
+            self._write(name, df, tag, n)
+            batches[name] = [tag]
+        for name in keep:
+            batches[name] = list(prev[name])
+        for name, df in (append or {}).items():
+            # an appended batch is sized by AQE, not by the table's file count
+            self._write(name, df, tag, None)
+            batches[name] = list(prev.get(name, [])) + [tag]
+        row = [(version, self.root, sorted(batches), batches, int(time.time() * 1000))]
         (self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1)
          .write.mode("append").json(self._log))
         return version
