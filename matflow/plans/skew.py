@@ -4,8 +4,8 @@
   are spread over many partitions instead of landing in one hot partition.
 * ``dense_sequence``: consecutive ids 1..n in a given order without a global
   window (a single-partition ``row_number`` over all rows).
-* ``dense_rank_desc``: DENSE_RANK by a descending order column within a key,
-  still correct and parallel when one key holds a large share of the rows.
+* ``dense_rank_desc``: DENSE_RANK by a descending order column within a key;
+  a key holding a large share of the rows is split over several tasks.
 """
 
 from __future__ import annotations
@@ -86,10 +86,37 @@ def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
             .drop("__b", "__r", "__off"))
 
 
+HOT_ROWS = 100_000
+
+
 def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
-                    out_col: str = "version") -> DataFrame:
+                    out_col: str = "version", hot_rows: int = HOT_ROWS) -> DataFrame:
     """DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col DESC).
 
+    Keys with at most ``hot_rows`` rows use the plain window (one shuffle,
+    one task per key). Hot keys - found by a partial aggregate; there are at
+    most rows / hot_rows of them, so broadcasting their list is bounded - are
+    ranked by ``_split_dense_rank_desc`` across several tasks.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
+    if keys:
+        hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+               .where(F.col("__n") > hot_rows).select(*keys))
+    else:
+        hot = df.agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    if hot.isEmpty():
+        return df.withColumn(out_col, F.dense_rank().over(w))
+    if not keys:
+        return _split_dense_rank_desc(df, keys, order_col, out_col)
+    hot = F.broadcast(hot)
+    cold = df.join(hot, keys, "left_anti").withColumn(out_col, F.dense_rank().over(w))
+    return cold.unionByName(_split_dense_rank_desc(df.join(hot, keys, "left_semi"), keys, order_col, out_col))
+
+
+def _split_dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
+                           out_col: str = "version") -> DataFrame:
+    """DENSE_RANK by a descending order column, a hot key split over tasks.
+
     Equal to 1 + the number of distinct ``order_col`` values above the row's
     within its key. The distinct values are range-partitioned on
     ``(keys, order_col)``, so a hot key is split over several partitions; each
@@ -97,6 +124,7 @@ def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
     of the partitions before them (at most one row per partition and key).
     The ranked distinct values are checkpointed to fix their partitioning.
     """
+
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     d = (df.select(*keys, order_col).where(F.col(order_col).isNotNull()).distinct()

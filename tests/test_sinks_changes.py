@@ -91,3 +91,23 @@ def test_changes_then_capture_round_trip(spark):
     assert got == {"UPDATE": upd, "DELETE": dele, "CREATE": ins}
     assert s3.count() == t.stock.count() - dele + ins
     assert s3.select("id").distinct().count() == s3.count()
+
+
+def test_dense_rank_hot_key_split(spark, no_coalesce):
+    """A record holding most rows is ranked across tasks; the result equals
+    the plain window, with ties in time sharing a version."""
+    from pyspark.sql import Window
+    from matflow.plans.skew import dense_rank_desc
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "Stock", 1 if i % 4 else (i % 13) + 2, t0 + dt.timedelta(minutes=i // 2)) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, table_name string, record_id long, ts timestamp_ntz")
+    keys = ["table_name", "record_id"]
+    w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
+    want = sorted(map(tuple, df.withColumn("version", F.dense_rank().over(w)).collect()))
+    got = dense_rank_desc(df, keys, "ts", hot_rows=50).select(*df.columns, "version")
+    assert sorted(map(tuple, got.collect())) == want
+    one = df.where("record_id = 1")
+    w1 = Window.orderBy(F.col("ts").desc())
+    want1 = sorted(map(tuple, one.withColumn("version", F.dense_rank().over(w1)).collect()))
+    got1 = dense_rank_desc(one, [], "ts", hot_rows=50).select(*one.columns, "version")
+    assert sorted(map(tuple, got1.collect())) == want1
