@@ -576,14 +576,15 @@ def _accepted_inserts(t: Tables) -> DataFrame:
     return typed.join(dec.where("accepted").select("req_id"), "req_id", "left_semi")
 
 
-_V2_REASON = """CASE WHEN NOT COALESCE(u.role IN ('admin', 'responsable', 'chef_equipe'), false) THEN 'Accès refusé'
-  WHEN u.role = 'responsable' AND r.responsable IS DISTINCT FROM u.username THEN 'Tu peux seulement créer tes propres productions'
-  WHEN {clean_produit} IS NULL THEN 'Le nom du produit est requis.'
-  WHEN COALESCE(r.quantite = '', true) OR {qn} IS NULL OR {qn} < 1 THEN 'La quantité doit être ≥ 1.'
-  WHEN {clean_resp} IS NULL THEN 'Le responsable est requis.'
-  WHEN r.statut IS NOT NULL AND r.statut <> '' AND r.statut NOT IN ({statuts}) THEN 'Statut invalide.'
-END""".format(clean_produit=S.clean_text("r.produit"), qn=S.parse_int("r.quantite"),
-              clean_resp=S.clean_text("r.responsable"), statuts=_STATUTS)
+_ROLES_CREATE = ", ".join(f"'{r}'" for r in validate.PRODUCTION_CREATE_ROLES)
+_V2_REASON = f"""CASE WHEN NOT COALESCE(u.role IN ({_ROLES_CREATE}), false) THEN '{validate.MSG_ROLE_DENIED}'
+  WHEN u.role = 'responsable' AND r.responsable IS DISTINCT FROM u.username THEN '{validate.MSG_OWN_ONLY}'
+  WHEN {S.clean_text("r.produit")} IS NULL THEN '{validate.MSG_PRODUIT_REQUIRED}'
+  WHEN COALESCE(r.quantite = '', true) OR {S.parse_int("r.quantite")} IS NULL
+       OR {S.parse_int("r.quantite")} < 1 THEN '{validate.MSG_QUANTITE_MIN1}'
+  WHEN {S.clean_text("r.responsable")} IS NULL THEN '{validate.MSG_RESPONSABLE_REQUIRED}'
+  WHEN r.statut IS NOT NULL AND r.statut <> '' AND r.statut NOT IN ({_STATUTS}) THEN '{validate.MSG_STATUT_INVALID}'
+END"""
 
 _V2_CTE = _PREQ + f""", v2 AS (SELECT r.req_id, {_V2_REASON} AS reason FROM req r
   LEFT JOIN users u ON r.req_user_id = u.id)"""
@@ -697,7 +698,7 @@ def _v1(t: Tables):
 
 @register("validate_production_requests", S.q(_V2_CTE + """ SELECT req_id, reason IS NULL AS accepted,
   reason AS reject_reason,
-  CASE WHEN reason IS NULL THEN 201 WHEN reason IN ('Accès refusé', 'Tu peux seulement créer tes propres productions')
+  CASE WHEN reason IS NULL THEN 201 WHEN reason IN ('""" + validate.MSG_ROLE_DENIED + "', '" + validate.MSG_OWN_ONLY + """')
        THEN 403 ELSE 400 END AS code FROM v2"""))
 def _v2(t: Tables):
     return validate.validate_production_requests(_text_requests(t), t.users)
