@@ -322,12 +322,24 @@ def login_lockout_stream(attempts: DataFrame, delay: str = "1 hour",
 
 def run_to_table(stream: DataFrame, root: str) -> DataFrame:
     """Run ``stream`` with ``availableNow`` into parquet under ``root`` (a
-    shared folder, with its checkpoint next to it) and read the result."""
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
-         .trigger(availableNow=True).start())
+    shared folder, with its checkpoint next to it) and read the result.
+
+    The state partition count of a stream is fixed when it first starts;
+    this fresh run uses at most twice the cluster's parallelism (the session
+    value is restored afterwards), so a small local run does not open one
+    state store per default shuffle partition."""
+    spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(old), 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, old)
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame,
