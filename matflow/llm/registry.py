@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import exactdedup, toxicity, warc
+from matflow.llm import decontaminate, exactdedup, simhash, toxicity, warc
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,21 @@ def op7(spark, sf_dir):
             .select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
 
 
+@_query("op8_simhash_near_dedup")
+def op8(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+@_query("op9_decontaminate")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        decontaminate.digest_items(F.col("found.items")).alias("items_sha256"), "contaminated")
+
+
 @_query("op10_exact_dedup", exactdedup.ORACLE)
 def op10(spark, sf_dir):
     return exactdedup.deduplicate(table(spark, sf_dir, "documents"))
