@@ -1,6 +1,6 @@
 """WARC archives: writing, reading and revisit resolution.
 
-Archives are plain WARC/1.1 files. They are written by Spark's text writer (a
+Archives are gzipped WARC/1.1 files. They are written by Spark's text writer (a
 record is one value, its last line feed the line separator), so any Hadoop file
 system and its commit protocol serve, and a lost executor's attempt leaves
 nothing behind. Files hold a bounded number of records (``FILE_BYTES`` by the
@@ -17,6 +17,7 @@ split, since only short headers take part.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from matflow.llm.common import new_folder
 
-#: Aimed size of one archive file.
-FILE_BYTES = 32 << 20
+#: Aimed size of one archive file before compression.
+FILE_BYTES = 16 << 20
 #: Payloads below this size are never made revisits.
 MIN_REVISIT_BYTES = 100
 
@@ -84,7 +85,8 @@ def _records(df: DataFrame) -> DataFrame:
 
 def _write(records: DataFrame, folder: str, mean_bytes: float) -> None:
     per_file = int(max(1, min(1_000_000, FILE_BYTES / max(mean_bytes, 1.0))))
-    (_records(records).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(folder))
+    (_records(records).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file)
+     .option("compression", "gzip").text(folder))
 
 
 def write_pages(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -138,7 +140,8 @@ def _reader(payloads: bool, flush: int = 8 << 20):
         rows, held = [], 0
         for batch in batches:
             for path, buffer in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = buffer.as_buffer().to_pybytes()
+                content = buffer.as_buffer()
+                content = gzip.decompress(content) if path.endswith(".gz") else content.to_pybytes()
                 for at, f, start, stop in _parse(content):
                     body = content.find(b"\r\n\r\n", start, stop) + 4
                     http = content[start:body].decode("latin-1").lower()
