@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import decontaminate, exactdedup, simhash, toxicity, warc
+from matflow.llm import decontaminate, exactdedup, simhash, tokens, toxicity, warc
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@_query("op5_token_binary")
+def op5(spark, sf_dir):
+    return tokens.tokenize(table(spark, sf_dir, "documents"))
+
+
 @_query("op7_toxicity_mil")
 def op7(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
