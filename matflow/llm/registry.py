@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import decontaminate, exactdedup, simhash, tokens, toxicity, warc
+from matflow.llm import decontaminate, exactdedup, language, simhash, tokens, toxicity, warc
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def op1(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@_query("op3_language_cnn")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.fit(language.training_pieces(docs))
+    return language.with_language(docs, net).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 @_query("op5_token_binary")
 def op5(spark, sf_dir):
     return tokens.tokenize(table(spark, sf_dir, "documents"))
