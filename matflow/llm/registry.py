@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import decontaminate, exactdedup, language, simhash, tokens, toxicity, warc
+from matflow.llm import chat, decontaminate, exactdedup, language, mixing, simhash, tokens, toxicity, warc
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +37,24 @@ def op3(spark, sf_dir):
         F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+@_query("op4_mixing")
+def op4(spark, sf_dir):
+    out, _, _ = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_tokens",
+                      *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)],
+                      "rate", "copies")
+
+
 @_query("op5_token_binary")
 def op5(spark, sf_dir):
     return tokens.tokenize(table(spark, sf_dir, "documents"))
 
 
+@_query("op6_chat_repair")
+def op6(spark, sf_dir):
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 @_query("op7_toxicity_mil")
 def op7(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
