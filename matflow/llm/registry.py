@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import chat, decontaminate, exactdedup, language, mixing, simhash, tokens, toxicity, warc
+from matflow.llm import chat, decontaminate, exactdedup, language, mixing, sanitise, simhash, tokens, toxicity, warc
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@_query("op2_sanitise")
+def op2(spark, sf_dir):
+    return sanitise.sanitise(table(spark, sf_dir, "documents"), texts=False)
+
+
 @_query("op3_language_cnn")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
