@@ -269,10 +269,11 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[done:]]).decode("utf-8")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20,
+                  length_col: str = "n_chars") -> DataFrame:
     """Documents over the coverage limit go; from the others every hit span (of at
-    least ``window`` words or a whole item) is removed. Columns are kept; only
-    text changes."""
+    least ``window`` words or a whole item) is removed. Columns are kept; only the
+    text of such documents changes, and with it ``length_col`` if there."""
     name, flag = fresh(docs, "found"), fresh(docs, "contaminated")
     judged = find_contamination(docs, benchmark, window, coverage).where(~F.col(flag))
 
@@ -281,8 +282,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                          for t, f in zip(texts.to_pylist(), found.to_pylist())], pa.string())
     clean = F.arrow_udf(cut, "string")
     hit = F.col(f"{name}.n_hit") > 0
-    return judged.withColumn("text", F.when(hit, clean(F.col("text"), F.col(name))).otherwise(F.col("text"))
-                             ).select(docs.columns)
+    out = judged.withColumn("text", F.when(hit, clean(F.col("text"), F.col(name))).otherwise(F.col("text")))
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(hit, F.length("text").cast(kind)).otherwise(F.col(length_col)))
+    return out.select(docs.columns)
 
 
 def digest_items(items) -> F.Column:
