@@ -151,8 +151,10 @@ def _chain(segments):
 def _decide(batches):
     """Choices for all turns; rows are (pid, rid, conv_id, code, entry, exit, last)
     in order. Held: the codes of one conversation's rows in one partition."""
-    schema = pa.schema([("rid", pa.int64()), ("action", pa.string()), ("state", pa.int32()),
-                        ("inserted", pa.int32()), ("first", pa.bool_()), ("ending", pa.list_(pa.int32()))])
+    schema = pa.schema([("rid", pa.int64()), ("action", pa.string()), ("new_role", pa.string()),
+                        ("inserted", pa.string()), ("first", pa.bool_()), ("ending", pa.list_(pa.string()))])
+
+    name = (None, *ROLES)
 
     def out(rids, codes, bound):
         entry, exit_, last = bound
@@ -160,11 +162,11 @@ def _decide(batches):
             picks, first, ends = choose(codes), True, True
         else:
             picks, first, ends = choose(codes, entry, exit_), entry == START, last
-        rows = [{"rid": r, "action": a, "state": s, "inserted": z or None, "first": False, "ending": None}
+        rows = [{"rid": r, "action": a, "new_role": name[s], "inserted": name[z], "first": False, "ending": None}
                 for r, (a, s, z) in zip(rids, picks)]
         rows[0]["first"] = first
         if ends:
-            rows[-1]["ending"] = list(ENDING[picks[-1][1]][1])
+            rows[-1]["ending"] = [name[z] for z in ENDING[picks[-1][1]][1]]
         return rows
     key, rids, codes, bound, done = None, [], [], None, []
     for batch in batches:
@@ -216,22 +218,19 @@ def repair(conversations: DataFrame) -> DataFrame:
         F.broadcast(bounds.alias("b")), F.expr("n.pid = b.pid AND n.conv_id <=> b.conv_id"), "left").select(
         "n.pid", "n.rid", "n.conv_id", "n.code", "b.entry", "b.exit", "b.last").sortWithinPartitions("pid", "rid")
     choices = limited.mapInArrow(
-        _decide, "rid long, action string, state int, inserted int, first boolean, ending array<int>")
-    role_of = F.array(*[F.lit(r) for r in ROLES])
+        _decide, "rid long, action string, new_role string, inserted string, first boolean, "
+        "ending array<string>")
 
     def mark(role):
         return F.concat(F.lit(OPEN), role, F.lit("\n"))
     both = stored.join(choices, "rid")
-    new_role, put = F.element_at(role_of, F.col("state")), F.element_at(role_of, F.col("inserted"))
-    ending = F.transform(F.coalesce("ending", F.array().cast("array<int>")), lambda s: F.element_at(role_of, s))
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|(?=im_(start|end)\|>)", "< |")
     fragment = F.concat(
         F.when((F.col("action") == "merge"), F.lit("\n"))
         .otherwise(F.concat(F.when(F.col("first"), F.lit("")).otherwise(F.lit(CLOSE)),
-                            F.coalesce(F.concat(mark(put), F.lit(CLOSE)), F.lit("")), mark(new_role))),
+                            F.coalesce(F.concat(mark(F.col("inserted")), F.lit(CLOSE)), F.lit("")), mark(F.col("new_role")))),
         body,
         F.when(F.col("ending").isNotNull(),
-               F.concat(F.lit(CLOSE), F.array_join(F.transform(ending, lambda r: F.concat(mark(r), F.lit(CLOSE))), "")))
+               F.concat(F.lit(CLOSE), F.array_join(F.transform("ending", lambda r: F.concat(mark(r), F.lit(CLOSE))), "")))
         .otherwise(F.lit("")))
-    return both.select("conv_id", "turn", "role", "action", new_role.alias("new_role"), put.alias("inserted"),
-                       F.when(F.col("ending").isNotNull(), ending).alias("ending"), fragment.alias("fragment"))
+    return both.select("conv_id", "turn", "role", "action", "new_role", "inserted", "ending", fragment.alias("fragment"))
