@@ -204,7 +204,7 @@ def test_rates_meet_the_targets(spark):
     n = rng.integers(0, 500, 3000)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
     for goal in ([0.5, 0.3, 0.2], [0.8, 0.15, 0.05], [0.95, 0.04, 0.01]):
-        steps = mixing.solve(rows, goal, steps=200)
+        steps = mixing.solve(rows, goal)
         got = rows.select("n_tokens", "p", mixing.rate_of(rows["p"], steps).alias("r")).collect()
         r = np.array([x.r for x in got])
         w = np.array([x.n_tokens for x in got])
