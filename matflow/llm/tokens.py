@@ -23,6 +23,7 @@ and across files: texts are range-partitioned by doc_id before they are encoded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from matflow.llm.common import new_folder, shared_table
 
 END_ID = 2
-BLOCK = 1024
+BLOCK = 256
 FRAME_IDS = 1 << 20
 #: Aimed text bytes of one output file.
 FILE_TEXT_BYTES = 32 << 20
@@ -236,18 +237,29 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+"
 CACHE = 500_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level model's letter for each byte: printable ones stand for
+    themselves, the others for the letters from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + i) for i, b in enumerate(hidden)}}
+
+
 class _Memory(dict):
     """Ids of the pieces met lately. A full memory becomes the old one, from which
     pieces are taken over when met again."""
 
-    def __init__(self, encode):
+    def __init__(self, model):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.merge, self.old, self.letters = model.tokenize, {}, _byte_letters()
+        self.space = self.letters[0x20]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+            spelt = (piece.replace(" ", self.space) if piece.isascii() and piece.isprintable()
+                     else piece.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -256,20 +268,25 @@ class _Memory(dict):
 
 
 class Encoder:
-    """Texts to ids by the ``tokenizers`` library. Pieces between which the
-    tokenizer never merges are encoded once and remembered, which changes nothing
-    in the ids; texts with unusual characters or special tokens are encoded whole."""
+    """Texts to ids by the ``tokenizers`` library. Pieces between which its byte-level
+    model never merges go to the model once and are remembered, which changes nothing
+    in the ids; texts with unusual characters or special tokens, and tokenizers of
+    another kind, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Memory(self.tokenizer.encode)
+        kind = json.loads(self.tokenizer.to_str())
+        self.by_piece = (kind["normalizer"] is None and kind["model"]["type"] == "BPE"
+                         and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False,
+                                                       "trim_offsets": True, "use_regex": True})
+        self.known = _Memory(self.tokenizer.model)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.by_piece or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         known = self.known
         return b"".join([known[p] for p in _PIECE.findall(text)])
