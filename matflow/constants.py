@@ -128,6 +128,12 @@ CURRENCY = "MAD"
 FR_GROUP = "\u202f"
 FR_DECIMAL = ","
 
+# NOT NULL columns of the four tables (statut is covered by its CHECK rule)
+STOCK_NOT_NULL = ["materiel", "quantite", "date_ajout", "created_at"]
+PRODUCTION_NOT_NULL = ["produit", "quantite", "responsable", "date_prod", "cout", "qte_consommee", "created_at"]
+USERS_NOT_NULL = ["username", "role", "tentatives", "created_at", "actif"]
+AUDIT_NOT_NULL = ["utilisateur", "action", "table_name", "record_id", "timestamp"]
+
 # audit actions and table names
 ACTION_CREATE = "CREATE"
 ACTION_UPDATE = "UPDATE"

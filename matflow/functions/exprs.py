@@ -106,22 +106,31 @@ def iso_date(d: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def lenient_int(s: Column, default: int | Column = 0) -> Column:
-    """``parseInt(s) || default``: leading integer, NaN and 0 give the default."""
-    lead = F.regexp_extract(s, "^" + _WS + "*([+-]?[0-9]+)", 1)
-    v = lead.try_cast("int")
+    """``parseInt(s) || default``: leading integer, NaN and 0 give the default; a
+    number beyond int is null, not the default."""
     d = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(F.nullif(v, F.lit(0)), d)
+    return F.when(~int_overflow(s), F.coalesce(F.nullif(parse_int_or_null(s), F.lit(0)), d))
+
+
+def _int_text(s: Column) -> Column:
+    return F.coalesce(F.regexp_extract(s, "^" + _WS + "*([+-]?[0-9]+)", 1), F.lit(""))
+
+
+def int_overflow(s: Column) -> Column:
+    """The text starts with an integer that does not fit int."""
+    return (_int_text(s) != "") & _int_text(s).try_cast("int").isNull()
 
 
 def parse_int_or_null(s: Column) -> Column:
     """``parseInt(s)`` with NaN as null (0 stays 0)."""
-    return F.regexp_extract(s, "^" + _WS + "*([+-]?[0-9]+)", 1).try_cast("int")
+    return _int_text(s).try_cast("int")
 
 
 def lenient_decimal(s: Column) -> Column:
-    """``parseFloat(s) || 0`` as decimal(12,2)."""
-    lead = F.regexp_extract(s, "^" + _WS + "*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.coalesce(lead.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    """``parseFloat(s) || 0`` as decimal(12,2); a number beyond it is null."""
+    lead = F.coalesce(F.regexp_extract(
+        s, "^" + _WS + "*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1), F.lit(""))
+    return F.when(lead == "", F.lit(0).cast("decimal(12,2)")).otherwise(lead.try_cast("decimal(12,2)"))
 
 
 def js_trim(s: Column) -> Column:
@@ -133,11 +142,6 @@ def clean_text(s: Column) -> Column:
     return F.nullif(js_trim(s), F.lit(""))
 
 
-def is_strict_int(s: Column) -> Column:
-    """express-validator ``isInt``: optional sign then digits, nothing else."""
-    return F.coalesce(s.rlike("^[+-]?[0-9]+$"), F.lit(False))
-
-
 # ---------------------------------------------------------------------------
 # F8: audit JSON
 # ---------------------------------------------------------------------------

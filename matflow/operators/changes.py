@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import exprs as X
-from ..plans.skew import dense_sequence
+from ..plans.skew import dense_sequence, left_join_spread_nulls
 from .stock import stock_usage
 
 
@@ -98,7 +98,7 @@ def detach_deleted_stock(production: DataFrame, deletes: DataFrame) -> DataFrame
     per job.
     """
     d = deletes.select(F.col("target_id").alias("_del")).distinct()
-    j = production.join(d, production.stock_id == d._del, "left")
+    j = left_join_spread_nulls(production, d, "stock_id", "_del")
     return schemas.conform(
         j.withColumn("stock_id", F.when(F.col("_del").isNotNull(), F.lit(None).cast("long"))
                      .otherwise(F.col("stock_id"))), schemas.PRODUCTION)
@@ -140,8 +140,10 @@ PRODUCTION_UPDATE_COLUMNS = ["produit", "quantite", "responsable", "date_prod",
 
 def update_production(production: DataFrame, updates: DataFrame, today: dt.date) -> DataFrame:
     """M5: replace the 8 job columns by id with the defaults of the update
-    route; the stock is not deducted again."""
-    latest = _latest_per_target(updates, PRODUCTION_UPDATE_COLUMNS)
+    route; the stock is not deducted again. A request with a blank product is
+    refused, so it takes no part."""
+    sound = updates.where(X.clean_text(F.col("produit")).isNotNull())
+    latest = _latest_per_target(sound, PRODUCTION_UPDATE_COLUMNS)
     j = production.join(latest, production.id == latest.target_id, "left")
     hit = F.col("target_id").isNotNull()
     new = {

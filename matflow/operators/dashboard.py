@@ -128,16 +128,21 @@ def dashboard_bundle(stock: DataFrame, production: DataFrame) -> dict[str, DataF
 
 
 def dashboard_summary_flat(stock: DataFrame, production: DataFrame) -> DataFrame:
-    """K4 checked as rows: the bundle's bounded parts exploded, one row per item."""
-    b = dashboard_bundle(stock, production)["summary"]
-    k = b.select(F.lit("kpis").alias("part"), F.lit(0).alias("pos"),
-                 F.to_json("kpis").alias("item"))
-    parts = []
-    for name in ("stockChart", "prodChart", "recent"):
-        parts.append(b.select(F.lit(name).alias("part"),
-                              F.posexplode(name).alias("pos", "_r"))
-                     .select("part", "pos", F.to_json("_r").alias("item")))
-    out = k
-    for p in parts:
-        out = out.unionByName(p)
+    """K4 checked as rows: all six parts, one row per item. The four bounded parts
+    come from one explode of the one-row record (which is computed once); the two
+    alert lists stay distributed, their order given by the items (``pos`` null)."""
+    b = dashboard_bundle(stock, production)
+    lists = [F.transform(F.col(n), lambda x, i: F.struct(i.alias("pos"), F.to_json(x).alias("item")))
+             for n in ("stockChart", "prodChart", "recent")]
+    tagged = [F.transform(c, _tag(n)) for n, c in zip(("stockChart", "prodChart", "recent"), lists)]
+    head = F.array(F.struct(F.lit("kpis").alias("part"), F.lit(0).alias("pos"), F.to_json("kpis").alias("item")))
+    out = b["summary"].select(F.inline(F.concat(head, *tagged)))
+    for name in ("alertesStock", "alertesProd"):
+        rows = b[name]
+        out = out.unionByName(rows.select(F.lit(name).alias("part"), F.lit(None).cast("int").alias("pos"),
+                                          F.to_json(F.struct(*rows.columns)).alias("item")))
     return out
+
+
+def _tag(name: str):
+    return lambda x: F.struct(F.lit(name).alias("part"), x["pos"].alias("pos"), x["item"].alias("item"))

@@ -43,9 +43,10 @@ def production_alerts(production: DataFrame) -> DataFrame:
 
 
 def production_by_id(production: DataFrame, stock: DataFrame, id_: int) -> DataFrame:
-    """One job with its material name; the filter runs before the join."""
+    """One job (all columns) with its material name; the filter runs before
+    the join."""
     p = production.where(F.col("id") == F.lit(id_).cast("long"))
-    return production_with_material(p, stock)
+    return production_with_material(p, stock, [*JOB_COLUMNS, "created_at", "updated_at", "updated_by"])
 
 
 def status_labels(production: DataFrame) -> DataFrame:

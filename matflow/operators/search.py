@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .production import production_with_material
 
 SOURCES = ["stock", "production"]
 
@@ -42,12 +41,14 @@ def global_search(stock: DataFrame, production: DataFrame, word: str) -> DataFra
                                                  F.col("materiel").alias("libelle")))
     s = (stock.where(F.lower("materiel").contains(q))
          .select(F.lit("stock").alias("source"), "id", F.col("materiel").alias("libelle")))
-    jobs = production_with_material(production, stock,
-                                    ["id", "produit", "responsable", "stock_id"])
-    p = (jobs.where(F.lower("produit").contains(q) | F.lower("responsable").contains(q)
-                    | F.lower(F.coalesce(F.col("materiel_nom"), F.lit(""))).contains(q))
-         .select(F.lit("production").alias("source"), "id", F.col("produit").alias("libelle")))
-    return s.unionByName(p)
+    # jobs that match by themselves need no join; of the others only those of a
+    # matching material, whose filtered ids are the short side
+    own = F.lower("produit").contains(q) | F.lower("responsable").contains(q)
+    own = F.coalesce(own, F.lit(False))
+    by_material = (production.where(~own & F.col("stock_id").isNotNull())
+                   .join(s.select(F.col("id").alias("stock_id")), "stock_id", "left_semi"))
+    columns = [F.lit("production").alias("source"), "id", F.col("produit").alias("libelle")]
+    return s.unionByName(production.where(own).select(*columns)).unionByName(by_material.select(*columns))
 
 
 def global_search_counts(stock: DataFrame, production: DataFrame, word: str) -> DataFrame:

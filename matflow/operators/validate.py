@@ -21,6 +21,8 @@ MSG_QUANTITE_MIN1 = "La quantité doit être ≥ 1."
 MSG_RESPONSABLE_REQUIRED = "Le responsable est requis."
 MSG_STATUT_INVALID = "Statut invalide."
 MSG_ROLE_DENIED = "Accès refusé"
+# not a text of the source, which fails at the INSERT here
+MSG_OUT_OF_RANGE = "Valeur hors limites."
 
 PRODUCTION_CREATE_ROLES = ["admin", "responsable", "chef_equipe"]
 
@@ -29,11 +31,11 @@ def validate_stock_requests(requests: DataFrame) -> DataFrame:
     """V1: every failed rule is reported (express-validator style).
 
     ``materiel`` must not be blank; ``quantite`` must be an integer text
-    (``isInt``: sign, no leading zeros) with value >= 0.
+    (``isInt``: sign, no leading zeros) with value >= 0 that fits the column.
     """
     q = F.col("quantite")
     int_text = F.coalesce(q.rlike("^[-+]?(0|[1-9][0-9]*)$"), F.lit(False))
-    bad_q = ~int_text | (q.try_cast("long") < 0)
+    bad_q = ~int_text | q.try_cast("int").isNull() | (q.try_cast("int") < 0)
     errs = F.filter(F.array(
         F.when(X.clean_text(F.col("materiel")).isNull(), F.lit(MSG_MATERIEL_REQUIRED)),
         F.when(bad_q, F.lit(MSG_QUANTITE_POSITIVE))), lambda e: e.isNotNull())
@@ -44,8 +46,9 @@ def validate_stock_requests(requests: DataFrame) -> DataFrame:
 
 def validate_production_requests(requests: DataFrame, users: DataFrame) -> DataFrame:
     """V2: the first failing rule wins: role, owner, product, quantity >= 1,
-    owner present, statut valid. A non-numeric quantity is rejected (the
-    source lets ``NaN < 1`` pass; this engine does not)."""
+    owner present, statut valid, numbers within their columns' ranges. A
+    non-numeric quantity is rejected (the source lets ``NaN < 1`` pass; this
+    engine does not)."""
     u = users.select(F.col("id").alias("_uid"), F.col("username").alias("_uname"),
                      F.col("role").alias("_role"))
     r = requests.join(u, requests.req_user_id == u._uid, "left")
@@ -56,10 +59,14 @@ def validate_production_requests(requests: DataFrame, users: DataFrame) -> DataF
               .when((F.col("_role") == "responsable") & ~F.col("responsable").eqNullSafe(F.col("_uname")),
                     F.lit(MSG_OWN_ONLY))
               .when(X.clean_text(F.col("produit")).isNull(), F.lit(MSG_PRODUIT_REQUIRED))
-              .when(blank_q | qn.isNull() | (qn < 1), F.lit(MSG_QUANTITE_MIN1))
+              .when(blank_q | (qn.isNull() & ~X.int_overflow(F.col("quantite"))) | (qn < 1),
+                    F.lit(MSG_QUANTITE_MIN1))
               .when(X.clean_text(F.col("responsable")).isNull(), F.lit(MSG_RESPONSABLE_REQUIRED))
               .when(F.col("statut").isNotNull() & (F.col("statut") != "")
-                    & ~F.col("statut").isin(*C.STATUTS), F.lit(MSG_STATUT_INVALID)))
+                    & ~F.col("statut").isin(*C.STATUTS), F.lit(MSG_STATUT_INVALID))
+              .when(X.int_overflow(F.col("quantite")) | X.int_overflow(F.col("stock_id"))
+                    | X.int_overflow(F.col("qte_consommee")) | X.lenient_decimal(F.col("cout")).isNull(),
+                    F.lit(MSG_OUT_OF_RANGE)))
     code = (F.when(reason.isNull(), F.lit(201))
             .when(reason.isin(MSG_ROLE_DENIED, MSG_OWN_ONLY), F.lit(403)).otherwise(F.lit(400)))
     return r.select("req_id", reason.isNull().alias("accepted"), reason.alias("reject_reason"),
@@ -71,7 +78,8 @@ def production_defaults(requests: DataFrame, today: dt.date, for_update: bool =
 
     Insert: quantite = parseInt(q); update: parseInt(q) || 1. stock_id only
     when parseInt > 0 (update: any non-empty text), amount parseInt || 0 and
-    only with a material.
+    only with a material. A number out of range is null (V2 rejects such a
+    request).
     """
     qn = X.parse_int_or_null(F.col("quantite"))
     sid = X.parse_int_or_null(F.col("stock_id"))
@@ -93,33 +101,37 @@ def production_defaults(requests: DataFrame, today: dt.date, for_update: bool =
     )
 
 
-def constraint_violations(stock: DataFrame, production: DataFrame, users: DataFrame) -> DataFrame:
-    """V4: rows that break the table rules, one row per rule with a count.
+def constraint_violations(stock: DataFrame, production: DataFrame, users: DataFrame,
+                          audit: DataFrame | None = None) -> DataFrame:
+    """V4: rows that break the table rules, one row per rule with a count: CHECK,
+    UNIQUE, the foreign key and every NOT NULL column (of the audit table too, if
+    given).
 
     One conditional-aggregate pass per table, an aggregate for UNIQUE and an
     anti join for the foreign key; the per-rule rows are unpivoted with stack.
     """
+    def nulls(columns):
+        return [F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in columns]
+
     s = stock.agg(
-        F.count_if(F.col("quantite") < 0).alias("quantite_negative"),
-        F.count_if(F.col("materiel").isNull()).alias("materiel_null"),
-        F.count_if(F.col("quantite").isNull()).alias("quantite_null"))
+        F.count_if(F.col("quantite") < 0).alias("quantite_negative"), *nulls(C.STOCK_NOT_NULL))
     p = production.agg(
         F.count_if(F.col("quantite") <= 0).alias("quantite_not_positive"),
         F.count_if(F.col("statut").isNull() | ~F.col("statut").isin(*C.STATUTS)).alias("statut_invalid"),
-        F.count_if(F.col("produit").isNull()).alias("produit_null"),
-        F.count_if(F.col("responsable").isNull()).alias("responsable_null"))
+        *nulls(C.PRODUCTION_NOT_NULL))
     fk = (production.where(F.col("stock_id").isNotNull()).select("stock_id")
           .join(stock.select(F.col("id").alias("stock_id")), "stock_id", "left_anti")
           .agg(F.count(F.lit(1)).alias("stock_id_missing")))
     dup = (users.groupBy("username").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("username_duplicate")))
-    nul_u = users.agg(F.count_if(F.col("username").isNull()).alias("username_null"))
+    nul_u = users.agg(*nulls(C.USERS_NOT_NULL))
 
     def unpivot(df: DataFrame, table: str) -> DataFrame:
         pairs = ", ".join(f"'{c}', cast({c} as bigint)" for c in df.columns)
         return df.select(F.lit(table).alias("table_name"),
                          F.expr(f"stack({len(df.columns)}, {pairs})").alias("rule", "violations"))
 
-    return (unpivot(s, "Stock").unionByName(unpivot(p, "Production"))
-            .unionByName(unpivot(fk, "Production")).unionByName(unpivot(dup, "Utilisateurs"))
-            .unionByName(unpivot(nul_u, "Utilisateurs")))
+    out = (unpivot(s, "Stock").unionByName(unpivot(p, "Production"))
+           .unionByName(unpivot(fk, "Production")).unionByName(unpivot(dup, "Utilisateurs"))
+           .unionByName(unpivot(nul_u, "Utilisateurs")))
+    return out if audit is None else out.unionByName(unpivot(audit.agg(*nulls(C.AUDIT_NOT_NULL)), "Historique"))

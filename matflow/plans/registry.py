@@ -155,7 +155,8 @@ def _p7(t: Tables):
 _JOB_COLS = "p.id, p.produit, p.quantite, p.responsable, p.date_prod, p.cout, p.statut, p.stock_id, p.qte_consommee"
 
 
-@register("production_by_id", S.q(f"""SELECT {_JOB_COLS}, s.materiel AS materiel_nom
+@register("production_by_id", S.q(f"""SELECT {_JOB_COLS}, p.created_at, p.updated_at, p.updated_by,
+  s.materiel AS materiel_nom
   FROM production p LEFT JOIN stock s ON p.stock_id = s.id WHERE p.id = {PROD_ID}"""))
 def _p8(t: Tables):
     return production.production_by_id(t.production, t.stock, PROD_ID)
@@ -341,6 +342,9 @@ def _bundle_sql() -> str:
                      ("responsable", "responsable", "str"), ("date_prod", "date_prod", "date"),
                      ("cout", "cout", "num"), ("statut", "statut", "str"),
                      ("materiel_nom", "materiel_nom", "str"), ("id", "id", "num")])
+    al = S.json_obj([("id", "id", "num"), ("materiel", "materiel", "str"), ("quantite", "quantite", "num")])
+    ap = S.json_obj([("id", "id", "num"), ("produit", "produit", "str"), ("statut", "statut", "str"),
+                     ("responsable", "responsable", "str")])
     return S.q(f""", k AS ({_KPIS}),
 sc AS (SELECT id, materiel, quantite, {_COLOUR} AS couleur FROM stock ORDER BY quantite DESC, id LIMIT 10),
 pc AS (SELECT statut, COUNT(*) AS nombre FROM production GROUP BY statut),
@@ -351,13 +355,14 @@ rc AS (SELECT p.id, p.produit, p.quantite, p.responsable, p.date_prod, p.cout, p
 SELECT 'kpis' AS part, CAST(0 AS INTEGER) AS pos, {kp} AS item FROM k
 UNION ALL SELECT 'stockChart', CAST(row_number() OVER (ORDER BY quantite DESC, id) - 1 AS INTEGER), {sc} FROM sc
 UNION ALL SELECT 'prodChart', CAST(row_number() OVER (ORDER BY statut) - 1 AS INTEGER), {pc} FROM pc
-UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY date_prod DESC, id DESC) - 1 AS INTEGER), {rc} FROM rc""")
+UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY date_prod DESC, id DESC) - 1 AS INTEGER), {rc} FROM rc
+UNION ALL SELECT 'alertesStock', NULL, {al} FROM stock WHERE quantite < {C.CRITICAL_STOCK}
+UNION ALL SELECT 'alertesProd', NULL, {ap} FROM production WHERE statut IN ({_ALERTS})""")
 
 
 @register("dashboard_bundle", _bundle_sql())
 def _k4(t: Tables):
-    """K4 checked flattened: one row per item of the nested record (its four
-    bounded parts); the two alert lists are P5 and P7."""
+    """K4 checked flattened: one row per item of its six parts."""
     return dashboard.dashboard_summary_flat(t.stock, t.production)
 
 
@@ -497,19 +502,19 @@ def _text_requests(t: Tables) -> DataFrame:
 
 @register("lenient_int", S.q(_PREQ + f" SELECT req_id, quantite, {S.lenient_int('quantite', '1')} AS quantite_int FROM req"))
 def _f5(t: Tables):
-    r = _text_requests(t)
+    r = fixtures.production_text_requests(t.production)
     return r.select("req_id", "quantite", X.lenient_int(F.col("quantite"), 1).alias("quantite_int"))
 
 
 @register("lenient_decimal", S.q(_PREQ + f" SELECT req_id, cout, {S.lenient_decimal('cout')} AS cout_dec FROM req"))
 def _f6(t: Tables):
-    r = _text_requests(t)
+    r = fixtures.production_text_requests(t.production)
     return r.select("req_id", "cout", X.lenient_decimal(F.col("cout")).alias("cout_dec"))
 
 
 @register("clean_text", S.q(_PREQ + f" SELECT req_id, produit, {S.clean_text('produit')} AS produit_net FROM req"))
 def _f7(t: Tables):
-    r = _text_requests(t)
+    r = fixtures.production_text_requests(t.production)
     return r.select("req_id", "produit", X.clean_text(F.col("produit")).alias("produit_net"))
 
 
@@ -580,10 +585,12 @@ _ROLES_CREATE = ", ".join(f"'{r}'" for r in validate.PRODUCTION_CREATE_ROLES)
 _V2_REASON = f"""CASE WHEN NOT COALESCE(u.role IN ({_ROLES_CREATE}), false) THEN '{validate.MSG_ROLE_DENIED}'
   WHEN u.role = 'responsable' AND r.responsable IS DISTINCT FROM u.username THEN '{validate.MSG_OWN_ONLY}'
   WHEN {S.clean_text("r.produit")} IS NULL THEN '{validate.MSG_PRODUIT_REQUIRED}'
-  WHEN COALESCE(r.quantite = '', true) OR {S.parse_int("r.quantite")} IS NULL
+  WHEN COALESCE(r.quantite = '', true) OR ({S.parse_int("r.quantite")} IS NULL AND NOT {S.int_overflow("r.quantite")})
        OR {S.parse_int("r.quantite")} < 1 THEN '{validate.MSG_QUANTITE_MIN1}'
   WHEN {S.clean_text("r.responsable")} IS NULL THEN '{validate.MSG_RESPONSABLE_REQUIRED}'
   WHEN r.statut IS NOT NULL AND r.statut <> '' AND r.statut NOT IN ({_STATUTS}) THEN '{validate.MSG_STATUT_INVALID}'
+  WHEN {S.int_overflow("r.quantite")} OR {S.int_overflow("r.stock_id")} OR {S.int_overflow("r.qte_consommee")}
+       OR {S.decimal_overflow("r.cout")} THEN '{validate.MSG_OUT_OF_RANGE}'
 END"""
 
 _V2_CTE = _PREQ + f""", v2 AS (SELECT r.req_id, {_V2_REASON} AS reason FROM req r
@@ -629,7 +636,7 @@ _PCREQ = f", req AS ({S.PRODUCTION_CHANGE_REQUESTS})"
     arg_max(responsable, seq) AS responsable, arg_max(date_prod, seq) AS date_prod,
     arg_max(cout, seq) AS cout, arg_max(statut, seq) AS statut, arg_max(stock_id, seq) AS stock_id,
     arg_max(qte_consommee, seq) AS qte_consommee
-  FROM req WHERE op = 'UPDATE' GROUP BY target_id)
+  FROM req WHERE op = 'UPDATE' AND {S.clean_text('produit')} IS NOT NULL GROUP BY target_id)
 SELECT p.id,
   CASE WHEN l.target_id IS NOT NULL THEN {S.js_trim('l.produit')} ELSE p.produit END AS produit,
   CASE WHEN l.target_id IS NOT NULL THEN COALESCE(NULLIF(l.quantite, 0), 1) ELSE p.quantite END AS quantite,
@@ -686,7 +693,7 @@ def _m9(t: Tables):
 
 _V1_ERRS = (f"list_filter([CASE WHEN {S.clean_text('materiel')} IS NULL THEN '{validate.MSG_MATERIEL_REQUIRED}' END, "
             f"CASE WHEN NOT COALESCE(regexp_matches(quantite, '^[-+]?(0|[1-9][0-9]*)$'), false) "
-            f"OR TRY_CAST(quantite AS BIGINT) < 0 THEN '{validate.MSG_QUANTITE_POSITIVE}' END], lambda x: x IS NOT NULL)")
+            f"OR TRY_CAST(quantite AS INTEGER) IS NULL OR TRY_CAST(quantite AS INTEGER) < 0 THEN '{validate.MSG_QUANTITE_POSITIVE}' END], lambda x: x IS NOT NULL)")
 
 
 @register("validate_stock_requests", S.q(f", req AS ({S.STOCK_TEXT_REQUESTS}), e AS (SELECT req_id, {_V1_ERRS} AS errs FROM req)"
@@ -706,25 +713,29 @@ def _v2(t: Tables):
 
 @register("production_defaults", S.q(_PREQ + " " + _V3_SELECT))
 def _v3(t: Tables):
-    return validate.production_defaults(_text_requests(t), TODAY)
+    return validate.production_defaults(fixtures.production_text_requests(t.production), TODAY)
+
+
+def _not_null(label: str, table: str, columns: list[str]) -> str:
+    return "\n".join(f"""UNION ALL SELECT '{label}', '{c}_null', (SELECT COUNT(*) FROM {table} WHERE "{c}" IS NULL)"""
+                     for c in columns)
 
 
 @register("constraint_violations", S.q(f"""SELECT 'Stock' AS table_name, 'quantite_negative' AS rule,
   (SELECT COUNT(*) FROM stock WHERE quantite < 0) AS violations
-UNION ALL SELECT 'Stock', 'materiel_null', (SELECT COUNT(*) FROM stock WHERE materiel IS NULL)
-UNION ALL SELECT 'Stock', 'quantite_null', (SELECT COUNT(*) FROM stock WHERE quantite IS NULL)
+{_not_null('Stock', 'stock', C.STOCK_NOT_NULL)}
 UNION ALL SELECT 'Production', 'quantite_not_positive', (SELECT COUNT(*) FROM production WHERE quantite <= 0)
 UNION ALL SELECT 'Production', 'statut_invalid',
   (SELECT COUNT(*) FROM production WHERE statut IS NULL OR statut NOT IN ({_STATUTS}))
-UNION ALL SELECT 'Production', 'produit_null', (SELECT COUNT(*) FROM production WHERE produit IS NULL)
-UNION ALL SELECT 'Production', 'responsable_null', (SELECT COUNT(*) FROM production WHERE responsable IS NULL)
+{_not_null('Production', 'production', C.PRODUCTION_NOT_NULL)}
 UNION ALL SELECT 'Production', 'stock_id_missing', (SELECT COUNT(*) FROM production p
   WHERE p.stock_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stock s WHERE s.id = p.stock_id))
 UNION ALL SELECT 'Utilisateurs', 'username_duplicate', (SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM
   (SELECT username, COUNT(*) AS n FROM users GROUP BY username HAVING COUNT(*) > 1))
-UNION ALL SELECT 'Utilisateurs', 'username_null', (SELECT COUNT(*) FROM users WHERE username IS NULL)"""))
+{_not_null('Utilisateurs', 'users', C.USERS_NOT_NULL)}
+{_not_null('Historique', 'audit', C.AUDIT_NOT_NULL)}"""))
 def _v4(t: Tables):
-    return validate.constraint_violations(t.stock, t.production, t.users)
+    return validate.constraint_violations(t.stock, t.production, t.users, t.audit)
 
 
 def _capture_parts(table: str, spec, label: str) -> tuple[str, str]:
@@ -817,7 +828,7 @@ def _x1(t: Tables):
     return access.permission_matrix(t.users)
 
 
-_ACCESS = f""", m AS ({S.permission_values()}),
+_ACCESS = f""", m AS ({S.permission_values(C.ROUTE_PERMISSIONS)}),
 lg AS (SELECT e.event_id, e.user_id, e.ts,
   {S.case('e.event_type', fixtures.EVENT_TO_RESOURCE)} AS resource,
   {S.case('e.event_type', fixtures.EVENT_TO_REQUEST_ACTION)} AS action, u.username, u.role
@@ -827,7 +838,8 @@ az AS (SELECT lg.*, EXISTS (SELECT 1 FROM m WHERE m.role = lg.role AND m.resourc
 
 
 def _authorized(t: Tables) -> DataFrame:
-    return access.authorize_requests(fixtures.access_log(t.raw("events"), t.users))
+    """X2 by what the routes check (the permission table is X1's)."""
+    return access.authorize_requests(fixtures.access_log(t.raw("events"), t.users), C.ROUTE_PERMISSIONS)
 
 
 @register("authorize_requests", S.q(_ACCESS + " SELECT * FROM az"))

@@ -4,8 +4,11 @@
   are spread over many partitions instead of landing in one hot partition.
 * ``dense_sequence``: consecutive ids 1..n in a given order without a global
   window (a single-partition ``row_number`` over all rows).
-* ``dense_rank_desc``: DENSE_RANK by a descending order column within a key;
-  a key holding a large share of the rows is split over several tasks.
+* ``dense_rank_desc``: DENSE_RANK by a descending time column within a key; a
+  key holding a large share of the rows is split over its days.
+
+Each is one declarative plan for every size of the data; none runs a job while the
+plan is built.
 """
 
 from __future__ import annotations
@@ -15,130 +18,70 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-NULL_SPREAD = 64
-# rows numbered by one window task in dense_sequence
-ROWS_PER_BUCKET = 1_000_000
+# width of the id range that one window task of dense_sequence numbers
+IDS_PER_BUCKET = 1 << 20
 
 
-def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                           buckets: int = NULL_SPREAD) -> DataFrame:
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key``.
 
     A null ``left_key`` gets a deterministic negative stand-in (hash of the row)
-    so its rows spread over ``buckets`` shuffle partitions; the extra
+    so its rows spread over all shuffle partitions; the extra
     ``left_key IS NOT NULL`` condition keeps them from matching anything. With
     a small ``right`` AQE still turns this into a broadcast hash join.
     """
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    spread = F.coalesce(F.col(left_key), -(F.pmod(row_hash, F.lit(buckets)) + 1))
+    spread = F.coalesce(F.col(left_key), row_hash.bitwiseOR(F.lit(-(1 << 63))))
     lk = "__jk"
     l2 = left.withColumn(lk, spread)
     cond = (l2[lk] == right[right_key]) & l2[left_key].isNotNull()
     return l2.join(right, cond, "left").drop(lk)
 
 
-def _bucket_expr(col: str, bounds: list) -> F.Column:
-    """Bucket i holds bounds[i-1] < x <= bounds[i]: one flat CASE with a
-    branch per bound (at most ``buckets`` branches)."""
-    if not bounds:
-        return F.lit(0)
-    expr = F.when(F.col(col) <= F.lit(bounds[0]), F.lit(0))
-    for i in range(1, len(bounds)):
-        expr = expr.when(F.col(col) <= F.lit(bounds[i]), F.lit(i))
-    return expr.otherwise(F.lit(len(bounds)))
-
-
 def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
-                   start: int | F.Column = 1, buckets: int | None = None) -> DataFrame:
+                   start: int | F.Column = 1, width: int = IDS_PER_BUCKET) -> DataFrame:
     """Add ``out_col`` = start + (position of the row in ``order_col`` order).
 
-    ``order_col`` must be numeric and unique. The order range is cut at
-    approximate quantiles (one small driver-side result: ``buckets`` numbers),
-    rows are numbered inside each bucket by a window over that bucket only, and
-    each bucket is shifted by the row count of the buckets before it (a table of
-    ``buckets`` rows, so broadcasting it is bounded).
-
-    The input is checkpointed to the shared folder first: the quantile pass
-    and the numbering pass then read the stored rows instead of running the
-    input's lineage twice, and a lost executor does not recompute it.
+    ``order_col`` must be an integer and unique (an id). Rows are numbered within
+    ranges of ``width`` ids by a window over one range, and each range is shifted by
+    the rows of the ranges before it: one row per range, joined on the range's
+    number. A global window only sees those per-range counts.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    df = df.checkpoint(eager=True)
-    if buckets is None:
-        # one bucket per ROWS_PER_BUCKET rows, at most one per shuffle partition
-        n = df.count()
-        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             -(-n // ROWS_PER_BUCKET)))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 0.001))) if probs else []
-    b = df.withColumn("__b", _bucket_expr(order_col, bounds))
+    b = df.withColumn("__b", F.floor(F.col(order_col) / F.lit(width)))
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     offs = counts.select(
         "__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__off"))
     local = F.row_number().over(Window.partitionBy("__b").orderBy(order_col))
     start_c = start if isinstance(start, F.Column) else F.lit(start)
-    return (b.withColumn("__r", local)
-            .join(F.broadcast(offs), "__b")
+    return (b.withColumn("__r", local).join(offs, "__b")
             .withColumn(out_col, (start_c + F.col("__off") + F.col("__r") - 1).cast("long"))
             .drop("__b", "__r", "__off"))
 
 
-HOT_ROWS = 100_000
+def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str, out_col: str = "version") -> DataFrame:
+    """DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col DESC), nulls last,
+    for a time column; null keys are one key, as in the window.
 
-
-def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
-                    out_col: str = "version", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col DESC).
-
-    Keys with at most ``hot_rows`` rows use the plain window (one shuffle,
-    one task per key). Hot keys - found by a partial aggregate; there are at
-    most rows / hot_rows of them, so broadcasting their list is bounded - are
-    ranked by ``_split_dense_rank_desc`` across several tasks.
+    The distinct (key, time) pairs (combined on the map side) are ranked within
+    their key and day, and shifted by the distinct times of the key's later days, so
+    a key with any share of the rows is spread over its days. The ranks are joined
+    back on (key, time), null-safely.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    if keys:
-        hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-               .where(F.col("__n") > hot_rows).select(*keys))
-    else:
-        hot = df.agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    if hot.isEmpty():
-        return df.withColumn(out_col, F.dense_rank().over(w))
-    if not keys:
-        return _split_dense_rank_desc(df, keys, order_col, out_col)
-    hot = F.broadcast(hot)
-    cold = df.join(hot, keys, "left_anti").withColumn(out_col, F.dense_rank().over(w))
-    return cold.unionByName(_split_dense_rank_desc(df.join(hot, keys, "left_semi"), keys, order_col, out_col))
-
-
-def _split_dense_rank_desc(df: DataFrame, keys: list[str], order_col: str,
-                           out_col: str = "version") -> DataFrame:
-    """DENSE_RANK by a descending order column, a hot key split over tasks.
-
-    Equal to 1 + the number of distinct ``order_col`` values above the row's
-    within its key. The distinct values are range-partitioned on
-    ``(keys, order_col)``, so a hot key is split over several partitions; each
-    partition ranks its part, and the parts are shifted by the distinct counts
-    of the partitions before them (at most one row per partition and key).
-    The ranked distinct values are checkpointed to fix their partitioning.
-    """
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = (df.select(*keys, order_col).where(F.col(order_col).isNotNull()).distinct()
-         .repartitionByRange(*[F.col(k) for k in keys], F.col(order_col).desc())
-         .withColumn("__p", F.spark_partition_id()))
-    d = d.checkpoint(eager=True)
-    local = F.row_number().over(Window.partitionBy("__p", *keys).orderBy(F.col(order_col).desc()))
-    ranked = d.withColumn("__r", local)
-    per_part = ranked.groupBy("__p", *keys).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__p")
-    offs = per_part.withColumn("__off", F.sum("__n").over(w) - F.col("__n")).drop("__n")
-    ranks = (ranked.join(offs, ["__p", *keys])
-             .select(*keys, order_col, (F.col("__off") + F.col("__r")).cast("int").alias(out_col)))
-    return df.join(ranks, [*keys, order_col], "left")
+    times = df.select(*keys, order_col).distinct().withColumn("__day", F.to_date(order_col))
+    day = [*keys, "__day"]
+    local = F.row_number().over(Window.partitionBy(*day).orderBy(F.col(order_col).desc()))
+    per_day = times.groupBy(*day).agg(F.count(F.lit(1)).alias("__n"))
+    later = Window.partitionBy(*keys).orderBy(F.col("__day").desc_nulls_last())
+    offs = per_day.select(*day, (F.sum("__n").over(later) - F.col("__n")).alias("__off"))
+    ranked = _join_null_safe(times.withColumn("__r", local), offs, day, "inner")
+    ranks = ranked.select(*keys, order_col, (F.col("__off") + F.col("__r")).cast("int").alias(out_col))
+    return _join_null_safe(df, ranks, [*keys, order_col], "left")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    r = right.select(*[F.col(c).alias(f"__k_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = reduce(lambda x, y: x & y, [left[c].eqNullSafe(r[f"__k_{c}"]) for c in on])
+    return left.join(r, cond, how).drop(*[f"__k_{c}" for c in on])
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:

@@ -95,13 +95,30 @@ def parse_int(col: str) -> str:
     return f"TRY_CAST(regexp_extract({col}, '^{WS}*([+-]?[0-9]+)', 1) AS INTEGER)"
 
 
+def int_text(col: str) -> str:
+    return f"regexp_extract({col}, '^{WS}*([+-]?[0-9]+)', 1)"
+
+
+def int_overflow(col: str) -> str:
+    return f"(COALESCE({int_text(col)}, '') <> '' AND {parse_int(col)} IS NULL)"
+
+
 def lenient_int(col: str, default: str) -> str:
-    return f"COALESCE(NULLIF({parse_int(col)}, 0), {default})"
+    return f"CASE WHEN NOT {int_overflow(col)} THEN COALESCE(NULLIF({parse_int(col)}, 0), {default}) END"
 
 
 def lenient_decimal(col: str) -> str:
+    return (f"CASE WHEN COALESCE({decimal_text(col)}, '') = '' THEN CAST(0 AS DECIMAL(12,2)) "
+            f"ELSE TRY_CAST({decimal_text(col)} AS DECIMAL(12,2)) END")
+
+
+def decimal_text(col: str) -> str:
     pat = f"^{WS}*([+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)"
-    return f"COALESCE(TRY_CAST(regexp_extract({col}, '{pat}', 1) AS DECIMAL(12,2)), CAST(0 AS DECIMAL(12,2)))"
+    return f"regexp_extract({col}, '{pat}', 1)"
+
+
+def decimal_overflow(col: str) -> str:
+    return f"({lenient_decimal(col)} IS NULL)"
 
 
 def js_trim(col: str) -> str:
@@ -144,21 +161,22 @@ def json_of(spec, prefix: str) -> str:
 def snapshot_after_sql(table: str) -> str:
     return (f"SELECT * REPLACE (CASE WHEN id % 10 = 1 THEN quantite + 1 ELSE quantite END AS quantite) "
             f"FROM {table} WHERE id % 10 <> 0 "
-            f"UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM {table} WHERE id % 10 = 2")
+            f"UNION ALL SELECT * REPLACE (-id AS id) FROM {table} WHERE id % 10 = 2")
 
 
 STOCK_CHANGE_REQUESTS = """
   SELECT id AS seq,
          CASE id % 10 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'INSERT' WHEN 3 THEN 'UPDATE' END AS op,
-         CASE WHEN id % 10 = 3 THEN id + 1000000 WHEN id % 10 = 2 THEN NULL ELSE id END AS target_id,
+         CASE WHEN id % 10 = 3 THEN -id WHEN id % 10 = 2 THEN NULL ELSE id END AS target_id,
          materiel, quantite + CASE WHEN id % 10 = 1 THEN 1 ELSE 0 END AS quantite, date_ajout
   FROM stock WHERE id % 10 < 4"""
 
 PRODUCTION_CHANGE_REQUESTS = f"""
   SELECT id AS seq,
          CASE WHEN id % 10 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS op,
-         CASE WHEN id % 10 = 3 THEN id + 1000000 ELSE id END AS target_id,
-         produit, quantite + 1 AS quantite, responsable, date_prod, cout,
+         CASE WHEN id % 10 = 3 THEN -id ELSE id END AS target_id,
+         CASE WHEN id % 100 = 21 THEN '   ' ELSE produit END AS produit,
+         quantite + 1 AS quantite, responsable, date_prod, cout,
          '{C.FINISHED_STATUT}' AS statut, stock_id, qte_consommee
   FROM production WHERE id % 10 IN (0, 1, 3)"""
 
@@ -166,18 +184,24 @@ PRODUCTION_TEXT_REQUESTS = """
   SELECT p.id AS req_id, CAST(o.o_custkey + (p.id // 8) % 2 AS BIGINT) AS req_user_id,
          CASE WHEN p.id % 8 = 0 THEN '   ' ELSE p.produit END AS produit,
          CASE p.id % 8 WHEN 1 THEN '12abc' WHEN 2 THEN 'abc' WHEN 3 THEN '0' WHEN 4 THEN ''
-              WHEN 5 THEN '-' || CAST(p.quantite AS VARCHAR) ELSE CAST(p.quantite AS VARCHAR) END AS quantite,
+              WHEN 5 THEN '-' || CAST(p.quantite AS VARCHAR)
+              WHEN 7 THEN CASE WHEN p.id % 64 = 63 THEN '99999999999' ELSE CAST(p.quantite AS VARCHAR) END ELSE CAST(p.quantite AS VARCHAR) END AS quantite,
          p.responsable,
          CASE WHEN p.id % 3 = 0 THEN NULL ELSE strftime(p.date_prod, '%Y-%m-%d') END AS date_prod,
-         CASE WHEN p.id % 5 = 0 THEN 'n/a' ELSE CAST(p.cout AS VARCHAR) END AS cout,
+         CASE WHEN p.id % 5 = 0 THEN 'n/a' WHEN p.id % 64 = 23 THEN '99999999999.5'
+              ELSE CAST(p.cout AS VARCHAR) END AS cout,
          CASE WHEN p.id % 8 = 6 THEN 'Annulé' WHEN p.id % 16 = 7 THEN NULL ELSE p.statut END AS statut,
-         CAST(p.stock_id AS VARCHAR) AS stock_id, CAST(p.qte_consommee AS VARCHAR) AS qte_consommee
+         CASE WHEN p.id % 64 = 39 THEN '99999999999' ELSE CAST(p.stock_id AS VARCHAR) END AS stock_id,
+         CASE WHEN p.id % 64 = 55 THEN '99999999999' ELSE CAST(p.qte_consommee AS VARCHAR) END AS qte_consommee
   FROM production p JOIN orders o ON p.id = o.o_orderkey"""
 
 STOCK_TEXT_REQUESTS = """
   SELECT id AS req_id, CASE WHEN id % 8 = 0 THEN '  ' ELSE materiel END AS materiel,
          CASE id % 8 WHEN 1 THEN '12abc' WHEN 2 THEN 'abc' WHEN 3 THEN '0' WHEN 4 THEN ''
-              WHEN 5 THEN '-' || CAST(quantite AS VARCHAR) ELSE CAST(quantite AS VARCHAR) END AS quantite
+              WHEN 5 THEN '-' || CAST(quantite AS VARCHAR)
+              WHEN 6 THEN CASE WHEN id % 32 = 6 THEN '99999999999' ELSE CAST(quantite AS VARCHAR) END
+              WHEN 7 THEN CASE WHEN id % 32 = 7 THEN '12345678901234567890' ELSE CAST(quantite AS VARCHAR) END
+              ELSE CAST(quantite AS VARCHAR) END AS quantite
   FROM stock"""
 
 
@@ -236,7 +260,7 @@ lk AS (
   FROM lk l JOIN att a ON a.user_id = l.user_id AND a.rn = l.rn + 1)"""
 
 
-def permission_values() -> str:
-    rows = [f"('{r}', '{res}', '{a}')" for r, d in C.PERMISSIONS.items()
+def permission_values(matrix: dict = C.PERMISSIONS) -> str:
+    rows = [f"('{r}', '{res}', '{a}')" for r, d in matrix.items()
             for res, acts in d.items() for a in acts]
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS m(role, resource, action)"

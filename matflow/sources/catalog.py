@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +43,14 @@ class Tables:
         return self._raw[name]
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode() if "://" not in sf_dir else sf_dir.encode())
-    if os.path.isdir(sf_dir):
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-    return h.hexdigest()[:16]
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Of path, length and time of every file below the input folder, listed by
+    Spark on whatever file system it is; no content is read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
+             .select(F.xxhash64("path", "length", "modificationTime").alias("h")))
+    r = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"),
+                  F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha1(f"{sf_dir}|{r.n}|{r.x}|{r.s}".encode()).hexdigest()[:16]
 
 
 _CACHE: dict = {}
@@ -58,7 +58,7 @@ _CACHE: dict = {}
 
 def store_for(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     root = ensure_checkpoint_dir(spark)
-    return SnapshotStore(spark, f"{root.rstrip('/')}/matflow-store/v{LAYOUT_VERSION}-{_fingerprint(sf_dir)}")
+    return SnapshotStore(spark, f"{root.rstrip('/')}/matflow-store/v{LAYOUT_VERSION}-{_fingerprint(spark, sf_dir)}")
 
 
 def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Tables:
@@ -67,19 +67,14 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
     if not materialize:
         t = fixtures.derive_tables(spark, sf_dir)
         return Tables(spark, sf_dir, t["stock"], t["production"], t["audit"], t["users"])
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    store = store_for(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, store.root)
     if key in _CACHE:
         return _CACHE[key]
-    try:
-        store = store_for(spark, sf_dir)
+    head = store.head()
+    if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
+        store.commit(fixtures.derive_tables(spark, sf_dir))
         head = store.head()
-        if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
-            store.commit(fixtures.derive_tables(spark, sf_dir))
-            head = store.head()
-    except Exception as e:  # noqa: BLE001 - no writable shared folder: stay lazy
-        warnings.warn(f"snapshot store unavailable ({type(e).__name__}: {e}); "
-                      "using the tables as lazy plans over the input")
-        return open_tables(spark, sf_dir, materialize=False)
     t = Tables(spark, sf_dir,
                stock=store.read("stock", head),
                production=store.read("production", head),

@@ -130,23 +130,23 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def snapshot_after(before: DataFrame, bump: str = "quantite") -> DataFrame:
     """The "after" side of a snapshot pair: ids % 10 = 0 deleted, = 1 with
-    ``bump`` + 1, = 2 copied to id + 1 000 000."""
+    ``bump`` + 1, = 2 copied to -id (no driver table has negative ids)."""
     kept = (before.where(F.col("id") % 10 != 0)
             .withColumn(bump, F.when(F.col("id") % 10 == 1, F.col(bump) + 1)
                         .otherwise(F.col(bump))))
     new = (before.where(F.col("id") % 10 == 2)
-           .withColumn("id", F.col("id") + 1_000_000))
+           .withColumn("id", -F.col("id")))
     return kept.unionByName(new)
 
 
 def stock_change_requests(stock: DataFrame) -> DataFrame:
     """Change requests on materials, one per material with id % 10 < 4:
     0 DELETE, 1 UPDATE (quantite + 1), 2 INSERT (a copy), 3 UPDATE of a
-    missing id (id + 1 000 000). ``seq`` is the arrival order."""
+    missing id (-id). ``seq`` is the arrival order."""
     m = F.col("id") % 10
     op = (F.when(m == 0, F.lit("DELETE")).when(m == 1, F.lit("UPDATE"))
           .when(m == 2, F.lit("INSERT")).when(m == 3, F.lit("UPDATE")))
-    target = F.when(m == 3, F.col("id") + 1_000_000).when(m == 2, F.lit(None).cast("long")) \
+    target = F.when(m == 3, -F.col("id")).when(m == 2, F.lit(None).cast("long")) \
         .otherwise(F.col("id"))
     return (stock.where(m < 4).select(
         F.col("id").alias("seq"),
@@ -160,13 +160,14 @@ def stock_change_requests(stock: DataFrame) -> DataFrame:
 
 def production_change_requests(production: DataFrame) -> DataFrame:
     """Same scheme for jobs: 0 DELETE, 1 UPDATE (quantite + 1, statut Terminé),
-    3 UPDATE of a missing id."""
+    3 UPDATE of a missing id. Every hundredth (id % 100 = 21) has a blank product."""
     m = F.col("id") % 10
     op = F.when(m == 0, F.lit("DELETE")).when(m.isin(1, 3), F.lit("UPDATE"))
-    target = F.when(m == 3, F.col("id") + 1_000_000).otherwise(F.col("id"))
+    target = F.when(m == 3, -F.col("id")).otherwise(F.col("id"))
     return (production.where(m.isin(0, 1, 3)).select(
         F.col("id").alias("seq"), op.alias("op"), target.alias("target_id"),
-        "produit", (F.col("quantite") + 1).alias("quantite"), "responsable", "date_prod",
+        F.when(F.col("id") % 100 == 21, F.lit(BAD_PRODUIT)).otherwise(F.col("produit")).alias("produit"),
+        (F.col("quantite") + 1).alias("quantite"), "responsable", "date_prod",
         "cout", F.lit(C.FINISHED_STATUT).alias("statut"), "stock_id", "qte_consommee"))
 
 
@@ -175,7 +176,11 @@ BAD_PRODUIT = "   "
 BAD_STATUT = "Annulé"
 
 
-def production_text_requests(production: DataFrame, orders: DataFrame) -> DataFrame:
+# a number that fits no column
+HUGE = "99999999999"
+
+
+def production_text_requests(production: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Raw text requests to create jobs, as a form would send them, one per job.
 
     By id % 8: 0 blank product, 1 quantity '12abc', 2 'abc', 3 '0', 4 '',
@@ -183,14 +188,20 @@ def production_text_requests(production: DataFrame, orders: DataFrame) -> DataFr
     account: the owner itself when ``id div 8`` is even, else the next
     customer id (someone else, or no account). Every third request has no
     date, every fifth a non-numeric cost, every sixteenth (id % 16 = 7) no statut.
+    By id % 64 a number is out of its column's range: 23 cost, 39 material, 55
+    amount, 63 quantity. Without ``orders`` the requester is left out (null) and
+    nothing is joined.
     """
-    o = orders.select(F.col("o_orderkey").alias("_ok"), "o_custkey")
-    p = production.join(o, production.id == o._ok)
-    m = F.col("id") % 8
+    if orders is None:
+        p = production.withColumn("o_custkey", F.lit(None).cast("long"))
+    else:
+        o = orders.select(F.col("o_orderkey").alias("_ok"), "o_custkey")
+        p = production.join(o, production.id == o._ok)
+    m, m64 = F.col("id") % 8, F.col("id") % 64
     q = F.col("quantite").cast("string")
     quantite = (F.when(m == 1, F.lit("12abc")).when(m == 2, F.lit("abc"))
                 .when(m == 3, F.lit("0")).when(m == 4, F.lit(""))
-                .when(m == 5, F.concat(F.lit("-"), q)).otherwise(q))
+                .when(m == 5, F.concat(F.lit("-"), q)).when(m64 == 63, F.lit(HUGE)).otherwise(q))
     return p.select(
         F.col("id").alias("req_id"),
         (F.col("o_custkey") + F.floor(F.col("id") / 8) % 2).cast("long").alias("req_user_id"),
@@ -199,23 +210,25 @@ def production_text_requests(production: DataFrame, orders: DataFrame) -> DataFr
         F.col("responsable"),
         F.when(F.col("id") % 3 == 0, F.lit(None).cast("string"))
         .otherwise(F.date_format("date_prod", "yyyy-MM-dd")).alias("date_prod"),
-        F.when(F.col("id") % 5 == 0, F.lit("n/a"))
+        F.when(F.col("id") % 5 == 0, F.lit("n/a")).when(m64 == 23, F.lit(HUGE + ".5"))
         .otherwise(F.col("cout").cast("string")).alias("cout"),
         F.when(m == 6, F.lit(BAD_STATUT)).when(F.col("id") % 16 == 7, F.lit(None).cast("string"))
         .otherwise(F.col("statut")).alias("statut"),
-        F.col("stock_id").cast("string").alias("stock_id"),
-        F.col("qte_consommee").cast("string").alias("qte_consommee"),
+        F.when(m64 == 39, F.lit(HUGE)).otherwise(F.col("stock_id").cast("string")).alias("stock_id"),
+        F.when(m64 == 55, F.lit(HUGE)).otherwise(F.col("qte_consommee").cast("string")).alias("qte_consommee"),
     )
 
 
 def stock_text_requests(stock: DataFrame) -> DataFrame:
     """Raw text requests to create materials: by id % 8, 0 blank name,
-    1 '12abc', 2 'abc', 3 '0', 4 '', 5 negative, 6 and 7 valid."""
+    1 '12abc', 2 'abc', 3 '0', 4 '', 5 negative, 6 and 7 valid, but out of range
+    where id % 32 is 6 (11 digits) or 7 (20 digits)."""
     m = F.col("id") % 8
     q = F.col("quantite").cast("string")
     quantite = (F.when(m == 1, F.lit("12abc")).when(m == 2, F.lit("abc"))
                 .when(m == 3, F.lit("0")).when(m == 4, F.lit(""))
-                .when(m == 5, F.concat(F.lit("-"), q)).otherwise(q))
+                .when(m == 5, F.concat(F.lit("-"), q)).when(F.col("id") % 32 == 6, F.lit(HUGE))
+                .when(F.col("id") % 32 == 7, F.lit("12345678901234567890")).otherwise(q))
     return stock.select(
         F.col("id").alias("req_id"),
         F.when(m == 0, F.lit("  ")).otherwise(F.col("materiel")).alias("materiel"),

@@ -12,7 +12,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as E  # noqa: E402
 from check_oracles import TABLES, rows_of  # noqa: E402
 
-SQL = E.oracle_sql()
+from matflow.plans import registry  # noqa: E402
+
+SQL = registry.ORACLES
 NAMES = sorted(SQL)
 
 
@@ -27,7 +29,7 @@ def con():
 
 
 def test_every_query_has_an_entry():
-    q = E.queries()
+    q = registry.QUERIES
     assert len(q) >= 80
     # every query has a SQL twin (the stream's is the batch fold's)
     assert sorted(set(q) - set(SQL)) == []
@@ -35,7 +37,7 @@ def test_every_query_has_an_entry():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.QUERIES[name](spark, SF_SMALL)
     table = df.toArrow()
     srows = [tuple(r) for r in zip(*[c.to_pylist() for c in table.columns])] if table.num_columns else []
     r = con.execute(SQL[name])

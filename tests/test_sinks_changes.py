@@ -50,7 +50,7 @@ def test_capture_round_trip(spark):
 
 def test_dense_sequence_consecutive(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
-    out = dense_sequence(df, "k", "pos", start=100, buckets=5)
+    out = dense_sequence(df, "k", "pos", start=100, width=1000)
     rows = sorted((r.k, r.pos) for r in out.collect())
     assert [p for _, p in rows] == list(range(100, 100 + len(rows)))
 
@@ -99,15 +99,18 @@ def test_dense_rank_hot_key_split(spark, no_coalesce):
     from pyspark.sql import Window
     from matflow.plans.skew import dense_rank_desc
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, "Stock", 1 if i % 4 else (i % 13) + 2, t0 + dt.timedelta(minutes=i // 2)) for i in range(800)]
+    rows = [(i, "Stock", 1 if i % 4 else (i % 13) + 2, t0 + dt.timedelta(minutes=7 * (i // 2))) for i in range(800)]
+    # null times and null keys are ranked as by the window
+    rows += [(900, "Stock", 1, None), (901, "Stock", 1, None), (902, "Stock", None, t0), (903, "Stock", None, None),
+             (904, None, None, t0)]
     df = spark.createDataFrame(rows, "id long, table_name string, record_id long, ts timestamp_ntz")
     keys = ["table_name", "record_id"]
     w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
-    want = sorted(map(tuple, df.withColumn("version", F.dense_rank().over(w)).collect()))
-    got = dense_rank_desc(df, keys, "ts", hot_rows=50).select(*df.columns, "version")
-    assert sorted(map(tuple, got.collect())) == want
+    want = sorted(map(repr, df.withColumn("version", F.dense_rank().over(w)).collect()))
+    got = dense_rank_desc(df, keys, "ts").select(*df.columns, "version")
+    assert sorted(map(repr, got.collect())) == want
     one = df.where("record_id = 1")
     w1 = Window.orderBy(F.col("ts").desc())
-    want1 = sorted(map(tuple, one.withColumn("version", F.dense_rank().over(w1)).collect()))
-    got1 = dense_rank_desc(one, [], "ts", hot_rows=50).select(*one.columns, "version")
-    assert sorted(map(tuple, got1.collect())) == want1
+    want1 = sorted(map(repr, one.withColumn("version", F.dense_rank().over(w1)).collect()))
+    got1 = dense_rank_desc(one, [], "ts").select(*one.columns, "version")
+    assert sorted(map(repr, got1.collect())) == want1

@@ -132,6 +132,6 @@ def test_stock_batch_commit(spark):
     got = {(r.table_name, r.action): r.n for r in batch.groupBy("table_name", "action").agg(F.count("*").alias("n")).collect()}
     assert got[("Production", "UPDATE")] == detached and got[("Stock", "CREATE")] == ins
     assert got[("Stock", "DELETE")] == dele.count()
-    assert nxt["missing"].count() == req.where("op = 'UPDATE' AND target_id >= 1000000").count()
+    assert nxt["missing"].count() == req.where("op = 'UPDATE' AND target_id < 0").count()
     assert writes.commit_stock_requests(t, req, today, now) == 1
     assert tables_at(spark, t.store).stock.count() == nxt["stock"].count()
