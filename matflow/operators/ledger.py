@@ -7,17 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fold import greedy_deduction
+from ..plans.skew import left_join_spread_nulls
 
 REASON_UNKNOWN = "materiau_inconnu"
 REASON_SHORT = "stock_insuffisant"
 
 
-HOT_ROWS = 100_000
-
-
 def consume_stock(requests: DataFrame, stock: DataFrame,
-                  order: tuple[str, ...] = ("date_prod", "req_id"),
-                  hot_rows: int = HOT_ROWS, fast_path: bool = False) -> DataFrame:
+                  order: tuple[str, ...] = ("date_prod", "req_id")) -> DataFrame:
     """M7: per material, in arrival order, accept a request when what remains
     covers it and deduct it; otherwise reject it and leave the stock as is.
 
@@ -26,21 +23,14 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     request without material, or with an amount <= 0, is accepted without
     deduction.
 
-    Plan: requests that need stock are hash-partitioned by material, sorted
-    and folded in one pass (``greedy_deduction``): one shuffle. A partial
-    aggregate per material finds the hot ones (more than ``hot_rows``
-    requests, a bounded list), which are split across tasks. With
-    ``fast_path`` materials whose total demand fits the opening stock are
-    accepted by the aggregate + a join and only contested ones are folded;
-    that pays two more shuffles to save fold work, which helps only when
-    most materials are uncontested (at sf0.1 nearly all are: 1.7 s with it,
-    1.1 s without).
+    Requests that need stock take ``greedy_deduction``, one plan for materials of
+    any size; requests without material are kept out of the one hot null key.
     """
     order = list(order)
     r = requests.select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), *[
         c for c in order if c != "req_id"])
     opening = stock.select(F.col("id").alias("_sid"), F.col("quantite").cast("long").alias("opening"))
-    j = r.join(opening, r.stock_id == opening._sid, "left")
+    j = left_join_spread_nulls(r, opening, "stock_id", "_sid")
     known = F.col("_sid").isNotNull()
     needs = known & (F.col("qte") > 0)
 
@@ -50,21 +40,7 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
         F.when(F.col("stock_id").isNotNull() & ~known, F.lit(REASON_UNKNOWN)).alias("motif"))
 
     want = j.where(needs)
-    totals = want.groupBy("stock_id").agg(F.sum("qte").alias("_total"),
-                                          F.first("opening").alias("_open"),
-                                          F.count(F.lit(1)).alias("_n"))
-    contested = F.col("_total") > F.col("_open")
-    # at most rows / hot_rows materials can be hot: a bounded list
-    hot = [x.stock_id for x in totals.where(contested & (F.col("_n") > hot_rows))
-           .select("stock_id").collect()]
-    if fast_path:
-        tagged = want.join(totals.select("stock_id", contested.alias("_contested")), "stock_id")
-        easy = tagged.where(~F.col("_contested")).select(
-            "req_id", "stock_id", "qte", F.lit(True).alias("accepted"),
-            F.lit(None).cast("string").alias("motif"))
-        free = free.unionByName(easy)
-        want = tagged.where(F.col("_contested"))
-    folded = greedy_deduction(want, order, hot)
+    folded = greedy_deduction(want, order)
     hard_out = folded.select("req_id", "stock_id", "qte", "accepted",
                              F.when(~F.col("accepted"), F.lit(REASON_SHORT)).alias("motif"))
     return free.unionByName(hard_out)

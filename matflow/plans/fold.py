@@ -2,37 +2,55 @@
 
 Both rules are sequential within a key: the outcome of a row depends on the
 state left by the rows before it, so no running sum or window aggregate can
-express them.
-
-* Ordinary keys: rows are hash-partitioned by key and sorted within each
-  partition; ``mapInPandas`` walks each partition batch by batch, carrying
-  the state of the current key across Arrow batches. Memory stays at one
-  batch plus one state record: no key's rows are collected into a list.
-* Hot keys (named by the caller from a partial aggregate): rows are
-  range-partitioned on (key, order) so a hot key spans several partitions
-  (``_range_split``). Each spanning segment computes its transfer table
-  (exit state as a function of entry state, over a small finite set of entry
-  classes), the tables are chained in partition order to get every
-  segment's exact entry state, and all partitions then fold in parallel.
+express them. One plan serves keys of every size:
+
+* Rows are range-partitioned on (key, order), sorted and checkpointed
+  (``_range_split``), so a key with any share of the rows spans as many
+  partitions as it fills.
+* Only the first and the last key of a partition can span. Each segment of a
+  spanning key computes its transfer table (exit state as a function of entry
+  state); the tables of a key, one row per partition, are chained in partition
+  order, and the entry states (at most two rows per partition) are joined back.
+* Then all segments are folded at the same time from their entry states:
+  ``mapInPandas`` walks the sorted rows batch by batch, carrying one state
+  record; segments whose outcome needs no fold never enter Python.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 
-def _sorted_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    # no explicit partition count: AQE may coalesce small partitions (fewer
-    # Python tasks on small data), large data keeps the configured count
-    return df.repartition(key).sortWithinPartitions(key, *order)
+def _range_split(r: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, list]:
+    """Range-partition on (key, order), sort, tag each row with its partition
+    and checkpoint (fixing partition membership for the passes that follow).
+    Returns the checkpointed rows and the keys whose rows span more than one
+    partition: found in one pass over the partitions' first and last keys, at
+    most one per partition boundary."""
+    ensure_checkpoint_dir(r.sparkSession)
+    s = (r.repartitionByRange(key, *order)
+         .sortWithinPartitions(key, *order)
+         .withColumn("_p", F.spark_partition_id()))
+    s = s.checkpoint(eager=True)
+    ends = s.groupBy("_p").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("_p").collect()
+    return s, sorted({x.hi for x, y in zip(ends, ends[1:]) if x.hi == y.lo})
+
+
+def _rows_of(s: DataFrame, key: str, spanning: list) -> DataFrame:
+    """The rows of the spanning keys (at most one key per partition boundary, so
+    their broadcast is bounded by the number of partitions)."""
+    keys = s.sparkSession.createDataFrame([(k,) for k in spanning], T.StructType([s.schema[key]]))
+    return s.join(F.broadcast(keys), key, "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -49,148 +67,151 @@ DEDUCTION_SCHEMA = T.StructType([
 ])
 
 
-def _deduct_fn(starts: dict):
-    """Sequential greedy fold over a key-sorted partition. ``starts`` gives
-    the stock on entry of a (key, partition) segment that does not begin
-    its key (see ``greedy_deduction``); otherwise a key starts at its
-    opening stock."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, remaining = None, 0
-        for b in batches:
-            keys = b["stock_id"].to_numpy()
-            wanted = b["qte"].to_numpy(dtype=np.int64)
-            opening = b["opening"].to_numpy(dtype=np.int64)
-            parts = b["_p"].to_numpy() if "_p" in b.columns else np.zeros(len(b), dtype=np.int64)
-            n = len(b)
-            acc = np.zeros(n, dtype=bool)
-            before = np.zeros(n, dtype=np.int64)
-            after = np.zeros(n, dtype=np.int64)
-            for i in range(n):
-                k = keys[i]
-                if k != cur_key:
-                    cur_key = k
-                    remaining = int(starts.get((int(k), int(parts[i])), opening[i]))
-                before[i] = remaining
-                w = int(wanted[i])
-                if remaining >= w:
-                    remaining -= w
-                    acc[i] = True
-                after[i] = remaining
-            yield pd.DataFrame({"req_id": b["req_id"].to_numpy(dtype=np.int64),
-                                "stock_id": keys.astype(np.int64), "qte": wanted, "accepted": acc,
-                                "disponible": before, "restant": after})
-    return run
+def _deduct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequential greedy fold over rows sorted by (material, partition, order);
+    a segment begins with its entry stock ``_start``."""
+    segment, remaining = None, 0
+    for b in batches:
+        keys, parts = b["stock_id"].to_numpy(), b["_p"].to_numpy()
+        wanted = b["qte"].to_numpy(dtype=np.int64)
+        start = b["_start"].to_numpy(dtype=np.int64)
+        n = len(b)
+        acc = np.zeros(n, dtype=bool)
+        before = np.zeros(n, dtype=np.int64)
+        after = np.zeros(n, dtype=np.int64)
+        for i in range(n):
+            if (keys[i], parts[i]) != segment:
+                segment, remaining = (keys[i], parts[i]), int(start[i])
+            before[i] = remaining
+            w = int(wanted[i])
+            if remaining >= w:
+                remaining -= w
+                acc[i] = True
+            after[i] = remaining
+        yield pd.DataFrame({"req_id": b["req_id"].to_numpy(dtype=np.int64),
+                            "stock_id": keys.astype(np.int64), "qte": wanted, "accepted": acc,
+                            "disponible": before, "restant": after})
 
 
-_deduct_batches = _deduct_fn({})
-
 TABLE_SCHEMA = T.StructType([
     T.StructField("stock_id", T.LongType()),
     T.StructField("_p", T.IntegerType()),
     T.StructField("opening", T.LongType()),
-    T.StructField("table", T.ArrayType(T.LongType())),
+    T.StructField("cap", T.LongType()),
+    T.StructField("full", T.LongType()),
+    T.StructField("full_exit", T.LongType()),
+    T.StructField("at", T.ArrayType(T.LongType())),
+    T.StructField("taken", T.ArrayType(T.LongType())),
 ])
 
 
-def _transfer_tables_fn(spanning: set):
-    """For each segment of a spanning key, the table remaining-after as a
-    function of remaining-before, over 0..opening (vectorised per request)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict = {}
-        for b in batches:
-            sub = b[b["stock_id"].isin(spanning)]
-            for k, p, w, o in zip(sub["stock_id"].to_numpy(), sub["_p"].to_numpy(),
-                                  sub["qte"].to_numpy(dtype=np.int64), sub["opening"].to_numpy()):
-                key = (int(k), int(p))
-                t = tables.get(key)
-                if t is None:
-                    t = np.arange(int(o) + 1, dtype=np.int64)
-                tables[key] = np.where(t >= w, t - w, t)
-        if tables:
-            yield pd.DataFrame({
-                "stock_id": [k for k, _ in tables], "_p": [p for _, p in tables],
-                "opening": [len(t) - 1 for t in tables.values()],
-                "table": [t.tolist() for t in tables.values()]})
-    return run
-
-
-TABLE_LIMIT = 1024
-
-
-def greedy_deduction(requests: DataFrame, order: list[str], hot_keys=(),
-                     table_limit: int = TABLE_LIMIT) -> DataFrame:
+class DeductionTable:
+    """Exit stock of a segment for every entry stock in [0, cap): pieces that begin
+    at ``at`` and lose ``taken``; and for the one entry ``full`` of a material of
+    which nothing was refused before."""
+
+    def __init__(self, cap: int, full: int):
+        self.cap, self.full, self.full_exit = cap, full, full
+        self.at, self.taken = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, w: int) -> None:
+        if self.full_exit >= w:
+            self.full_exit -= w
+        # a piece that holds the entry stock w + taken is cut there
+        cut = w + self.taken
+        ends = np.append(self.at[1:], self.cap)
+        inside = np.flatnonzero((cut > self.at) & (cut < ends))
+        if len(inside):
+            self.at = np.insert(self.at, inside + 1, cut[inside])
+            self.taken = np.insert(self.taken, inside + 1, self.taken[inside])
+        self.taken = np.where(self.at - self.taken >= w, self.taken + w, self.taken)
+        same = np.flatnonzero(np.diff(self.taken) == 0) + 1
+        if len(same):
+            self.at, self.taken = np.delete(self.at, same), np.delete(self.taken, same)
+
+
+def _deduction_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    done, segment, table = [], None, None
+
+    def row():
+        return {"stock_id": segment[0], "_p": segment[1], "opening": opening, "cap": table.cap,
+                "full": table.full, "full_exit": table.full_exit,
+                "at": table.at.tolist(), "taken": table.taken.tolist()}
+    for b in batches:
+        for k, p, w, o, cap, full in zip(*(b[c].to_numpy() for c in
+                                           ("stock_id", "_p", "qte", "opening", "cap", "full"))):
+            if (int(k), int(p)) != segment:
+                if segment is not None:
+                    done.append(row())
+                segment, opening, table = (int(k), int(p)), int(o), DeductionTable(int(cap), int(full))
+            table.add(int(w))
+    if segment is not None:
+        done.append(row())
+    if done:
+        yield pd.DataFrame(done)
+
+
+def _chain_deductions(segments: pd.DataFrame) -> pd.DataFrame:
+    """Entry stock of each segment of one spanning material."""
+    s = segments.sort_values("_p")
+    remaining, starts = int(s["opening"].iloc[0]), []
+    for x in s.itertuples(index=False):
+        starts.append(remaining)
+        if remaining == x.full:
+            remaining = int(x.full_exit)
+        else:
+            at = list(x.at)
+            remaining -= int(x.taken[bisect_right(at, remaining) - 1])
+    return pd.DataFrame({"stock_id": s["stock_id"], "_p": s[s.columns[1]], "_start": starts})
+
+
+def _deduction_starts(s: DataFrame, spanning: list) -> DataFrame:
+    """(stock_id, _p, _start) of every segment of the spanning materials.
+
+    Once a request of w was refused, less than w is left, and it only falls. So a
+    segment is entered either with the opening stock less all earlier requests
+    (``full``), or with less than the material's largest request (``cap``): its
+    table covers just these, by break points."""
+    rows = _rows_of(s, "stock_id", spanning)
+    sums = rows.groupBy("stock_id", "_p").agg(
+        F.sum("qte").alias("total"), F.max("qte").alias("top"), F.first("opening").alias("_o"))
+    before = Window.partitionBy("stock_id").orderBy("_p")
+    known = sums.select(
+        "stock_id", "_p", F.max("top").over(Window.partitionBy("stock_id")).alias("cap"),
+        (F.col("_o") - (F.sum("total").over(before) - F.col("total"))).alias("full"))
+    # one row per segment of a spanning material: at most two per partition
+    tables = (rows.join(F.broadcast(known), ["stock_id", "_p"])
+              .mapInPandas(_deduction_tables, TABLE_SCHEMA))
+    return tables.groupBy("stock_id").applyInPandas(_chain_deductions, "stock_id long, _p int, _start long")
+
+
+def greedy_deduction(requests: DataFrame, order: list[str]) -> DataFrame:
     """``requests``: req_id, stock_id, qte (> 0), opening, plus ``order``
     columns giving the arrival order within a material (ties broken by the
     last of them, which must be unique). Returns req_id, stock_id, qte,
     accepted, the amount available before the request and what remains.
 
-    Most materials take the hash-partitioned fold: one shuffle, one pass,
-    memory of one Arrow batch, one task per material. Materials named in
-    ``hot_keys`` (the caller finds them with an aggregate; there are at most
-    rows / threshold of them) with an opening stock up to ``table_limit`` are
-    split across tasks instead (``_chunked_deduction``), so one material
-    holding a large share of the requests does not serialise the job.
-    """
+    Every segment gets its entry stock; one whose demand fits it is accepted by a
+    running sum, the others are folded (see the module's text)."""
     cols = ["req_id", "stock_id", "qte", "opening", *[c for c in order if c not in
                                                        ("req_id", "stock_id", "qte", "opening")]]
-    r = requests.select(*cols)
-    hot_keys = list(hot_keys)
-    if not hot_keys:
-        return _sorted_by_key(r, "stock_id", order).mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
-    split = F.col("stock_id").isin(hot_keys) & (F.col("opening") <= table_limit)
-    rest = _sorted_by_key(r.where(~split), "stock_id", order).mapInPandas(_deduct_batches, DEDUCTION_SCHEMA)
-    return _chunked_deduction(r.where(split), order).unionByName(rest)
-
-
-def _range_split(r: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, set]:
-    """Range-partition on (key, order), sort, tag each row with its partition
-    and checkpoint (fixing partition membership for the passes that follow).
-    Returns the checkpointed rows and the keys whose rows span more than one
-    partition; only the first or last key of a partition can span, so the
-    set is bounded by twice the partition count."""
-    spark = r.sparkSession
-    ensure_checkpoint_dir(spark)
-    s = (r.repartitionByRange(key, *order)
-         .sortWithinPartitions(key, *order)
-         .withColumn("_p", F.spark_partition_id()))
-    s = s.checkpoint(eager=True)
-    bounds = [(x["_p"], x["lo"], x["hi"]) for x in
-              s.groupBy("_p").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()]
-    parts_of: dict = {}
-    for _, lo, hi in bounds:
-        for k in {lo, hi}:
-            parts_of.setdefault(k, set()).update(q for q, lo2, hi2 in bounds if lo2 <= k <= hi2)
-    return s, {k for k, ps in parts_of.items() if len(ps) > 1}
-
-
-def _chunked_deduction(r: DataFrame, order: list[str]) -> DataFrame:
-    """Exact greedy fold of hot materials split over tasks.
-
-    Rows are range-partitioned on (material, order) and checkpointed, so a
-    hot material spans several partitions. For each segment of a spanning
-    material the transfer table (stock after the segment as a function of
-    stock before it, ``opening + 1`` numbers, computed vectorised) is built;
-    chaining the tables in partition order gives each segment's entry stock,
-    and then every partition folds its rows in parallel. There are at most
-    two segments of spanning materials per partition, so the collected
-    tables are bounded by the partition count, not by the data.
-    """
-    s, spanning = _range_split(r, "stock_id", order)
-    starts: dict = {}
+    s, spanning = _range_split(requests.select(*cols), "stock_id", order)
     if spanning:
-        rows = s.mapInPandas(_transfer_tables_fn(spanning), TABLE_SCHEMA).collect()
-        by_key: dict = {}
-        for x in rows:
-            by_key.setdefault(x["stock_id"], []).append((x["_p"], x["table"], x["opening"]))
-        for k, segs in by_key.items():
-            segs.sort()
-            rem = segs[0][2]
-            for p, table, _ in segs:
-                starts[(k, p)] = rem
-                rem = table[rem]
-    return s.mapInPandas(_deduct_fn(starts), DEDUCTION_SCHEMA)
+        starts = F.broadcast(_deduction_starts(s, spanning))   # at most two rows per partition
+        s = (s.join(starts, ["stock_id", "_p"], "left")
+             .withColumn("_start", F.coalesce("_start", "opening")))
+    else:
+        s = s.withColumn("_start", F.col("opening"))
+    segment = Window.partitionBy("stock_id", "_p")
+    s = s.withColumn("_total", F.sum("qte").over(segment))
+    fits = F.col("_total") <= F.col("_start")
+    used = F.sum("qte").over(segment.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    easy = s.where(fits).withColumn("_used", used).select(
+        "req_id", "stock_id", "qte", F.lit(True).alias("accepted"),
+        (F.col("_start") - F.col("_used") + F.col("qte")).alias("disponible"),
+        (F.col("_start") - F.col("_used")).alias("restant"))
+    hard = s.where(~fits).sortWithinPartitions("stock_id", "_p", *order).mapInPandas(_deduct, DEDUCTION_SCHEMA)
+    return easy.unionByName(hard)
 
 
 # ---------------------------------------------------------------------------
@@ -207,6 +228,9 @@ LOCKOUT_SCHEMA = T.StructType([
     T.StructField("bloque_jusqu", T.TimestampNTZType()),
 ])
 
+# the ``_u`` of a state without a lock
+NO_LOCK = -(1 << 62)
+
 OUTCOME_OK = "OK"
 OUTCOME_FAILED = "ECHEC"
 OUTCOME_LOCKED = "BLOQUE"
@@ -227,33 +251,26 @@ def lockout_step(state: tuple, ts, success: bool, max_failures: int, lock):
     return (count, until), OUTCOME_FAILED
 
 
-def _lockout_fn(max_failures: int, lock_minutes: float, starts: dict | None = None):
-    """Sequential lockout over a user-sorted partition; ``starts`` gives the
-    (count, locked-until in us) on entry of a (user, partition) segment that
-    does not begin its user."""
+def _lockout(max_failures: int, lock_minutes: float):
+    """Sequential lockout over rows sorted by (user, partition, order); a segment
+    begins with its entry state ``_c`` (count) and ``_u`` (locked until, us)."""
     lock = np.timedelta64(int(lock_minutes * 60_000_000), "us")
-    starts = starts or {}
-
-    def entry(k, p):
-        st = starts.get((int(k), int(p)))
-        if st is None:
-            return (0, None)
-        return (st[0], None if st[1] is None else np.datetime64(int(st[1]), "us"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, state = None, (0, None)
+        segment, state = None, (0, None)
         for b in batches:
-            keys = b["user_id"].to_numpy()
+            keys, parts = b["user_id"].to_numpy(), b["_p"].to_numpy()
             ts = b["ts"].to_numpy().astype("datetime64[us]")
             ok = b["success"].to_numpy(dtype=bool)
-            parts = b["_p"].to_numpy() if "_p" in b.columns else np.zeros(len(b), dtype=np.int64)
+            c0, u0 = b["_c"].to_numpy(), b["_u"].to_numpy()
             n = len(b)
             outcome = np.empty(n, dtype=object)
             count = np.zeros(n, dtype=np.int32)
             until = np.full(n, np.datetime64("NaT"), dtype="datetime64[us]")
             for i in range(n):
-                if keys[i] != cur_key:
-                    cur_key, state = keys[i], entry(keys[i], parts[i])
+                if (keys[i], parts[i]) != segment:
+                    segment = (keys[i], parts[i])
+                    state = (int(c0[i]), None if u0[i] == NO_LOCK else np.datetime64(int(u0[i]), "us"))
                 state, outcome[i] = lockout_step(state, ts[i], bool(ok[i]), max_failures, lock)
                 count[i] = state[0]
                 if state[1] is not None:
@@ -271,7 +288,7 @@ U_NONE, U_CARRY, U_SET = 0, 1, 2
 
 LOCK_TABLE_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("_p", T.IntegerType()),
-    T.StructField("first_ts", T.ArrayType(T.LongType())),
+    T.StructField("ts0", T.LongType()), T.StructField("l_at", T.ArrayType(T.LongType())),
     T.StructField("e_c", T.ArrayType(T.IntegerType())), T.StructField("e_kind", T.ArrayType(T.IntegerType())),
     T.StructField("e_u", T.ArrayType(T.LongType())),
     T.StructField("l_c", T.ArrayType(T.IntegerType())), T.StructField("l_kind", T.ArrayType(T.IntegerType())),
@@ -285,38 +302,42 @@ class _LockSegment:
     An entry state either has no active lock (class E_c: count c, any
     expired lock end) or has a lock covering the first k tries (class L_k;
     its count is then 0, since a lock resets the count and refused tries do
-    not count). All classes are run in lockstep; runs whose states become
-    equal are merged, so the work per try is the number of distinct states
-    (small), not the number of classes. Only the first tries within one lock
-    period of the segment start are kept (they decide k)."""
+    not count). All classes are run in lockstep, and classes whose states become
+    equal are merged. A locked state waits, in order of its end, until a try comes
+    after that, so a try only touches the few states that are not locked. Only the
+    tries within one lock period of the segment's start matter for k."""
 
     def __init__(self, key, part, ts0, max_failures, lock_us):
         self.key, self.part, self.ts0 = key, part, ts0
         self.m, self.lock = max_failures, lock_us
         self.first_ts: list = []
         self.runs: dict = {(c, U_CARRY, 0): [("E", c)] for c in range(max_failures)}
+        self.locked: deque = deque()     # (end, classes), ends rising
         self.n = 0
 
-    def _step(self, state, ts, ok):
-        c, kind, u = state
-        if kind == U_SET and ts < u:
-            return state
-        if ok:
-            return (0, U_NONE, 0)
-        c += 1
-        if c >= self.m:
-            return (0, U_SET, ts + self.lock)
-        return (c, kind, u)
-
     def add(self, ts, ok):
-        if self.n >= 1 and self.first_ts and len(self.first_ts) == self.n:
+        if self.n >= 1 and len(self.first_ts) == self.n:
             # the lock covered the tries so far: class L_n joins, count 0
             self.runs.setdefault((0, U_CARRY, 0), []).append(("L", self.n))
         if ts < self.ts0 + self.lock:
             self.first_ts.append(ts)
+        while self.locked and self.locked[0][0] <= ts:
+            end, classes = self.locked.popleft()
+            self.runs.setdefault((0, U_SET, end), []).extend(classes)
         nxt: dict = {}
-        for st, classes in self.runs.items():
-            nxt.setdefault(self._step(st, ts, ok), []).extend(classes)
+        for (c, kind, u), classes in self.runs.items():
+            if not ok and c + 1 >= self.m:
+                end = ts + self.lock
+                if self.locked and self.locked[-1][0] == end:
+                    self.locked[-1][1].extend(classes)
+                else:
+                    self.locked.append((end, list(classes)))
+                continue
+            state = (0, U_NONE, 0) if ok else (c + 1, kind, u)
+            if state in nxt:
+                nxt[state].extend(classes)
+            else:
+                nxt[state] = classes
         self.runs = nxt
         self.n += 1
 
@@ -325,28 +346,32 @@ class _LockSegment:
             self.runs.setdefault((0, U_CARRY, 0), []).append(("L", self.n))
         e = [None] * self.m
         lk = [None] * len(self.first_ts)
-        for st, classes in self.runs.items():
+        ends = [((0, U_SET, end), classes) for end, classes in self.locked]
+        for st, classes in [*self.runs.items(), *ends]:
             for kind, i in classes:
                 if kind == "E":
                     e[i] = st
                 else:
                     lk[i - 1] = st
-        return {"user_id": int(self.key), "_p": int(self.part), "first_ts": list(self.first_ts),
+        # L_k stands for lock ends after first_ts[k - 1]: kept where the state changes
+        keep = [i for i in range(len(lk)) if i == 0 or lk[i] != lk[i - 1]]
+        return {"user_id": int(self.key), "_p": int(self.part), "ts0": int(self.ts0),
+                "l_at": [self.first_ts[i] for i in keep],
                 "e_c": [x[0] for x in e], "e_kind": [x[1] for x in e], "e_u": [x[2] for x in e],
-                "l_c": [x[0] for x in lk], "l_kind": [x[1] for x in lk], "l_u": [x[2] for x in lk]}
+                "l_c": [lk[i][0] for i in keep], "l_kind": [lk[i][1] for i in keep],
+                "l_u": [lk[i][2] for i in keep]}
 
 
-def _lockout_tables_fn(spanning: set, max_failures: int, lock_minutes: float):
+def _lockout_tables(max_failures: int, lock_minutes: float):
     lock_us = int(lock_minutes * 60_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, seg = [], None
         for b in batches:
-            sub = b[b["user_id"].isin(spanning)]
-            us = sub["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            for k, p, t, ok in zip(sub["user_id"].to_numpy(), sub["_p"].to_numpy(), us,
-                                   sub["success"].to_numpy(dtype=bool)):
-                if seg is None or seg.key != k:
+            us = b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            for k, p, t, ok in zip(b["user_id"].to_numpy(), b["_p"].to_numpy(), us,
+                                   b["success"].to_numpy(dtype=bool)):
+                if seg is None or (seg.key, seg.part) != (k, p):
                     if seg is not None:
                         out.append(seg.finish())
                     seg = _LockSegment(k, p, int(t), max_failures, lock_us)
@@ -358,47 +383,34 @@ def _lockout_tables_fn(spanning: set, max_failures: int, lock_minutes: float):
     return run
 
 
-def _chain_lock_tables(rows) -> dict:
-    """Entry state of every segment of a spanning user, in partition order."""
-    from bisect import bisect_left
-    by_user: dict = {}
-    for x in rows:
-        by_user.setdefault(x["user_id"], []).append(x)
-    starts: dict = {}
-    for user, segs in by_user.items():
-        segs.sort(key=lambda x: x["_p"])
-        c, u = 0, None
-        for x in segs:
-            starts[(user, x["_p"])] = (c, u)
-            ts0 = x["first_ts"][0]
-            if u is None or u <= ts0:
-                c2, kind, uv = x["e_c"][c], x["e_kind"][c], x["e_u"][c]
-            else:
-                k = bisect_left(x["first_ts"], u)
-                c2, kind, uv = x["l_c"][k - 1], x["l_kind"][k - 1], x["l_u"][k - 1]
-            c, u = c2, (None if kind == U_NONE else u if kind == U_CARRY else uv)
-    return starts
-
-
-def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float,
-                 hot_keys=()) -> DataFrame:
-    """``attempts``: event_id (unique), user_id, ts, success.
-
-    Users take the hash-partitioned fold (one task per user, memory of one
-    batch); users named in ``hot_keys`` are range-split over tasks with the
-    transfer tables of ``_LockSegment`` and folded in parallel, exactly."""
-    a = attempts.select("event_id", "user_id", "ts", "success")
-    hot_keys = list(hot_keys)
-    rest = a if not hot_keys else a.where(~F.col("user_id").isin(hot_keys))
-    out = _sorted_by_key(rest, "user_id", ["ts", "event_id"]) \
-        .mapInPandas(_lockout_fn(max_failures, lock_minutes), LOCKOUT_SCHEMA)
-    if not hot_keys:
-        return out
-    s, spanning = _range_split(a.where(F.col("user_id").isin(hot_keys)), "user_id", ["ts", "event_id"])
-    starts: dict = {}
+def _chain_locks(segments: pd.DataFrame) -> pd.DataFrame:
+    """Entry state of each segment of one spanning user, in partition order."""
+    s = segments.sort_values("_p")
+    c, u, counts, untils = 0, NO_LOCK, [], []
+    for x in s.to_dict("records"):
+        counts.append(c)
+        untils.append(u)
+        if u <= x["ts0"]:
+            c, kind, end = x["e_c"][c], x["e_kind"][c], x["e_u"][c]
+        else:
+            k = bisect_left(list(x["l_at"]), u) - 1
+            c, kind, end = x["l_c"][k], x["l_kind"][k], x["l_u"][k]
+        u = NO_LOCK if kind == U_NONE else u if kind == U_CARRY else int(end)
+    return pd.DataFrame({"user_id": s["user_id"], "_p": s["_p"], "_c": counts, "_u": untils})
+
+
+def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float) -> DataFrame:
+    """``attempts``: event_id (unique), user_id, ts, success. Every user is folded
+    in segments from their exact entry states (see the module's text)."""
+    s, spanning = _range_split(attempts.select("event_id", "user_id", "ts", "success"),
+                               "user_id", ["ts", "event_id"])
     if spanning:
-        rows = s.mapInPandas(_lockout_tables_fn(spanning, max_failures, lock_minutes),
-                             LOCK_TABLE_SCHEMA).collect()
-        starts = _chain_lock_tables(rows)
-    hot = s.mapInPandas(_lockout_fn(max_failures, lock_minutes, starts), LOCKOUT_SCHEMA)
-    return hot.unionByName(out)
+        tables = _rows_of(s, "user_id", spanning).mapInPandas(
+            _lockout_tables(max_failures, lock_minutes), LOCK_TABLE_SCHEMA)
+        starts = tables.groupBy("user_id").applyInPandas(_chain_locks, "user_id long, _p int, _c int, _u long")
+        # at most two rows per partition
+        s = (s.join(F.broadcast(starts), ["user_id", "_p"], "left")
+             .withColumn("_c", F.coalesce("_c", F.lit(0))).withColumn("_u", F.coalesce("_u", F.lit(NO_LOCK))))
+    else:
+        s = s.withColumn("_c", F.lit(0)).withColumn("_u", F.lit(NO_LOCK))
+    return s.mapInPandas(_lockout(max_failures, lock_minutes), LOCKOUT_SCHEMA)

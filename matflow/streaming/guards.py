@@ -36,20 +36,14 @@ def login_rate_windows(attempts: DataFrame, width: str = C.RATE_WINDOW,
     return _windowed(attempts.where(~F.col("success")), width, ["user_id"], limit)
 
 
-HOT_ROWS = 100_000
-
-
 def login_lockout(attempts: DataFrame, max_failures: int = C.MAX_FAILURES,
-                  lock_minutes: float = C.LOCK_MINUTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  lock_minutes: float = C.LOCK_MINUTES) -> DataFrame:
     """Per user in time order, the n-th failure in a row locks the account
     and resets the count; tries while locked are refused and not counted; a
     success resets everything. One row per try.
 
-    Users with more than ``hot_rows`` tries (at most rows / hot_rows of them,
-    found by a partial aggregate) are split across tasks exactly."""
-    hot = [r.user_id for r in attempts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") > hot_rows).select("user_id").collect()]
-    return lockout_fold(attempts, max_failures, lock_minutes, hot)
+    A user with any share of the tries is split over tasks, exactly."""
+    return lockout_fold(attempts, max_failures, lock_minutes)
 
 
 def server_error_windows(log: DataFrame, width: str = C.RATE_WINDOW) -> DataFrame:

@@ -1,11 +1,15 @@
 """Property tests of the ordered folds against plain sequential loops."""
 import datetime as dt
+import random
+from bisect import bisect_right
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from matflow.operators import ledger
+from matflow.plans import fold
 from matflow.streaming import guards
 
 
@@ -39,12 +43,11 @@ def test_greedy_matches_loop(spark, opening, reqs):
     rows = [(i, sid, q, dt.date(2024, 1, 1) + dt.timedelta(days=i // 3)) for i, (sid, q) in enumerate(reqs)]
     r = spark.createDataFrame(rows, "req_id long, stock_id long, qte int, date_prod date")
     want, rem = greedy_loop({i + 1: q for i, q in enumerate(opening)}, [(i, s, q) for i, s, q, _ in rows])
-    for fast in (False, True):
-        dec = ledger.consume_stock(r, stock, fast_path=fast)
-        got = {x.req_id: (x.accepted, x.motif) for x in dec.collect()}
-        assert got == want
-        after = {x.id: x.quantite for x in ledger.stock_after_consumption(stock, dec).collect()}
-        assert after == rem and all(v >= 0 for v in after.values())
+    dec = ledger.consume_stock(r, stock)
+    got = {x.req_id: (x.accepted, x.motif) for x in dec.collect()}
+    assert got == want
+    after = {x.id: x.quantite for x in ledger.stock_after_consumption(stock, dec).collect()}
+    assert after == rem and all(v >= 0 for v in after.values())
 
 
 def lockout_loop(tries, max_failures=6, lock=dt.timedelta(minutes=20)):
@@ -112,48 +115,55 @@ def test_rate_limit_fixture(spark):
     assert w.where("depasse").count() == 1739
 
 
-def test_hot_material_split_across_tasks(spark, no_coalesce):
-    """One material holds a third of all requests: it is range-split over
-    several partitions and still folds exactly like the sequential loop;
-    a material above the table limit takes the hash path."""
-    import random
-    from matflow.plans import fold
+@pytest.mark.parametrize("opening", [{1: 900, 2: 40, 3: 5000}, {1: 1_000_000, 2: 0, 3: 60},
+                                     {1: 3000, 2: 7, 3: 10**12}])
+def test_hot_material_split_across_tasks(spark, no_coalesce, opening):
+    """One material holds most requests: it spans several tasks, whether its stock
+    is small, just short of the demand, a million or enough for all, and folds
+    exactly like the sequential loop."""
     rnd = random.Random(7)
-    opening = {1: 900, 2: 40, 3: 5000}
     rows = []
     for i in range(1800):
-        sid = 1 if i % 3 == 0 else rnd.choice([2, 3, 4])
-        rows.append((i, sid, rnd.randint(1, 9), dt.date(2024, 1, 1) + dt.timedelta(days=i // 50)))
+        sid = 1 if i % 3 else rnd.choice([2, 3, 4])
+        q = rnd.randint(1, 9) if i % 50 else rnd.randint(500, 2000)
+        rows.append((i, sid, q, dt.date(2024, 1, 1) + dt.timedelta(days=i // 50)))
     stock = spark.createDataFrame([(k, f"m{k}", v) for k, v in opening.items()],
-                                  "id long, materiel string, quantite int")
+                                  "id long, materiel string, quantite long")
     r = spark.createDataFrame(rows, "req_id long, stock_id long, qte int, date_prod date")
     want, _ = greedy_loop(opening, [(i, s, q) for i, s, q, _ in rows])
-    got = {x.req_id: (x.accepted, x.motif) for x in ledger.consume_stock(r, stock, hot_rows=100).collect()}
+    got = {x.req_id: (x.accepted, x.motif) for x in ledger.consume_stock(r, stock).collect()}
     assert got == want
-    # the hot material really spans partitions in the chunked path
-    req = (r.where("stock_id = 1").withColumn("opening", F.lit(900).cast("long"))
-           .withColumn("qte", F.col("qte").cast("long")))
-    parts = fold._chunked_deduction(req.select("req_id", "stock_id", "qte", "opening", "date_prod"),
-                                    ["date_prod", "req_id"])
-    assert parts.count() == 600
-    _, spanning = fold._range_split(req.select("req_id", "stock_id", "qte", "opening", "date_prod"),
-                                    "stock_id", ["date_prod", "req_id"])
-    assert spanning == {1}
-    assert fold.TABLE_LIMIT < 5000
+    req = r.select("req_id", "stock_id", "qte", F.lit(1).alias("opening"), "date_prod").where("stock_id <= 3")
+    split, spanning = fold._range_split(req, "stock_id", ["date_prod", "req_id"])
+    assert 1 in spanning
+    assert split.where("stock_id = 1").select("_p").distinct().count() >= 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(wanted=st.lists(st.integers(1, 40), min_size=1, max_size=60), cap=st.integers(1, 60), full=st.integers(0, 3000))
+def test_deduction_table(wanted, cap, full):
+    table = fold.DeductionTable(cap, full)
+    for w in wanted:
+        table.add(w)
+    for entry in [*range(cap), full]:
+        left = entry
+        for w in wanted:
+            left -= w if left >= w else 0
+        if entry == full:
+            assert table.full_exit == left
+        if entry < cap:
+            assert entry - table.taken[bisect_right(table.at.tolist(), entry) - 1] == left
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(tries=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 400), st.booleans()),
                       min_size=20, max_size=160))
 def test_hot_user_lockout_split_matches(spark, no_coalesce, tries):
-    """Every user forced through the split path: same rows as the one-task
-    fold and the same outcomes as the sequential loop."""
+    """Users split over partitions: the outcomes of the sequential loop."""
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, u, t0 + dt.timedelta(minutes=m), ok) for i, (u, m, ok) in enumerate(tries)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
-    split = sorted(map(tuple, guards.login_lockout(df, hot_rows=1).collect()))
-    plain = sorted(map(tuple, guards.login_lockout(df).collect()))
-    assert split == plain
+    split = sorted(map(tuple, guards.login_lockout(df).collect()))
     assert {r[0]: r[4] for r in split} == lockout_loop(rows)
 
 
@@ -164,10 +174,18 @@ def test_hot_user_fixture(spark, no_coalesce):
     ev = spark.read.parquet(f"{SF_CHECK}/events.parquet")
     att = fixtures.login_attempts(ev).withColumn(
         "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
-    split = sorted(map(tuple, guards.login_lockout(att, hot_rows=1000).collect()))
-    plain = sorted(map(tuple, guards.login_lockout(att).collect()))
-    assert split == plain
-    from matflow.plans import fold
-    _, spanning = fold._range_split(att.where("user_id = 7").select("event_id", "user_id", "ts", "success"),
+    rows = [tuple(r) for r in att.select("event_id", "user_id", "ts", "success").collect()]
+    got = {r.event_id: r.outcome for r in guards.login_lockout(att).collect()}
+    assert got == lockout_loop(rows)
+    _, spanning = fold._range_split(att.select("event_id", "user_id", "ts", "success"),
                                     "user_id", ["ts", "event_id"])
-    assert spanning == {7}
+    assert 7 in spanning
+
+
+def test_burst_of_tries(spark, no_coalesce):
+    """A user who tries a hundred times a minute for an hour, over several tasks."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 10 else 2, t0 + dt.timedelta(milliseconds=600 * i), i % 977 == 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
+    got = {r.event_id: r.outcome for r in guards.login_lockout(df).collect()}
+    assert got == lockout_loop(rows)
