@@ -177,36 +177,36 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-RESULT = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,end:int>>,items:array<bigint>>"
+RESULT = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,end:int>>,items:array<bigint>,clean:string>"
 _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
                    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                   ("items", pa.list_(pa.int64()))])
+                   ("items", pa.list_(pa.int64())), ("clean", pa.string())])
 
 
-def _struct(n: int, spans, items) -> dict:
+def _struct(n: int, spans, items, text: str | None) -> dict:
+    """``text`` is given where the text without the hits is wanted."""
     return {"n_words": n, "n_hit": sum(z - a for a, z in spans),
-            "spans": [{"start": a, "end": z} for a, z in spans], "items": items}
+            "spans": [{"start": a, "end": z} for a, z in spans], "items": items,
+            "clean": remove_spans(text, spans) if spans else None}
 
 
-def _matcher(automaton: Automaton):
+def _matcher(automaton: Automaton, cut: bool):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_struct(*x) for x in automaton.match(texts.to_pylist())], _KIND)
+        values = texts.to_pylist()
+        return pa.array([_struct(*x, t if cut else None) for x, t in zip(automaton.match(values), values)], _KIND)
     return F.arrow_udf(run, RESULT).asNondeterministic()
 
 
-def _joined():
+def _joined(cut: bool):
     """The hits of one text by several automata, as one struct."""
-    def run(n_words: pa.Array, hits: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, hits: pa.Array) -> pa.Array:
         out = []
-        for n, found in zip(n_words.to_pylist(), hits.to_pylist()):
+        for text, found in zip(texts.to_pylist(), hits.to_pylist()):
             spans = merge_spans((s["start"], s["end"]) for f in found or [] for s in f["spans"])
-            out.append(_struct(n, spans, sorted({i for f in found or [] for i in f["items"]})))
+            out.append(_struct(len(words_of(text)), spans, sorted({i for f in found or [] for i in f["items"]}),
+                               text if cut else None))
         return pa.array(out, _KIND)
-    return F.arrow_udf(run, RESULT)
-
-
-def _count_words(texts: pa.Array) -> pa.Array:
-    return pa.array([len(words_of(t)) for t in texts.to_pylist()], pa.int64())
+    return F.arrow_udf(run, RESULT).asNondeterministic()
 
 
 def _block_of(items: DataFrame, block: int, blocks: int, window: int) -> Automaton:
@@ -214,39 +214,39 @@ def _block_of(items: DataFrame, block: int, blocks: int, window: int) -> Automat
     return Automaton([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], window)
 
 
-def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, window: int, block_chars: int) -> DataFrame:
+def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, window: int, block_chars: int,
+                cut: bool = False) -> DataFrame:
     items = (benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
              .select("item_id", "text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(-(-total // block_chars)) or 1
     if blocks == 1:
-        return docs.withColumn(name, _matcher(_block_of(items, 0, 1, window))(F.col("text")))
+        return docs.withColumn(name, _matcher(_block_of(items, 0, 1, window), cut)(F.col("text")))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     texts = docs.select(digest.alias("digest"), "text").dropDuplicates(["digest"])
     hits = None
     for b in range(blocks):
-        own = (texts.select("digest", _matcher(_block_of(items, b, blocks, window))(F.col("text")).alias("f"))
+        own = (texts.select("digest", _matcher(_block_of(items, b, blocks, window), False)(F.col("text")).alias("f"))
                .where("f.n_hit > 0"))
         own = shared_table(own, "hits")
         hits = own if hits is None else hits.unionByName(own)
     # at most one row per text and block meets here
     merged = hits.groupBy("digest").agg(F.collect_list("f").alias("f"))
-    key, n, f = fresh(docs, "__digest"), fresh(docs, "__n"), fresh(docs, "__f")
+    key, f = fresh(docs, "__digest"), fresh(docs, "__f")
     merged = merged.select(F.col("digest").alias(key), F.col("f").alias(f))
     return (docs.withColumn(key, digest).join(merged, key, "left")
-            .withColumn(n, F.arrow_udf(_count_words, "bigint")(F.col("text")))
-            .withColumn(name, _joined()(F.col(n), F.col(f))).drop(key, n, f))
+            .withColumn(name, _joined(cut)(F.col("text"), F.col(f))).drop(key, f))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                       coverage: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                       coverage: int = 20, block_chars: int = BLOCK_CHARS, cut: bool = False) -> DataFrame:
     """``docs`` with a struct column ``found`` (n_words, n_hit, spans in words,
-    items) and ``contaminated``: n_hit > 0 and coverage * n_hit >= n_words.
+    items and, with ``cut``, the text without its hits, null without any) and ``contaminated``: n_hit > 0 and coverage * n_hit >= n_words.
 
     Null text has no words and is clean; repeated rows are judged alike; an empty
     benchmark finds nothing. Clashing column names get underscores appended."""
     name, flag = fresh(docs, "found"), fresh(docs, "contaminated")
-    return (_with_found(docs, benchmark, name, window, block_chars)
+    return (_with_found(docs, benchmark, name, window, block_chars, cut)
             .withColumn(flag, (F.col(f"{name}.n_hit") > 0)
                         & (F.col(f"{name}.n_hit") * coverage >= F.col(f"{name}.n_words"))))
 
@@ -275,14 +275,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     least ``window`` words or a whole item) is removed. Columns are kept; only the
     text of such documents changes, and with it ``length_col`` if there."""
     name, flag = fresh(docs, "found"), fresh(docs, "contaminated")
-    judged = find_contamination(docs, benchmark, window, coverage).where(~F.col(flag))
-
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([remove_spans(t, [(s["start"], s["end"]) for s in f["spans"]])
-                         for t, f in zip(texts.to_pylist(), found.to_pylist())], pa.string())
-    clean = F.arrow_udf(cut, "string")
+    judged = find_contamination(docs, benchmark, window, coverage, cut=True).where(~F.col(flag))
     hit = F.col(f"{name}.n_hit") > 0
-    out = judged.withColumn("text", F.when(hit, clean(F.col("text"), F.col(name))).otherwise(F.col("text")))
+    out = judged.withColumn("text", F.when(hit, F.col(f"{name}.clean")).otherwise(F.col("text")))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(hit, F.length("text").cast(kind)).otherwise(F.col(length_col)))

@@ -65,7 +65,7 @@ class Classifier:
 
     def _rows(self, word: str) -> tuple:
         got = tuple(self.features[f] for f in (word, word[:4] + "*") if f in self.features)
-        if len(self.words) > 500_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         self.words[word] = got
         return got
@@ -149,16 +149,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return [(r.text, r.domain) for r in texts.orderBy("doc_id").collect()]
 
 
-def _posterior(model: Classifier):
-    kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
+def _posterior(model: Classifier, steps: list[list[float]] | None = None):
+    """n_tokens, p and, after given gradient steps, the rate (else null)."""
+    moves = np.array(steps or [], dtype=np.float64)
+    kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("rate", pa.float64())])
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             text = t.as_py() or ""
-            out.append({"n_tokens": len(text.split()), "p": model.posterior(text)})
+            p = model.posterior(text)
+            rate = None if steps is None else float(_fold(p[None, :], moves)[0][0]) if len(moves) else 1.0
+            out.append({"n_tokens": len(text.split()), "p": p, "rate": rate})
         return pa.array(out, kind)
-    return F.arrow_udf(run, "struct<n_tokens:bigint,p:array<double>>").asNondeterministic()
+    return F.arrow_udf(run, "struct<n_tokens:bigint,p:array<double>,rate:double>").asNondeterministic()
 
 
 def _fold(dense: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +245,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """The documents, each as many times as its rate gives; columns are kept."""
     _, model, steps = rates(docs, labels, targets)
     s, n = fresh(docs, "__s"), fresh(docs, "__copy")
-    counted = docs.withColumn(s, _posterior(model)(F.col("text")))
-    times = copies_of(rate_of(F.col(f"{s}.p"), steps), F.col("doc_id")).cast("int")
+    counted = docs.withColumn(s, _posterior(model, steps)(F.col("text")))
+    times = copies_of(F.col(f"{s}.rate"), F.col("doc_id")).cast("int")
     return (counted.withColumn(n, F.explode(F.array_repeat(F.lit(1), times)))
             .select(docs.columns))

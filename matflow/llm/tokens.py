@@ -23,6 +23,7 @@ and across files: texts are range-partitioned by doc_id before they are encoded.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -175,13 +176,19 @@ def decode(words: np.ndarray, first: np.ndarray, lengths: np.ndarray, block: int
     out = np.zeros(total + 64, dtype=np.uint64)
     for s in range(14):
         rows = np.flatnonzero((selector == s) & ~raw)
+        if not len(rows):
+            continue
         mask = np.uint64((1 << WIDTHS[s]) - 1)
-        for k in range(COUNTS[s]):
-            if not len(rows):
-                break
-            out[at[rows] + k] = (words[rows] >> np.uint64(k * WIDTHS[s])) & mask
-            if k + 1 < COUNTS[s]:
-                rows = rows[at[rows] + k + 1 < end[rows]]
+        word, place, left = words[rows], at[rows], (end - at)[rows]
+        whole = left >= COUNTS[s]
+        parts = [(word, place, None)] if whole.all() else [
+            (word[whole], place[whole], None), (word[~whole], place[~whole], left[~whole])]
+        for word, place, left in parts:
+            for k in range(COUNTS[s]):
+                if left is not None:     # the last word of a block
+                    inside = left > k
+                    word, place, left = word[inside], place[inside], left[inside]
+                out[place + k] = (word >> np.uint64(k * WIDTHS[s])) & mask
     rows = np.flatnonzero((selector == ESCAPE) & ~raw)
     out[at[rows]] = words[rows + 1]
     return out[:total]
@@ -231,10 +238,12 @@ def unpack_frames(content: bytes):
 _PLAIN = re.compile("[\t\n\r -~¡-ÿĀ-ſ–—‘-„…€]*")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _DIGIT = "0-9²³¹¼-¾"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+"
+# (words first: they never begin like a contraction)
+_PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)"
                     f"| ?[^\\t\\n\\r {_LETTER}{_DIGIT}]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+")
-#: Pieces whose ids a worker remembers, twice over.
-CACHE = 500_000
+#: Pieces whose ids a worker remembers, twice over, and those it keeps between tasks.
+CACHE = 300_000
+KEEP = 100_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -288,8 +297,14 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         if not self.by_piece or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        known = self.known
-        return b"".join([known[p] for p in _PIECE.findall(text)])
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
+
+    def trim(self) -> None:
+        """Between tasks only the pieces met first (mostly frequent ones) are kept."""
+        kept = dict(itertools.islice(self.known.items(), KEEP))
+        self.known.old = {}
+        self.known.clear()
+        self.known.update(kept)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -329,6 +344,7 @@ def _frames(tokenizer: str, end_id: int):
                     ids, parts, held = [], [], 0
         if ids:
             yield frame()
+        enc.trim()
     return run
 
 

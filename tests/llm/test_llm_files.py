@@ -79,9 +79,9 @@ def test_simple8b_round_trip(trial):
 
 
 def test_simple8b_packs_small_ids():
-    words, _ = tokens.encode(np.zeros(600, np.uint64), np.array([600]))
+    words, _ = tokens.encode(np.zeros(600, np.uint64), np.array([600]), block=1024)
     assert len(words) == 10
-    words, _ = tokens.encode(np.full(400, 40000, np.uint64), np.array([400]))
+    words, _ = tokens.encode(np.full(400, 40000, np.uint64), np.array([400]), block=1024)
     assert len(words) == 134
 
 

