@@ -49,14 +49,18 @@ def audit_versions(audit: DataFrame) -> DataFrame:
 
 
 def _capture(before: DataFrame, after: DataFrame, table: str, cols: list[str],
-             at: dt.datetime) -> DataFrame:
+             at: dt.datetime, touched: DataFrame | None = None) -> DataFrame:
     """Snapshot diff -> trigger rows: CREATE (only after), DELETE (only
-    before), UPDATE (both, some column differs null-safely)."""
+    before), UPDATE (both, some column differs null-safely, or the id is in
+    ``touched``: the trigger logs an update that changes nothing, too)."""
     other = [c for c in before.columns if c != "id"]
     b = before.select("id", *[F.col(c).alias(f"b_{c}") for c in other], F.lit(True).alias("_b"))
     a = after.select(F.col("id").alias("_aid"), *[F.col(c).alias(f"a_{c}") for c in other],
                      F.lit(True).alias("_a"))
     j = b.join(a, b.id == a._aid, "full_outer")
+    if touched is not None:
+        hit = touched.select(F.col("id").alias("_tid")).distinct().withColumn("_hit", F.lit(True))
+        j = j.join(hit, j._aid == hit._tid, "left")
     in_b, in_a = F.col("_b").isNotNull(), F.col("_a").isNotNull()
     changed = None
     for c in other:
@@ -64,7 +68,8 @@ def _capture(before: DataFrame, after: DataFrame, table: str, cols: list[str],
         changed = d if changed is None else (changed | d)
     action = (F.when(in_a & ~in_b, F.lit(C.ACTION_CREATE))
               .when(in_b & ~in_a, F.lit(C.ACTION_DELETE))
-              .when(changed, F.lit(C.ACTION_UPDATE)))
+              .when(changed if touched is None else changed | F.col("_hit").isNotNull(),
+                    F.lit(C.ACTION_UPDATE)))
     # FOR JSON keys are the column names, not the prefixed ones
     old_json = F.to_json(F.struct(*[F.col(f"b_{c}").alias(c) for c in cols]))
     new_json = F.to_json(F.struct(*[F.col(f"a_{c}").alias(c) for c in cols]))
@@ -84,14 +89,46 @@ def _capture(before: DataFrame, after: DataFrame, table: str, cols: list[str],
                     ts_lit(at).alias("timestamp")))
 
 
-def capture_stock_changes(before: DataFrame, after: DataFrame, at: dt.datetime) -> DataFrame:
+def capture_stock_changes(before: DataFrame, after: DataFrame, at: dt.datetime,
+                          touched: DataFrame | None = None) -> DataFrame:
     """Audit rows of the stock trigger for one snapshot change."""
-    return _capture(before, after, C.TABLE_STOCK, C.STOCK_AUDIT_COLUMNS, at)
+    return _capture(before, after, C.TABLE_STOCK, C.STOCK_AUDIT_COLUMNS, at, touched)
 
 
-def capture_production_changes(before: DataFrame, after: DataFrame, at: dt.datetime) -> DataFrame:
+def capture_production_changes(before: DataFrame, after: DataFrame, at: dt.datetime,
+                               touched: DataFrame | None = None) -> DataFrame:
     """Audit rows of the production trigger for one snapshot change."""
-    return _capture(before, after, C.TABLE_PRODUCTION, C.PRODUCTION_AUDIT_COLUMNS, at)
+    return _capture(before, after, C.TABLE_PRODUCTION, C.PRODUCTION_AUDIT_COLUMNS, at, touched)
+
+
+def deduction_rows(decisions: DataFrame, stock: DataFrame, at: dt.datetime) -> DataFrame:
+    """Audit rows of the stock trigger for a batch of deductions: one UPDATE per
+    accepted request that took stock, from the amount before it to the amount after
+    it, with the request's id. ``decisions``: M7 with ``levels``."""
+    took = decisions.where(F.col("accepted") & F.col("disponible").isNotNull())
+    s = stock.select(F.col("id").alias("_sid"), "materiel", "date_ajout", "updated_by")
+    j = took.join(s, took.stock_id == s._sid)
+
+    def value(level: str):
+        return F.to_json(F.struct("materiel", F.col(level).cast("int").alias("quantite"), "date_ajout"))
+    null = F.lit(None).cast("string")
+    return j.select(
+        F.coalesce("updated_by", F.lit(C.SYSTEM_USER)).alias("utilisateur"), null.alias("role_utilisateur"),
+        F.lit(C.ACTION_UPDATE).alias("action"), F.lit(C.TABLE_STOCK).alias("table_name"),
+        F.col("stock_id").alias("record_id"), value("disponible").alias("ancienne_valeur"),
+        value("restant").alias("nouvelle_valeur"), null.alias("details"), null.alias("ip_address"),
+        null.alias("user_agent"), ts_lit(at).alias("timestamp"), "req_id")
+
+
+def creation_rows(new: DataFrame, at: dt.datetime) -> DataFrame:
+    """Audit rows of the production trigger for appended jobs: one CREATE each."""
+    null = F.lit(None).cast("string")
+    return new.select(
+        F.coalesce("updated_by", F.lit(C.SYSTEM_USER)).alias("utilisateur"), null.alias("role_utilisateur"),
+        F.lit(C.ACTION_CREATE).alias("action"), F.lit(C.TABLE_PRODUCTION).alias("table_name"),
+        F.col("id").alias("record_id"), null.alias("ancienne_valeur"),
+        F.to_json(F.struct(*C.PRODUCTION_AUDIT_COLUMNS)).alias("nouvelle_valeur"), null.alias("details"),
+        null.alias("ip_address"), null.alias("user_agent"), ts_lit(at).alias("timestamp"))
 
 
 def audit_entries(actions: DataFrame, users: DataFrame) -> DataFrame:

@@ -52,14 +52,20 @@ def _latest_per_target(requests: DataFrame, cols: list[str]) -> DataFrame:
             .select("target_id", *[F.col(f"r.{c}").alias(f"_n_{c}") for c in cols]))
 
 
+def next_base(table: DataFrame, mark: int = 0) -> F.Column:
+    """The id before the next identity value: of the rows left, or ``mark``, the
+    highest id ever given (an identity value is never given again)."""
+    return table.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(mark)).cast("long")).scalar()
+
+
 def insert_stock(stock: DataFrame, inserts: DataFrame, today: dt.date,
-                 now: dt.datetime) -> DataFrame:
+                 now: dt.datetime, mark: int = 0) -> DataFrame:
     """M1: append materials with the next identity values, in ``seq`` order.
 
     max(id) is a scalar subquery; the positions come from ``dense_sequence``
     (no global window).
     """
-    base = stock.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    base = next_base(stock, mark)
     new = dense_sequence(inserts.select("seq", "materiel", "quantite", "date_ajout"), "seq", "_pos")
     rows = new.select(
         (base + F.col("_pos")).alias("id"),
@@ -111,10 +117,10 @@ def dissociated_counts(stock: DataFrame, production: DataFrame, deletes: DataFra
     return stock_usage(stock.join(d, "id", "left_semi"), production)
 
 
-def new_production_rows(production: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
+def new_production_rows(production: DataFrame, accepted: DataFrame, now: dt.datetime, mark: int = 0) -> DataFrame:
     """The rows M4 adds: accepted jobs (typed by V3, amounts by M7) with the
     next identity values in ``req_id`` order."""
-    base = production.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    base = next_base(production, mark)
     new = dense_sequence(accepted, "req_id", "_pos")
     rows = new.select(
         (base + F.col("_pos")).alias("id"), "produit", "quantite", "responsable", "date_prod",

@@ -14,7 +14,7 @@ REASON_SHORT = "stock_insuffisant"
 
 
 def consume_stock(requests: DataFrame, stock: DataFrame,
-                  order: tuple[str, ...] = ("date_prod", "req_id")) -> DataFrame:
+                  order: tuple[str, ...] = ("date_prod", "req_id"), levels: bool = False) -> DataFrame:
     """M7: per material, in arrival order, accept a request when what remains
     covers it and deduct it; otherwise reject it and leave the stock as is.
 
@@ -23,6 +23,9 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     request without material, or with an amount <= 0, is accepted without
     deduction.
 
+    With ``levels`` also ``disponible`` and ``restant``, the stock before and after
+    each request that was folded (null for the others).
+
     Requests that need stock take ``greedy_deduction``, one plan for materials of
     any size; requests without material are kept out of the one hot null key.
     """
@@ -43,6 +46,11 @@ def consume_stock(requests: DataFrame, stock: DataFrame,
     folded = greedy_deduction(want, order)
     hard_out = folded.select("req_id", "stock_id", "qte", "accepted",
                              F.when(~F.col("accepted"), F.lit(REASON_SHORT)).alias("motif"))
+    if levels:
+        hard_out = folded.select(*[F.col(c) for c in ("req_id", "stock_id", "qte", "accepted")],
+                                 F.when(~F.col("accepted"), F.lit(REASON_SHORT)).alias("motif"),
+                                 "disponible", "restant")
+        free = free.withColumns({c: F.lit(None).cast("long") for c in ("disponible", "restant")})
     return free.unionByName(hard_out)
 
 

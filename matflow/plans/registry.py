@@ -774,6 +774,25 @@ def _u2(t: Tables):
     return audit.capture_production_changes(t.production, fixtures.snapshot_after(t.production), NOW)
 
 
+def _deduction_audit_sql() -> str:
+    old = S.json_of([(k, e if k != "quantite" else "rem + CASE WHEN accepted THEN qte ELSE 0 END", kind)
+                     for k, e, kind in S.STOCK_JSON], "")
+    new = S.json_of([(k, e if k != "quantite" else "rem", kind) for k, e, kind in S.STOCK_JSON], "")
+    return S.q(S.M7_CTES + f""", d AS (SELECT f.req_id, f.stock_id, f.qte, f.accepted, f.rem, s.materiel, s.date_ajout,
+  s.updated_by FROM fold f JOIN stock s ON s.id = f.stock_id WHERE f.accepted)
+SELECT COALESCE(updated_by, '{C.SYSTEM_USER}') AS utilisateur, CAST(NULL AS VARCHAR) AS role_utilisateur,
+  'UPDATE' AS action, '{C.TABLE_STOCK}' AS table_name, stock_id AS record_id, {old} AS ancienne_valeur,
+  {new} AS nouvelle_valeur, CAST(NULL AS VARCHAR) AS details, CAST(NULL AS VARCHAR) AS ip_address,
+  CAST(NULL AS VARCHAR) AS user_agent, TIMESTAMP '{NOW}' AS "timestamp", req_id FROM d""", recursive=True)
+
+
+@register("deduction_audit", _deduction_audit_sql())
+def _u1b(t: Tables):
+    """U1 for a batch of deductions: one audit row per accepted request."""
+    dec = ledger.consume_stock(_m7_requests(t), t.stock, levels=True)
+    return audit.deduction_rows(dec, t.stock, NOW)
+
+
 def _append_sql() -> str:
     ctes, select = _capture_parts("stock", S.STOCK_JSON, C.TABLE_STOCK)
     return S.q(ctes + f", cap AS ({select})\nSELECT *, CAST(\"timestamp\" AS DATE) AS audit_date FROM cap")

@@ -23,7 +23,7 @@ from .store import SnapshotStore
 
 DOMAIN_TABLES = ("stock", "production", "audit", "users")
 # bumped when the stored layout changes, so old snapshots are not reused
-LAYOUT_VERSION = 3
+LAYOUT_VERSION = 4
 
 
 @dataclass
@@ -35,8 +35,13 @@ class Tables:
     audit: DataFrame          # schema columns plus ``audit_date`` when stored
     users: DataFrame
     store: SnapshotStore | None = None
+    head: tuple | None = None     # the version these tables are
     _raw: dict = field(default_factory=dict)
 
+    def mark(self, table: str) -> int:
+        """The highest id of ``table`` ever given, as far as commits recorded it."""
+        return self.head[4].get(table, 0) if self.head else 0
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = fixtures.read_raw(self.spark, self.sf_dir, name)
@@ -80,7 +85,7 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
                production=store.read("production", head),
                audit=store.read("audit", head),
                users=store.read("users", head),
-               store=store)
+               store=store, head=head)
     _CACHE[key] = t
     return t
 
@@ -91,7 +96,7 @@ def tables_at(spark: SparkSession, store: SnapshotStore, sf_dir: str = "") -> Ta
     if h is None:
         raise FileNotFoundError(f"no snapshot committed under {store.root}")
     return Tables(spark, sf_dir, store.read("stock", h), store.read("production", h),
-                  store.read("audit", h), store.read("users", h), store=store)
+                  store.read("audit", h), store.read("users", h), store=store, head=h)
 
 
 def fork_tables(t: Tables, root: str) -> Tables:

@@ -1,37 +1,44 @@
-"""Versioned snapshot store on a shared folder.
+"""Versioned snapshots on a shared folder.
 
 Each table has one root directory; every write goes to a fresh
-``batch=<tag>`` partition directory under it. A version is one row of a
-JSON commit log naming, per table, the batch tags that make it up, and it
-exists only once that row is written: a half-written batch is never visible,
-and a lost executor only makes Spark retry the failed write tasks. Readers
-filter on ``batch`` (partition pruning), so one scan reads a table whatever
-its number of batches.
+``batch=<tag>`` partition directory under it. A version is one small JSON file
+naming, per table, the batch tags that make it up (at most ``MAX_BATCHES``; then
+an append rewrites the table as one batch) and the highest id ever given. It
+exists only once that file is created, so a half-written batch is never visible.
+The file of the next version can be created once: a second writer who started
+from the same version fails (``ConcurrentCommit``) and must start again.
 
 A commit can rewrite a table (new tag only), keep it (the previous tags) or
 append to it (previous tags plus one): appending jobs or audit rows writes
-only the new rows, not the table. Everything goes through the DataFrame
-reader and writer, so any Hadoop file system works.
+only the new rows, not the table. Readers filter on ``batch`` (partition
+pruning).
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("tables", T.ArrayType(T.StringType())),
     T.StructField("batches", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+    T.StructField("marks", T.MapType(T.StringType(), T.LongType())),
     T.StructField("committed_ms", T.LongType()),
 ])
 
+# batch directories of one table in one version
+MAX_BATCHES = 32
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer has already committed this version."""
+
 
 # rows per file: bounds file size whatever the number of partitions
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -79,17 +86,22 @@ class SnapshotStore:
     def _log(self) -> str:
         return f"{self.root}/_log"
 
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
     def head(self):
-        """(version, root, tables, batches per table) of the newest commit, or None."""
-        try:
-            e = (self.spark.read.schema(_LOG_SCHEMA).json(self._log)
-                 .orderBy(F.desc("version"), F.desc("committed_ms")).limit(1).collect())
-        except AnalysisException:
+        """(version, root, tables, batches per table, highest ids) of the newest
+        commit, or None."""
+        fs, log = self._fs(self._log)
+        if not fs.exists(log):
             return None
+        e = self.spark.read.schema(_LOG_SCHEMA).json(self._log).orderBy(F.desc("version")).limit(1).collect()
         if not e:
             return None
         b = {k: list(v) for k, v in (e[0]["batches"] or {}).items()}
-        return (e[0]["version"], e[0]["path"], sorted(b), b)
+        return (e[0]["version"], self.root, sorted(b), b, dict(e[0]["marks"] or {}))
 
     def read(self, table: str, head=None) -> DataFrame:
         h = head or self.head()
@@ -107,13 +119,28 @@ class SnapshotStore:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.root}/{name}/batch={tag}")
 
-    def commit(self, tables: dict[str, DataFrame], keep=(), append: dict | None = None) -> int:
+    def _record(self, version: int, batches: dict, marks: dict) -> None:
+        fs, target = self._fs(f"{self._log}/v{version:09d}.json")
+        row = {"version": version, "batches": batches, "marks": marks, "committed_ms": int(time.time() * 1000)}
+        try:
+            out = fs.create(target, False)     # fails if the file is there
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+                raise ConcurrentCommit(f"version {version} of {self.root} was committed by another writer") from e
+            raise
+        out.write((json.dumps(row) + "\n").encode())
+        out.close()
+
+    def commit(self, tables: dict[str, DataFrame], keep=(), append: dict | None = None,
+               marks: dict | None = None, head=None) -> int:
         """Write a new version: ``tables`` are rewritten, ``keep`` names
         tables taken over as they are, ``append`` adds rows to tables.
-        Tables not named are dropped from the version."""
-        h = self.head()
+        Tables not named are dropped from the version. ``marks``: highest ids given,
+        merged with those of the version before. ``head``: the version the batch was
+        computed from (default: the newest one)."""
+        h = head if head is not None else self.head()
         version = 0 if h is None else h[0] + 1
-        prev = {} if h is None else h[3]
+        prev, old_marks = ({}, {}) if h is None else (h[3], h[4])
         tag = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         batches = {}
@@ -123,10 +150,15 @@ class SnapshotStore:
         for name in keep:
             batches[name] = list(prev[name])
         for name, df in (append or {}).items():
-            # an appended batch is sized by AQE, not by the table's file count
-            self._write(name, df, tag, None)
-            batches[name] = list(prev.get(name, [])) + [tag]
-        row = [(version, self.root, sorted(batches), batches, int(time.time() * 1000))]
-        (self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1)
-         .write.mode("append").json(self._log))
+            before = list(prev.get(name, []))
+            if len(before) >= MAX_BATCHES:
+                whole = self.read(name, h).select(df.columns).unionByName(df)
+                self._write(name, whole, tag, n)
+                batches[name] = [tag]
+            else:
+                # an appended batch is sized by AQE, not by the table's file count
+                self._write(name, df, tag, None)
+                batches[name] = before + [tag]
+        merged = {**old_marks, **{k: max(int(v or 0), old_marks.get(k, 0)) for k, v in (marks or {}).items()}}
+        self._record(version, batches, merged)
         return version

@@ -30,6 +30,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from .. import constants as C
 from ..plans.fold import OUTCOME_FAILED, lockout_step  # noqa: F401
+from ..plans.skew import left_join_spread_nulls
 from ..session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -139,6 +140,10 @@ class _BufferedFold(StatefulProcessor):
     times, and the watermark is in epoch milliseconds."""
 
     tz = "UTC"
+    bucket_ms = 3_600_000
+
+    def _timer(self, ms: int) -> int:
+        return (ms // self.bucket_ms + 1) * self.bucket_ms
 
     row_schema: T.StructType       # buffered row layout (first field: event time in ms)
     state_schema: T.StructType
@@ -158,9 +163,10 @@ class _BufferedFold(StatefulProcessor):
             new.extend(self.to_tuples(pdf))
         if new:
             self.pending.appendList(new)
-            # fires once the watermark passes the earliest new row; a timer
-            # that finds nothing due (an earlier one did the work) is a no-op
-            self.handle.registerTimer(min(r[0] for r in new))
+            # one timer per bucket of event time: rows are folded a bucket at a
+            # time, so a row is read and written back a bounded number of times
+            # however many rows wait. A timer that finds nothing due is a no-op
+            self.handle.registerTimer(self._timer(min(r[0] for r in new)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -172,7 +178,7 @@ class _BufferedFold(StatefulProcessor):
         rest = [r for r in rows if r[0] >= wm]
         if rest:
             self.pending.put(rest)
-            self.handle.registerTimer(min(r[0] for r in rest))
+            self.handle.registerTimer(self._timer(min(r[0] for r in rest)))
         else:
             self.pending.clear()
         st, out = self.fold(key, self.state.get(), due)
@@ -187,21 +193,24 @@ class DeductionProcessor(_BufferedFold):
     """Greedy deduction per material (state = remaining stock)."""
 
     row_schema = T.StructType([T.StructField("ms", T.LongType()), T.StructField("req_id", T.LongType()),
-                               T.StructField("qte", T.LongType()), T.StructField("opening", T.LongType())])
+                               T.StructField("qte", T.LongType()), T.StructField("opening", T.LongType()),
+                               T.StructField("us", T.LongType())])
     state_schema = T.StructType([T.StructField("remaining", T.LongType())])
 
     def __init__(self, tz: str = "UTC"):
         self.tz = tz
 
     def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        ms = _epoch_ms(pdf["ts"], self.tz)
-        return [(int(m), int(r), int(q), int(o)) for m, r, q, o in
-                zip(ms, pdf["req_id"], pdf["qte"], pdf["opening"])]
+        # epoch ms decides when a row is due; microseconds order the rows
+        ms, us = _epoch_ms(pdf["ts"], self.tz), _us(pdf["ts"])
+        return [(int(m), int(r), int(q), int(o), int(u)) for m, r, q, o, u in
+                zip(ms, pdf["req_id"], pdf["qte"], pdf["opening"], us)]
 
     def fold(self, key, st, due):
         remaining = st[0] if st is not None else due[0][3]
         acc = []
-        for _, _, q, _ in due:
+        due = sorted(due, key=lambda r: (r[4], r[1]))
+        for _, _, q, _, _ in due:
             ok = remaining >= q
             if ok:
                 remaining -= q
@@ -232,7 +241,7 @@ def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1
     opening = stock.select(F.col("id").alias("_sid"), F.col("quantite").cast("long").alias("opening"))
     r = (event_time(requests, delay)
          .select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), "ts"))
-    j = r.join(opening, r.stock_id == opening._sid, "left")
+    j = left_join_spread_nulls(r, opening, "stock_id", "_sid")
     known = F.col("_sid").isNotNull()
     needs = known & (F.col("qte") > 0)
     free = j.where(~needs).select(
@@ -322,35 +331,25 @@ def login_lockout_stream(attempts: DataFrame, delay: str = "1 hour",
 
 def run_to_table(stream: DataFrame, root: str) -> DataFrame:
     """Run ``stream`` with ``availableNow`` into parquet under ``root`` (a
-    shared folder, with its checkpoint next to it) and read the result.
-
-    The state partition count of a stream is fixed when it first starts;
-    this fresh run uses at most twice the cluster's parallelism (the session
-    value is restored afterwards), so a small local run does not open one
-    state store per default shuffle partition."""
+    shared folder, with its checkpoint next to it) and read the result. The state
+    partition count is the session's ``spark.sql.shuffle.partitions``."""
     spark = stream.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, min(int(old), 2 * spark.sparkContext.defaultParallelism))))
-    try:
-        q = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
-             .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, old)
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame,
-                          files: int = 4, delay: str = "3650 days") -> DataFrame:
-    """Write ``requests`` (req_id, stock_id, qte, ts) as ``files`` parquet
-    files plus a closing row, stream them through R5 and return the result
-    (closing row removed). ``delay`` must cover the time disorder of the
-    files, which are not sorted by time."""
+                          delay: str = "1 hour") -> DataFrame:
+    """Write ``requests`` (req_id, stock_id, qte, ts) as parquet, one file per
+    partition of theirs, plus a closing row, stream them through R5 and return the
+    result (closing row removed). All files are one micro-batch, in which order does
+    not matter; ``delay`` is the disorder allowed between micro-batches."""
     root = stream_root(spark)
     src = f"{root}/in"
-    requests.repartition(files, "req_id").write.parquet(src)
+    requests.write.parquet(src)
     closing = spark.createDataFrame(
         [(SENTINEL_ID, None, 0, SENTINEL_TS)],
         "req_id long, stock_id long, qte long, ts timestamp_ntz")

@@ -34,7 +34,7 @@ def test_consume_stock_stream_equals_batch(spark):
     reqs = t.production.select(F.col("id").alias("req_id"), "stock_id",
                                F.col("qte_consommee").cast("long").alias("qte"),
                                F.col("date_prod").cast("timestamp_ntz").alias("ts"))
-    s = streams.deduction_stream_over(spark, reqs, t.stock, files=3)
+    s = streams.deduction_stream_over(spark, reqs, t.stock)
     b = ledger.consume_stock(reqs.withColumn("date_prod", F.col("ts")), t.stock, ("date_prod", "req_id"))
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
