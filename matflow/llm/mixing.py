@@ -4,7 +4,7 @@
    posterior p over the domains (word and stem presence, a few shape measures);
    numpy, on a bounded sample (``TRAIN_ROWS`` of each domain).
 2. Nonnegative rates r are fitted so that the expected domain totals
-   sum_i r_i n_i p_i (n: tokens) meet the targets: projected gradient on the least
+   sum_i r_i n_i p_i (n: tokens, here words) meet the targets: projected gradient on the least
    squares in the norm of the inverse domain Gram matrix, in which one step solves
    the problem wherever no rate is cut off at 0, with Nesterov's acceleration. A step is one distributed
    aggregate of a few sums; a document's rate after k steps follows from its own
@@ -41,15 +41,16 @@ def domain_of(quality, toxic) -> F.Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "poor").when(quality == 1, "good")
 
 
-def shape(text: str, words: list[str]) -> list[float]:
-    """Shares of odd characters, digits, repeated words and repeated lines, and the
+def shape(text: str, words: list[str], distinct: set[str]) -> list[float]:
+    """Shares of odd characters, numbers, repeated words and repeated lines, and the
     lengths of words and text."""
     n = max(1, len(text))
-    solid = sum(map(len, words))
+    solid = len("".join(words))
     lines = text.split("\n")
     marks = n - solid - text.count(" ") - len(lines) + 1
-    digits = sum(len(w) for w in words if w.isdecimal())
-    return [min(1.0, 5 * marks / n), min(1.0, 5 * digits / n), 1 - len(set(words)) / max(1, len(words)),
+    numbers = sum(w.isdecimal() for w in distinct)
+    return [min(1.0, 5 * marks / n), min(1.0, 5 * numbers / max(1, len(distinct))),
+            1 - len(distinct) / max(1, len(words)),
             1 - len(set(lines)) / len(lines), min(2.0, solid / max(1, len(words)) / 8),
             np.log1p(len(words)) / 8]
 
@@ -70,23 +71,28 @@ class Classifier:
         self.words[word] = got
         return got
 
-    def posterior(self, text: str | None) -> np.ndarray:
+    def posterior(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Number of words and posterior of a text."""
         words = _WORD.findall((text or "").lower())
-        rows, known = set(), self.words
-        for w in set(words):
+        distinct, rows, known = set(words), set(), self.words
+        for w in distinct:
             got = known.get(w)
-            rows.update(self._rows(w) if got is None else got)
-        z = self.weights[-1] + np.array(shape(text or "", words)) @ self.weights[-1 - SHAPES:-1]
+            if got is None:
+                got = self._rows(w)
+            if got:
+                rows.update(got)
+        z = self.weights[-1] + np.array(shape(text or "", words, distinct)) @ self.weights[-1 - SHAPES:-1]
         if rows:
             z = z + self.weights[list(rows)].sum(axis=0)
         z = np.exp(z - z.max())
-        return z / z.sum()
+        return len(words), z / z.sum()
 
 
 def fit(rows: list[tuple[str, str]], domains=DOMAINS, epochs: int = 150, rate: float = 0.3,
-        l1: float = 2e-4) -> Classifier:
-    """Softmax regression by Adagrad with soft threshold, domains weighted alike. A
-    domain without rows gets no mass; without any rows all domains are alike."""
+        l1: float = 5e-3, shares: dict[str, float] | None = None) -> Classifier:
+    """Softmax regression by Adagrad with soft threshold, domains weighted alike and
+    then shifted to their ``shares`` among the labelled rows. A domain without rows
+    gets no mass; without any rows all domains are alike."""
     domains = list(domains)
     texts = [(_WORD.findall(t.lower()), t) for t, _ in rows]
     seen: dict[str, int] = {}
@@ -104,7 +110,7 @@ def fit(rows: list[tuple[str, str]], domains=DOMAINS, epochs: int = 150, rate: f
         at += [i] * len(own)
         feat += own
     at, feat = np.array(at, np.int64), np.array(feat, np.int64)
-    dense = np.array([[*shape(t, words), 1.0] for words, t in texts])
+    dense = np.array([[*shape(t, words, set(words)), 1.0] for words, t in texts])
     y = np.array([domains.index(d) for _, d in rows])
     count = np.bincount(y, minlength=len(domains))
     weight = 1.0 / (count[y] * (count > 0).sum())
@@ -127,15 +133,19 @@ def fit(rows: list[tuple[str, str]], domains=DOMAINS, epochs: int = 150, rate: f
         weights -= step * grad
         small = step[:n] * l1
         weights[:n] = np.sign(weights[:n]) * np.maximum(np.abs(weights[:n]) - small, 0)
-    used = np.flatnonzero(np.abs(weights[:n]).max(axis=1) > 0.02) if n else np.zeros(0, np.int64)
+    used = np.flatnonzero(np.abs(weights[:n]).max(axis=1)) if n else np.zeros(0, np.int64)
     names = list(features)
     weights = np.concatenate([weights[used], weights[n:]])
     weights[-1] += present
+    if shares:
+        weights[-1] += [np.log(max(shares.get(d, 0.0), 1e-6)) if c else 0.0 for d, c in zip(domains, count)]
     return Classifier(domains, {names[j]: i for i, j in enumerate(used)}, weights)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts of each domain, least hash of the id first."""
+def training_rows(docs: DataFrame, labels: DataFrame,
+                  rows: int = TRAIN_ROWS) -> tuple[list[tuple[str, str]], dict[str, float]]:
+    """At most ``rows`` labelled texts of each domain, least hash of the id first, and
+    the domains' shares of all labelled rows."""
     known = (labels.where(F.col("doc_id").isNotNull())
              .select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
              .where(F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain")))
@@ -146,7 +156,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
              .join(F.broadcast(picked), "doc_id")
              .groupBy("doc_id", "domain").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")))
-    return [(r.text, r.domain) for r in texts.orderBy("doc_id").collect()]
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    shares = {d: n / sum(counts.values()) for d, n in counts.items()}
+    return [(r.text, r.domain) for r in texts.orderBy("doc_id").collect()], shares
 
 
 def _posterior(model: Classifier, steps: list[list[float]] | None = None):
@@ -157,10 +169,9 @@ def _posterior(model: Classifier, steps: list[list[float]] | None = None):
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            text = t.as_py() or ""
-            p = model.posterior(text)
+            n, p = model.posterior(t.as_py())
             rate = None if steps is None else float(_fold(p[None, :], moves)[0][0]) if len(moves) else 1.0
-            out.append({"n_tokens": len(text.split()), "p": p, "rate": rate})
+            out.append({"n_tokens": n, "p": p, "rate": rate})
         return pa.array(out, kind)
     return F.arrow_udf(run, "struct<n_tokens:bigint,p:array<double>,rate:double>").asNondeterministic()
 
@@ -232,7 +243,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     empty table gives an empty result, empty labels an even posterior."""
     wanted = targets or TARGETS
     goal = [wanted[d] / sum(wanted.values()) for d in DOMAINS]
-    model = fit(training_rows(docs, labels))
+    texts, shares = training_rows(docs, labels)
+    model = fit(texts, shares=shares)
     rows = shared_table(docs.select("doc_id", _posterior(model)(F.col("text")).alias("s"))
                         .select("doc_id", "s.n_tokens", "s.p"), "posteriors")
     steps = solve(rows, goal)

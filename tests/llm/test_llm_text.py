@@ -250,3 +250,15 @@ def test_mixing_of_documents(spark):
     assert mixing.mix(docs.limit(0), lab).count() == 0
     even, _, _ = mixing.rates(docs, lab.limit(0))
     assert np.allclose([r.p for r in even.collect()], 1 / 3)
+
+
+def test_domains_are_told_apart(spark):
+    """Held-out labelled documents of the given tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    texts, shares = mixing.training_rows(docs, labels.where("doc_id % 2 = 0"))
+    model = mixing.fit(texts, shares=shares)
+    held = (docs.join(labels.where("doc_id % 2 = 1"), "doc_id").where("text is not null")
+            .select("text", mixing.domain_of(labels["quality"], labels["toxic"]).alias("d")).where("d is not null").collect())
+    right = sum(mixing.DOMAINS[int(model.posterior(r.text)[1].argmax())] == r.d for r in held)
+    assert len(held) > 1000 and right >= 0.88 * len(held)
