@@ -235,6 +235,7 @@ OUTCOME_OK = "OK"
 OUTCOME_FAILED = "ECHEC"
 OUTCOME_LOCKED = "BLOQUE"
 OUTCOME_REFUSED = "REFUSE"
+OUTCOME_UNKNOWN = "INCONNU"
 
 
 def lockout_step(state: tuple, ts, success: bool, max_failures: int, lock):
@@ -288,6 +289,7 @@ U_NONE, U_CARRY, U_SET = 0, 1, 2
 
 LOCK_TABLE_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("_p", T.IntegerType()),
+    T.StructField("c0", T.IntegerType()), T.StructField("u0", T.LongType()),
     T.StructField("ts0", T.LongType()), T.StructField("l_at", T.ArrayType(T.LongType())),
     T.StructField("e_c", T.ArrayType(T.IntegerType())), T.StructField("e_kind", T.ArrayType(T.IntegerType())),
     T.StructField("e_u", T.ArrayType(T.LongType())),
@@ -307,8 +309,8 @@ class _LockSegment:
     after that, so a try only touches the few states that are not locked. Only the
     tries within one lock period of the segment's start matter for k."""
 
-    def __init__(self, key, part, ts0, max_failures, lock_us):
-        self.key, self.part, self.ts0 = key, part, ts0
+    def __init__(self, key, part, ts0, stored, max_failures, lock_us):
+        self.key, self.part, self.ts0, self.stored = key, part, ts0, stored
         self.m, self.lock = max_failures, lock_us
         self.first_ts: list = []
         self.runs: dict = {(c, U_CARRY, 0): [("E", c)] for c in range(max_failures)}
@@ -355,7 +357,8 @@ class _LockSegment:
                     lk[i - 1] = st
         # L_k stands for lock ends after first_ts[k - 1]: kept where the state changes
         keep = [i for i in range(len(lk)) if i == 0 or lk[i] != lk[i - 1]]
-        return {"user_id": int(self.key), "_p": int(self.part), "ts0": int(self.ts0),
+        return {"user_id": int(self.key), "_p": int(self.part), "c0": int(self.stored[0]),
+                "u0": int(self.stored[1]), "ts0": int(self.ts0),
                 "l_at": [self.first_ts[i] for i in keep],
                 "e_c": [x[0] for x in e], "e_kind": [x[1] for x in e], "e_u": [x[2] for x in e],
                 "l_c": [lk[i][0] for i in keep], "l_kind": [lk[i][1] for i in keep],
@@ -369,12 +372,13 @@ def _lockout_tables(max_failures: int, lock_minutes: float):
         out, seg = [], None
         for b in batches:
             us = b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            for k, p, t, ok in zip(b["user_id"].to_numpy(), b["_p"].to_numpy(), us,
-                                   b["success"].to_numpy(dtype=bool)):
+            for k, p, t, ok, c0, u0 in zip(b["user_id"].to_numpy(), b["_p"].to_numpy(), us,
+                                           b["success"].to_numpy(dtype=bool), b["c0"].to_numpy(),
+                                           b["u0"].to_numpy()):
                 if seg is None or (seg.key, seg.part) != (k, p):
                     if seg is not None:
                         out.append(seg.finish())
-                    seg = _LockSegment(k, p, int(t), max_failures, lock_us)
+                    seg = _LockSegment(k, p, int(t), (c0, u0), max_failures, lock_us)
                 seg.add(int(t), bool(ok))
         if seg is not None:
             out.append(seg.finish())
@@ -386,7 +390,7 @@ def _lockout_tables(max_failures: int, lock_minutes: float):
 def _chain_locks(segments: pd.DataFrame) -> pd.DataFrame:
     """Entry state of each segment of one spanning user, in partition order."""
     s = segments.sort_values("_p")
-    c, u, counts, untils = 0, NO_LOCK, [], []
+    c, u, counts, untils = int(s["c0"].iloc[0]), int(s["u0"].iloc[0]), [], []
     for x in s.to_dict("records"):
         counts.append(c)
         untils.append(u)
@@ -400,9 +404,10 @@ def _chain_locks(segments: pd.DataFrame) -> pd.DataFrame:
 
 
 def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float) -> DataFrame:
-    """``attempts``: event_id (unique), user_id, ts, success. Every user is folded
-    in segments from their exact entry states (see the module's text)."""
-    s, spanning = _range_split(attempts.select("event_id", "user_id", "ts", "success"),
+    """``attempts``: event_id (unique), user_id, ts, success and the user's stored
+    state, ``c0`` (count) and ``u0`` (locked until, us; NO_LOCK: never). Every user is
+    folded in segments from their exact entry states (see the module's text)."""
+    s, spanning = _range_split(attempts.select("event_id", "user_id", "ts", "success", "c0", "u0"),
                                "user_id", ["ts", "event_id"])
     if spanning:
         tables = _rows_of(s, "user_id", spanning).mapInPandas(
@@ -410,7 +415,7 @@ def lockout_fold(attempts: DataFrame, max_failures: int, lock_minutes: float) ->
         starts = tables.groupBy("user_id").applyInPandas(_chain_locks, "user_id long, _p int, _c int, _u long")
         # at most two rows per partition
         s = (s.join(F.broadcast(starts), ["user_id", "_p"], "left")
-             .withColumn("_c", F.coalesce("_c", F.lit(0))).withColumn("_u", F.coalesce("_u", F.lit(NO_LOCK))))
+             .withColumn("_c", F.coalesce("_c", "c0")).withColumn("_u", F.coalesce("_u", "u0")))
     else:
-        s = s.withColumn("_c", F.lit(0)).withColumn("_u", F.lit(NO_LOCK))
+        s = s.withColumn("_c", F.col("c0")).withColumn("_u", F.col("u0"))
     return s.mapInPandas(_lockout(max_failures, lock_minutes), LOCKOUT_SCHEMA)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import exprs as X
 from ..operators import access, audit, changes, dashboard, ledger, production, search, stock, validate
+from ..session import delete_at_exit
 from ..sources import fixtures, sinks
 from ..sources.catalog import Tables, audit_columns, open_tables
 from ..streaming import guards
@@ -803,7 +804,7 @@ def _k3(t: Tables):
     """K3: append the captured stock changes to a date-partitioned audit
     table in the shared folder, then read the table back."""
     root = t.store.root if t.store is not None else t.spark.sparkContext.getCheckpointDir()
-    path = f"{root}/audit-append-{uuid.uuid4().hex[:12]}"
+    path = delete_at_exit(t.spark, f"{root}/audit-append-{uuid.uuid4().hex[:12]}") + "/t"
     entries = audit.capture_stock_changes(t.stock, fixtures.snapshot_after(t.stock), NOW)
     audit.audit_append(entries, path)
     return t.spark.read.parquet(path)
@@ -904,9 +905,11 @@ def _r2(t: Tables):
 
 
 @register("login_lockout", S.q(S.lockout_ctes() + """ SELECT event_id, user_id, ts, success, outcome,
-  CAST(cnt AS INTEGER) AS tentatives, until AS bloque_jusqu FROM lk""", recursive=True))
+  CAST(cnt AS INTEGER) AS tentatives, until AS bloque_jusqu FROM lk
+UNION ALL SELECT e.event_id, e.user_id, e.ts, e.event_type NOT IN (""" + _FAILS + """), 'INCONNU', 0, NULL
+  FROM events e WHERE e.user_id IS NULL OR e.user_id NOT IN (SELECT id FROM users)""", recursive=True))
 def _r3(t: Tables):
-    return guards.login_lockout(fixtures.login_attempts(t.raw("events")))
+    return guards.login_lockout(fixtures.login_attempts(t.raw("events")), t.users)
 
 
 @register("server_error_windows", S.q(f"""SELECT debut, debut + INTERVAL 15 MINUTE AS fin, requetes, erreurs,

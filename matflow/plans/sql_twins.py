@@ -240,13 +240,17 @@ def lockout_ctes(max_failures: int = C.MAX_FAILURES, lock_minutes: int = C.LOCK_
     lock = f"INTERVAL {lock_minutes} MINUTE"
     return f""", att AS (
   SELECT event_id, user_id, ts, event_type NOT IN ({fails}) AS success,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events),
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+         u.tentatives AS c0, CAST(make_timestamp(u.bloque_jusqu * 1000) AS TIMESTAMP) AS u0
+  FROM events JOIN users u ON u.id = user_id),
 lk AS (
   SELECT user_id, rn, event_id, ts, success,
-         CASE WHEN success THEN 'OK' WHEN 1 >= {max_failures} THEN 'BLOQUE' ELSE 'ECHEC' END AS outcome,
-         CASE WHEN success OR 1 >= {max_failures} THEN 0 ELSE 1 END AS cnt,
-         CASE WHEN NOT success AND 1 >= {max_failures} THEN ts + {lock} END AS until
+         CASE WHEN u0 IS NOT NULL AND ts < u0 THEN 'REFUSE'
+              WHEN success THEN 'OK' WHEN c0 + 1 >= {max_failures} THEN 'BLOQUE' ELSE 'ECHEC' END AS outcome,
+         CASE WHEN u0 IS NOT NULL AND ts < u0 THEN c0
+              WHEN success OR c0 + 1 >= {max_failures} THEN 0 ELSE c0 + 1 END AS cnt,
+         CASE WHEN u0 IS NOT NULL AND ts < u0 THEN u0 WHEN success THEN NULL
+              WHEN c0 + 1 >= {max_failures} THEN ts + {lock} ELSE u0 END AS until
   FROM att WHERE rn = 1
   UNION ALL
   SELECT a.user_id, a.rn, a.event_id, a.ts, a.success,

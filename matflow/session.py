@@ -36,6 +36,15 @@ def build_session(cpus: int | str = "*", app: str = "matflow",
     return spark
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """Have the folder deleted when the driver's JVM ends in good order."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (None if unset).
 

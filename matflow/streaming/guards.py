@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..plans.fold import lockout_fold
+from ..plans.fold import NO_LOCK, OUTCOME_UNKNOWN, lockout_fold
 
 
 def _windowed(df: DataFrame, width: str, by: list[str], limit: int) -> DataFrame:
@@ -36,14 +36,26 @@ def login_rate_windows(attempts: DataFrame, width: str = C.RATE_WINDOW,
     return _windowed(attempts.where(~F.col("success")), width, ["user_id"], limit)
 
 
-def login_lockout(attempts: DataFrame, max_failures: int = C.MAX_FAILURES,
-                  lock_minutes: float = C.LOCK_MINUTES) -> DataFrame:
+def login_lockout(attempts: DataFrame, users: DataFrame | None = None,
+                  max_failures: int = C.MAX_FAILURES, lock_minutes: float = C.LOCK_MINUTES) -> DataFrame:
     """Per user in time order, the n-th failure in a row locks the account
     and resets the count; tries while locked are refused and not counted; a
     success resets everything. One row per try.
 
-    A user with any share of the tries is split over tasks, exactly."""
-    return lockout_fold(attempts, max_failures, lock_minutes)
+    With ``users`` each account starts from its stored ``tentatives`` and
+    ``bloque_jusqu`` (epoch ms), and tries on unknown accounts are answered
+    ``INCONNU`` and not counted. A user with any share of the tries is split over
+    tasks, exactly."""
+    if users is None:
+        return lockout_fold(attempts.withColumns({"c0": F.lit(0), "u0": F.lit(NO_LOCK)}), max_failures, lock_minutes)
+    u = users.select(F.col("id").alias("_uid"), F.least(F.col("tentatives"), F.lit(max_failures - 1)).alias("c0"),
+                     F.coalesce(F.col("bloque_jusqu") * 1000, F.lit(NO_LOCK)).alias("u0"))
+    j = attempts.join(u, attempts.user_id == u._uid, "left")
+    known = lockout_fold(j.where(F.col("_uid").isNotNull()), max_failures, lock_minutes)
+    unknown = j.where(F.col("_uid").isNull()).select(
+        "event_id", "user_id", "ts", "success", F.lit(OUTCOME_UNKNOWN).alias("outcome"),
+        F.lit(0).alias("tentatives"), F.lit(None).cast("timestamp_ntz").alias("bloque_jusqu"))
+    return known.unionByName(unknown)
 
 
 def server_error_windows(log: DataFrame, width: str = C.RATE_WINDOW) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .. import constants as C
 from ..plans.fold import OUTCOME_FAILED, lockout_step  # noqa: F401
 from ..plans.skew import left_join_spread_nulls
-from ..session import ensure_checkpoint_dir
+from ..session import delete_at_exit, ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SENTINEL_ID = -1
@@ -51,7 +51,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def stream_root(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/matflow-streams/{uuid.uuid4().hex[:12]}"
+    return delete_at_exit(
+        spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/matflow-streams/{uuid.uuid4().hex[:12]}")
 
 
 # ---------------------------------------------------------------------------

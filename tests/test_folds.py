@@ -189,3 +189,20 @@ def test_burst_of_tries(spark, no_coalesce):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
     got = {r.event_id: r.outcome for r in guards.login_lockout(df).collect()}
     assert got == lockout_loop(rows)
+
+
+def test_stored_state_and_unknown_accounts(spark, no_coalesce):
+    """Accounts start from their stored count and lock; unknown ones are not counted."""
+    t0 = dt.datetime(2024, 1, 1)
+    ms = int((t0 - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    users = spark.createDataFrame([(1, 5, None), (2, 0, ms + 30 * 60_000), (3, 2, ms - 1000)],
+                                  "id long, tentatives int, bloque_jusqu long")
+    rows = [(10 * i + u, u, t0 + dt.timedelta(minutes=7 * i), False) for u in (1, 2, 3, 4) for i in range(8)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, success boolean")
+    got = {}
+    for r in guards.login_lockout(df, users).orderBy("user_id", "ts").collect():
+        got.setdefault(r.user_id, []).append((r.outcome, r.tentatives))
+    assert got[1][0] == ("BLOQUE", 0) and got[1][1][0] == "REFUSE"
+    assert [o for o, _ in got[2]] == ["REFUSE"] * 5 + ["ECHEC"] * 3
+    assert got[3][0] == ("ECHEC", 3) and got[3][3] == ("BLOQUE", 0)
+    assert got[4] == [("INCONNU", 0)] * 8
