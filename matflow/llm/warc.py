@@ -83,13 +83,14 @@ def _records(df: DataFrame) -> DataFrame:
     return df.select(whole.cast("string").alias("value"))
 
 
-def _write(records: DataFrame, folder: str, mean_bytes: float) -> None:
+def _write(records: DataFrame, folder: str, mean_bytes: float, level: str = "DEFAULT_COMPRESSION") -> None:
     per_file = int(max(1, min(1_000_000, FILE_BYTES / max(mean_bytes, 1.0))))
     (_records(records).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file)
-     .option("compression", "gzip").text(folder))
+     .option("compression", "gzip").option("zlib.compress.level", level).text(folder))
 
 
-def write_pages(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_pages(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z",
+                level: str = "DEFAULT_COMPRESSION") -> None:
     """One response record per row of (page_id, url, html); html null is an empty
     payload, a null url or page_id leaves its header out. Repeated rows give
     repeated records with ids of their own."""
@@ -108,7 +109,7 @@ def write_pages(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
                     F.lit(None).cast("string").alias("refers_to_uri"),
                     F.lit(None).cast("string").alias("refers_to_date"),
                     F.lit(None).cast("long").alias("refers_to_page")))
-    _write(rows, folder, mean + 700)
+    _write(rows, folder, mean + 700, level)
 
 
 def _parse(content: bytes) -> Iterator[tuple[int, dict[str, str], int, int]]:
@@ -227,7 +228,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None,
     page_id, url and html are ignored; no pages give no rows."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    write_pages(pages, f"{folder}/raw")
+    write_pages(pages, f"{folder}/raw", level="BEST_SPEED")   # read once more, then superseded
     deduplicate_archives(spark, f"{folder}/raw", f"{folder}/dedup", min_bytes)
     back = read_archives(spark, f"{folder}/dedup")
     return back.select("page_id", "payload_bytes", "payload_digest",
