@@ -93,7 +93,7 @@ def encode(values: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple
         most[count], smaller = wide, count
     choice = np.full(n, ESCAPE, dtype=np.uint8)
     for s in range(13, -1, -1):
-        choice[most[COUNTS[s]][:n] <= WIDTHS[s]] = s
+        np.copyto(choice, s, where=most[COUNTS[s]][:n] <= WIDTHS[s])
 
     # walk all blocks in step, from word to word
     where, which, chosen = [], [], []
@@ -123,12 +123,13 @@ def encode(values: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple
         if not len(rows):
             continue
         word = np.full(len(rows), s << 60, dtype=np.uint64)
-        left = stop[which[rows]] - where[rows]
+        at = where[rows]
+        left = stop[which[rows]] - at
+        ends = np.flatnonzero(left < COUNTS[s])     # the last words of blocks
         for k in range(COUNTS[s]):
-            v = padded[where[rows] + k]
-            short = left <= k
-            if short.any():
-                v[short] = 0
+            v = padded[at + k]
+            if len(ends):
+                v[ends[left[ends] <= k]] = 0
             word |= v << np.uint64(k * WIDTHS[s])
         words[word_at[rows]] = word
     rows = np.flatnonzero(chosen == ESCAPE)
@@ -155,24 +156,25 @@ def decode(words: np.ndarray, first: np.ndarray, lengths: np.ndarray, block: int
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
+    selector = (words >> np.uint64(60)).astype(np.uint8)
     # an escape's second word is no selector word: flags carry from left to right
     escapes = np.flatnonzero(selector == ESCAPE)
     raw = np.zeros(len(words), dtype=bool)
     for e in escapes:
         if not raw[e]:
             raw[e + 1] = True
-    count = np.where(raw, 0, _COUNT[selector])
+    count = _COUNT[selector].astype(np.int32)
+    count[raw] = 0
     per_run = -(-lengths // block)
     n_blocks = int(per_run.sum())
     nth = np.arange(n_blocks) - np.repeat(np.cumsum(per_run) - per_run, per_run)
     ids = np.minimum(block, np.repeat(lengths, per_run) - nth * block)
     block_start = np.cumsum(ids) - ids
     first = np.asarray(first, dtype=np.int64)
-    of_block = np.repeat(np.arange(n_blocks), np.diff(first))
-    done = np.cumsum(count) - count
-    at = block_start[of_block] + done - done[first[:-1]][of_block]
-    end = (block_start + ids)[of_block]
+    done = np.cumsum(count, dtype=np.int64) - count
+    in_block = np.diff(first)
+    at = done + np.repeat(block_start - done[first[:-1]], in_block)
+    end = np.repeat(block_start + ids, in_block)
     out = np.zeros(total + 64, dtype=np.uint64)
     for s in range(14):
         rows = np.flatnonzero((selector == s) & ~raw)
@@ -235,15 +237,14 @@ def unpack_frames(content: bytes):
 
 # Texts of these characters only are cut by the plain pattern below, which agrees
 # with the tokenizer's own there; others go to the tokenizer whole.
-_PLAIN = re.compile("[\t\n\r -~¡-ÿĀ-ſ–—‘-„…€]*")
+_PLAIN = re.compile("[\x00-\x7f¡-ÿĀ-ſ–—‘-„…€]*")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _DIGIT = "0-9²³¹¼-¾"
 # (words first: they never begin like a contraction)
 _PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)"
-                    f"| ?[^\\t\\n\\r {_LETTER}{_DIGIT}]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+")
-#: Pieces whose ids a worker remembers, twice over, and those it keeps between tasks.
-CACHE = 300_000
-KEEP = 100_000
+                    f"| ?[^\\t-\\r {_LETTER}{_DIGIT}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
+#: Pieces whose ids a worker remembers, twice over in a task.
+CACHE = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -255,20 +256,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """Ids of the pieces met lately. A full memory becomes the old one, from which
-    pieces are taken over when met again."""
+    """Ids of the pieces met lately, from the second meeting on (the first leaves a
+    mark at the piece's hash). A full memory becomes the old one, from which pieces
+    are taken over when met again."""
 
     def __init__(self, model):
         super().__init__()
+        self.met = bytearray(1 << 24)
         self.merge, self.old, self.letters = model.tokenize, {}, _byte_letters()
         self.space = self.letters[0x20]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
+            mark = hash(piece) & 0xFFFFFF
+            first = not self.met[mark]
+            self.met[mark] = 1
             spelt = (piece.replace(" ", self.space) if piece.isascii() and piece.isprintable()
                      else piece.encode().decode("latin-1").translate(self.letters))
             ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
+            if first:
+                return ids
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -295,16 +303,16 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.by_piece or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        plain = self.by_piece and (text.isascii() or _PLAIN.fullmatch(text))
+        if not plain or any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
     def trim(self) -> None:
-        """Between tasks only the pieces met first (mostly frequent ones) are kept."""
-        kept = dict(itertools.islice(self.known.items(), KEEP))
+        """Between tasks a worker keeps one memory, not two."""
+        if len(self.known) < CACHE // 2 and self.known.old:
+            self.known.update(itertools.islice(self.known.old.items(), CACHE // 2))
         self.known.old = {}
-        self.known.clear()
-        self.known.update(kept)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -356,7 +364,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = int(max(1, -(-size // file_bytes)))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+               .repartitionByRange(files, F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
     (ordered.mapInArrow(_frames(tokenizer, end_id), "frame binary")
      .select(F.col("frame").cast("string").alias("value"))

@@ -87,7 +87,7 @@ def test_simple8b_packs_small_ids():
 
 def test_tokens_match_the_tokenizer(spark):
     rng = np.random.default_rng(0)
-    alphabet = list("abcé ÀßZ019'\n\t.,;!?-—  日") + ["'s", "'ll", " \n ", "<|endoftext|>", " ", "\x0b", "½", "𝒜"]
+    alphabet = list("abcé ÀßZ019'\n\t.,;!?-—  日") + ["'s", "'ll", " \n ", "<|endoftext|>", " ", "\x0b", "\x0c", "\x1c", "\x00", "\x7f", "\x85", "½", "𝒜"]
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(300)]
     texts += ["word " * 40000, "", None, "  lead", "trail  ", "It's we'LL"]
     ids = [int(i) for i in rng.permutation(len(texts))]
