@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matflow.session import ensure_checkpoint_dir
+from matflow.session import delete_at_exit, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the shared folder of ``spark.checkpoint.dir``; it is
     deleted when the driver's JVM ends in good order."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    fs.deleteOnExit(target)
-    return path
+    return delete_at_exit(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}")
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:

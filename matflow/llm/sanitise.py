@@ -134,15 +134,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def disclosing_terms(words: DataFrame, counts: DataFrame, min_docs: int = MIN_DOCS,
                      remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """(c, t, k): the terms to remove or generalise beside each entity."""
-    total = counts.agg(F.sum("n_t").alias("n"))       # one row
     per_doc = words.groupBy("c", "t", "rid").agg(F.count(F.lit(1)).alias("n"))
     pair = per_doc.groupBy("c", "t").agg(F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("docs"))
     entity = pair.groupBy("c").agg(F.sum("n_tc").alias("n_c"))
-    n = F.col("n").cast("double")
+    n = counts.agg(F.sum("n_t").cast("double")).scalar()
     told = (F.log(F.col("n_tc") * n / (F.col("n_t") * F.col("n_c"))) / F.log(n / F.col("n_c")))
     return (pair.where(F.col("docs") >= min_docs).join(entity, "c").join(counts, "t")
-            .join(F.broadcast(total), F.col("n_t") <= F.col("n"))
-            .where((F.col("n_c") < F.col("n")) & (told >= generalise))
+            .where((F.col("n_c") < n) & (told >= generalise))
             .select("c", "t", F.when(told >= remove, F.lit(4)).otherwise(F.lit(5)).alias("k")))
 
 
