@@ -40,7 +40,7 @@ from matflow.llm.common import new_folder, shared_table
 
 END_ID = 2
 BLOCK = 256
-FRAME_IDS = 1 << 20
+FRAME_IDS = 1 << 18
 #: Aimed text bytes of one output file.
 FILE_TEXT_BYTES = 32 << 20
 
@@ -243,8 +243,8 @@ _DIGIT = "0-9²³¹¼-¾"
 # (words first: they never begin like a contraction)
 _PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)"
                     f"| ?[^\\t-\\r {_LETTER}{_DIGIT}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
-#: Pieces whose ids a worker remembers, twice over in a task.
-CACHE = 250_000
+#: Pieces whose ids a worker remembers.
+CACHE = 350_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -256,31 +256,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """Ids of the pieces met lately, from the second meeting on (the first leaves a
-    mark at the piece's hash). A full memory becomes the old one, from which pieces
-    are taken over when met again."""
+    """Ids of pieces, from their second meeting on (the first leaves a mark at the
+    piece's hash), until the memory is full: frequent pieces come first."""
 
     def __init__(self, model):
         super().__init__()
         self.met = bytearray(1 << 24)
-        self.merge, self.old, self.letters = model.tokenize, {}, _byte_letters()
+        self.merge, self.letters = model.tokenize, _byte_letters()
         self.space = self.letters[0x20]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            mark = hash(piece) & 0xFFFFFF
-            first = not self.met[mark]
+        spelt = (piece.replace(" ", self.space) if piece.isascii() and piece.isprintable()
+                 else piece.encode().decode("latin-1").translate(self.letters))
+        ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
+        mark = hash(piece) & 0xFFFFFF
+        if not self.met[mark]:
             self.met[mark] = 1
-            spelt = (piece.replace(" ", self.space) if piece.isascii() and piece.isprintable()
-                     else piece.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
-            if first:
-                return ids
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+        elif len(self) < CACHE:
+            self[piece] = ids
         return ids
 
 
@@ -309,10 +302,11 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
     def trim(self) -> None:
-        """Between tasks a worker keeps one memory, not two."""
-        if len(self.known) < CACHE // 2 and self.known.old:
-            self.known.update(itertools.islice(self.known.old.items(), CACHE // 2))
-        self.known.old = {}
+        """Between tasks a full memory lets its later half go, for other texts' pieces."""
+        if len(self.known) >= CACHE:
+            kept = dict(itertools.islice(self.known.items(), CACHE // 2))
+            self.known.clear()
+            self.known.update(kept)
 
 
 _ENCODERS: dict[str, Encoder] = {}
