@@ -575,11 +575,12 @@ def _accepted_inserts(t: Tables) -> DataFrame:
     """Text requests -> V2 -> V3 -> M7 (against the current stock) -> rows to insert."""
     reqs = _text_requests(t)
     ok = validate.validate_production_requests(reqs, t.users).where("accepted").select("req_id")
-    typed = validate.production_defaults(reqs.join(ok, "req_id", "left_semi"), TODAY)
+    # read several times below (range split, join, numbering): stored once
+    typed = validate.production_defaults(reqs.join(ok, "req_id", "left_semi"), TODAY).checkpoint()
     dec = ledger.consume_stock(
         typed.select("req_id", "stock_id", F.col("qte_consommee").alias("qte"),
                      F.col("req_id").alias("_ord")), t.stock, ("_ord", "req_id"))
-    return typed.join(dec.where("accepted").select("req_id"), "req_id", "left_semi")
+    return typed.join(dec.where("accepted").select("req_id"), "req_id", "left_semi").checkpoint()
 
 
 _ROLES_CREATE = ", ".join(f"'{r}'" for r in validate.PRODUCTION_CREATE_ROLES)
