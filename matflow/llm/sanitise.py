@@ -6,16 +6,18 @@ kind, with code-point positions from the pieces between the matches.
 
 Disclosure: each distinct value found is a protected entity c. The words within
 ``REACH`` code points of its mentions are its context. With N words in the corpus,
-n_t occurrences of term t (counted over all texts), n_c context words of c and
-n_tc occurrences of t in them, t tells about c
 
-    PMI(c; t) / IC(c) = log(n_tc N / (n_t n_c)) / log(N / n_c)
+n_t occurrences of term t, n_c context words of c and n_tc occurrences of t in them,
+all counted over distinct texts (copies tell nothing new), t tells about c
 
-1 if t occurs beside c only, 0 if as often as anywhere. Terms met beside c in at
-least ``MIN_DOCS`` documents are removed from its contexts at ``REMOVE`` and more,
-generalised at ``GENERALISE`` and more. Contexts are linear in the text: no pairs
-of all words and entities of a document are made. Counts are combined on the map
-side; an entity in a third of all documents is first counted per document.
+    PMI(c; t) / IC(c) = log(p N / n_c) / log(N / n_c), p = (n_tc + 1) / (n_t + 1)
+
+1 if t occurs beside c only, near 0 if as often as anywhere. p smooths n_tc / n_t by
+one more occurrence beside c, so that a term met once or twice counts by what it may
+disclose; there is no least number of texts. Terms are removed from the contexts of c
+at ``REMOVE`` and more, generalised at ``GENERALISE`` and more. Contexts are linear in
+the text: no pairs of all words and entities of a document are made. Counts are
+combined on the map side; copies of a text collapse there too.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from matflow.llm.common import shared_table
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("remove", "generalise")
 REACH = 80
-MIN_DOCS = 2
 REMOVE, GENERALISE = 0.95, 0.80
 #: What stands in the sanitised text for each kind.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
@@ -105,41 +106,42 @@ def joined(spans) -> F.Column:
 
 
 def context_words(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """(rid, c, t, s, e): the words around each entity's mentions, each position
-    once for an entity. ``found``: rows of (rid, text, base)."""
-    mention = found.select("rid", "text", "base", F.explode("base").alias("b"))
+    """(rid, tid, c, t, s, e): the words around each entity's mentions, each position
+    once for an entity; tid is equal for equal texts. ``found``: rows of (rid, text, base)."""
+    mention = found.select("rid", F.md5("text").alias("tid"), "text", "base", F.explode("base").alias("b"))
     low = F.greatest(F.col("b.s") - reach, F.lit(0))
     high = F.least(F.col("b.e") + reach, F.length("text"))
     value = F.when(F.col("b.k") >= 2, F.regexp_replace("b.v", "[^0-9]", "")).otherwise(F.lower("b.v"))
-    window = (mention.select("rid", F.md5(F.concat_ws(":", "b.k", value)).alias("c"), low.alias("low"), high.alias("high"),
+    window = (mention.select("rid", "tid", F.md5(F.concat_ws(":", "b.k", value)).alias("c"), low.alias("low"), high.alias("high"),
                              (F.length("text") > high).alias("more"),
                              F.substring(F.col("text"), low + 1, high - low).alias("w"),
                              F.filter("base", lambda x: (x["s"] < high) & (x["e"] > low)).alias("near")))
     words = (_matches(window, "w", {"term": TERM})
-             .select("rid", "c", "low", "high", "more", "near", F.explode("at_term").alias("x"))
-             .select("rid", "c", F.lower("x.v").alias("t"), (F.col("low") + F.col("x.s")).alias("s"),
+             .select("rid", "tid", "c", "low", "high", "more", "near", F.explode("at_term").alias("x"))
+             .select("rid", "tid", "c", F.lower("x.v").alias("t"), (F.col("low") + F.col("x.s")).alias("s"),
                      (F.col("low") + F.col("x.e")).alias("e"), "low", "high", "more", "near"))
     # a word cut by the window's edge or inside a span is no context word
     whole = ~((F.col("low") > 0) & (F.col("s") == F.col("low"))) & ~(F.col("more") & (F.col("e") == F.col("high")))
     free = ~F.exists("near", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    return words.where(whole & free).select("rid", "c", "t", "s", "e").dropDuplicates(["rid", "c", "s"])
+    return words.where(whole & free).select("rid", "tid", "c", "t", "s", "e").dropDuplicates(["rid", "c", "s"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(t, n_t) over every word of every text."""
-    return (docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("t"))
+    """(t, n_t) over every word of every distinct text."""
+    return (docs.select("text").distinct().select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("t"))
             .groupBy("t").agg(F.count(F.lit(1)).alias("n_t")))
 
 
-def disclosing_terms(words: DataFrame, counts: DataFrame, min_docs: int = MIN_DOCS,
-                     remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def disclosing_terms(words: DataFrame, counts: DataFrame, remove: float = REMOVE,
+                     generalise: float = GENERALISE) -> DataFrame:
     """(c, t, k): the terms to remove or generalise beside each entity."""
-    per_doc = words.groupBy("c", "t", "rid").agg(F.count(F.lit(1)).alias("n"))
-    pair = per_doc.groupBy("c", "t").agg(F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("docs"))
+    per_text = words.select("c", "t", "tid", "s").distinct().groupBy("c", "t", "tid").agg(F.count(F.lit(1)).alias("n"))
+    pair = per_text.groupBy("c", "t").agg(F.sum("n").alias("n_tc"))
     entity = pair.groupBy("c").agg(F.sum("n_tc").alias("n_c"))
     n = counts.agg(F.sum("n_t").cast("double")).scalar()
-    told = (F.log(F.col("n_tc") * n / (F.col("n_t") * F.col("n_c"))) / F.log(n / F.col("n_c")))
-    return (pair.where(F.col("docs") >= min_docs).join(entity, "c").join(counts, "t")
+    beside = (F.col("n_tc") + 1) / (F.col("n_t") + 1)
+    told = F.log(beside * n / F.col("n_c")) / F.log(n / F.col("n_c"))
+    return (pair.join(entity, "c").join(counts, "t")
             .where((F.col("n_c") < n) & (told >= generalise))
             .select("c", "t", F.when(told >= remove, F.lit(4)).otherwise(F.lit(5)).alias("k")))
 
@@ -157,7 +159,7 @@ def clean_text(text, spans) -> F.Column:
     return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
 
-def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256,
     spans (all, as kind:start:end), n_remove, n_generalise and, with ``texts``, the
     sanitised text.
@@ -172,7 +174,7 @@ def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH, min_docs:
         "rid", "doc_id", "base", (F.col("text") if texts else F.when(hit, F.col("text"))).alias("text")), "spans")
     words = shared_table(context_words(stored.where(hit), reach), "contexts")
     counts = shared_table(term_counts(rows), "terms")
-    terms = disclosing_terms(words, counts, min_docs)
+    terms = disclosing_terms(words, counts)
     extra = (words.join(terms, ["c", "t"]).groupBy("rid", "s", "e").agg(F.min("k").alias("k"))
              .groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e", F.lit(None).cast("string").alias("v"))).alias("extra")))
     out = (stored.join(extra, "rid", "left")

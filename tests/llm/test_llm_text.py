@@ -82,6 +82,20 @@ def test_disclosing_terms_are_removed(spark):
     assert sanitise.sanitise(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_an_entity_of_one_text_counts_and_copies_do_not(spark):
+    filler = "the quick brown fox and the lazy dog of the house " * 6
+    rows = [(0, f"{filler} zebulon wrote from zeb@clinic.org to the house {filler}", "en"),
+            (1, f"{filler} the yarrow wrote to 10.0.0.1 {filler}", "en"), (2, f"{filler} wrote yarrow {filler}", "en")]
+    rows += [(10 + i, f"{filler} number{i} " + filler * 4, "en") for i in range(40)]
+    once = {r.doc_id: r for r in sanitise.sanitise(frame(spark, rows)).collect()}
+    assert "zebulon" not in once[0].text and once[0].n_remove >= 1 and "the house" in once[0].text
+    # a text met more often changes nothing
+    for copied in (0, 1, 2):
+        more = sanitise.sanitise(frame(spark, rows + [(100 + i, rows[copied][1], "en") for i in range(5)])).collect()
+        assert len(more) == len(rows) + 5
+        assert all(r.spans == once[r.doc_id if r.doc_id < 100 else copied].spans for r in more)
+
+
 def test_sanitise_plan_is_native(spark):
     df = sanitise.sanitise(frame(spark, [(1, "a@b.c", "en")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
