@@ -14,15 +14,16 @@ all counted over distinct texts (copies tell nothing new), t tells about c
 
 1 if t occurs beside c only, near 0 if as often as anywhere. p smooths n_tc / n_t by
 one more occurrence beside c, so that a term met once or twice counts by what it may
-disclose; there is no least number of texts. Terms are removed from the contexts of c
-at ``REMOVE`` and more, generalised at ``GENERALISE`` and more. Contexts are linear in
-the text: no pairs of all words and entities of a document are made. Counts are
-combined on the map side; copies of a text collapse there too.
+disclose; there is no least number of texts. Terms are removed at ``REMOVE`` and more,
+generalised at ``GENERALISE`` and more, wherever they stand in a text that mentions c.
+Contexts are linear in the text, and a word meets only the entities it discloses: no
+pairs of all words and entities of a document are made. Counts are combined on the map
+side; copies of a text collapse there too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matflow.llm.common import shared_table
@@ -105,25 +106,31 @@ def joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", _named(x["k"]), x["s"], x["e"])), ",")
 
 
+def _entity(b) -> F.Column:
+    """The protected entity of a span: digits of numbers, lower case of others."""
+    value = F.when(b["k"] >= 2, F.regexp_replace(b["v"], "[^0-9]", "")).otherwise(F.lower(b["v"]))
+    return F.md5(F.concat_ws(":", b["k"], value))
+
+
 def context_words(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """(rid, tid, c, t, s, e): the words around each entity's mentions, each position
-    once for an entity; tid is equal for equal texts. ``found``: rows of (rid, text, base)."""
-    mention = found.select("rid", F.md5("text").alias("tid"), "text", "base", F.explode("base").alias("b"))
+    """(tid, c, t, s): the words around each entity's mentions in distinct texts, each
+    position once for an entity. ``found``: rows of (text, base)."""
+    mention = (found.select("text", "base").distinct()
+               .select(F.md5("text").alias("tid"), "text", "base", F.explode("base").alias("b")))
     low = F.greatest(F.col("b.s") - reach, F.lit(0))
     high = F.least(F.col("b.e") + reach, F.length("text"))
-    value = F.when(F.col("b.k") >= 2, F.regexp_replace("b.v", "[^0-9]", "")).otherwise(F.lower("b.v"))
-    window = (mention.select("rid", "tid", F.md5(F.concat_ws(":", "b.k", value)).alias("c"), low.alias("low"), high.alias("high"),
+    window = (mention.select("tid", _entity(F.col("b")).alias("c"), low.alias("low"), high.alias("high"),
                              (F.length("text") > high).alias("more"),
                              F.substring(F.col("text"), low + 1, high - low).alias("w"),
                              F.filter("base", lambda x: (x["s"] < high) & (x["e"] > low)).alias("near")))
     words = (_matches(window, "w", {"term": TERM})
-             .select("rid", "tid", "c", "low", "high", "more", "near", F.explode("at_term").alias("x"))
-             .select("rid", "tid", "c", F.lower("x.v").alias("t"), (F.col("low") + F.col("x.s")).alias("s"),
+             .select("tid", "c", "low", "high", "more", "near", F.explode("at_term").alias("x"))
+             .select("tid", "c", F.lower("x.v").alias("t"), (F.col("low") + F.col("x.s")).alias("s"),
                      (F.col("low") + F.col("x.e")).alias("e"), "low", "high", "more", "near"))
     # a word cut by the window's edge or inside a span is no context word
     whole = ~((F.col("low") > 0) & (F.col("s") == F.col("low"))) & ~(F.col("more") & (F.col("e") == F.col("high")))
     free = ~F.exists("near", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    return words.where(whole & free).select("rid", "tid", "c", "t", "s", "e").dropDuplicates(["rid", "c", "s"])
+    return words.where(whole & free).select("tid", "c", "t", "s").distinct()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def disclosing_terms(words: DataFrame, counts: DataFrame, remove: float = REMOVE,
                      generalise: float = GENERALISE) -> DataFrame:
     """(c, t, k): the terms to remove or generalise beside each entity."""
-    per_text = words.select("c", "t", "tid", "s").distinct().groupBy("c", "t", "tid").agg(F.count(F.lit(1)).alias("n"))
+    per_text = words.groupBy("c", "t", "tid").agg(F.count(F.lit(1)).alias("n"))
     pair = per_text.groupBy("c", "t").agg(F.sum("n").alias("n_tc"))
     entity = pair.groupBy("c").agg(F.sum("n_tc").alias("n_c"))
     n = counts.agg(F.sum("n_t").cast("double")).scalar()
@@ -146,6 +153,23 @@ def disclosing_terms(words: DataFrame, counts: DataFrame, remove: float = REMOVE
             .select("c", "t", F.when(told >= remove, F.lit(4)).otherwise(F.lit(5)).alias("k")))
 
 
+def disclosing_words(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rid, s, e, k): every word that discloses an entity its text mentions.
+    ``found``: rows of (rid, text, base). A word is joined to the entities it discloses,
+    few as each has a large share of its occurrences, then kept for those its text
+    mentions. Positions are running sums over a text's words: linear in any text."""
+    mention = found.select("rid", F.explode("base").alias("b")).select("rid", _entity(F.col("b")).alias("c")).distinct()
+    so_far = Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    word = (found.select("rid", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"),
+                         F.split("text", TERM, -1).alias("p"))
+            .select("rid", F.posexplode(F.arrays_zip("m", "p")).alias("i", "x")).where("x.m IS NOT NULL")
+            .select("rid", "i", "x.m", (F.length("x.p") + F.length("x.m")).alias("n"))
+            .withColumn("e", F.sum("n").over(so_far).cast("int"))
+            .select("rid", F.lower("m").alias("t"), (F.col("e") - F.length("m")).alias("s"), "e"))
+    return (word.join(terms, "t").join(mention, ["rid", "c"])
+            .groupBy("rid", "s", "e").agg(F.min("k").alias("k")))
+
+
 def clean_text(text, spans) -> F.Column:
     """The text with every span replaced by its kind's mark."""
     ends = F.transform(spans, lambda x, i: F.coalesce(
@@ -175,10 +199,12 @@ def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH) -> DataFra
     words = shared_table(context_words(stored.where(hit), reach), "contexts")
     counts = shared_table(term_counts(rows), "terms")
     terms = disclosing_terms(words, counts)
-    extra = (words.join(terms, ["c", "t"]).groupBy("rid", "s", "e").agg(F.min("k").alias("k"))
+    extra = (disclosing_words(stored.where(hit), terms)
              .groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e", F.lit(None).cast("string").alias("v"))).alias("extra")))
+    # a word inside a base span goes with it
+    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
     out = (stored.join(extra, "rid", "left")
-           .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))))))
+           .withColumn("spans", F.array_sort(F.concat("base", F.coalesce(free, F.array().cast(_SPAN))))))
     count = [_of_kind("spans", i).alias(f"n_{k}") for i, k in enumerate(KINDS + EXTRA)]
     done = out.select("doc_id", *count[:4], F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("span_text"), *count[4:],

@@ -96,6 +96,18 @@ def test_an_entity_of_one_text_counts_and_copies_do_not(spark):
         assert all(r.spans == once[r.doc_id if r.doc_id < 100 else copied].spans for r in more)
 
 
+def test_disclosing_terms_go_from_the_whole_text(spark):
+    filler = "the quick brown fox and the lazy dog of the house " * 6
+    far = f"Zebulon {filler} patient zebulon wrote from zeb@clinic.org to the house {filler} zebulon's end zebulon@q.r"
+    rows = [(0, far, "en"), (1, far, "en"), (2, f"{filler} ask 10.0.0.1 {filler} zebulon", "en")]
+    rows += [(10 + i, f"{filler} number{i} " + filler * 4, "en") for i in range(40)]
+    got = {r.doc_id: r for r in sanitise.sanitise(frame(spark, rows)).collect()}
+    assert got[0].spans == got[1].spans and "zebulon" not in got[0].text.lower()
+    assert "the house" in got[0].text and got[0].text.endswith("[EMAIL]") and got[0].n_email == 2
+    # no mention of the entity: left alone
+    assert got[2].text.endswith("zebulon")
+
+
 def test_sanitise_plan_is_native(spark):
     df = sanitise.sanitise(frame(spark, [(1, "a@b.c", "en")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
