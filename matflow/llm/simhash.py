@@ -212,6 +212,24 @@ def _link_tasks(distance: int):
     return run
 
 
+def _least(entries: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``entries`` (fp, first), a row per distinct fingerprint -> (fp, first, least):
+    the least ``first`` of its component."""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _node_masks(blocks, distance)])
+    nodes = (entries.select("fp", F.posexplode(masks).alias("kind", "mask"))
+             .select("fp", "kind", F.col("fp").bitwiseAND(F.col("mask")).alias("key")))
+    stars = (nodes.repartition("kind", "key").sortWithinPartitions("kind", "key")
+             .mapInArrow(_link_tasks(distance), "a long, b long"))
+    root = components(stars)
+    # (fp, least first of its component): an aggregate over linked entries only
+    member = (root.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+              .unionByName(root.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
+              .join(entries, "fp"))
+    least = member.groupBy("root").agg(F.min("first").alias("least"))
+    linked = member.join(least, "root").select("fp", "least")
+    return entries.join(linked, "fp", "left").select("fp", "first", F.coalesce("least", "first").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = DISTANCE,
                     blocks: int = BLOCKS) -> DataFrame:
     """One row per document: doc_id, fp (signed long), fingerprint (16 hex digits),
@@ -227,33 +245,22 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int =
         raise ValueError("blocks must exceed distance")
     rows = shared_table(docs.select("doc_id", _fingerprints(words)(F.col("text")).alias("fp")), "simhash")
     entries = shared_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _node_masks(blocks, distance)])
-    nodes = (entries.select("fp", F.posexplode(masks).alias("kind", "mask"))
-             .select("fp", "kind", F.col("fp").bitwiseAND(F.col("mask")).alias("key")))
-    stars = (nodes.repartition("kind", "key").sortWithinPartitions("kind", "key")
-             .mapInArrow(_link_tasks(distance), "a long, b long"))
-    root = components(stars)
-    # (fp, least doc_id of its component): an aggregate over linked entries only
-    member = (root.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-              .unionByName(root.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-              .join(entries, "fp"))
-    least = member.groupBy("root").agg(F.min("first").alias("least"))
-    linked = member.join(least, "root").select("fp", "least")
-    label = (entries.join(linked, "fp", "left")
-             .select("fp", F.coalesce("least", "first").alias("component_id")))
+    label = _least(entries, distance, blocks).select("fp", F.col("least").alias("component_id"))
     return (rows.join(label, "fp")
             .select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The documents with one of each near-duplicate component: that whose doc_id is
-    the component_id (of repeated doc_ids one row; of components without any
-    doc_id one row). All columns are kept."""
-    key, again = fresh(docs, "__key"), fresh(docs, "__again")
-    found = near_duplicates(docs, words, distance)
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy(F.col("doc_id").alias(key)).agg((F.count(F.lit(1)) > 1).alias(again)))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep[key]), "inner").drop(key)
-    single = kept.where(~F.col(again)).drop(again)
-    several = kept.where(F.col(again)).drop(again).dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    """The documents with one row of each near-duplicate component: that of the least
+    doc_id, of repeated ones any one, a null doc_id if there is no other. Rows are told
+    apart by an id of their own, so what shares a doc_id but no component is kept.
+    All columns are kept."""
+    row, code = fresh(docs, "__row"), fresh(docs, "__fp")
+    # stored with the columns: the row ids are drawn once
+    stored = shared_table(docs.select("*", _fingerprints(words)(F.col("text")).alias(code))
+                          .withColumn(row, F.monotonically_increasing_id()), "simhash")
+    entry = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    entries = shared_table(stored.groupBy(F.col(code).alias("fp")).agg(F.min(entry).alias("first")), "fingerprints")
+    keep = (_least(entries, distance, BLOCKS).where(F.col("first.row") == F.col("least.row"))
+            .select(F.col("first.row").alias(row)))
+    return stored.join(keep, row, "left_semi").select(*[stored[f"`{c}`"] for c in docs.columns])

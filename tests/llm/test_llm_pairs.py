@@ -87,6 +87,18 @@ def test_keep_one_keeps_one_row_per_component(spark, corpus):
     assert [r.doc_id for r in simhash.keep_one(frame(spark, [(None, "x"), (None, "x")])).collect()] == [None]
 
 
+def test_keep_one_tells_rows_with_one_id_apart(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(500)], 300)) for _ in range(12)]
+    ids = [None] * 6 + [7] * 4 + [8, 9]
+    # clean texts under a null and a repeated id, and copies of them under these ids
+    rows = list(zip(ids, texts)) + [(None, texts[10]), (7, texts[11]), (None, texts[6]), (None, texts[0])]
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    by_text = {r.text: r.doc_id for r in kept}
+    assert [by_text[t] for t in texts] == ids[:11] + [7]
+
+
 @pytest.mark.parametrize("spread", [3, 10, 64])
 def test_index_links_like_brute_force(spread):
     """Random and clustered codes below one upper node, large enough for the tree."""
