@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matflow.llm import chat, decontaminate, exactdedup, language, mixing, sanitise, simhash, tokens, toxicity, warc
+from matflow.llm import (chat, decontaminate, divergence, exactdedup, language, mixing, sanitise, simhash, substrings,
+                         tokens, toxicity, variants, warc)
 from matflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,19 @@ def op9(spark, sf_dir):
 @_query("op10_exact_dedup", exactdedup.ORACLE)
 def op10(spark, sf_dir):
     return exactdedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_spelling_variants", variants.ORACLE)
+def op11(spark, sf_dir):
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_source_divergence", divergence.ORACLE)
+def op12(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_substring_dedup", substrings.ORACLE)
+def op13(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
