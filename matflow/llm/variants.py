@@ -6,12 +6,13 @@ made for whole blocks of words against each other: the words are padded to matri
 code points, once from the left and once from the right, and compared column by column.
 
 1. Words are counted in the tasks before the shuffle.
-2. One of prefix and suffix has at least half of the longer word (``length div 2``), so
-   only words that share such a half need to meet. A word enters for the longer length
-   equal to its own and one more, by prefix and by suffix. Groups of one are left out.
+2. The longer word is thought of in ``PIECES`` pieces: the edit lies in one of them, and
+   the two words share the prefix before and the suffix behind that piece. Only words that
+   share these need to meet. A word enters for the longer length equal to its own and
+   one more, once a piece. Groups of one are left out.
 3. Small groups are packed into tiles of about ``TILE`` words. A larger group, whatever
-   its share of all words, is cut into blocks of about ``BLOCK``, and every pair of its blocks
-   is a tile. In a tile, blocks of at most ``BLOCK`` words are compared; memory follows
+   its share of all words, is cut into blocks of that size, and every pair of its blocks
+   is a tile. In a tile, ``BLOCK`` words at most are compared with as many; memory follows
    the block, not the group. Only near pairs leave a tile, each exactly once.
 4. Counts and best forms are aggregated per word; roots by pointer doubling (each form is
    ``RATIO`` times as frequent, so chains are short).
@@ -35,7 +36,9 @@ LEAST_COUNT = 2
 RATIO = 10
 #: One run in this many (by hash) loses a code point.
 DELETE_ONE_IN = 31
-#: Words of a tile of small groups, and of a block.
+#: Pieces of a word; the larger, the smaller the groups and the more of them.
+PIECES = 3
+#: Words of a tile of small groups or of a block of a larger group, and of one comparison.
 TILE = 2048
 BLOCK = 256
 #: Most cells of a padded matrix.
@@ -118,18 +121,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_in(a: list[str], b: list[str], longer: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(longer: int) -> list[int]:
+    """Where the pieces of a word of ``longer`` code points end (0 first)."""
+    return [longer * i // PIECES for i in range(PIECES + 1)]
+
+
+def near_in(a: list[str], b: list[str], longer: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the near pairs of a and b (distinct words of lengths ``longer`` and one
-    less) whose longer one has ``longer`` code points. Side 0 takes the pairs that share a
-    prefix of half that length, side 1 the others, which share such a suffix."""
-    half = longer // 2
+    less) whose longer one has ``longer`` code points, and whose edit lies in ``piece`` and
+    could not lie in an earlier one."""
     before = _common(_matrix(a, longer), _matrix(b, longer))
     after = _common(_matrix([w[::-1] for w in a], longer), _matrix([w[::-1] for w in b], longer))
     la, lb = (np.array([len(w) for w in x]) for x in (a, b))
     most = np.maximum(la[:, None], lb[None, :])
-    near = (most == longer) & (before + after >= longer - 1)
-    near &= (before >= half) if side == 0 else (before < half) & (after >= half)
-    near &= (before < most)      # the same word
+    near = (most == longer) & (before + after >= longer - 1) & (before < most)   # not the same word
+    cuts = _cuts(longer)
+    for i in range(piece + 1):
+        inside = (before >= cuts[i]) & (after >= longer - cuts[i + 1])
+        near &= inside if i == piece else ~inside
     return np.nonzero(near)
 
 
@@ -144,14 +153,14 @@ _PAIR_SCHEMA = pa.schema([("word", pa.string()), ("other", pa.string()), ("other
 
 def _compare(table: pa.Table) -> pa.Table:
     """Near pairs of a tile, in both directions."""
-    longer, side, part = (np.array(table[c].to_pylist()) for c in ("longer", "side", "part"))
+    longer, piece, part = (np.array(table[c].to_pylist()) for c in ("longer", "piece", "part"))
     words, n = table["word"].to_pylist(), table["n"].to_pylist()
     across = table["low"][0].as_py() != table["high"][0].as_py()
     out = {"word": [], "other": [], "other_n": []}
-    order = np.lexsort((part, side, longer))
-    kind = longer[order] * 2 + side[order]
+    order = np.lexsort((part, piece, longer))
+    kind = longer[order] * PIECES + piece[order]
     for run in np.split(order, np.flatnonzero(np.diff(kind)) + 1):
-        size, which = int(longer[run[0]]), int(side[run[0]])
+        size, which = int(longer[run[0]]), int(piece[run[0]])
         a = run[part[run] == 0] if across else run
         b = run[part[run] == 1] if across else run
         for i, rows in enumerate(_blocks(len(a), size)):
@@ -167,18 +176,18 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table(out, schema=_PAIR_SCHEMA)
 
 
-def near_pairs(words: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+def near_pairs(words: DataFrame, tile: int = TILE) -> DataFrame:
     """(word, other, other_n): every word with each word one edit away, for distinct
     words with their counts (word, n)."""
     length = F.length("word")
-    options = F.array(*[F.struct((length + up).alias("longer"), F.lit(side).alias("side"))
-                        for up in (0, 1) for side in (0, 1)])
-    half = F.expr("longer div 2").cast("int")
-    shared = F.when(F.col("side") == 0, F.substring(F.col("word"), F.lit(1), half)).otherwise(
-        F.substring(F.col("word"), F.length("word") - half + 1, half))
+    options = F.array(*[F.struct((length + up).alias("longer"), F.lit(i).alias("piece"))
+                        for up in (0, 1) for i in range(PIECES)])
+    start = F.expr(f"longer * piece div {PIECES}").cast("int")
+    behind = (F.col("longer") - F.expr(f"longer * (piece + 1) div {PIECES}")).cast("int")
     keyed = shared_table(
-        words.select("word", "n", F.explode(options).alias("o")).select("word", "n", "o.longer", "o.side")
-        .withColumn("key", F.xxhash64("longer", "side", shared)), "halves")
+        words.select("word", "n", F.explode(options).alias("o")).select("word", "n", "o.longer", "o.piece")
+        .withColumn("key", F.xxhash64("longer", "piece", F.substring(F.col("word"), F.lit(1), start),
+                                      F.substring(F.col("word"), length - behind + 1, behind))), "pieces")
     # groups with a partner, one of them of the longer length
     groups = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
                                        F.max((F.length("word") == F.col("longer")).cast("int")).alias("whole"))
@@ -191,14 +200,14 @@ def near_pairs(words: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFr
     small = met.where(F.col("size") <= tile)
     tiles = int(-(-small.count() // tile)) or 1
     small = small.select(F.pmod("key", F.lit(tiles)).alias("tile"), F.lit(-1).alias("low"), F.lit(-1).alias("high"),
-                         F.lit(0).alias("part"), "longer", "side", "word", "n")
+                         F.lit(0).alias("part"), "longer", "piece", "word", "n")
     large = (met.where(F.col("size") > tile)
-             .withColumn("of", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+             .withColumn("of", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("word", F.lit("block")), F.col("of")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
              .select(F.col("key").alias("tile"), F.least("own", "other").alias("low"),
                      F.greatest("own", "other").alias("high"),
-                     (F.col("own") > F.col("other")).cast("int").alias("part"), "longer", "side", "word", "n"))
+                     (F.col("own") > F.col("other")).cast("int").alias("part"), "longer", "piece", "word", "n"))
     return small.unionByName(large).groupBy("tile", "low", "high").applyInArrow(_compare, PAIR)
 
 
