@@ -37,8 +37,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def role_code(role: str | None) -> int:
-    """1-3 for the three roles (white space and case ignored), 0 for others."""
-    name = (role or "").strip().lower()
+    """1-3 for the three roles (ASCII white space around and case ignored), 0 for others."""
+    name = (role or "").strip(" \t\n\x0b\x0c\r").lower()
     return ROLES.index(name) + 1 if name in ROLES else 0
 
 
@@ -199,7 +199,7 @@ def repair(conversations: DataFrame) -> DataFrame:
                                 F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(),
              F.col("role").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
-    name = F.lower(F.trim(F.coalesce(F.col("role"), F.lit(""))))
+    name = F.lower(F.regexp_replace(F.coalesce(F.col("role"), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     code = F.coalesce(*[F.when(name == r, F.lit(i + 1)) for i, r in enumerate(ROLES)], F.lit(0))
     stored = shared_table(
         rows.withColumn("tie", F.monotonically_increasing_id())

@@ -39,7 +39,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of all items, over word ids."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -134,7 +134,7 @@ class Automaton:
                         found.add(item)
                 s = self.above[link[s]] if link[s] > 0 else -1
 
-    def match(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+    def match(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """(number of words, merged hit spans in words, items) of each text.
 
         Only runs of words whose every neighbouring pair occurs in an item are
@@ -163,6 +163,7 @@ class Automaton:
                     bounds = [(a, z + 1) for a, z in zip(edge[::2], edge[1::2]) if z + 1 - a >= self.least]
                 for a, z in bounds:
                     self._stream(ids[a:z].tolist(), int(a), spans, found)
+            found.discard(None)     # an item without id hits, but has no name to list
             out.append((n, merge_spans(spans), sorted(found)))
         return out
 
@@ -177,10 +178,10 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-RESULT = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,end:int>>,items:array<bigint>,clean:string>"
+RESULT = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,end:int>>,items:array<string>,clean:string>"
 _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
                    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                   ("items", pa.list_(pa.int64())), ("clean", pa.string())])
+                   ("items", pa.list_(pa.string())), ("clean", pa.string())])
 
 
 def _struct(n: int, spans, items, text: str | None) -> dict:
@@ -216,8 +217,7 @@ def _block_of(items: DataFrame, block: int, blocks: int, window: int) -> Automat
 
 def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, window: int, block_chars: int,
                 cut: bool = False) -> DataFrame:
-    items = (benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-             .select("item_id", "text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(-(-total // block_chars)) or 1
     if blocks == 1:
@@ -243,8 +243,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """``docs`` with a struct column ``found`` (n_words, n_hit, spans in words,
     items and, with ``cut``, the text without its hits, null without any) and ``contaminated``: n_hit > 0 and coverage * n_hit >= n_words.
 
-    Null text has no words and is clean; repeated rows are judged alike; an empty
-    benchmark finds nothing. Clashing column names get underscores appended."""
+    Null text has no words and is clean; texts of any length are taken whole; repeated
+    rows are judged alike; an empty benchmark finds nothing. Item ids may be of any type
+    (listed as text); an item with a null id hits like others but is not listed. Clashing column names get underscores appended."""
     name, flag = fresh(docs, "found"), fresh(docs, "contaminated")
     return (_with_found(docs, benchmark, name, window, block_chars, cut)
             .withColumn(flag, (F.col(f"{name}.n_hit") > 0)

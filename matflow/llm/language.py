@@ -5,8 +5,8 @@ with zeros). In a window: byte embedding, convolution filters of several widths,
 maximum over all positions, softmax over the languages. The text's posterior is the
 mean over its windows, weighted by their bytes, so every byte of the text counts.
 
-The network is trained in numpy on a bounded sample of labelled rows
-(``TRAIN_ROWS`` a language, ``TRAIN_WINDOWS`` pieces of each); only the filters'
+The network is trained in numpy on all windows of a bounded sample of labelled rows
+(``TRAIN_ROWS`` a language, ``TRAIN_BYTES`` in all); only the filters'
 winning positions carry a gradient. Prediction is one narrow pass over Arrow
 batches; all windows of a batch are computed in blocks of ``ROWS`` as one matrix
 product.
@@ -27,10 +27,10 @@ FILTERS = 8
 EMBED = 6
 #: Windows computed at a time.
 ROWS = 64
-#: Bounds of the training sample, and of the languages learned.
-TRAIN_ROWS = 600
-TRAIN_WINDOWS = 4
-MAX_LANGUAGES = 200
+#: Bounds of the training sample: texts of a language, and code points of all texts.
+#: Every language is learned from one text at least.
+TRAIN_ROWS = 160
+TRAIN_CHARS = 16_000_000
 UNKNOWN = "und"
 
 
@@ -84,15 +84,17 @@ def cut(data: bytes) -> np.ndarray:
 
 def fit(pieces: list[tuple[str, str]], epochs: int = 12, batch: int = 64, rate: float = 0.004,
         seed: int = 7) -> Network | None:
-    """Adam on the softmax loss over (text, language) pieces, one window each, every
-    language weighted alike. No piece: None; one language: a network that knows
+    """Adam on the softmax loss over all windows of (text, language) pairs, every
+    language weighted alike. No text: None; one language: a network that knows
     only it."""
     if not pieces:
         return None
     languages = sorted({y for _, y in pieces})
     net = Network(languages, seed)
-    x = np.concatenate([cut(t.encode("utf-8")[:WINDOW]) for t, _ in pieces])
-    y = np.array([languages.index(v) for _, v in pieces])
+    cuts = [cut(t.encode("utf-8")) for t, _ in pieces]
+    x = np.concatenate(cuts)
+    nth = {v: i for i, v in enumerate(languages)}
+    y = np.repeat([nth[v] for _, v in pieces], [len(c) for c in cuts])
     weight = (len(y) / len(languages) / np.bincount(y, minlength=len(languages)))[y].astype(np.float32)
     rng, wide = np.random.default_rng(seed), max(WIDTHS)
     names = ("embed", "filters", "bias", "out", "out_bias")
@@ -133,32 +135,28 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_pieces(docs: DataFrame, rows: int = TRAIN_ROWS,
-                    windows: int = TRAIN_WINDOWS) -> list[tuple[str, str]]:
-    """Pieces of at most ``rows`` texts of each language, least hash of the id
+def training_pieces(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
+    """Whole texts, at most ``rows`` of each language, least hash of the id
     first, from rows that may be learned from (doc_id and lang not null, not held
     out, with a letter). A language count picks the share of each language, so only
-    about twice the rows wanted are ranked."""
+    about twice the rows wanted are ranked. Each language has an even part of ``chars``
+    code points and takes the texts that fit in it, one at least."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-                       & (F.col("lang") != UNKNOWN))
-    counts = (known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+                       & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     limit = F.create_map(*[x for r in counts for x in
                            (F.lit(r["lang"]), F.lit(int((1 << 32) * min(1.0, (2 * rows + 50) / r["count"])) + 1))])
-    length = F.length("text")
-    # pieces at even distances; a code point has at least one byte
-    cuts = F.array(*[F.substring(F.col("text"), (length * i / F.lit(windows)).cast("int") + 1, F.lit(WINDOW))
-                     for i in range(windows)])
-    picked = (known.where((part < F.element_at(limit, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
-              .select("lang", "doc_id", part.alias("part"), cuts.alias("cuts"))
-              .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("part", "doc_id")))
-              .where(F.col("nth") <= rows))
-    out = []
-    for r in picked.orderBy("lang", "nth").collect():
-        out += [(p, r.lang) for p in dict.fromkeys(r.cuts) if p]
-    return out
+    ranked = Window.partitionBy("lang").orderBy("part", "doc_id", F.xxhash64("text"))
+    own = F.sum(F.length("text").cast("long")).over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+    picked = (known.where(part < F.element_at(limit, F.col("lang")))
+              .select("lang", "doc_id", part.alias("part"), "text")
+              .withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= rows)
+              .withColumn("total", own)
+              .where((F.col("nth") == 1) | (F.col("total") <= chars // len(counts))))
+    return [(r.text, r.lang) for r in picked.orderBy("lang", "nth").select("text", "lang").collect()]
 
 
 def _predictor(net: Network | None):
@@ -197,17 +195,21 @@ def _predictor(net: Network | None):
 def with_language(docs: DataFrame, net: Network | None, column: str = "language") -> DataFrame:
     """``docs`` with a struct column (lang, score). Null texts and texts without a
     letter are ``und`` with score 0, as is everything if nothing could be learned;
-    ties go to the first language by name. Repeated rows are predicted alike."""
+    ties go to the first language by name. Texts of any length are judged by all their
+    windows. Repeated rows are predicted alike."""
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.withColumn(fresh(docs, column), _predictor(net)(F.col("text"), letter))
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is recognised (not ``und``, score at least
-    ``least``), with their columns; the network learns from ``docs`` itself."""
+    ``least``), with their columns; the network learns from ``docs`` itself. Documents
+    without any label to learn from raise ValueError: nothing is dropped unjudged."""
     net = fit(training_pieces(docs))
     if net is None:
-        return docs.limit(0)
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no labelled text to learn languages from")
     name = fresh(docs, "language")
     judged = with_language(docs, net)
     return judged.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)

@@ -2,36 +2,44 @@
 
 1. A softmax classifier learned from a labelled table gives every document its
    posterior p over the domains (word and stem presence, a few shape measures);
-   numpy, on a bounded sample (``TRAIN_ROWS`` of each domain).
+   numpy, on a bounded sample (``TRAIN_ROWS`` whole texts and ``TRAIN_CHARS`` code points
+   of each domain).
 2. Nonnegative rates r are fitted so that the expected domain totals
-   sum_i r_i n_i p_i (n: tokens, here words) meet the targets: projected gradient on the least
+   sum_i r_i n_i p_i (n: tokens, here words, or a token every ``TOKEN_LETTERS`` letters where
+   that is more, as in scripts without spaces) meet the targets: projected gradient on the least
    squares in the norm of the inverse domain Gram matrix, in which one step solves
    the problem wherever no rate is cut off at 0, with Nesterov's acceleration. A step is one distributed
    aggregate of a few sums; a document's rate after k steps follows from its own
    posterior and the k gradient vectors, so no per-document state is kept and no
    lineage grows.
-3. The rate becomes floor(rate + u) copies, u a hash of the id in [0, 1).
+   Steps end where the totals meet the targets, or where they no longer change (targets
+   that no nonnegative rates meet); the residual left is returned.
+3. The rate becomes floor(rate + u) copies, u in [0, 1) a hash of the id, the text and the
+   stored row, so that rows with equal or no ids are copied each by itself.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matflow.llm.common import fresh, shared_table
+from matflow.llm.common import shared_table, whole_texts_within
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the tokens wanted of each domain.
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 TRAIN_ROWS = 2000
-TRAIN_CHARS = 8000
+TRAIN_CHARS = 16_000_000
 MIN_DOCS = 10
-STEPS = 40
+#: Most gradient steps; beyond it the residual tells how far the totals are.
+STEPS = 100
 TOLERANCE = 1e-7
+TOKEN_LETTERS = 6
 
 _WORD = re.compile(r"\w+")
 SHAPES = 6
@@ -72,7 +80,7 @@ class Classifier:
         return got
 
     def posterior(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of words and posterior of a text."""
+        """Number of tokens and posterior of a text."""
         words = _WORD.findall((text or "").lower())
         distinct, rows, known = set(words), set(), self.words
         for w in distinct:
@@ -85,7 +93,7 @@ class Classifier:
         if rows:
             z = z + self.weights[list(rows)].sum(axis=0)
         z = np.exp(z - z.max())
-        return len(words), z / z.sum()
+        return max(len(words), -(-sum(map(len, words)) // TOKEN_LETTERS)), z / z.sum()
 
 
 def fit(rows: list[tuple[str, str]], domains=DOMAINS, epochs: int = 150, rate: float = 0.3,
@@ -143,9 +151,9 @@ def fit(rows: list[tuple[str, str]], domains=DOMAINS, epochs: int = 150, rate: f
 
 
 def training_rows(docs: DataFrame, labels: DataFrame,
-                  rows: int = TRAIN_ROWS) -> tuple[list[tuple[str, str]], dict[str, float]]:
-    """At most ``rows`` labelled texts of each domain, least hash of the id first, and
-    the domains' shares of all labelled rows."""
+                  rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[tuple[str, str]], dict[str, float]]:
+    """At most ``rows`` labelled whole texts of each domain, least hash of the id first, as
+    many as fit in ``chars`` code points, and the domains' shares of all labelled rows."""
     known = (labels.where(F.col("doc_id").isNotNull())
              .select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
              .where(F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain")))
@@ -153,27 +161,23 @@ def training_rows(docs: DataFrame, labels: DataFrame,
     for d in DOMAINS:
         part = known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    texts = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
-             .join(F.broadcast(picked), "doc_id")
-             .groupBy("doc_id", "domain").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")))
+    texts = whole_texts_within(docs, picked, "domain", chars)
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     shares = {d: n / sum(counts.values()) for d, n in counts.items()}
-    return [(r.text, r.domain) for r in texts.orderBy("doc_id").collect()], shares
+    return texts, shares
 
 
-def _posterior(model: Classifier, steps: list[list[float]] | None = None):
-    """n_tokens, p and, after given gradient steps, the rate (else null)."""
-    moves = np.array(steps or [], dtype=np.float64)
-    kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("rate", pa.float64())])
+def _posterior(model: Classifier):
+    """n_tokens and p of each text."""
+    kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             n, p = model.posterior(t.as_py())
-            rate = None if steps is None else float(_fold(p[None, :], moves)[0][0]) if len(moves) else 1.0
-            out.append({"n_tokens": n, "p": p, "rate": rate})
+            out.append({"n_tokens": n, "p": p})
         return pa.array(out, kind)
-    return F.arrow_udf(run, "struct<n_tokens:bigint,p:array<double>,rate:double>").asNondeterministic()
+    return F.arrow_udf(run, "struct<n_tokens:bigint,p:array<double>>").asNondeterministic()
 
 
 def _fold(dense: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +207,10 @@ def rate_of(p, steps: list[list[float]], ahead: bool = False) -> F.Column:
     return F.arrow_udf(run, "double")(p)
 
 
-def solve(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
-    """Gradient vectors of the projected steps for rows of (n_tokens, p). ``targets``
-    are shares of the natural token total. Each step reads the rows once and brings
+def solve(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[list[list[float]], float]:
+    """Gradient vectors of the projected steps for rows of (n_tokens, p), and the largest
+    difference left between a domain's total and its target. ``targets`` are shares
+    of the natural token total. Each step reads the rows once and brings
     as many sums to the driver as there are domains."""
     k = len(targets)
     p = [F.element_at("p", d + 1) for d in range(k)]
@@ -214,50 +219,67 @@ def solve(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[lis
                                            for i in range(k) for j in range(i, k)]).first()
     total = sums["n"] or 0.0
     if total == 0:
-        return []
+        return [], 0.0
     gram = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     inverse = np.linalg.pinv(gram, rcond=1e-9)
     done: list[list[float]] = []
-    for _ in range(steps):
+    before, still = None, 0
+    while True:
         r = rate_of(F.col("p"), done, ahead=True)
         got = rows.select((r * n).alias("w"), "p").agg(
             *[F.sum(F.col("w") * p[d]) for d in range(k)]).first()
         residual = np.array(got, dtype=float) / total - np.array(targets)
-        if np.abs(residual).max() < TOLERANCE:
-            break
+        left = float(np.abs(residual).max())
+        # not a single step alike: the accelerated steps may turn once
+        still = still + 1 if before is not None and np.abs(residual - before).max() < TOLERANCE else 0
+        if left < TOLERANCE or still == 3 or len(done) == steps:
+            return done, left
+        before = residual
         done.append([float(v) for v in inverse @ residual])
-    return done
 
 
-def copies_of(rate, key) -> F.Column:
-    u = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1 << 48)) / F.lit(float(1 << 48))
+def copies_of(rate, *key) -> F.Column:
+    u = F.pmod(F.xxhash64(F.lit("mix"), *key), F.lit(1 << 48)) / F.lit(float(1 << 48))
     return F.floor(rate + u).cast("long")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None):
-    """One row per document: doc_id, n_tokens, p (posterior by DOMAINS), rate and
-    copies; and the classifier and gradient steps that gave them.
-
-    Null and empty texts have no tokens but a rate all the same; repeated rows get
-    equal rates; a null doc_id hashes like any value; other columns are ignored. An
-    empty table gives an empty result, empty labels an even posterior."""
+def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], targets: dict[str, float] | None):
+    """The documents' ``columns`` stored with n_tokens, p and a row key (one classification
+    of every text), the classifier, the steps and the residual."""
     wanted = targets or TARGETS
     goal = [wanted[d] / sum(wanted.values()) for d in DOMAINS]
     texts, shares = training_rows(docs, labels)
     model = fit(texts, shares=shares)
-    rows = shared_table(docs.select("doc_id", _posterior(model)(F.col("text")).alias("s"))
-                        .select("doc_id", "s.n_tokens", "s.p"), "posteriors")
-    steps = solve(rows, goal)
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id())
+    rows = shared_table(docs.select(*own, key.alias("row_key"), _posterior(model)(F.col("text")).alias("s"))
+                        .select(*[f"c{i}" for i in range(len(columns))], "row_key", "s.n_tokens", "s.p"), "posteriors")
+    steps, left = solve(rows.select("n_tokens", "p"), goal)
+    if left > 1e-3:
+        warnings.warn(f"mixing targets are missed by {left:.4f} of the tokens")
+    return rows, model, steps, left
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None):
+    """One row per document: doc_id, n_tokens, p (posterior by DOMAINS), rate and
+    copies; and the classifier, the gradient steps that gave them and the residual.
+
+    Null and empty texts have no tokens but a rate all the same; repeated rows, and rows
+    with equal or null ids, get rates by their texts and copies each by itself;
+    ties of the posterior do not matter (no domain is chosen); texts of any length are
+    taken whole; other columns are ignored. An empty table gives an empty result, empty
+    labels an even posterior."""
+    rows, model, steps, left = _judged(docs, labels, ["doc_id"], targets)
     rate = rate_of(F.col("p"), steps)
-    out = rows.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
-    return out, model, steps
+    out = (rows.withColumnRenamed("c0", "doc_id").withColumn("rate", rate)
+           .withColumn("copies", copies_of(F.col("rate"), F.col("row_key"))))
+    return out, model, steps, left
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents, each as many times as its rate gives; columns are kept."""
-    _, model, steps = rates(docs, labels, targets)
-    s, n = fresh(docs, "__s"), fresh(docs, "__copy")
-    counted = docs.withColumn(s, _posterior(model, steps)(F.col("text")))
-    times = copies_of(F.col(f"{s}.rate"), F.col("doc_id")).cast("int")
-    return (counted.withColumn(n, F.explode(F.array_repeat(F.lit(1), times)))
-            .select(docs.columns))
+    """The documents, each as many times as its rate gives; columns are kept. The rows
+    are stored once with their posteriors, so every text is classified once."""
+    rows, _, steps, _ = _judged(docs, labels, docs.columns, targets)
+    times = copies_of(rate_of(F.col("p"), steps), F.col("row_key")).cast("int")
+    return (rows.withColumn("times", times).withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]))

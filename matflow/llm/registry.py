@@ -45,7 +45,7 @@ def op3(spark, sf_dir):
 
 @_query("op4_mixing")
 def op4(spark, sf_dir):
-    out, _, _ = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out, *_ = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_tokens",
                       *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)],
                       "rate", "copies")

@@ -28,15 +28,16 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matflow.llm.common import new_folder, shared_table
+from matflow.llm.common import new_folder, release_memory, shared_table, small_batches
 
 END_ID = 2
 BLOCK = 256
@@ -44,6 +45,9 @@ FRAME_IDS = 1 << 18
 #: Aimed text bytes of one output file.
 FILE_TEXT_BYTES = 32 << 20
 
+#: Files of a group in the two-level sums of file offsets.
+GROUP_FILES = 1024
+
 # Fixed values of the coding: ids per word and bits per id of selectors 0-13.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -243,8 +247,8 @@ _DIGIT = "0-9²³¹¼-¾"
 # (words first: they never begin like a contraction)
 _PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)"
                     f"| ?[^\\t-\\r {_LETTER}{_DIGIT}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
-#: Pieces whose ids a worker remembers.
-CACHE = 350_000
+#: Bytes of the pieces, with their ids, that a worker remembers.
+CACHE_BYTES = 72 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -255,6 +259,11 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + i) for i, b in enumerate(hidden)}}
 
 
+def _held(piece: str, ids: bytes) -> int:
+    """Bytes that a remembered piece takes, with its place in the table."""
+    return sys.getsizeof(piece) + sys.getsizeof(ids) + 100
+
+
 class _Memory(dict):
     """Ids of pieces, from their second meeting on (the first leaves a mark at the
     piece's hash), until the memory is full: frequent pieces come first."""
@@ -262,6 +271,7 @@ class _Memory(dict):
     def __init__(self, model):
         super().__init__()
         self.met = bytearray(1 << 24)
+        self.room = CACHE_BYTES
         self.merge, self.letters = model.tokenize, _byte_letters()
         self.space = self.letters[0x20]
 
@@ -272,10 +282,20 @@ class _Memory(dict):
         mark = hash(piece) & 0xFFFFFF
         if not self.met[mark]:
             self.met[mark] = 1
-        elif len(self) < CACHE:
+        elif self.room > 0:
             self[piece] = ids
+            self.room -= _held(piece, ids)
         return ids
 
+    def trim(self) -> None:
+        """Of a full memory the later half goes, for other texts' pieces."""
+        if self.room > 0:
+            return
+        kept = dict(itertools.islice(self.items(), len(self) // 2))
+        self.clear()
+        self.update(kept)
+        self.room = CACHE_BYTES - sum(_held(p, i) for p, i in kept.items())
+
 
 class Encoder:
     """Texts to ids by the ``tokenizers`` library. Pieces between which its byte-level
@@ -285,13 +305,16 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        kind = json.loads(self.tokenizer.to_str())
-        self.by_piece = (kind["normalizer"] is None and kind["model"]["type"] == "BPE"
-                         and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False,
-                                                       "trim_offsets": True, "use_regex": True})
+        cut = self.tokenizer.pre_tokenizer
+        self.by_piece = (self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
+                         and isinstance(cut, ByteLevel)
+                         and json.loads(cut.__getstate__()) == {
+                             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
         self.known = _Memory(self.tokenizer.model)
 
     def ids(self, text: str) -> bytes:
@@ -301,13 +324,6 @@ class Encoder:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
-    def trim(self) -> None:
-        """Between tasks a full memory lets its later half go, for other texts' pieces."""
-        if len(self.known) >= CACHE:
-            kept = dict(itertools.islice(self.known.items(), CACHE // 2))
-            self.known.clear()
-            self.known.update(kept)
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -328,6 +344,7 @@ def _frames(tokenizer: str, end_id: int):
     end = struct.pack("<I", end_id)
 
     def run(batches):
+        release_memory()
         enc = encoder(tokenizer)
         ids, parts, held = [], [], 0
 
@@ -346,7 +363,7 @@ def _frames(tokenizer: str, end_id: int):
                     ids, parts, held = [], [], 0
         if ids:
             yield frame()
-        enc.trim()
+        enc.known.trim()
     return run
 
 
@@ -354,15 +371,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
                  end_id: int = END_ID, file_bytes: int = FILE_TEXT_BYTES) -> None:
     """Encode every whole text (null: empty) with ``end_id`` appended and write the
     ids in ascending doc_id order; null ids come first, repeated ids side by side
-    in the order of their texts' hashes."""
+    in the order of their texts' hashes, dealt to as many files as they fill."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = int(max(1, -(-size // file_bytes)))
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange(files, F.col("doc_id").asc_nulls_first())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
-    (ordered.mapInArrow(_frames(tokenizer, end_id), "frame binary")
-     .select(F.col("frame").cast("string").alias("value"))
-     .write.option("lineSep", "\n").text(folder))
+    # rows that agree in id and text are alike, so any tie-break gives the same files
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "tie"]
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"),
+                           F.monotonically_increasing_id().alias("tie"))
+               .repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text"))
+    with small_batches(docs.sparkSession):
+        (ordered.mapInArrow(_frames(tokenizer, end_id), "frame binary")
+         .select(F.col("frame").cast("string").alias("value"))
+         .write.option("lineSep", "\n").text(folder))
 
 
 def _read_rows(batches):
@@ -394,17 +414,24 @@ def tokenize(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_
     """Write ``docs`` as token files and read them back: one row per document with
     doc_id, start (ids of all documents before it), n_tokens and ids_crc32.
 
-    Columns other than doc_id and text are ignored; no documents give no rows."""
+    Null text is empty (its only id is the end id); texts of any length are one document of
+    a frame; null ids come first and ties go by the text's hash, so a repeated id may span
+    files; columns other than doc_id and text are ignored; no documents give no rows."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens") + "/t"
     write_tokens(docs, folder, tokenizer, end_id)
     rows = shared_table(read_tokens(spark, folder), "token-rows")
-    # the number in a file's name is its range partition: offsets from one row per file
-    per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
-    starts, at = [], 0
-    for r in sorted(per_file, key=lambda r: int(re.search(r"part-(\d+)", r.file)[1])):
-        starts.append((r.file, at))
-        at += r.n
-    offsets = spark.createDataFrame(starts, "file string, before long")
-    return (rows.join(F.broadcast(offsets), "file")
+    # the number in a file's name is its range partition; sums before a file come from its
+    # group of files and, for whole groups, from the groups before
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn(
+        "nth", F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long"))
+    files = shared_table(files.withColumn("part", F.expr(f"nth div {GROUP_FILES}")), "token-files")
+    before = (Window.unboundedPreceding, -1)
+    in_part = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("nth").rowsBetween(*before)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n").alias("part_n")).select(
+        "part", F.coalesce(F.sum("part_n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(*before)),
+                           F.lit(0)).alias("part_before"))
+    offsets = files.withColumn("in_part", in_part).join(parts, "part").select(
+        "file", (F.col("part_before") + F.col("in_part")).alias("before"))
+    return (rows.join(offsets, "file")
             .select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))

@@ -8,8 +8,8 @@ the gradient of the document's log loss through the noisy-or, so the sentences
 that make a document toxic are found without a sentence label.
 
 Features of a sentence: its words and their leading stems (4, 5 and 6 letters).
-Training uses a bounded sample (``TRAIN_ROWS`` rows of each label, chosen by a
-hash of the id); words seen in fewer than ``MIN_DOCS`` documents of it get no
+Training uses a bounded sample (at most ``TRAIN_ROWS`` whole texts and ``TRAIN_CHARS``
+code points of each label, chosen by a hash of the id); words seen in fewer than ``MIN_DOCS`` documents of it get no
 weight. Scoring is one pass over whole texts, in Arrow batches, without shuffle.
 """
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matflow.llm.common import whole_texts_within
+
 #: Bound of the training sample, per label.
 TRAIN_ROWS = 3000
-#: Longest part of one text used in training (code points); scoring uses whole texts.
-TRAIN_CHARS = 8000
+#: Bound of the sample's code points, per label; its texts are whole.
+TRAIN_CHARS = 16_000_000
 MIN_DOCS = 6
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -157,9 +159,10 @@ def fit(rows: list[tuple[str, int]], epochs: int = 200, rate: float = 0.5, l1: f
     return Model({index[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > LEAST_WEIGHT)})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
-                  held_out=None) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of each label, least hash of the id first."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out=None,
+                  chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled whole texts of each label, least hash of the id first,
+    as many as fit in ``chars`` code points."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out is not None:
         known = known.where(~held_out)
@@ -169,10 +172,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * rows ids: a bounded broadcast
-    texts = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
-             .join(F.broadcast(picked), "doc_id")
-             .groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")))
-    return [(r.text, r.toxic) for r in texts.orderBy("doc_id").collect()]
+    return whole_texts_within(docs, picked, "toxic", chars)
 
 
 def held_out(doc_id) -> F.Column:
@@ -183,8 +183,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, score, predicted, n_sentences and the offending sentences (spans with
     scores of at least ``threshold``, else the best one of a predicted document).
 
-    Null and empty texts have no sentence and score 0. Rows are scored one by one,
-    so repeated rows get equal scores; other columns are ignored."""
+    Null and empty texts have no sentence and score 0; texts of any length are scored
+    whole. Rows are scored one by one, so repeated rows get equal scores and there is
+    no tie to break; other columns are ignored."""
     result = ("struct<score:double,n_sentences:int,"
               "offending:array<struct<start:int,end:int,score:double>>>")
     kind = pa.struct([("score", pa.float64()), ("n_sentences", pa.int32()), ("offending", pa.list_(

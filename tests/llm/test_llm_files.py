@@ -223,3 +223,58 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    rows = [(None, f"w{i} " * 300, "en", "x", "y") for i in range(200)] + [(7, "same " * 200, "en", "x", "y")] * 200
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    folder = common.new_folder(spark, "hot-id") + "/t"
+    tokens.write_tokens(docs, folder, file_bytes=40_000)
+    read = tokens.read_tokens(spark, folder).collect()
+    of = {}
+    for r in read:
+        of.setdefault(r.doc_id, set()).add(r.file)
+    assert len(read) == 400 and len(of[None]) > 1 and len(of[7]) > 1
+
+
+def test_offsets_come_from_groups_of_files(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_FILES", 3)
+    monkeypatch.setattr(tokens, "FILE_TEXT_BYTES", 500)
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    folder = common.new_folder(spark, "groups") + "/t"
+    tokens.write_tokens(docs, folder, file_bytes=5_000)
+    monkeypatch.setattr(tokens, "write_tokens", lambda *a, **k: None)
+    got = tokens.tokenize(docs, folder).orderBy("doc_id").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert len(got) == 300
+
+
+def test_the_memory_of_pieces_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    enc = tokens.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    text = " ".join(f"piece{i}x" for i in range(2000))
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False)
+    for _ in range(3):
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == plain.ids
+        held = sum(tokens._held(p, i) for p, i in enc.known.items())
+        assert held < 20_500
+        enc.known.trim()
+        assert enc.known.room > 0
+
+
+def test_white_space_around_roles_does_not_matter(spark):
+    roles = ["user", "assistant\n", " user\t", "\r\nuser", "assistant", "\x0bsystem "]
+    rows = [(c, t, r if c else r.strip(), f"t{t}") for c in (0, 1) for t, r in enumerate(roles)]
+    got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): (r.action, r.new_role, r.inserted, r.fragment) for r in got}
+    assert [by[0, t] for t in range(6)] == [by[1, t] for t in range(6)]
+
+
+def test_pipeline_without_labels_raises(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    with pytest.raises(ValueError):
+        corpus_pipeline.language_id(spark, docs, "")

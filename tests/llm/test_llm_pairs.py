@@ -163,8 +163,8 @@ def reference_hits(docs, items, window=13):
     windows = {}
     for i, t in items:
         w = word.findall((t or "").translate(LOWER))
-        for k in range(max(1, len(w) - window + 1) if w and i is not None else 0):
-            windows.setdefault(tuple(w[k:k + window]), set()).add(i)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k:k + window]), set()).update([] if i is None else [str(i)])
     out = []
     for i, t in docs:
         w = word.findall((t or "").translate(LOWER))
@@ -172,7 +172,7 @@ def reference_hits(docs, items, window=13):
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
                 got = windows.get(tuple(w[k:k + n]))
-                if got:
+                if got is not None:
                     hit[k:k + n] = [True] * n
                     found |= got
         out.append((i, len(w), sum(hit), tuple(sorted(found)), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
@@ -208,3 +208,15 @@ def test_decontaminate_cuts_and_drops(spark):
     assert got[2].n_chars == len(got[2].text) and got[3].n_chars == 10
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 4
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_id_hit_but_are_not_listed(spark):
+    words = " ".join(f"t{i}" for i in range(20))
+    docs = frame(spark, [(1, words), (2, "other words " * 20), (3, f"{words} and {words[::-1]}")])
+    bench = spark.createDataFrame([(None, words), ("b", "t0 t1 t2 t3 t4 t5 t6 t7 t8 t9 t10 t11 t12"), (None, None)],
+                                  "item_id string, text string")
+    got = decontaminate.find_contamination(docs, bench).orderBy("doc_id")
+    got = got.select("found_.n_hit", "found_.items", "contaminated").collect()
+    assert [(r.n_hit, r["items"], r.contaminated) for r in got] == [(20, ["b"], True), (0, [], False), (20, ["b"], True)]
+    for_blocks = decontaminate.find_contamination(docs, bench, block_chars=40).orderBy("doc_id")
+    assert [r.found_.n_hit for r in for_blocks.collect()] == [20, 0, 20]

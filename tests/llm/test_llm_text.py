@@ -230,7 +230,7 @@ def test_rates_meet_the_targets(spark):
     n = rng.integers(0, 500, 3000)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
     for goal in ([0.5, 0.3, 0.2], [0.8, 0.15, 0.05], [0.95, 0.04, 0.01]):
-        steps = mixing.solve(rows, goal)
+        steps, left = mixing.solve(rows, goal)
         got = rows.select("n_tokens", "p", mixing.rate_of(rows["p"], steps).alias("r")).collect()
         r = np.array([x.r for x in got])
         w = np.array([x.n_tokens for x in got])
@@ -250,6 +250,7 @@ def test_rates_meet_the_targets(spark):
         assert loss(r) - loss(dense) < (1e-6 if goal[0] < 0.9 else 0.02 * loss(np.ones(len(w))))
         if goal[0] < 0.9:
             assert np.abs(total - goal).max() < 1e-3
+        assert abs(left - np.abs(total - goal).max()) < 1e-2
 
 
 def test_mixing_of_documents(spark):
@@ -262,7 +263,8 @@ def test_mixing_of_documents(spark):
     rows += [(1000, None, "en"), (1001, "", "en"), (None, "gut1 gut2", "en"), (0, rows[0][1], "en")]
     docs = frame(spark, rows)
     lab = spark.createDataFrame(labels + [(9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    out, _, _ = mixing.rates(docs, lab)
+    out, _, _, left = mixing.rates(docs, lab)
+    assert left < 1e-3
     got = out.collect()
     assert len(got) == len(rows)
     n = np.array([r.n_tokens for r in got], float)
@@ -274,7 +276,7 @@ def test_mixing_of_documents(spark):
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(docs.limit(0), lab).count() == 0
-    even, _, _ = mixing.rates(docs, lab.limit(0))
+    even, *_ = mixing.rates(docs, lab.limit(0))
     assert np.allclose([r.p for r in even.collect()], 1 / 3)
 
 
@@ -288,3 +290,54 @@ def test_domains_are_told_apart(spark):
             .select("text", mixing.domain_of(labels["quality"], labels["toxic"]).alias("d")).where("d is not null").collect())
     right = sum(mixing.DOMAINS[int(model.posterior(r.text)[1].argmax())] == r.d for r in held)
     assert len(held) > 1000 and right >= 0.88 * len(held)
+
+
+def test_rows_without_ids_are_copied_each_by_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None, sentences(rng, ["mies1", "mies2", "gut1"], 12), "en") for _ in range(400)]
+    rows += [(None, "mies1 gut1", "en")] * 400
+    labels = [(i, i % 2, 0) for i in range(60)]
+    learned = [(i, "gut1 gut2 gut3" if i % 2 else "mies1 mies2 mies3", "en") for i in range(60)]
+    docs = frame(spark, rows + learned)
+    out, _, _, left = mixing.rates(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+                                   {"good": 0.5, "poor": 0.25, "toxic": 0.0})
+    own = [r for r in out.collect() if r.doc_id is None]
+    expected, copies = sum(r.rate for r in own), sum(r.copies for r in own)
+    assert len(own) == 800 and abs(copies - expected) < 80
+    parts = {r.copies for r in own if 0.1 < r.rate % 1 < 0.9}
+    assert len(parts) > 1 or not parts
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = np.random.default_rng(12)
+    words = [f"wort{i}" for i in range(100)]
+    rows = [(i, sentences(rng, words, 1600) + (". sly villainy here" if i % 2 else "")
+             + f". {sentences(rng, words, 4)}", "en") for i in range(60)]
+    assert min(len(t) for _, t, _ in rows) > 8000
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.training_rows(frame(spark, rows), lab))
+    assert [r.predicted for r in toxicity.score(frame(spark, rows), model).orderBy("doc_id").collect()] == [0, 1] * 30
+    # the bound takes whole texts only
+    few = toxicity.training_rows(frame(spark, rows), lab, chars=40_000)
+    assert {y for _, y in few} == {0, 1} and len(few) < 12 and {t for t, _ in few} <= {t for _, t, _ in rows}
+
+
+def test_languages_need_labels_and_none_is_left_out(spark):
+    bare = frame(spark, [(1, "kral vokt", None), (2, "ouié", None)])
+    with pytest.raises(ValueError):
+        language.keep_known(bare)
+    many = frame(spark, [(i, f"kral{i % 230} vokt " * 3, f"l{i % 230:03d}") for i in range(1380)])
+    pieces = language.training_pieces(many)
+    assert len({y for _, y in pieces}) == 230
+    one = language.training_pieces(many, chars=10)
+    assert len(one) == 230 == len({y for _, y in one})
+
+
+def test_language_ties_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abc", "xx", 1), (2, "abc", "yy", 2)],
+                                 "doc_id long, text string, lang string, language int")
+    net = language.fit([("abc", "xx"), ("abc", "yy")])
+    for name in ("out", "out_bias"):
+        getattr(net, name)[:] = 0
+    out = language.with_language(docs, net)
+    assert [(r.language, r.language_.lang) for r in out.orderBy("doc_id").collect()] == [(1, "xx"), (2, "xx")]
