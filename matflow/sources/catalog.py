@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +49,24 @@ class Tables:
         return self._raw[name]
 
 
+_STATUS = re.compile(r"path=([^;]*); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+)")
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Of path, length and time of every file below the input folder, listed by
-    Spark on whatever file system it is; no content is read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir)
-             .select(F.xxhash64("path", "length", "modificationTime").alias("h")))
-    r = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"),
-                  F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha1(f"{sf_dir}|{r.n}|{r.x}|{r.s}".encode()).hexdigest()[:16]
+    """Of path, length and time of every file below the input folder, listed in the
+    driver through Hadoop's file system, one call a folder; no job, no content read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders, files = [root], []
+    while folders:
+        listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(folders.pop()))
+        for path, is_folder, length, changed in _STATUS.findall(listed):
+            if is_folder == "true":
+                folders.append(jvm.org.apache.hadoop.fs.Path(path))
+            else:
+                files.append(f"{path}|{length}|{changed}")
+    return hashlib.sha1("\n".join([sf_dir, *sorted(files)]).encode()).hexdigest()[:16]
 
 
 _CACHE: dict = {}

@@ -4,11 +4,13 @@
   window is emitted once the watermark passes its end, later rows are dropped.
 * R3, R5: ordered folds with ``transformWithStateInPandas`` (RocksDB state
   store, event-time timers). Rows of a key are not ordered inside a
-  micro-batch, so each row is buffered in a ``ListState``; a timer at the
-  earliest buffered time fires once the watermark passes it, and the handler
-  folds every buffered row older than the watermark in (time, id) order with
-  the same step rule as the batch fold. State per key is one small record plus
-  the rows of one watermark delay.
+  micro-batch, so they wait for the watermark and are then folded in (time, id)
+  order with the same step rule as the batch fold.
+  R3 is keyed by user: rows wait in a ``ListState``. Accounts begin with their
+  stored count and lock (initial state); tries on unknown accounts bypass the state.
+  R5 is keyed by groups of materials: rows wait in a ``MapState`` by bucket of
+  event time, and a timer at the end of each bucket folds that bucket alone,
+  so a handler holds the rows of one group and bucket, whatever waits behind it.
 
 The stream gives the rows of the batch twin as long as no row arrives later
 than the watermark delay; to flush the last rows a closing row far in the
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
-from ..plans.fold import OUTCOME_FAILED, lockout_step  # noqa: F401
+from ..plans.fold import OUTCOME_UNKNOWN, lockout_step
 from ..plans.skew import left_join_spread_nulls
 from ..session import delete_at_exit, ensure_checkpoint_dir
 
@@ -190,40 +192,78 @@ class _BufferedFold(StatefulProcessor):
         pass
 
 
-class DeductionProcessor(_BufferedFold):
-    """Greedy deduction per material (state = remaining stock)."""
+class DeductionProcessor(StatefulProcessor):
+    """Greedy deduction for a group of materials.
 
-    row_schema = T.StructType([T.StructField("ms", T.LongType()), T.StructField("req_id", T.LongType()),
-                               T.StructField("qte", T.LongType()), T.StructField("opening", T.LongType()),
-                               T.StructField("us", T.LongType())])
-    state_schema = T.StructType([T.StructField("remaining", T.LongType())])
+    State: the waiting rows by bucket of event time (each a packed array), and the
+    remaining stock of the group's materials. ``most_rows`` refuses a handler call
+    with more rows than that (for tests and for alarms)."""
 
-    def __init__(self, tz: str = "UTC"):
-        self.tz = tz
+    ROW = np.dtype([(c, "<i8") for c in ("us", "req", "sid", "qte", "opening")])
 
-    def to_tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        # epoch ms decides when a row is due; microseconds order the rows
-        ms, us = _epoch_ms(pdf["ts"], self.tz), _us(pdf["ts"])
-        return [(int(m), int(r), int(q), int(o), int(u)) for m, r, q, o, u in
-                zip(ms, pdf["req_id"], pdf["qte"], pdf["opening"], us)]
+    def __init__(self, tz: str = "UTC", bucket_ms: int = 3_600_000, most_rows: int | None = None):
+        self.tz, self.bucket_ms, self.most_rows = tz, bucket_ms, most_rows
 
-    def fold(self, key, st, due):
-        remaining = st[0] if st is not None else due[0][3]
-        acc = []
-        due = sorted(due, key=lambda r: (r[4], r[1]))
-        for _, _, q, _, _ in due:
-            ok = remaining >= q
-            if ok:
-                remaining -= q
-            acc.append(ok)
-        out = pd.DataFrame({
-            "req_id": np.array([r[1] for r in due], dtype=np.int64),
-            "stock_id": np.full(len(due), int(key[0]), dtype=np.int64),
-            "qte": np.array([r[2] for r in due], dtype=np.int64),
-            "accepted": np.array(acc, dtype=bool),
-            "motif": [None if a else "stock_insuffisant" for a in acc],
-        })
-        return (remaining,), out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
+        self.stocks = handle.getValueState("stocks", "ids binary, remaining binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, ms = [], []
+        for pdf in rows:
+            part = np.empty(len(pdf), self.ROW)
+            for field, column in (("req", "req_id"), ("sid", "stock_id"), ("qte", "qte"), ("opening", "opening")):
+                part[field] = pdf[column].to_numpy(dtype=np.int64)
+            # epoch ms decides when a row is due; microseconds order the rows
+            part["us"] = _us(pdf["ts"])
+            new.append(part)
+            ms.append(_epoch_ms(pdf["ts"], self.tz))
+        new, bucket = np.concatenate(new), np.concatenate(ms) // self.bucket_ms
+        for b in np.unique(bucket).tolist():
+            held = new[bucket == b].tobytes()
+            if self.waiting.containsKey((b,)):
+                held = bytes(self.waiting.getValue((b,))[0]) + held
+            self.waiting.updateValue((b,), (held,))
+            self.handle.registerTimer((b + 1) * self.bucket_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        b = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
+        if not self.waiting.containsKey((b,)):
+            return iter([])
+        due = np.frombuffer(bytes(self.waiting.getValue((b,))[0]), self.ROW)
+        if self.most_rows is not None and len(due) > self.most_rows:
+            raise RuntimeError(f"{len(due)} rows of one group and bucket, {self.most_rows} expected at most")
+        self.waiting.removeKey((b,))
+        st = self.stocks.get() if self.stocks.exists() else (b"", b"")
+        ids, remaining = (np.frombuffer(bytes(x), "<i8") for x in st)
+        due = due[np.lexsort((due["req"], due["us"], due["sid"]))]
+        accepted, now = self.fold(due, dict(zip(ids.tolist(), remaining.tolist())))
+        self.stocks.update((np.array(list(now), "<i8").tobytes(), np.array(list(now.values()), "<i8").tobytes()))
+        return iter([pd.DataFrame({
+            "req_id": due["req"], "stock_id": due["sid"], "qte": due["qte"], "accepted": accepted,
+            "motif": np.where(accepted, None, "stock_insuffisant")})])
+
+    @staticmethod
+    def fold(due: np.ndarray, remaining: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
+        """Decisions of rows sorted by material and order, and the stock left."""
+        accepted = np.ones(len(due), bool)
+        edge = np.flatnonzero(np.diff(due["sid"])) + 1
+        for a, z in zip(np.r_[0, edge].tolist(), np.r_[edge, len(due)].tolist()):
+            sid = int(due["sid"][a])
+            left, wanted = remaining.get(sid, int(due["opening"][a])), due["qte"][a:z]
+            if int(wanted.sum()) <= left:
+                left -= int(wanted.sum())
+            else:
+                for i, q in enumerate(wanted.tolist(), a):
+                    accepted[i] = left >= q
+                    left -= q if left >= q else 0
+            remaining[sid] = left
+        return accepted, remaining
+
+    def close(self) -> None:
+        pass
 
 
 DECISION_SCHEMA = T.StructType([
@@ -232,13 +272,18 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("motif", T.StringType())])
 
 
-def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1 hour") -> DataFrame:
+def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1 hour",
+                         bucket_ms: int = 3_600_000, groups: int | None = None,
+                         most_rows: int | None = None) -> DataFrame:
     """M7 on a stream of (req_id, stock_id, qte, ts); ``stock`` is static.
 
     Rows that need no state (no material, unknown material, amount <= 0)
-    bypass the stateful operator; the rest is keyed by material.
+    bypass the stateful operator; the rest is keyed by ``groups`` groups of
+    materials (four a state partition; fixed for the life of a checkpoint).
     """
-    use_rocksdb(requests.sparkSession)
+    spark = requests.sparkSession
+    use_rocksdb(spark)
+    groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     opening = stock.select(F.col("id").alias("_sid"), F.col("quantite").cast("long").alias("opening"))
     r = (event_time(requests, delay)
          .select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), "ts"))
@@ -248,15 +293,16 @@ def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1
     free = j.where(~needs).select(
         "req_id", "stock_id", "qte", (known | F.col("stock_id").isNull()).alias("accepted"),
         F.when(F.col("stock_id").isNotNull() & ~known, F.lit("materiau_inconnu")).alias("motif"))
-    folded = (j.where(needs).select("stock_id", "req_id", "qte", "opening", "ts")
-              .groupBy("stock_id")
-              .transformWithStateInPandas(DeductionProcessor(_session_tz(requests)), DECISION_SCHEMA,
-                                          "Append", "EventTime"))
+    processor = DeductionProcessor(_session_tz(requests), bucket_ms, most_rows)
+    folded = (j.where(needs).select(F.pmod(F.xxhash64("stock_id"), F.lit(groups)).alias("grp"),
+                                    "stock_id", "req_id", "qte", "opening", "ts")
+              .groupBy("grp").transformWithStateInPandas(processor, DECISION_SCHEMA, "Append", "EventTime"))
     return free.unionByName(folded)
 
 
 class LockoutProcessor(_BufferedFold):
-    """Log-in lockout per user (state = failure count, locked-until ms)."""
+    """Log-in lockout per user (state = failure count, locked-until in wall-clock
+    microseconds)."""
 
     row_schema = T.StructType([T.StructField("ms", T.LongType()), T.StructField("event_id", T.LongType()),
                                T.StructField("success", T.BooleanType())])
@@ -277,6 +323,11 @@ class LockoutProcessor(_BufferedFold):
         return [(int(m), int(e), bool(s), int(u)) for m, u, e, s in
                 zip(ms, us, pdf["event_id"], pdf["success"])]
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The account as stored: ``c0`` failures, locked until ``u0`` (us; null: never)."""
+        row = initialState.iloc[0]
+        self.state.update((int(row["c0"]), None if pd.isna(row["u0"]) else int(row["u0"])))
+
     def fold(self, key, st, due):
         state = (0, None) if st is None else (st[0], st[1])
         lock = self.lock_ms * 1000
@@ -314,16 +365,29 @@ LOCKOUT_OUT = T.StructType([
     T.StructField("bloque_jusqu", T.TimestampNTZType())])
 
 
-def login_lockout_stream(attempts: DataFrame, delay: str = "1 hour",
+def login_lockout_stream(attempts: DataFrame, users: DataFrame | None = None, delay: str = "1 hour",
                          max_failures: int = C.MAX_FAILURES,
                          lock_minutes: float = C.LOCK_MINUTES) -> DataFrame:
-    """R3 on a stream of (event_id, user_id, ts, success)."""
+    """R3 on a stream of (event_id, user_id, ts, success).
+
+    With ``users`` (static) an account's state begins with its stored ``tentatives`` and
+    ``bloque_jusqu`` at the stream's first micro-batch; tries on unknown accounts are
+    answered ``INCONNU`` and pass by the state, as in the batch form."""
     use_rocksdb(attempts.sparkSession)
-    return (event_time(attempts, delay)
-            .select("user_id", "event_id", "ts", "success")
-            .groupBy("user_id")
-            .transformWithStateInPandas(LockoutProcessor(max_failures, lock_minutes, _session_tz(attempts)),
-                                        LOCKOUT_OUT, "Append", "EventTime"))
+    processor = LockoutProcessor(max_failures, lock_minutes, _session_tz(attempts))
+    tries = event_time(attempts, delay).select("user_id", "event_id", "ts", "success")
+    if users is None:
+        return tries.groupBy("user_id").transformWithStateInPandas(processor, LOCKOUT_OUT, "Append", "EventTime")
+    j = tries.join(users.select(F.col("id").alias("_uid")), F.col("user_id") == F.col("_uid"), "left")
+    unknown = j.where(F.col("_uid").isNull()).select(
+        "event_id", "user_id", ntz("ts").alias("ts"), "success", F.lit(OUTCOME_UNKNOWN).alias("outcome"),
+        F.lit(0).alias("tentatives"), F.lit(None).cast("timestamp_ntz").alias("bloque_jusqu"))
+    stored = (users.where((F.col("tentatives") > 0) | F.col("bloque_jusqu").isNotNull())
+              .select(F.col("id").alias("user_id"), F.least(F.col("tentatives"), F.lit(max_failures - 1)).alias("c0"),
+                      (F.col("bloque_jusqu") * 1000).alias("u0")).groupBy("user_id"))
+    known = (j.where(F.col("_uid").isNotNull()).drop("_uid").groupBy("user_id")
+             .transformWithStateInPandas(processor, LOCKOUT_OUT, "Append", "EventTime", stored))
+    return known.unionByName(unknown)
 
 
 # ---------------------------------------------------------------------------
@@ -342,24 +406,47 @@ def run_to_table(stream: DataFrame, root: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame,
-                          delay: str = "1 hour") -> DataFrame:
-    """Write ``requests`` (req_id, stock_id, qte, ts) as parquet, one file per
-    partition of theirs, plus a closing row, stream them through R5 and return the
-    result (closing row removed). All files are one micro-batch, in which order does
-    not matter; ``delay`` is the disorder allowed between micro-batches."""
+#: Requests of one step of ``deduction_stream_over``, on average.
+SLICE_ROWS = 2_000_000
+
+
+def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame, delay: str = "1 hour",
+                          slice_rows: int = SLICE_ROWS, most_rows: int | None = None) -> DataFrame:
+    """Write ``requests`` (req_id, stock_id, qte, ts) as parquet in slices of time, at least
+    three, stream them through R5 and return the result.
+
+    The slices come to the source folder one after the other; each time the query is
+    started again from its checkpoint and reads what is new, so a micro-batch holds one
+    slice, the watermark moves in between, and a handler folds a bucket of one. The
+    last slice carries a closing row, which is removed from the result."""
     root = stream_root(spark)
-    src = f"{root}/in"
-    requests.write.parquet(src)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    n, low, high = requests.agg(F.count(F.lit(1)), F.min(us), F.max(us)).first()
+    slices = max(3, -(-n // slice_rows))
+    marks = [k / slices for k in range(1, slices)]
+    cuts = requests.agg(F.percentile_approx(us, marks, 10_000)).first()[0] or []
+    nth = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < us)) if cuts else F.lit(0)
+    requests.withColumn("slice", nth).write.partitionBy("slice").parquet(f"{root}/slices")
     closing = spark.createDataFrame(
         [(SENTINEL_ID, None, 0, SENTINEL_TS)],
         "req_id long, stock_id long, qte long, ts timestamp_ntz")
-    closing.write.mode("append").parquet(src)
+    closing.write.parquet(f"{root}/closing")
     schema = T.StructType([T.StructField("req_id", T.LongType()), T.StructField("stock_id", T.LongType()),
                            T.StructField("qte", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
-    stream = spark.readStream.schema(schema).parquet(src)
-    out = run_to_table(consume_stock_stream(stream, stock, delay), root)
-    return out.where(F.col("req_id") != SENTINEL_ID)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(f"{root}/in"))
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+    width = max(3_600_000, ((high or 0) - (low or 0)) // 1000 // slices)
+    out = consume_stock_stream(stream, stock, delay, width, most_rows=most_rows)
+    for k in range(slices):
+        there = fs.rename(jvm.Path(f"{root}/slices/slice={k}"), jvm.Path(f"{root}/in/{k:09d}"))
+        if k == slices - 1:
+            fs.rename(jvm.Path(f"{root}/closing"), jvm.Path(f"{root}/in/closing"))
+        elif not there:      # no request in this slice
+            continue
+        result = run_to_table(out, root)
+    return result.where(F.col("req_id") != SENTINEL_ID)
 
 
 # register the streaming key of the inventory (rows-only check, compared with

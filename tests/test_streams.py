@@ -3,6 +3,7 @@ when fed shuffled files in several micro-batches plus a closing row."""
 import datetime as dt
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -39,6 +40,50 @@ def test_consume_stock_stream_equals_batch(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_a_hot_material_is_folded_bucket_by_bucket(spark):
+    """A third of the requests want one material; a handler holds at most a slice's part."""
+    n = 3000
+    reqs = spark.range(n).select(
+        F.col("id").alias("req_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7 + 2).alias("stock_id"),
+        (F.col("id") * 7 % 11 - 1).alias("qte"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 37 % 3000,0)").alias("ts"))
+    stock = spark.createDataFrame([(i, 900 if i == 1 else 400) for i in range(1, 9)], "id long, quantite int")
+    got = streams.deduction_stream_over(spark, reqs, stock, slice_rows=600, most_rows=450)
+    want = ledger.consume_stock(reqs, stock, ("ts", "req_id"))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert {r.accepted for r in got.where("stock_id = 1").collect()} == {True, False}
+    with pytest.raises(Exception, match="rows of one group"):
+        streams.deduction_stream_over(spark, reqs, stock, slice_rows=600, most_rows=50).count()
+
+
+def test_lockout_stream_starts_from_the_stored_accounts(spark):
+    """Three slices of time, the query started anew for each, accounts with stored counts
+    and locks, and tries on accounts that do not exist."""
+    att = fixtures.login_attempts(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+    lo, hi = att.agg(F.min("ts"), F.max("ts")).first()
+    lock = int(((lo - dt.datetime(1970, 1, 1)).total_seconds() + 40 * 86400) * 1000)
+    users = (att.select(F.col("user_id").alias("id")).distinct().where("id % 5 <> 0")
+             .withColumn("tentatives", (F.col("id") % 7).cast("int"))
+             .withColumn("bloque_jusqu", F.when(F.col("id") % 3 == 0, F.lit(lock)).when(F.col("id") % 3 == 1, F.lit(0))))
+    root = streams.stream_root(spark)
+    schema = att.schema
+    cuts = [lo, lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3, hi + dt.timedelta(days=1)]
+    out = None
+    for k in range(3):
+        part = att.where((F.col("ts") >= F.lit(cuts[k])) & (F.col("ts") < F.lit(cuts[k + 1])))
+        part.repartition(2).write.mode("append").parquet(f"{root}/in")
+        if k == 2:
+            spark.createDataFrame([(-1, -1, CLOSE, True)], schema).write.mode("append").parquet(f"{root}/in")
+        st = spark.readStream.schema(schema).parquet(f"{root}/in")
+        out = _drain(streams.login_lockout_stream(st, users, delay="1 hour", lock_minutes=60 * 24 * 10), root)
+    batch = guards.login_lockout(att, users, lock_minutes=60 * 24 * 10)
+    cols = ["event_id", "user_id", "ts", "success", "outcome", "tentatives", "bloque_jusqu"]
+    got = sorted(map(repr, map(tuple, out.where("event_id >= 0").select(cols).collect())))
+    assert got == sorted(map(repr, map(tuple, batch.select(cols).collect())))
+    assert {r.outcome for r in batch.select("outcome").distinct().collect()} >= {"INCONNU", "REFUSE"} or len(
+        batch.select("outcome").distinct().collect()) >= 4
+
+
 def test_lockout_stream_equals_batch(spark):
     att = fixtures.login_attempts(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
     root = streams.stream_root(spark)
