@@ -144,6 +144,20 @@ PRODUCTION_UPDATE_COLUMNS = ["produit", "quantite", "responsable", "date_prod",
                              "stock_id", "qte_consommee"]
 
 
+def job_values(of, today: dt.date) -> dict[str, F.Column]:
+    """The 8 job columns that an update writes; ``of``: a column of the request by name."""
+    return {
+        "produit": X.js_trim(of("produit")),
+        "quantite": F.coalesce(F.nullif(of("quantite"), F.lit(0)), F.lit(1)),
+        "responsable": F.coalesce(X.js_trim(of("responsable")), F.lit("")),
+        "date_prod": F.coalesce(of("date_prod"), F.lit(today)),
+        "cout": F.coalesce(of("cout"), F.lit(0).cast("decimal(12,2)")),
+        "statut": F.coalesce(F.nullif(of("statut"), F.lit("")), F.lit("En cours")),
+        "stock_id": of("stock_id"),
+        "qte_consommee": F.coalesce(F.nullif(of("qte_consommee"), F.lit(0)), F.lit(0)),
+    }
+
+
 def update_production(production: DataFrame, updates: DataFrame, today: dt.date) -> DataFrame:
     """M5: replace the 8 job columns by id with the defaults of the update
     route; the stock is not deducted again. A request with a blank product is
@@ -152,16 +166,7 @@ def update_production(production: DataFrame, updates: DataFrame, today: dt.date)
     latest = _latest_per_target(sound, PRODUCTION_UPDATE_COLUMNS)
     j = production.join(latest, production.id == latest.target_id, "left")
     hit = F.col("target_id").isNotNull()
-    new = {
-        "produit": X.js_trim(F.col("_n_produit")),
-        "quantite": F.coalesce(F.nullif(F.col("_n_quantite"), F.lit(0)), F.lit(1)),
-        "responsable": F.coalesce(X.js_trim(F.col("_n_responsable")), F.lit("")),
-        "date_prod": F.coalesce(F.col("_n_date_prod"), F.lit(today)),
-        "cout": F.coalesce(F.col("_n_cout"), F.lit(0).cast("decimal(12,2)")),
-        "statut": F.coalesce(F.nullif(F.col("_n_statut"), F.lit("")), F.lit("En cours")),
-        "stock_id": F.col("_n_stock_id"),
-        "qte_consommee": F.coalesce(F.nullif(F.col("_n_qte_consommee"), F.lit(0)), F.lit(0)),
-    }
+    new = job_values(lambda c: F.col(f"_n_{c}"), today)
     out = j.select("id", *[F.when(hit, new[c]).otherwise(F.col(c)).alias(c)
                            for c in PRODUCTION_UPDATE_COLUMNS],
                    "created_at", "updated_at", "updated_by")

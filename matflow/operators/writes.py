@@ -21,7 +21,7 @@ from .. import schemas
 from ..functions import exprs as X
 from ..plans.skew import dense_sequence
 from ..sources.catalog import Tables, audit_columns
-from . import access, audit, changes, ledger, validate
+from . import access, audit, changes, ledger, statements, validate
 
 
 def _trigger_rows(old_audit: DataFrame, rows: list[DataFrame], mark: int = 0) -> DataFrame:
@@ -29,8 +29,9 @@ def _trigger_rows(old_audit: DataFrame, rows: list[DataFrame], mark: int = 0) ->
     by the order column ``req_id`` where the rows have one."""
     trig = None
     for i, r in enumerate(rows):
-        key = F.col("req_id") if "req_id" in r.columns else F.col("record_id")
-        r = r.withColumn("_o", key * len(rows) + i).drop("req_id")
+        own = [c for c in ("req_id", "seq") if c in r.columns]
+        key = F.col(own[0]) if own else F.col("record_id")
+        r = r.withColumn("_o", key * len(rows) + i).drop(*own)
         trig = r if trig is None else trig.unionByName(r)
     base = changes.next_base(old_audit, mark)
     trig = dense_sequence(trig, "_o", "_pos").withColumn("id", base + F.col("_pos"))
@@ -90,16 +91,12 @@ def stock_decisions(t: Tables, requests: DataFrame) -> DataFrame:
     reason = (F.when(denied, validate.MSG_ROLE_DENIED)
               .when(change & X.clean_text(F.col("materiel")).isNull(), validate.MSG_MATERIEL_REQUIRED)
               .when(change & (F.col("quantite").isNull() | (F.col("quantite") < 0)), validate.MSG_QUANTITE_POSITIVE)
-              .when((F.col("op") != "INSERT") & F.col("_there").isNull(), MSG_MISSING))
-    code = (F.when(reason == validate.MSG_ROLE_DENIED, 403).when(reason == MSG_MISSING, 404)
+              .when((F.col("op") != "INSERT") & F.col("_there").isNull(), statements.MSG_MISSING))
+    code = (F.when(reason == validate.MSG_ROLE_DENIED, 403).when(reason == statements.MSG_MISSING, 404)
             .when(reason.isNotNull(), 400).when(F.col("op") == "INSERT", 201).otherwise(200))
     return r.select("seq", code.alias("code"), reason.alias("reject_reason"))
 
 
-# not a text of the source
-MSG_MISSING = "introuvable"
-
-
 def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
                          now: dt.datetime) -> dict[str, DataFrame]:
     """Next snapshot after a batch of material changes (op UPDATE / DELETE /
@@ -121,9 +118,14 @@ def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
     stock = changes.insert_stock(stock, ins, today, now, max(mark, t.mark("stock")))
     production = changes.detach_deleted_stock(t.production, dele)
     old = audit_columns(t.audit)
+    # every statement leaves its row; jobs change only where their material was deleted
+    detached = t.production.join(dele.select(F.col("target_id").alias("stock_id")).distinct(), "stock_id", "left_semi")
+    created = stock.where(F.col("id") > F.lit(max(mark, t.mark("stock"))))
     audit_new = _trigger_rows(old, [
-        audit.capture_stock_changes(t.stock, stock, now, upd.select(F.col("target_id").alias("id"))),
-        audit.capture_production_changes(t.production, production, now)], t.mark("audit"))
+        statements.stock_statements(t.stock, upd.unionByName(dele), today, now),
+        statements.created_stock(created, now),
+        audit.capture_production_changes(schemas.conform(detached, schemas.PRODUCTION),
+                                         changes.detach_deleted_stock(detached, dele), now)], t.mark("audit"))
     missing = changes.requests_missing(requests.where(F.col("op") != "INSERT"), t.stock)
     return {"stock": stock, "production": production, "audit": old.unionByName(audit_new),
             "audit_new": audit_new, "missing": missing, "decisions": decisions}
@@ -136,10 +138,10 @@ def apply_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.da
     production = changes.update_production(t.production, upd, today)
     production = changes.delete_production(production, requests.where(F.col("op") == "DELETE"))
     old = audit_columns(t.audit)
-    sound = upd.where(X.clean_text(F.col("produit")).isNotNull()).select(F.col("target_id").alias("id"))
     audit_new = _trigger_rows(
-        old, [audit.capture_production_changes(t.production, production, now, sound)], t.mark("audit"))
-    return {"production": production, "audit": old.unionByName(audit_new), "audit_new": audit_new}
+        old, [statements.production_statements(t.production, requests, today, now)], t.mark("audit"))
+    return {"production": production, "audit": old.unionByName(audit_new), "audit_new": audit_new,
+            "decisions": statements.job_change_decisions(t.production, requests)}
 
 
 def _store(t: Tables):

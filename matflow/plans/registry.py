@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import exprs as X
-from ..operators import access, audit, changes, dashboard, ledger, production, search, stock, validate
+from ..operators import access, audit, changes, dashboard, ledger, production, search, statements, stock, validate
 from ..session import delete_at_exit
 from ..sources import fixtures, sinks
 from ..sources.catalog import Tables, audit_columns, open_tables
@@ -776,6 +776,67 @@ def _u2(t: Tables):
     return audit.capture_production_changes(t.production, fixtures.snapshot_after(t.production), NOW)
 
 
+def _statement_sql(table: str, spec, label: str, request: str, date: str, values: dict[str, str], sound: str) -> str:
+    """Twin of the trigger firing once a statement: each live statement beside the
+    latest earlier update of its row."""
+    star = ", ".join(f"r.{c}" for c in values if c not in ("quantite", date))
+    old = ", ".join(f"CASE WHEN p.p IS NULL THEN s.{c} ELSE o.{c} END AS b_{c}" for c in values)
+    return S.q(request + f""", st AS (
+  SELECT r.seq * 10 + u.k AS seq, CASE WHEN r.op = 'DELETE' AND u.k = 4 THEN 'DELETE' ELSE 'UPDATE' END AS op,
+         r.target_id, {star}, r.quantite + u.k AS quantite, CASE WHEN u.k <> 2 THEN r.{date} END AS {date}
+  FROM req r, unnest(range(1, CASE WHEN r.op = 'DELETE' THEN 6 ELSE 4 END)) AS u(k) WHERE r.op <> 'INSERT'),
+gone AS (SELECT target_id, min(seq) AS g FROM st WHERE op = 'DELETE' GROUP BY target_id),
+live AS (
+  SELECT st.seq, st.op, st.target_id, {", ".join(f"{e} AS {c}" for c, e in values.items())}
+  FROM st JOIN {table} s ON s.id = st.target_id LEFT JOIN gone ON gone.target_id = st.target_id
+  WHERE (g IS NULL OR st.seq <= g) AND (st.op = 'DELETE' OR {sound})),
+p AS (SELECT a.seq, max(b.seq) AS p FROM live a
+      LEFT JOIN live b ON b.target_id = a.target_id AND b.seq < a.seq AND b.op = 'UPDATE' GROUP BY a.seq),
+j AS (
+  SELECT v.*, s.updated_by, {old}
+  FROM live v JOIN p ON p.seq = v.seq JOIN {table} s ON s.id = v.target_id LEFT JOIN live o ON o.seq = p.p)
+SELECT CASE WHEN op = 'DELETE' THEN '{C.SYSTEM_USER}' ELSE COALESCE(updated_by, '{C.SYSTEM_USER}') END AS utilisateur,
+  CAST(NULL AS VARCHAR) AS role_utilisateur, op AS action, '{label}' AS table_name, target_id AS record_id,
+  {S.json_of(spec, 'b_')} AS ancienne_valeur, CASE WHEN op = 'UPDATE' THEN {S.json_of(spec, '')} END AS nouvelle_valeur,
+  CAST(NULL AS VARCHAR) AS details, CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS user_agent,
+  TIMESTAMP '{NOW}' AS "timestamp", seq
+FROM j""")
+
+
+@register("stock_statement_audit", _statement_sql(
+    "stock", S.STOCK_JSON, C.TABLE_STOCK, _SREQ, "date_ajout",
+    {"materiel": S.js_trim("st.materiel"), "quantite": "st.quantite",
+     "date_ajout": f"COALESCE(st.date_ajout, DATE '{TODAY}')"}, "true"))
+def _u1c(t: Tables):
+    """U1 statement by statement: several updates of a material, a delete last."""
+    asked = fixtures.statement_requests(fixtures.stock_change_requests(t.stock), "date_ajout")
+    return statements.stock_statements(t.stock, asked, TODAY, NOW)
+
+
+@register("production_statement_audit", _statement_sql(
+    "production", S.PRODUCTION_JSON, C.TABLE_PRODUCTION, _PCREQ, "date_prod",
+    {"produit": S.js_trim("st.produit"), "quantite": "COALESCE(NULLIF(st.quantite, 0), 1)",
+     "responsable": f"COALESCE({S.js_trim('st.responsable')}, '')",
+     "date_prod": f"COALESCE(st.date_prod, DATE '{TODAY}')", "cout": "COALESCE(st.cout, 0)",
+     "statut": "COALESCE(NULLIF(st.statut, ''), 'En cours')", "stock_id": "st.stock_id",
+     "qte_consommee": "COALESCE(NULLIF(st.qte_consommee, 0), 0)"},
+    f"{S.clean_text('st.produit')} IS NOT NULL"))
+def _u2c(t: Tables):
+    """U2 statement by statement."""
+    asked = fixtures.statement_requests(fixtures.production_change_requests(t.production), "date_prod")
+    return statements.production_statements(t.production, asked, TODAY, NOW)
+
+
+@register("job_change_decisions", S.q(_PCREQ + f""" SELECT r.seq,
+  CASE WHEN p.id IS NULL THEN 404 WHEN r.op = 'UPDATE' AND {S.clean_text('r.produit')} IS NULL THEN 400 ELSE 200 END AS code,
+  CASE WHEN p.id IS NULL THEN '{statements.MSG_MISSING}' WHEN r.op = 'UPDATE' AND {S.clean_text('r.produit')} IS NULL
+       THEN '{validate.MSG_PRODUIT_REQUIRED}' END AS reject_reason
+FROM req r LEFT JOIN production p ON p.id = r.target_id"""))
+def _m56(t: Tables):
+    """M5, M6: the answer to each job change."""
+    return statements.job_change_decisions(t.production, fixtures.production_change_requests(t.production))
+
+
 def _deduction_audit_sql() -> str:
     old = S.json_of([(k, e if k != "quantite" else "rem + CASE WHEN accepted THEN qte ELSE 0 END", kind)
                      for k, e, kind in S.STOCK_JSON], "")

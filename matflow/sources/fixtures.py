@@ -171,6 +171,19 @@ def production_change_requests(production: DataFrame) -> DataFrame:
         "cout", F.lit(C.FINISHED_STATUT).alias("statut"), "stock_id", "qte_consommee"))
 
 
+def statement_requests(requests: DataFrame, date: str) -> DataFrame:
+    """Runs of statements from change requests: an UPDATE becomes three (quantite + 1, 2
+    and 3, the second without ``date``), a DELETE the same three, the DELETE and
+    one UPDATE too late. ``seq`` is ten times the request's, plus the place."""
+    deletes = F.col("op") == "DELETE"
+    runs = (requests.where(F.col("op") != "INSERT")
+            .withColumn("_k", F.explode(F.sequence(F.lit(1), F.when(deletes, 5).otherwise(3)))))
+    return runs.withColumns({
+        "seq": F.col("seq") * 10 + F.col("_k"), "quantite": F.col("quantite") + F.col("_k"),
+        "op": F.when(deletes & (F.col("_k") == 4), F.lit("DELETE")).otherwise(F.lit("UPDATE")),
+        date: F.when(F.col("_k") != 2, F.col(date))}).drop("_k")
+
+
 # eight request variants by o_orderkey % 8 (FIXTURES.md, "requests with bad text")
 BAD_PRODUIT = "   "
 BAD_STATUT = "Annulé"
