@@ -9,8 +9,9 @@ express them. One plan serves keys of every size:
   partitions as it fills.
 * Only the first and the last key of a partition can span. Each segment of a
   spanning key computes its transfer table (exit state as a function of entry
-  state); the tables of a key, one row per partition, are chained in partition
-  order, and the entry states (at most two rows per partition) are joined back.
+  state; for deductions of a narrowing range of entry states, by rounds); the tables
+  of a key, one row per partition, are chained in partition order, and the entry
+  states (at most two rows per partition) are joined back.
 * Then all segments are folded at the same time from their entry states:
   ``mapInPandas`` walks the sorted rows batch by batch, carrying one state
   record; segments whose outcome needs no fold never enter Python.
@@ -18,7 +19,7 @@ express them. One plan serves keys of every size:
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -93,76 +94,102 @@ def _deduct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "disponible": before, "restant": after})
 
 
-TABLE_SCHEMA = T.StructType([
-    T.StructField("stock_id", T.LongType()),
-    T.StructField("_p", T.IntegerType()),
-    T.StructField("opening", T.LongType()),
-    T.StructField("cap", T.LongType()),
-    T.StructField("full", T.LongType()),
-    T.StructField("full_exit", T.LongType()),
-    T.StructField("at", T.ArrayType(T.LongType())),
-    T.StructField("taken", T.ArrayType(T.LongType())),
-])
+#: Most pieces of an entry map; beyond them only its range is followed.
+PIECES = 64
+
+MAP_SCHEMA = "stock_id long, _p int, opening long, full long, full_exit long, low long, high long, " \
+             "exit_low long, exit_high long, at array<long>, taken array<long>"
+CHAIN_SCHEMA = "stock_id long, _p int, opening long, full long, low long, high long, _start long"
 
 
-class DeductionTable:
-    """Exit stock of a segment for every entry stock in [0, cap): pieces that begin
-    at ``at`` and lose ``taken``; and for the one entry ``full`` of a material of
-    which nothing was refused before."""
+class EntryMap:
+    """What a segment makes of every entry stock in [low, high]: pieces that begin at
+    ``at`` and lose ``taken``, or, where these become more than ``PIECES``, the range
+    [exit_low, exit_high] of the exits alone. ``full_exit`` is the exit of the one
+    entry ``full``. Space is bounded and a request takes constant time, whatever its size."""
 
-    def __init__(self, cap: int, full: int):
-        self.cap, self.full, self.full_exit = cap, full, full
-        self.at, self.taken = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    def __init__(self, low: int, high: int, full: int):
+        self.low, self.high, self.full_exit = low, high, full
+        self.at, self.taken = [low], [0]
+        self.exit_low, self.exit_high = low, high
 
     def add(self, w: int) -> None:
         if self.full_exit >= w:
             self.full_exit -= w
-        # a piece that holds the entry stock w + taken is cut there
-        cut = w + self.taken
-        ends = np.append(self.at[1:], self.cap)
-        inside = np.flatnonzero((cut > self.at) & (cut < ends))
-        if len(inside):
-            self.at = np.insert(self.at, inside + 1, cut[inside])
-            self.taken = np.insert(self.taken, inside + 1, self.taken[inside])
-        self.taken = np.where(self.at - self.taken >= w, self.taken + w, self.taken)
-        same = np.flatnonzero(np.diff(self.taken) == 0) + 1
-        if len(same):
-            self.at, self.taken = np.delete(self.at, same), np.delete(self.taken, same)
-
-
-def _deduction_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    done, segment, table = [], None, None
+        if w > self.exit_high:       # refused, whatever the entry
+            return
+        if w <= self.exit_low:       # accepted, whatever the entry
+            self.exit_low -= w
+            self.exit_high -= w
+            if self.at is not None:
+                self.taken = [t + w for t in self.taken]
+            return
+        if self.at is None:
+            # those that accept end from 0 on, those that refuse below w
+            self.exit_low, self.exit_high = 0, max(self.exit_high - w, w - 1)
+            return
+        at, taken = [], []
+        for a, t, end in zip(self.at, self.taken, [*self.at[1:], self.high + 1]):
+            # the entries from w + t on accept
+            for x, y, lost in ((a, min(end, w + t), t), (max(a, w + t), end, t + w)):
+                if x < y and not (taken and taken[-1] == lost):
+                    at.append(x)
+                    taken.append(lost)
+        ends = [*at[1:], self.high + 1]
+        self.exit_low = min(x - t for x, t in zip(at, taken))
+        self.exit_high = max(y - 1 - t for y, t in zip(ends, taken))
+        self.at, self.taken = (at, taken) if len(at) <= PIECES else (None, None)
+
+
+def _entry_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    done, segment, state = [], None, None
 
     def row():
-        return {"stock_id": segment[0], "_p": segment[1], "opening": opening, "cap": table.cap,
-                "full": table.full, "full_exit": table.full_exit,
-                "at": table.at.tolist(), "taken": table.taken.tolist()}
+        return {"stock_id": segment[0], "_p": segment[1], "opening": given[0], "full": given[1],
+                "full_exit": state.full_exit, "low": state.low, "high": state.high,
+                "exit_low": state.exit_low, "exit_high": state.exit_high, "at": state.at, "taken": state.taken}
     for b in batches:
-        for k, p, w, o, cap, full in zip(*(b[c].to_numpy() for c in
-                                           ("stock_id", "_p", "qte", "opening", "cap", "full"))):
-            if (int(k), int(p)) != segment:
+        for k, p, w, o, full, low, high in zip(*(b[c].tolist() for c in
+                                                 ("stock_id", "_p", "qte", "_o", "full", "low", "high"))):
+            if (k, p) != segment:
                 if segment is not None:
                     done.append(row())
-                segment, opening, table = (int(k), int(p)), int(o), DeductionTable(int(cap), int(full))
-            table.add(int(w))
+                segment, given, state = (k, p), (o, full), EntryMap(low, high, full)
+            state.add(w)
     if segment is not None:
         done.append(row())
     if done:
         yield pd.DataFrame(done)
 
 
-def _chain_deductions(segments: pd.DataFrame) -> pd.DataFrame:
-    """Entry stock of each segment of one spanning material."""
+def _image(at, taken, high: int, low: int, top: int) -> tuple[int, int]:
+    """Range of the exits of the entries low to top."""
+    found = [(max(a, low) - t, min(end - 1, top) - t) for a, t, end in zip(at, taken, [*at[1:], high + 1])
+             if a <= top and end > low]
+    return min(x for x, _ in found), max(y for _, y in found)
+
+
+def _chain_maps(segments: pd.DataFrame) -> pd.DataFrame:
+    """Entry stock of each segment of one spanning material, in order, as far as the maps
+    give it (else null), and the range that is left for the others."""
     s = segments.sort_values("_p")
-    remaining, starts = int(s["opening"].iloc[0]), []
+    low = high = int(s["opening"].iloc[0])
+    lows, highs, starts = [], [], []
     for x in s.itertuples(index=False):
-        starts.append(remaining)
-        if remaining == x.full:
-            remaining = int(x.full_exit)
+        exact = low == high
+        pieces = x.at is not None and x.low <= low and high <= x.high
+        lows.append(low)
+        highs.append(high)
+        starts.append(low if exact else None)
+        if exact and low == x.full:
+            low = high = int(x.full_exit)
+        elif pieces:
+            low, high = _image([int(v) for v in x.at], [int(v) for v in x.taken], int(x.high), low, high)
         else:
-            at = list(x.at)
-            remaining -= int(x.taken[bisect_right(at, remaining) - 1])
-    return pd.DataFrame({"stock_id": s["stock_id"], "_p": s[s.columns[1]], "_start": starts})
+            low, high = int(x.exit_low), int(x.exit_high)
+    return pd.DataFrame({"stock_id": s["stock_id"].to_numpy(), "_p": s.iloc[:, 1].to_numpy(),
+                         "opening": s["opening"].to_numpy(), "full": s["full"].to_numpy(), "low": lows,
+                         "high": highs, "_start": pd.array(starts, dtype="Int64")})
 
 
 def _deduction_starts(s: DataFrame, spanning: list) -> DataFrame:
@@ -170,19 +197,32 @@ def _deduction_starts(s: DataFrame, spanning: list) -> DataFrame:
 
     Once a request of w was refused, less than w is left, and it only falls. So a
     segment is entered either with the opening stock less all earlier requests
-    (``full``), or with less than the material's largest request (``cap``): its
-    table covers just these, by break points."""
+    (``full``), or with less than the largest request before it. Each round maps
+    these ranges through all segments at the same time and chains the maps: an entry known exactly
+    carries on through every map that covers it, and the others' ranges narrow to the
+    exits before them. Refusals leave little, so ranges fall fast and a few
+    rounds do; a round makes at least the first open entry of a material exact."""
     rows = _rows_of(s, "stock_id", spanning)
     sums = rows.groupBy("stock_id", "_p").agg(
         F.sum("qte").alias("total"), F.max("qte").alias("top"), F.first("opening").alias("_o"))
-    before = Window.partitionBy("stock_id").orderBy("_p")
-    known = sums.select(
-        "stock_id", "_p", F.max("top").over(Window.partitionBy("stock_id")).alias("cap"),
-        (F.col("_o") - (F.sum("total").over(before) - F.col("total"))).alias("full"))
-    # one row per segment of a spanning material: at most two per partition
-    tables = (rows.join(F.broadcast(known), ["stock_id", "_p"])
-              .mapInPandas(_deduction_tables, TABLE_SCHEMA))
-    return tables.groupBy("stock_id").applyInPandas(_chain_deductions, "stock_id long, _p int, _start long")
+    before = Window.partitionBy("stock_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.max("top").over(before)
+    todo = sums.select(
+        "stock_id", "_p", "_o", (F.col("_o") - F.coalesce(F.sum("total").over(before), F.lit(0))).alias("full"),
+        F.when(most.isNull(), F.col("_o")).otherwise(0).alias("low"),
+        F.when(most.isNull(), F.col("_o")).otherwise(F.greatest(most - 1, F.lit(0))).alias("high")).checkpoint()
+    starts = None
+    while True:
+        # one row per segment of a spanning material: at most two per partition
+        maps = rows.join(F.broadcast(todo), ["stock_id", "_p"]).mapInPandas(_entry_maps, MAP_SCHEMA)
+        chained = maps.groupBy("stock_id").applyInPandas(_chain_maps, CHAIN_SCHEMA).checkpoint()
+        left = chained.where(F.col("_start").isNull()).select("stock_id").distinct()
+        known = chained.join(left, "stock_id", "left_anti").select("stock_id", "_p", "_start")
+        starts = known if starts is None else starts.unionByName(known)
+        if left.isEmpty():
+            return starts
+        todo = (chained.join(left, "stock_id", "left_semi")
+                .select("stock_id", "_p", F.col("opening").alias("_o"), "full", "low", "high").checkpoint())
 
 
 def greedy_deduction(requests: DataFrame, order: list[str]) -> DataFrame:

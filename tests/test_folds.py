@@ -1,8 +1,10 @@
 """Property tests of the ordered folds against plain sequential loops."""
+import bisect
 import datetime as dt
 import random
-from bisect import bisect_right
+import time
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -139,20 +141,60 @@ def test_hot_material_split_across_tasks(spark, no_coalesce, opening):
     assert split.where("stock_id = 1").select("_p").distinct().count() >= 4
 
 
-@settings(max_examples=60, deadline=None)
-@given(wanted=st.lists(st.integers(1, 40), min_size=1, max_size=60), cap=st.integers(1, 60), full=st.integers(0, 3000))
-def test_deduction_table(wanted, cap, full):
-    table = fold.DeductionTable(cap, full)
-    for w in wanted:
-        table.add(w)
-    for entry in [*range(cap), full]:
-        left = entry
+@pytest.mark.parametrize("pieces", [1, 2, 64])
+def test_entry_maps_hold_every_entry(monkeypatch, pieces):
+    monkeypatch.setattr(fold, "PIECES", pieces)
+    rng = np.random.default_rng(pieces)
+    for trial in range(200):
+        low = int(rng.integers(0, 30))
+        high, full = low + int(rng.integers(0, 60)), int(rng.integers(0, 200))
+        wanted = rng.integers(1, [5, 40, 100][trial % 3], rng.integers(1, 30)).tolist()
+        got = fold.EntryMap(low, high, full)
         for w in wanted:
-            left -= w if left >= w else 0
-        if entry == full:
-            assert table.full_exit == left
-        if entry < cap:
-            assert entry - table.taken[bisect_right(table.at.tolist(), entry) - 1] == left
+            got.add(w)
+
+        def exit_of(x):
+            for w in wanted:
+                x -= w if x >= w else 0
+            return x
+        exits = [exit_of(x) for x in range(low, high + 1)]
+        assert got.full_exit == exit_of(full)
+        assert got.exit_low <= min(exits) and max(exits) <= got.exit_high
+        if got.at is not None:
+            assert len(got.at) <= pieces
+            assert exits == [x - got.taken[bisect.bisect_right(got.at, x) - 1] for x in range(low, high + 1)]
+            assert (min(exits), max(exits)) == fold._image(got.at, got.taken, high, low, high)
+
+
+def test_large_requests_take_linear_time_and_bounded_space():
+    """Requests that halve from a million, over and over, and a million of rows."""
+    state = fold.EntryMap(0, 10 ** 6 - 1, 10 ** 7)
+    began = time.time()
+    for i in range(10 ** 6):
+        state.add(max(1, 10 ** 6 >> (i % 21)) + i % 7)
+        assert state.at is None or len(state.at) <= fold.PIECES
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("opening,kind", [(5_000, "wide"), (300_000, "wide"), (777, "tens"), (10 ** 9, "wide"), (50, "halves")])
+def test_segments_narrow_to_exact_entries(spark, no_coalesce, monkeypatch, opening, kind):
+    """One material over many partitions, with large and small requests, few pieces allowed."""
+    monkeypatch.setattr(fold, "PIECES", 3)
+    rng = np.random.default_rng(len(kind) + opening)
+    n = 3000
+    wanted = {"wide": rng.integers(1, 100_000, n), "tens": rng.integers(1, 60, n) * 10,
+              "halves": 1 + (100_000 >> rng.integers(0, 17, n))}[kind].tolist()
+    rows = [(i, 1 if i % 10 else 2, int(w), opening, i) for i, w in enumerate(wanted)]
+    df = spark.createDataFrame(rows, "req_id long, stock_id long, qte long, opening long, ord long")
+    got = {r.req_id: (r.accepted, r.disponible, r.restant) for r in fold.greedy_deduction(df, ["ord"]).collect()}
+    for material in (1, 2):
+        left = opening
+        for i, sid, w, _, _ in rows:
+            if sid == material:
+                now = left - w if left >= w else left
+                assert got[i] == (left >= w, left, now)
+                left = now
+
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
