@@ -966,6 +966,33 @@ def _r2(t: Tables):
     return guards.login_rate_windows(fixtures.login_attempts(t.raw("events")))
 
 
+def _first_hit_sql(where: str, limit: int) -> str:
+    return S.q(f""", h AS (SELECT user_id, ts FROM events {where}),
+w AS (
+  SELECT user_id, min(ts) AS debut FROM h GROUP BY user_id
+  UNION ALL
+  SELECT w.user_id, (SELECT min(h.ts) FROM h WHERE h.user_id IS NOT DISTINCT FROM w.user_id
+                     AND h.ts >= w.debut + INTERVAL 24 HOUR) AS debut
+  FROM w WHERE w.debut IS NOT NULL),
+n AS (
+  SELECT w.user_id, w.debut, count(*) AS requetes FROM w JOIN h ON h.user_id IS NOT DISTINCT FROM w.user_id
+    AND h.ts >= w.debut AND h.ts < w.debut + INTERVAL 24 HOUR GROUP BY w.user_id, w.debut)
+SELECT user_id, debut, debut + INTERVAL 24 HOUR AS fin, requetes, requetes > {limit} AS depasse,
+  greatest(requetes - {limit}, 0) AS refusees FROM n""", recursive=True)
+
+
+@register("rate_limit_first_hit", _first_hit_sql("", 2))
+def _r1b(t: Tables):
+    """R1 with windows from a client's first hit, a day wide, two hits allowed."""
+    return guards.first_hit_windows(fixtures.request_log(t.raw("events")), "24 hours", 2)
+
+
+@register("login_rate_first_hit", _first_hit_sql(f"WHERE event_type IN ({_FAILS})", 1))
+def _r2b(t: Tables):
+    failed = fixtures.login_attempts(t.raw("events")).where(~F.col("success"))
+    return guards.first_hit_windows(failed, "24 hours", 1)
+
+
 @register("login_lockout", S.q(S.lockout_ctes() + """ SELECT event_id, user_id, ts, success, outcome,
   CAST(cnt AS INTEGER) AS tentatives, until AS bloque_jusqu FROM lk
 UNION ALL SELECT e.event_id, e.user_id, e.ts, e.event_type NOT IN (""" + _FAILS + """), 'INCONNU', 0, NULL

@@ -248,3 +248,22 @@ def test_stored_state_and_unknown_accounts(spark, no_coalesce):
     assert [o for o, _ in got[2]] == ["REFUSE"] * 5 + ["ECHEC"] * 3
     assert got[3][0] == ("ECHEC", 3) and got[3][3] == ("BLOQUE", 0)
     assert got[4] == [("INCONNU", 0)] * 8
+
+
+def test_first_hit_windows_follow_the_hits(spark, no_coalesce):
+    """Half of the hits are one client's; times on the edges, repeats and a null client."""
+    rnd = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1 if i % 2 else rnd.choice([2, 3, None]), start + dt.timedelta(minutes=rnd.randint(0, 4000))) for i in range(900)]
+    rows += [(4, start + dt.timedelta(minutes=15 * k)) for k in range(20)] + [(5, start)] * 3
+    got = guards.first_hit_windows(spark.createDataFrame(rows, "user_id long, ts timestamp_ntz"), "15 minutes", 3)
+    want = []
+    for client in {c for c, _ in rows}:
+        times, debut, n = sorted(t for c, t in rows if c == client), None, 0
+        for t in [*times, dt.datetime(2100, 1, 1)]:
+            if debut is None or t >= debut + dt.timedelta(minutes=15):
+                if debut is not None:
+                    want.append((client, debut, debut + dt.timedelta(minutes=15), n, n > 3, max(0, n - 3)))
+                debut, n = t, 0
+            n += 1
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
