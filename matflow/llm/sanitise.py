@@ -4,19 +4,24 @@ Base spans: e-mail addresses, IP addresses, card and phone numbers, found in who
 texts by possessive patterns (linear time), leftmost and without overlap in each
 kind, with code-point positions from the pieces between the matches.
 
-Disclosure: each distinct value found is a protected entity c. The words within
-``REACH`` code points of its mentions are its context. With N words in the corpus,
-
-n_t occurrences of term t, n_c context words of c and n_tc occurrences of t in them,
-all counted over distinct texts (copies tell nothing new), t tells about c
-
-    PMI(c; t) / IC(c) = log(p N / n_c) / log(N / n_c), p = (n_tc + 1) / (n_t + 1)
-
-1 if t occurs beside c only, near 0 if as often as anywhere. p smooths n_tc / n_t by
-one more occurrence beside c, so that a term met once or twice counts by what it may
-disclose; there is no least number of texts. Terms are removed at ``REMOVE`` and more,
-generalised at ``GENERALISE`` and more, wherever they stand in a text that mentions c.
-Contexts are linear in the text, and a word meets only the entities it discloses: no
+Disclosure: each distinct value found is a protected entity c. The words that lie
+within ``REACH`` code points of a mention and in no base span are its context. With
+n_t occurrences of term t in the corpus and n_tc of them beside c, all counted over
+distinct texts (copies tell nothing new), who meets t still lacks
+
+    log2(1 / p) bits about c, p = (n_tc + 1) / (n_t + 1)
+
+0 if t occurs beside c only. p smooths n_tc / n_t by one more occurrence beside c, so
+that a term met once or twice counts by what it may disclose; there is no least number
+of texts. Terms are removed at ``REMOVE`` bits and fewer (c guessed right every other
+time), generalised at ``GENERALISE`` and fewer, wherever they stand in a text that
+mentions c. Neither bound moves with the size of the corpus. With N words in it and n_c
+in c's context, the term must also tell PMI(c; t) = log2(p N / n_c) >= ``GAIN`` bits:
+ordinary words stand beside an entity that a large part of the corpus mentions, and
+tell nothing about it.
+
+Work is linear in a text and in its mentions: positions are two-level running sums,
+words and mentions meet by cells of the text, spans and words by a running maximum. No
 pairs of all words and entities of a document are made. Counts are combined on the map
 side; copies of a text collapse there too.
 """
@@ -31,7 +36,16 @@ from matflow.llm.common import shared_table
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("remove", "generalise")
 REACH = 80
-REMOVE, GENERALISE = 0.95, 0.80
+#: Bits still lacking about an entity, at most.
+REMOVE, GENERALISE = 1.0, 4.0
+#: Bits a term must tell about an entity, at least.
+GAIN = 2.0
+#: Code points of a text that meet in one group of the join of words and mentions.
+CELL = 128
+#: Elements a running sum or maximum passes before it starts a new piece.
+STRIDE = 256
+#: Parts of the rows of one word in the join with the disclosing terms.
+SALTS = 8
 #: What stands in the sanitised text for each kind.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
 
@@ -57,14 +71,35 @@ TERM = r"\p{L}[\p{L}\p{M}\p{N}]*"
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
-def _positions(found: str, between: str) -> str:
-    """SQL: array of (s, e, v) of the matches ``found`` with the pieces ``between``."""
-    return (f"CASE WHEN size({found}) > 0 THEN aggregate(sequence(0, size({found}) - 1), "
-            "named_struct('at', 0, 'out', CAST(array() AS array<struct<s:int,e:int,v:string>>)), "
-            f"(a, i) -> named_struct('at', a.at + length({between}[i]) + length({found}[i]), 'out', "
-            f"concat(a.out, array(named_struct('s', a.at + length({between}[i]), "
-            f"'e', a.at + length({between}[i]) + length({found}[i]), 'v', {found}[i])))), a -> a.out) "
-            "ELSE CAST(array() AS array<struct<s:int,e:int,v:string>>) END")
+def _let(value, body) -> F.Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values, plus) -> F.Column:
+    """For each element of an int array, the sum by ``plus`` (from 0) of those before it.
+    An array grows by copying, so pieces of ``STRIDE`` are summed each by itself and then
+    shifted by the pieces before them."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, x):
+        return F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    pieces = _let(values, lambda v: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(v) / STRIDE).cast("int")),
+        lambda i: F.aggregate(F.slice(v, i * STRIDE + 1, F.lit(STRIDE)), none, step)))
+    return _let(pieces, lambda p: F.flatten(F.zip_with(
+        p, F.aggregate(F.transform(p, lambda y: y["at"]), none, step)["out"],
+        lambda y, off: F.transform(y["out"], lambda x: plus(x, off)))))
+
+
+def _positions(found, between) -> F.Column:
+    """Array of (s, e, v) of the matches ``found`` with the pieces ``between``."""
+    gap = F.transform(F.slice(between, F.lit(1), F.size(found)), F.length)
+    ends = F.zip_with(gap, found, lambda g, v: g + F.length(v))
+    starts = F.zip_with(_before(ends, lambda a, x: a + x), gap, lambda at, g: at + g)
+    return F.zip_with(starts, found, lambda s, v: F.struct(
+        s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v")))
 
 
 def _matches(df: DataFrame, text: str, patterns: dict[str, str], hints: dict[str, str] | None = None) -> DataFrame:
@@ -77,7 +112,7 @@ def _matches(df: DataFrame, text: str, patterns: dict[str, str], hints: dict[str
     for name, p in patterns.items():
         df = df.withColumn(f"p_{name}", F.when(F.size(f"m_{name}") > 0, F.split(F.col(text), p, -1)).otherwise(none))
     for name in patterns:
-        df = df.withColumn(f"at_{name}", F.expr(_positions(f"m_{name}", f"p_{name}")))
+        df = df.withColumn(f"at_{name}", _positions(F.col(f"m_{name}"), F.col(f"p_{name}")))
     return df
 
 
@@ -112,25 +147,40 @@ def _entity(b) -> F.Column:
     return F.md5(F.concat_ws(":", b["k"], value))
 
 
+def free_words(found: DataFrame, key: str, reach: int | None = None) -> DataFrame:
+    """(key, t, s, e): the words of each text outside its base spans; with ``reach``, only
+    those within that many code points of one. ``found``: rows of (key, text, base)."""
+    words = (_matches(found.select(key, "text"), "text", {"term": TERM})
+             .select(key, F.explode("at_term").alias("x"))
+             .select(key, F.lower("x.v").alias("t"), "x.s", "x.e", F.lit(False).alias("span")))
+    spans = (found.select(key, F.explode("base").alias("b"))
+             .select(key, F.lit("").alias("t"), "b.s", "b.e", F.lit(True).alias("span")))
+    span, end = F.col("span"), F.when(F.col("span"), F.col("e"))
+
+    def last_end(order):
+        return F.max(end).over(Window.partitionBy(key).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow))
+    # the spans that start before a word ends, and those that start by ``reach`` behind its start
+    both = words.unionByName(spans).withColumn("over", last_end([F.when(span, F.col("s")).otherwise(F.col("e")), span]))
+    keep = ~span & (F.coalesce("over", F.lit(0)) <= F.col("s"))
+    if reach is not None:
+        both = both.withColumn("near", last_end([F.when(span, F.col("s") - reach).otherwise(F.col("s")), ~span]))
+        keep &= F.col("near") + reach >= F.col("e")
+    return both.where(keep).select(key, "t", "s", "e")
+
+
 def context_words(found: DataFrame, reach: int = REACH) -> DataFrame:
     """(tid, c, t, s): the words around each entity's mentions in distinct texts, each
     position once for an entity. ``found``: rows of (text, base)."""
-    mention = (found.select("text", "base").distinct()
-               .select(F.md5("text").alias("tid"), "text", "base", F.explode("base").alias("b")))
-    low = F.greatest(F.col("b.s") - reach, F.lit(0))
-    high = F.least(F.col("b.e") + reach, F.length("text"))
-    window = (mention.select("tid", _entity(F.col("b")).alias("c"), low.alias("low"), high.alias("high"),
-                             (F.length("text") > high).alias("more"),
-                             F.substring(F.col("text"), low + 1, high - low).alias("w"),
-                             F.filter("base", lambda x: (x["s"] < high) & (x["e"] > low)).alias("near")))
-    words = (_matches(window, "w", {"term": TERM})
-             .select("tid", "c", "low", "high", "more", "near", F.explode("at_term").alias("x"))
-             .select("tid", "c", F.lower("x.v").alias("t"), (F.col("low") + F.col("x.s")).alias("s"),
-                     (F.col("low") + F.col("x.e")).alias("e"), "low", "high", "more", "near"))
-    # a word cut by the window's edge or inside a span is no context word
-    whole = ~((F.col("low") > 0) & (F.col("s") == F.col("low"))) & ~(F.col("more") & (F.col("e") == F.col("high")))
-    free = ~F.exists("near", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    return words.where(whole & free).select("tid", "c", "t", "s").distinct()
+    one = found.select("text", "base").distinct().select(F.unhex(F.md5("text")).alias("tid"), "text", "base")
+    cells = F.sequence(F.floor((F.greatest(F.col("b.s") - reach, F.lit(0))) / CELL),
+                       F.floor((F.col("b.e") + reach) / CELL))
+    mention = (one.select("tid", F.explode("base").alias("b"))
+               .select("tid", _entity(F.col("b")).alias("c"), (F.col("b.s") - reach).alias("low"),
+                       (F.col("b.e") + reach).alias("high"), F.explode(cells).alias("cell")))
+    word = free_words(one, "tid", reach).withColumn("cell", F.floor(F.col("s") / CELL))
+    return (word.join(mention, ["tid", "cell"]).where("s >= low AND e <= high")
+            .select("tid", "c", "t", "s").distinct())
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -140,47 +190,41 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(words: DataFrame, counts: DataFrame, remove: float = REMOVE,
-                     generalise: float = GENERALISE) -> DataFrame:
+                     generalise: float = GENERALISE, gain: float = GAIN) -> DataFrame:
     """(c, t, k): the terms to remove or generalise beside each entity."""
-    per_text = words.groupBy("c", "t", "tid").agg(F.count(F.lit(1)).alias("n"))
-    pair = per_text.groupBy("c", "t").agg(F.sum("n").alias("n_tc"))
+    pair = words.groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_tc"))
     entity = pair.groupBy("c").agg(F.sum("n_tc").alias("n_c"))
     n = counts.agg(F.sum("n_t").cast("double")).scalar()
-    beside = (F.col("n_tc") + 1) / (F.col("n_t") + 1)
-    told = F.log(beside * n / F.col("n_c")) / F.log(n / F.col("n_c"))
-    return (pair.join(entity, "c").join(counts, "t")
-            .where((F.col("n_c") < n) & (told >= generalise))
-            .select("c", "t", F.when(told >= remove, F.lit(4)).otherwise(F.lit(5)).alias("k")))
+    lacking = F.log2((F.col("n_t") + 1) / (F.col("n_tc") + 1))
+    return (pair.join(counts, "t").where(lacking <= generalise)
+            .join(entity, "c").where(F.log2(n / F.col("n_c")) - lacking >= gain)
+            .select("c", "t", F.when(lacking <= remove, F.lit(4)).otherwise(F.lit(5)).alias("k")))
 
 
 def disclosing_words(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(rid, s, e, k): every word that discloses an entity its text mentions.
-    ``found``: rows of (rid, text, base). A word is joined to the entities it discloses,
-    few as each has a large share of its occurrences, then kept for those its text
-    mentions. Positions are running sums over a text's words: linear in any text."""
+    """(rid, s, e, k): every word that discloses an entity its text mentions, outside the
+    base spans. ``found``: rows of (rid, text, base). A word is joined to the entities it
+    discloses, few as each has a large share of its occurrences, then kept for those its
+    text mentions; a frequent word's rows are dealt to ``SALTS`` tasks."""
     mention = found.select("rid", F.explode("base").alias("b")).select("rid", _entity(F.col("b")).alias("c")).distinct()
-    so_far = Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = (found.select("rid", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"),
-                         F.split("text", TERM, -1).alias("p"))
-            .select("rid", F.posexplode(F.arrays_zip("m", "p")).alias("i", "x")).where("x.m IS NOT NULL")
-            .select("rid", "i", "x.m", (F.length("x.p") + F.length("x.m")).alias("n"))
-            .withColumn("e", F.sum("n").over(so_far).cast("int"))
-            .select("rid", F.lower("m").alias("t"), (F.col("e") - F.length("m")).alias("s"), "e"))
-    return (word.join(terms, "t").join(mention, ["rid", "c"])
+    word = free_words(found, "rid").withColumn("salt", F.pmod(F.xxhash64("rid", "s"), F.lit(SALTS)).cast("int"))
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (word.join(salted, ["t", "salt"]).join(mention, ["rid", "c"])
             .groupBy("rid", "s", "e").agg(F.min("k").alias("k")))
 
 
 def clean_text(text, spans) -> F.Column:
-    """The text with every span replaced by its kind's mark."""
-    ends = F.transform(spans, lambda x, i: F.coalesce(
-        F.array_max(F.transform(F.slice(spans, 1, i), lambda y: y["e"])), F.lit(0)))
+    """The text with every span replaced by its kind's mark (each cut walks the text)."""
     marks = F.array(*[F.lit(MARKS[k]) for k in KINDS + EXTRA])
-    parts = F.transform(spans, lambda x, i: F.concat(
-        F.substring(text, ends[i] + 1, F.greatest(x["s"] - ends[i], F.lit(0))),
-        # a span inside an earlier one is covered by that one's mark
-        F.when(x["e"] > ends[i], F.element_at(marks, x["k"] + 1)).otherwise(F.lit(""))))
-    last = F.coalesce(F.array_max(F.transform(spans, lambda y: y["e"])), F.lit(0))
-    return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+    before = _before(F.transform(spans, lambda x: x["e"]), F.greatest)
+    # a span inside earlier ones is covered by their marks
+    cuts = F.filter(F.zip_with(before, spans, lambda at, x: F.struct(at.alias("at"), x.alias("x"))),
+                    lambda z: z["x"]["e"] > z["at"])
+    return _let(cuts, lambda c: F.concat(
+        F.array_join(F.transform(c, lambda z: F.concat(
+            F.substring(text, z["at"] + 1, F.greatest(z["x"]["s"] - z["at"], F.lit(0))),
+            F.element_at(marks, z["x"]["k"] + 1))), ""),
+        F.substring(text, F.coalesce(F.array_max(F.transform(spans, lambda x: x["e"])), F.lit(0)) + 1, F.length(text))))
 
 
 def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH) -> DataFrame:
@@ -201,10 +245,8 @@ def sanitise(docs: DataFrame, texts: bool = True, reach: int = REACH) -> DataFra
     terms = disclosing_terms(words, counts)
     extra = (disclosing_words(stored.where(hit), terms)
              .groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e", F.lit(None).cast("string").alias("v"))).alias("extra")))
-    # a word inside a base span goes with it
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
     out = (stored.join(extra, "rid", "left")
-           .withColumn("spans", F.array_sort(F.concat("base", F.coalesce(free, F.array().cast(_SPAN))))))
+           .withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))))))
     count = [_of_kind("spans", i).alias(f"n_{k}") for i, k in enumerate(KINDS + EXTRA)]
     done = out.select("doc_id", *count[:4], F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("span_text"), *count[4:],

@@ -2,6 +2,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,6 +109,72 @@ def test_disclosing_terms_go_from_the_whole_text(spark):
     assert got[2].text.endswith("zebulon")
 
 
+def _entities(text):
+    """(start, end, entity) of the base spans."""
+    out = []
+    for a, k, z in reference_spans(text):
+        v = text[a:z]
+        out.append((a, z, (k, re.sub("[^0-9]", "", v) if k >= 2 else v.lower())))
+    return out
+
+
+def reference_extra(texts, reach, remove, generalise, gain):
+    """Spans (start, end, kind) to remove or generalise in each text, word by word."""
+    words = {t: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_][^\W_]*", t)] for t in texts}
+    free = {t: [w for w in ws if not any(a < w[1] and z > w[0] for a, z, _ in _entities(t))] for t, ws in words.items()}
+    n_t, beside = Counter(w for ws in words.values() for *_, w in ws), Counter()
+    for t, ws in free.items():
+        for s, e, w in ws:
+            beside.update({(c, w) for a, z, c in _entities(t) if a - reach <= s and e <= z + reach})
+    kind, n_c = {}, Counter()
+    for (c, w), n in beside.items():
+        n_c[c] += n
+    for (c, w), n in beside.items():
+        bits = np.log2((n_t[w] + 1) / (n + 1))
+        if bits <= generalise and np.log2(sum(n_t.values()) / n_c[c]) - bits >= gain:
+            kind[c, w] = 4 if bits <= remove else 5
+    return {t: sorted((s, e, min(ks)) for s, e, w in ws
+                      if (ks := [kind[c, w] for c in {c for *_, c in _entities(t)} if (c, w) in kind]))
+            for t, ws in free.items()}
+
+
+def test_disclosure_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    common = ["the", "of", "and", "house", "été", "x2", "well"] * 12
+    rare = [f"name{i}" for i in range(60)] + [f"Ward{i}" for i in range(20)]
+    values = ["zeb@clinic.org", "Zeb@Clinic.org", "10.0.0.1", "+15551234567", "4111 1111 1111 1111", "q.name3@x.org",
+              "+1(555)1234567name7", "long" * 60 + "@x.y"]
+    texts = [" ".join(rng.choice(common + rare + (values if i % 3 else []), 20 + i)) for i in range(60)]
+    texts += [f"{' '.join(rng.choice(common + rare, 40))} solo{i} some{i % 12} u{i}@x.org" for i in range(40)]
+    texts += ["a" * 500 + " 10.0.0.1", "10.0.0.1" + "b" * 300, "zeb@clinic.org" * 3, "name1 " * 600 + "10.0.0.1", ""]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(900 + i, texts[i], "en") for i in range(5)] + [(None, None, "en")]
+    want = reference_extra(set(texts), sanitise.REACH, sanitise.REMOVE, sanitise.GENERALISE, sanitise.GAIN)
+    got = sanitise.sanitise(frame(spark, rows)).collect()
+    seen, names = Counter(), sanitise.KINDS + sanitise.EXTRA
+    for r in got:
+        if r.doc_id is not None:
+            text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+            every = sorted(reference_spans(text) + [(s, k, e) for s, e, k in want[text]])
+            assert r.spans == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in every)
+            seen.update(k for *_, k in want[text])
+            clean, at = "", 0
+            for s, k, e in every:
+                if e > at:
+                    clean, at = clean + text[at:max(s, at)] + sanitise.MARKS[names[k]], e
+            assert r.text == clean + text[at:]
+    assert seen[4] > 20 and seen[5] > 20
+
+
+def test_one_text_of_many_mentions(spark):
+    text = " ".join(f"word{i % 5000} m{i}@x.org" for i in range(100_000))
+    r = sanitise.sanitise(frame(spark, [(1, text, "en"), (2, "plain words", "en")]), texts=False).where("doc_id = 1").first()
+    spans = r.spans.split(",")
+    assert r.n_email == 100_000 and sum(s.startswith("email:") for s in spans) == 100_000
+    assert spans[1].startswith("email:") or spans[0].startswith("email:")
+    last = [s for s in spans if s.startswith("email:")][-1]
+    assert last == f"email:{len(text) - len('m99999@x.org')}:{len(text)}"
+
+
 def test_sanitise_plan_is_native(spark):
     df = sanitise.sanitise(frame(spark, [(1, "a@b.c", "en")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
