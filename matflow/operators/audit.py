@@ -42,7 +42,7 @@ def audit_history(audit: DataFrame, table_name: str, record_id: int) -> DataFram
 
 def audit_versions(audit: DataFrame) -> DataFrame:
     """W1 for every record at once; a record with a large share of the
-    rows is spread over its days (see ``dense_rank_desc``)."""
+    rows is spread over its minutes (see ``dense_rank_desc``)."""
     cols = ["table_name", "record_id", *HISTORY_COLUMNS]
     return dense_rank_desc(audit.select(*cols), ["table_name", "record_id"], "timestamp",
                            "version").select(*cols, "version")

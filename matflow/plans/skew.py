@@ -5,7 +5,7 @@
 * ``dense_sequence``: consecutive ids 1..n in a given order without a global
   window (a single-partition ``row_number`` over all rows).
 * ``dense_rank_desc``: DENSE_RANK by a descending time column within a key; a
-  key holding a large share of the rows is split over its days.
+  key holding a large share of the rows is split over its minutes.
 
 Each is one declarative plan for every size of the data; none runs a job while the
 plan is built.
@@ -60,28 +60,26 @@ def dense_sequence(df: DataFrame, order_col: str, out_col: str = "seq_no",
 
 def dense_rank_desc(df: DataFrame, keys: list[str], order_col: str, out_col: str = "version") -> DataFrame:
     """DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col DESC), nulls last,
-    for a time column; null keys are one key, as in the window.
+    for a TIMESTAMP_NTZ column; null keys are one key, as in the window.
 
-    The distinct (key, time) pairs (combined on the map side) are ranked within
-    their key and day, and shifted by the distinct times of the key's later days, so
-    a key with any share of the rows is spread over its days. The ranks are joined
-    back on (key, time), null-safely.
+    Rows are ranked within their key and minute and shifted by the distinct times of the
+    key's later minutes, so a key with any share of the rows, in one day too, is spread
+    over its minutes. Rows are shuffled once: the shifts, a row per key and minute
+    counted on the map side first, meet them by the same partitioning. The keys go as one
+    struct, whose null fields are equal in a join.
     """
-    times = df.select(*keys, order_col).distinct().withColumn("__day", F.to_date(order_col))
-    day = [*keys, "__day"]
-    local = F.row_number().over(Window.partitionBy(*day).orderBy(F.col(order_col).desc()))
-    per_day = times.groupBy(*day).agg(F.count(F.lit(1)).alias("__n"))
-    later = Window.partitionBy(*keys).orderBy(F.col("__day").desc_nulls_last())
-    offs = per_day.select(*day, (F.sum("__n").over(later) - F.col("__n")).alias("__off"))
-    ranked = _join_null_safe(times.withColumn("__r", local), offs, day, "inner")
-    ranks = ranked.select(*keys, order_col, (F.col("__off") + F.col("__r")).cast("int").alias(out_col))
-    return _join_null_safe(df, ranks, [*keys, order_col], "left")
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    r = right.select(*[F.col(c).alias(f"__k_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = reduce(lambda x, y: x & y, [left[c].eqNullSafe(r[f"__k_{c}"]) for c in on])
-    return left.join(r, cond, how).drop(*[f"__k_{c}" for c in on])
+    t = F.col(order_col)
+    minute = F.unix_date(F.to_date(t)).cast("long") * 1440 + F.hour(t) * 60 + F.minute(t)
+    rows = (df.withColumn("__key", F.struct(F.lit(0).alias("_"), *keys))
+            .withColumn("__cell", F.coalesce(minute, F.lit(-1 << 63))))
+    cell = ["__cell", "__key"]   # sorted by a number first
+    later = Window.partitionBy("__key").orderBy(F.col("__cell").desc())
+    # no time comes last: its minute shifts none
+    shift = (rows.groupBy(*cell).agg(F.count_distinct(order_col).alias("__n"))
+             .select(*cell, (F.sum("__n").over(later) - F.col("__n")).alias("__off")))
+    local = F.dense_rank().over(Window.partitionBy(*cell).orderBy(t.desc()))
+    return (rows.withColumn("__r", local).join(shift, cell)
+            .select(*df.columns, (F.col("__off") + F.col("__r")).cast("int").alias(out_col)))
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """CSV sinks, audit append, snapshot round trip and identity assignment."""
 import datetime as dt
 import glob
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,26 @@ def test_dense_rank_hot_key_split(spark, no_coalesce):
     want1 = sorted(map(repr, one.withColumn("version", F.dense_rank().over(w1)).collect()))
     got1 = dense_rank_desc(one, [], "ts").select(*one.columns, "version")
     assert sorted(map(repr, got1.collect())) == want1
+
+
+def test_dense_rank_spreads_one_hot_day(spark):
+    from pyspark.sql import Window
+    from matflow.plans.skew import dense_rank_desc
+
+    # half of the rows in one record and one day, some times repeated, some null
+    at = F.lit("2024-03-05 00:00:00").cast("timestamp_ntz")
+    rows = spark.range(40_000).select(
+        "id", F.when(F.col("id") < 20_000, F.lit(7)).otherwise(F.col("id") % 900).alias("record"),
+        F.when(F.col("id") % 997 != 0, at + F.make_dt_interval(
+            F.when(F.col("id") < 20_000, F.lit(0)).otherwise(F.col("id") % 50),
+            F.lit(0), F.lit(0), ((F.col("id") * 7919) % 86_400).cast("decimal(18,6)"))).alias("ts"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = dense_rank_desc(rows, ["record"], "ts").select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    want = rows.withColumn("version", F.dense_rank().over(Window.partitionBy("record").orderBy(F.desc("ts"))))
+    assert sorted((r.id, r.version) for r in got) == sorted((r.id, r.version) for r in want.collect())
+    sizes = sorted(Counter(r.p for r in got).values())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
