@@ -4,7 +4,8 @@
    texts, written to the shared folder; everything after reads about 60 bytes a
    row.
 2. ``approx_top_k`` (a frequent-items sketch of the Misra-Gries family: a fixed
-   number of counters, decremented when full, merged between tasks) names at
+   number of counters, decremented when full, merged in two levels: the tasks'
+   sketches into at most ``MERGES``, and those into one) names at
    most ``candidates`` frequent digests. Any digest with more than about
    rows / ``counters`` rows is among them.
 3. The candidates are verified by an exact aggregate (count, winner); at most
@@ -28,6 +29,8 @@ from matflow.llm.common import shared_table
 CANDIDATES = 1000
 #: Counters of the frequent-items sketch.
 COUNTERS = 16384
+#: Sketches that the first level of the merge leaves to the second.
+MERGES = 512
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -40,6 +43,17 @@ def normalised(text):
     return out
 
 
+def frequent_digests(rows: DataFrame, candidates: int = CANDIDATES, counters: int = COUNTERS,
+                     merges: int = MERGES) -> DataFrame:
+    """(digest): at most ``candidates`` digests that the merged sketches name as frequent."""
+    return (rows.groupBy((F.spark_partition_id() % merges).alias("part"))
+            .agg(F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("sketch"))
+            # grouped by a constant: no rows give no sketch
+            .groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+            .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {candidates})")).alias("top"))
+            .select(F.col("top.item").alias("digest")))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 candidates: int = CANDIDATES, counters: int = COUNTERS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -55,8 +69,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
         F.monotonically_increasing_id().alias("rid")), "exact")
 
-    frequent = (rows.agg(F.expr(f"approx_top_k(digest, {candidates}, {counters})").alias("top"))
-                .select(F.explode("top.item").alias("digest")))
+    frequent = frequent_digests(rows, candidates, counters)
     # least struct = most code points, then id present, smallest id, row id
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"),
                      F.col("doc_id"), F.col("rid"))

@@ -152,6 +152,16 @@ def test_exact_dedup_matches_brute_force(spark, corpus):
         assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_frequent_digests_over_two_levels(spark):
+    # hot in a third of the rows, one in each hundred, the others met once
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 100 = 1 THEN 'warm' ELSE sha2(string(id), 256) END AS digest").repartition(17)
+    for merges in (1, 4, 512):
+        got = {r.digest for r in exactdedup.frequent_digests(rows, 20, 1024, merges).collect()}
+        assert {"hot", "warm"} <= got and len(got) <= 20
+    assert exactdedup.frequent_digests(rows.limit(0)).collect() == []
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exactdedup.deduplicate(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
