@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,26 @@ def production_defaults(requests: DataFrame, today: dt.date, for_update: bool =
     )
 
 
+def _nulls(columns: list[str]) -> list:
+    return [F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in columns]
+
+
+def _stock_rules() -> list:
+    return [F.count_if(F.col("quantite") < 0).alias("quantite_negative"), *_nulls(C.STOCK_NOT_NULL)]
+
+
+def _production_rules() -> list:
+    return [F.count_if(F.col("quantite") <= 0).alias("quantite_not_positive"),
+            F.count_if(F.col("statut").isNull() | ~F.col("statut").isin(*C.STATUTS)).alias("statut_invalid"),
+            *_nulls(C.PRODUCTION_NOT_NULL)]
+
+
+def _unpivot(counts: DataFrame, table: str) -> DataFrame:
+    pairs = ", ".join(f"'{c}', cast({c} as bigint)" for c in counts.columns)
+    return counts.select(F.lit(table).alias("table_name"),
+                         F.expr(f"stack({len(counts.columns)}, {pairs})").alias("rule", "violations"))
+
+
 def constraint_violations(stock: DataFrame, production: DataFrame, users: DataFrame,
                           audit: DataFrame | None = None) -> DataFrame:
     """V4: rows that break the table rules, one row per rule with a count: CHECK,
@@ -110,28 +131,68 @@ def constraint_violations(stock: DataFrame, production: DataFrame, users: DataFr
     One conditional-aggregate pass per table, an aggregate for UNIQUE and an
     anti join for the foreign key; the per-rule rows are unpivoted with stack.
     """
-    def nulls(columns):
-        return [F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in columns]
-
-    s = stock.agg(
-        F.count_if(F.col("quantite") < 0).alias("quantite_negative"), *nulls(C.STOCK_NOT_NULL))
-    p = production.agg(
-        F.count_if(F.col("quantite") <= 0).alias("quantite_not_positive"),
-        F.count_if(F.col("statut").isNull() | ~F.col("statut").isin(*C.STATUTS)).alias("statut_invalid"),
-        *nulls(C.PRODUCTION_NOT_NULL))
+    s = stock.agg(*_stock_rules())
+    p = production.agg(*_production_rules())
     fk = (production.where(F.col("stock_id").isNotNull()).select("stock_id")
           .join(stock.select(F.col("id").alias("stock_id")), "stock_id", "left_anti")
           .agg(F.count(F.lit(1)).alias("stock_id_missing")))
     dup = (users.groupBy("username").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("username_duplicate")))
-    nul_u = users.agg(*nulls(C.USERS_NOT_NULL))
-
-    def unpivot(df: DataFrame, table: str) -> DataFrame:
-        pairs = ", ".join(f"'{c}', cast({c} as bigint)" for c in df.columns)
-        return df.select(F.lit(table).alias("table_name"),
-                         F.expr(f"stack({len(df.columns)}, {pairs})").alias("rule", "violations"))
-
-    out = (unpivot(s, "Stock").unionByName(unpivot(p, "Production"))
-           .unionByName(unpivot(fk, "Production")).unionByName(unpivot(dup, "Utilisateurs"))
-           .unionByName(unpivot(nul_u, "Utilisateurs")))
-    return out if audit is None else out.unionByName(unpivot(audit.agg(*nulls(C.AUDIT_NOT_NULL)), "Historique"))
+    nul_u = users.agg(*_nulls(C.USERS_NOT_NULL))
+    out = (_unpivot(s, "Stock").unionByName(_unpivot(p, "Production"))
+           .unionByName(_unpivot(fk, "Production")).unionByName(_unpivot(dup, "Utilisateurs"))
+           .unionByName(_unpivot(nul_u, "Utilisateurs")))
+    return out if audit is None else out.unionByName(_unpivot(audit.agg(*_nulls(C.AUDIT_NOT_NULL)), "Historique"))
+
+
+def changed_violations(stock: DataFrame, production: DataFrame,
+                       stock_change: tuple[DataFrame, DataFrame] | None = None,
+                       job_change: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """V4 for a change: table_name, rule and the violations ``before`` and ``after``, counted
+    over the rows the change touches alone. What a rule gains over whole tables is
+    ``after - before``, as all other rows stay.
+
+    ``stock`` and ``production`` are the tables before it; a change is (the changed rows
+    as they were, as they will be), with the deleted rows in the first only and the new
+    ones in the second only. Row rules read the changed rows, the foreign key also the
+    ids of ``stock`` and, if materials come or go, the jobs that use those.
+    """
+    parts = []
+    for change, rules, table in ((stock_change, _stock_rules(), "Stock"),
+                                 (job_change, _production_rules(), "Production")):
+        if change is not None:
+            both = [_unpivot(df.agg(*rules), table).select(
+                "table_name", "rule", *[(F.col("violations") if i == j else F.lit(0).cast("long")).alias(n)
+                                        for j, n in enumerate(("before", "after"))]) for i, df in enumerate(change)]
+            parts.append(both[0].unionByName(both[1]).groupBy("table_name", "rule")
+                         .agg(F.sum("before").alias("before"), F.sum("after").alias("after")))
+    parts.append(_foreign_key_change(stock, production, stock_change, job_change))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _foreign_key_change(stock, production, stock_change, job_change) -> DataFrame:
+    """The foreign key's row of ``changed_violations``. References are counted by material
+    before they meet its id, so a material that many jobs use is one row there."""
+    refs = production.limit(0).select("stock_id", F.lit(False).alias("new"))
+    if job_change is not None:
+        refs = (job_change[0].select("stock_id", F.lit(False).alias("new"))
+                .unionByName(job_change[1].select("stock_id", F.lit(True).alias("new"))))
+    ids = stock.select(F.col("id").alias("stock_id"), F.lit(1).alias("_was"))
+    moved = None
+    if stock_change is not None:
+        # -1: deleted, 1: new
+        moved = (stock_change[0].select(F.col("id").alias("stock_id"), F.lit(-1).alias("_d"))
+                 .unionByName(stock_change[1].select(F.col("id").alias("stock_id"), F.lit(1).alias("_d")))
+                 .groupBy("stock_id").agg(F.sum("_d").alias("_d")).where("_d <> 0"))
+        users = production.join(moved.select("stock_id"), "stock_id", "left_semi").select("id", "stock_id")
+        if job_change is not None:
+            users = users.join(job_change[0].select("id"), "id", "left_anti")
+        refs = refs.unionByName(users.select("stock_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("new")))
+    counts = refs.where(F.col("stock_id").isNotNull()).groupBy("stock_id", "new").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(ids, "stock_id", "left")
+    known = known.join(moved, "stock_id", "left") if moved is not None else known.withColumn("_d", F.lit(0))
+    there = F.coalesce("_was", F.lit(0)) + F.when(F.col("new"), F.coalesce("_d", F.lit(0))).otherwise(F.lit(0))
+    lost = known.where(there <= 0)
+    return lost.agg(*[F.coalesce(F.sum(F.when(F.col("new") == F.lit(is_new), F.col("n"))), F.lit(0)).cast("long").alias(n)
+                      for n, is_new in (("before", False), ("after", True))]).select(
+        F.lit("Production").alias("table_name"), F.lit("stock_id_missing").alias("rule"), "before", "after")

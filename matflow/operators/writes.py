@@ -5,7 +5,8 @@ request batch -> rules (V1, V2, the route's roles) -> typed values (V3) -> M7
 (ordered stock deduction) -> the change operators -> trigger rows -> next snapshot.
 A ``commit_*`` writes that snapshot as a new store version: it becomes current only
 after every table is written, so a batch is all or nothing (the source's separate
-round trips are not); the table rules (V4) are checked before. Refused requests are
+round trips are not); the table rules (V4) are checked before, on the rows that the
+batch changes. Refused requests are
 reported in ``decisions`` and change nothing.
 """
 
@@ -45,8 +46,9 @@ def apply_job_requests(t: Tables, requests: DataFrame, today: dt.date,
 
     Returns ``stock``, ``production``, ``production_new``, ``audit`` (old rows plus
     the trigger rows of this batch, with new ids: one CREATE per new job, one UPDATE
-    per deduction), ``audit_new`` and ``decisions`` (per request: code, reason, and
-    whether the stock deduction accepted it). The decisions are stored once
+    per deduction), ``audit_new``, ``decisions`` (per request: code, reason, and
+    whether the stock deduction accepted it) and ``changed`` (the changed rows of each
+    table before and after). The decisions are stored once
     (checkpoint) and everything else is taken from them.
     """
     v2 = validate.validate_production_requests(requests, t.users)
@@ -58,10 +60,13 @@ def apply_job_requests(t: Tables, requests: DataFrame, today: dt.date,
     accepted = typed.join(dec.where("accepted").select("req_id"), "req_id", "left_semi")
     production_new = changes.new_production_rows(t.production, accepted, now, t.mark("production"))
     production = schemas.conform(t.production, schemas.PRODUCTION).unionByName(production_new)
-    levels = ledger.stock_after_consumption(t.stock, dec).select("id", F.col("quantite").alias("_q"))
-    stock = schemas.conform(
-        t.stock.join(levels, "id", "left").withColumn("quantite", F.coalesce("_q", "quantite")),
-        schemas.STOCK)
+    levels = (ledger.stock_after_consumption(t.stock, dec).where("consomme > 0")
+              .select("id", F.col("quantite").alias("_q")))
+
+    def levelled(how: str) -> DataFrame:
+        return schemas.conform(t.stock.join(levels, "id", how).withColumn("quantite", F.coalesce("_q", "quantite")),
+                               schemas.STOCK)
+    stock = levelled("left")
 
     old = audit_columns(t.audit)
     audit_new = _trigger_rows(old, [audit.creation_rows(production_new, now),
@@ -69,7 +74,13 @@ def apply_job_requests(t: Tables, requests: DataFrame, today: dt.date,
     decisions = (v2.select("req_id", "code", "reject_reason")
                  .join(dec.select("req_id", F.col("accepted").alias("stock_ok"), "motif"), "req_id", "left"))
     return {"stock": stock, "production": production, "production_new": production_new,
-            "audit": old.unionByName(audit_new), "audit_new": audit_new, "decisions": decisions}
+            "audit": old.unionByName(audit_new), "audit_new": audit_new, "decisions": decisions,
+            "changed": {"stock": (t.stock.join(levels, "id", "left_semi"), levelled("inner")),
+                        "production": (t.production.limit(0), production_new)}}
+
+
+def _of_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
+    return table.join(ids, "id", "left_semi")
 
 
 def stock_decisions(t: Tables, requests: DataFrame) -> DataFrame:
@@ -104,8 +115,9 @@ def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
     deletes (jobs that used a deleted material lose it), M1 inserts, then
     both triggers (U1 on materials, U2 on the jobs set to null).
 
-    Returns ``stock``, ``production``, ``audit``, ``audit_new``, ``decisions`` and
-    ``missing`` (the requests whose target does not exist: the 404 answers, J5).
+    Returns ``stock``, ``production``, ``audit``, ``audit_new``, ``decisions``,
+    ``missing`` (the requests whose target does not exist: the 404 answers, J5) and
+    ``changed`` (the changed rows of each table before and after).
     """
     decisions = stock_decisions(t, requests)
     good = requests.join(decisions.where("code < 300").select("seq"), "seq", "left_semi")
@@ -121,14 +133,18 @@ def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
     # every statement leaves its row; jobs change only where their material was deleted
     detached = t.production.join(dele.select(F.col("target_id").alias("stock_id")).distinct(), "stock_id", "left_semi")
     created = stock.where(F.col("id") > F.lit(max(mark, t.mark("stock"))))
+    detached = schemas.conform(detached, schemas.PRODUCTION)
+    freed = changes.detach_deleted_stock(detached, dele)
     audit_new = _trigger_rows(old, [
         statements.stock_statements(t.stock, upd.unionByName(dele), today, now),
         statements.created_stock(created, now),
-        audit.capture_production_changes(schemas.conform(detached, schemas.PRODUCTION),
-                                         changes.detach_deleted_stock(detached, dele), now)], t.mark("audit"))
+        audit.capture_production_changes(detached, freed, now)], t.mark("audit"))
+    targets = good.where(F.col("target_id").isNotNull()).select(F.col("target_id").alias("id")).distinct()
     missing = changes.requests_missing(requests.where(F.col("op") != "INSERT"), t.stock)
     return {"stock": stock, "production": production, "audit": old.unionByName(audit_new),
-            "audit_new": audit_new, "missing": missing, "decisions": decisions}
+            "audit_new": audit_new, "missing": missing, "decisions": decisions,
+            "changed": {"stock": (_of_ids(t.stock, targets), _of_ids(stock, targets).unionByName(created)),
+                        "production": (detached, freed)}}
 
 
 def apply_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.datetime) -> dict[str, DataFrame]:
@@ -140,8 +156,10 @@ def apply_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.da
     old = audit_columns(t.audit)
     audit_new = _trigger_rows(
         old, [statements.production_statements(t.production, requests, today, now)], t.mark("audit"))
+    targets = requests.where(F.col("target_id").isNotNull()).select(F.col("target_id").alias("id")).distinct()
     return {"production": production, "audit": old.unionByName(audit_new), "audit_new": audit_new,
-            "decisions": statements.job_change_decisions(t.production, requests)}
+            "decisions": statements.job_change_decisions(t.production, requests),
+            "changed": {"production": (_of_ids(t.production, targets), _of_ids(production, targets))}}
 
 
 def _store(t: Tables):
@@ -150,16 +168,12 @@ def _store(t: Tables):
     return t.store
 
 
-def _gate(t: Tables, **tables: DataFrame) -> None:
-    """V4 on the tables of the next version: fails if a rule is broken that the
-    present version keeps."""
-    now = {"stock": t.stock, "production": t.production, "users": t.users}
-
-    def broken(x):
-        return {(r.table_name, r.rule): r.violations
-                for r in validate.constraint_violations(x["stock"], x["production"], x["users"]).collect()}
-    after, before = broken({**now, **tables}), broken(now)
-    worse = {k: v for k, v in after.items() if v > before[k]}
+def _gate(t: Tables, stock: tuple[DataFrame, DataFrame] | None = None,
+          production: tuple[DataFrame, DataFrame] | None = None) -> None:
+    """V4 on a change of the present version (the changed rows before and after): fails
+    if a rule is broken more often after it."""
+    rules = validate.changed_violations(t.stock, t.production, stock, production)
+    worse = {(r.table_name, r.rule): r.after for r in rules.where("after > before").collect()}
     if worse:
         raise ValueError(f"the batch breaks table rules: {worse}")
 
@@ -172,7 +186,7 @@ def commit_stock_requests(t: Tables, requests: DataFrame, today: dt.date, now: d
     """Apply the material batch and write the next snapshot version."""
     store = _store(t)
     nxt = apply_stock_requests(t, requests, today, now)
-    _gate(t, stock=nxt["stock"], production=nxt["production"])
+    _gate(t, **nxt["changed"])
     # jobs change in place (material set to null): rewritten; audit: appended
     return store.commit({"stock": nxt["stock"], "production": nxt["production"]},
                         keep=["users"], append={"audit": nxt["audit_new"]}, head=t.head,
@@ -186,7 +200,7 @@ def commit_job_requests(t: Tables, requests: DataFrame, today: dt.date, now: dt.
     table is rewritten; users are kept. Returns the version number."""
     store = _store(t)
     nxt = apply_job_requests(t, requests, today, now)
-    _gate(t, stock=nxt["stock"], production=nxt["production"])
+    _gate(t, **nxt["changed"])
     return store.commit({"stock": nxt["stock"]}, keep=["users"], head=t.head,
                         append={"production": nxt["production_new"], "audit": nxt["audit_new"]},
                         marks=_highest(stock=t.stock, production=nxt["production"], audit=nxt["audit"]))
@@ -196,7 +210,7 @@ def commit_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.d
     """Apply job updates and deletes and write the next snapshot version."""
     store = _store(t)
     nxt = apply_job_changes(t, requests, today, now)
-    _gate(t, production=nxt["production"])
+    _gate(t, **nxt["changed"])
     return store.commit({"production": nxt["production"]}, keep=["stock", "users"],
                         append={"audit": nxt["audit_new"]}, head=t.head,
                         marks=_highest(production=t.production, audit=nxt["audit"]))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from matflow.operators import writes
+from matflow.operators import validate, writes
 from matflow.sources import catalog, fixtures
 from matflow.sources.catalog import audit_columns, fork_tables, open_tables, tables_at
 from matflow.sources.store import MAX_BATCHES, ConcurrentCommit, SnapshotStore
@@ -99,7 +99,50 @@ def test_job_changes_and_retention(spark, tables):
 def test_broken_rules_stop_the_commit(spark, tables):
     bad = tables.stock.withColumn("quantite", F.lit(-1))
     with pytest.raises(ValueError):
-        writes._gate(tables, stock=bad)
+        writes._gate(tables, stock=(tables.stock, bad))
+
+
+def _whole(before, after):
+    """What each rule gains over whole tables: the plain check."""
+    def count(stock, production, users):
+        return {(r.table_name, r.rule): r.violations
+                for r in validate.constraint_violations(stock, production, users).collect()}
+    old, new = count(*before), count(*after)
+    return {k: new[k] - old[k] for k in new if k[0] != "Utilisateurs"}
+
+
+def test_the_rules_of_a_change_equal_those_of_whole_tables(tables):
+    s, p, u = tables.stock.where("id <= 12"), tables.production.where("id <= 60"), tables.users
+    # rules already broken before: a job of no material, a negative amount
+    s = s.withColumn("quantite", F.when(F.col("id") == 3, F.lit(-4)).otherwise(F.col("quantite"))).checkpoint()
+    p = p.withColumn("stock_id", F.when(F.col("id") % 5 == 0, F.lit(900)).when(F.col("id") % 5 < 4, F.col("id") % 12 + 1)
+                     .cast("long")).checkpoint()
+    negative = s.where("id IN (3, 4, 5)").withColumn("quantite", F.col("id").cast("int") - 5)
+    new = s.where("id = 1").withColumn("id", F.lit(900).cast("long"))
+    broken = p.where("id < 9").withColumns({"quantite": F.lit(0), "statut": F.lit("x"), "stock_id": F.col("id") + 6})
+    cases = [((s.where("id IN (3, 4, 5)"), negative), None),                       # an update
+             ((s.where("id IN (2, 7)"), s.limit(0)), None),                         # a delete that leaves its jobs
+             ((s.limit(0), new), None),                                             # a row that jobs waited for
+             (None, (p.where("id < 9"), broken)),                                   # jobs updated
+             (None, (p.where("id > 20"), p.limit(0))),                              # and deleted
+             ((s.where("id IN (1, 2, 3, 4, 5)"), negative.unionByName(new)), (p.where("id < 9"), broken))]
+    for stock, jobs in cases:
+        def after(table, change):
+            return table if change is None else table.join(change[0], "id", "left_anti").unionByName(change[1])
+        want = _whole((s, p, u), (after(s, stock), after(p, jobs), u))
+        got = {(r.table_name, r.rule): r.after - r.before
+               for r in validate.changed_violations(s, p, stock, jobs).collect()}
+        assert all(want[k] == v for k, v in got.items())
+        assert all(k in got for k, v in want.items() if v)
+        assert any(want.values())
+
+
+def test_the_gate_of_jobs_reads_no_whole_table(tables):
+    """Changed jobs: of the tables only the materials' ids are read."""
+    jobs = tables.production.where("id < 5").checkpoint()
+    df = validate.changed_violations(tables.stock, tables.production, None, (jobs, jobs))
+    scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "ReadSchema: struct<id:bigint>" in scans[0]
 
 
 def test_second_writer_fails(spark, seed):
