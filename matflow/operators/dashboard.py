@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.exprs import div_half_up
+from . import figures
 from . import production as P
 from . import stock as S
 
@@ -77,8 +78,10 @@ def alert_summary(stock: DataFrame, production: DataFrame) -> DataFrame:
                     (F.col("alertes_prod") > 0).alias("badge_prod"))
 
 
-def dashboard_bundle(stock: DataFrame, production: DataFrame) -> dict[str, DataFrame]:
-    """K4: the dashboard payload.
+def dashboard_bundle(stock: DataFrame, production: DataFrame,
+                     sums: DataFrame | None = None) -> dict[str, DataFrame]:
+    """K4: the dashboard payload; with ``sums`` (``operators.figures``) its figures and the
+    chart per statut come from them and read no table.
 
     ``summary`` is one row holding the four bounded parts (kpis, top-10 stock
     chart, per-statut chart, 5 recent jobs) as nested columns. The parts are
@@ -86,9 +89,9 @@ def dashboard_bundle(stock: DataFrame, production: DataFrame) -> dict[str, DataF
     part is a one-row aggregate or a top-k, so the lists are bounded. The two
     alert lists grow with the data and stay distributed DataFrames.
     """
-    kpis = dashboard_kpis(stock, production)
+    kpis = dashboard_kpis(stock, production) if sums is None else figures.dashboard_kpis(sums)
     chart = S.top_stock(stock, 10)
-    statuts = P.production_by_status(production)
+    statuts = P.production_by_status(production) if sums is None else figures.production_by_status(sums)
     recent = P.recent_production(production, stock, 5)
     parts = {
         "kpis": kpis.select(F.struct(*kpis.columns).alias("v")),
@@ -127,11 +130,11 @@ def dashboard_bundle(stock: DataFrame, production: DataFrame) -> dict[str, DataF
     }
 
 
-def dashboard_summary_flat(stock: DataFrame, production: DataFrame) -> DataFrame:
+def dashboard_summary_flat(stock: DataFrame, production: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """K4 checked as rows: all six parts, one row per item. The four bounded parts
     come from one explode of the one-row record (which is computed once); the two
     alert lists stay distributed, their order given by the items (``pos`` null)."""
-    b = dashboard_bundle(stock, production)
+    b = dashboard_bundle(stock, production, sums)
     lists = [F.transform(F.col(n), lambda x, i: F.struct(i.alias("pos"), F.to_json(x).alias("item")))
              for n in ("stockChart", "prodChart", "recent")]
     tagged = [F.transform(c, _tag(n)) for n, c in zip(("stockChart", "prodChart", "recent"), lists)]

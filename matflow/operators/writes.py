@@ -22,7 +22,7 @@ from .. import schemas
 from ..functions import exprs as X
 from ..plans.skew import dense_sequence
 from ..sources.catalog import Tables, audit_columns
-from . import access, audit, changes, ledger, statements, validate
+from . import access, audit, changes, figures, ledger, statements, validate
 
 
 def _trigger_rows(old_audit: DataFrame, rows: list[DataFrame], mark: int = 0) -> DataFrame:
@@ -147,19 +147,24 @@ def apply_stock_requests(t: Tables, requests: DataFrame, today: dt.date,
                         "production": (detached, freed)}}
 
 
+def changed_jobs(t: Tables, requests: DataFrame, today: dt.date) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """The jobs after updates (M5) and deletes (M6), and the rows concerned before and after."""
+    production = changes.update_production(t.production, requests.where(F.col("op") == "UPDATE"), today)
+    production = changes.delete_production(production, requests.where(F.col("op") == "DELETE"))
+    targets = requests.where(F.col("target_id").isNotNull()).select(F.col("target_id").alias("id")).distinct()
+    return production, (_of_ids(t.production, targets), _of_ids(production, targets))
+
+
 def apply_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.datetime) -> dict[str, DataFrame]:
     """Next snapshot after a batch of job updates (M5) and deletes (M6), as
     ``sources.fixtures.production_change_requests``, with the trigger rows."""
-    upd = requests.where(F.col("op") == "UPDATE")
-    production = changes.update_production(t.production, upd, today)
-    production = changes.delete_production(production, requests.where(F.col("op") == "DELETE"))
+    production, changed = changed_jobs(t, requests, today)
     old = audit_columns(t.audit)
     audit_new = _trigger_rows(
         old, [statements.production_statements(t.production, requests, today, now)], t.mark("audit"))
-    targets = requests.where(F.col("target_id").isNotNull()).select(F.col("target_id").alias("id")).distinct()
     return {"production": production, "audit": old.unionByName(audit_new), "audit_new": audit_new,
             "decisions": statements.job_change_decisions(t.production, requests),
-            "changed": {"production": (_of_ids(t.production, targets), _of_ids(production, targets))}}
+            "changed": {"production": changed}}
 
 
 def _store(t: Tables):
@@ -182,13 +187,18 @@ def _highest(**tables: DataFrame) -> dict[str, int]:
     return {k: df.agg(F.max("id")).first()[0] or 0 for k, df in tables.items()}
 
 
+def _figures(t: Tables, changed: dict) -> dict[str, DataFrame]:
+    """The dashboard's partial sums after the change, from those before it."""
+    return {figures.TABLE: figures.change(t.figures(), **changed)}
+
+
 def commit_stock_requests(t: Tables, requests: DataFrame, today: dt.date, now: dt.datetime) -> int:
     """Apply the material batch and write the next snapshot version."""
     store = _store(t)
     nxt = apply_stock_requests(t, requests, today, now)
     _gate(t, **nxt["changed"])
     # jobs change in place (material set to null): rewritten; audit: appended
-    return store.commit({"stock": nxt["stock"], "production": nxt["production"]},
+    return store.commit({"stock": nxt["stock"], "production": nxt["production"], **_figures(t, nxt["changed"])},
                         keep=["users"], append={"audit": nxt["audit_new"]}, head=t.head,
                         marks={"stock": max(_highest(stock=t.stock)["stock"], _highest(stock=nxt["stock"])["stock"]),
                                **_highest(production=t.production, audit=nxt["audit"])})
@@ -201,7 +211,7 @@ def commit_job_requests(t: Tables, requests: DataFrame, today: dt.date, now: dt.
     store = _store(t)
     nxt = apply_job_requests(t, requests, today, now)
     _gate(t, **nxt["changed"])
-    return store.commit({"stock": nxt["stock"]}, keep=["users"], head=t.head,
+    return store.commit({"stock": nxt["stock"], **_figures(t, nxt["changed"])}, keep=["users"], head=t.head,
                         append={"production": nxt["production_new"], "audit": nxt["audit_new"]},
                         marks=_highest(stock=t.stock, production=nxt["production"], audit=nxt["audit"]))
 
@@ -211,14 +221,18 @@ def commit_job_changes(t: Tables, requests: DataFrame, today: dt.date, now: dt.d
     store = _store(t)
     nxt = apply_job_changes(t, requests, today, now)
     _gate(t, **nxt["changed"])
-    return store.commit({"production": nxt["production"]}, keep=["stock", "users"],
+    return store.commit({"production": nxt["production"], **_figures(t, nxt["changed"])}, keep=["stock", "users"],
                         append={"audit": nxt["audit_new"]}, head=t.head,
                         marks=_highest(production=t.production, audit=nxt["audit"]))
 
 
 def commit_retention(t: Tables, as_of: dt.datetime) -> int:
-    """U4 as a change: write the audit rows that stay as the next version."""
+    """U4 as a change: whole days before the limit leave the next version without being
+    read or written; of the limit's own day the rows that stay are written anew."""
     store = _store(t)
-    kept = audit_columns(audit.audit_retention(t.audit, as_of))
-    return store.commit({"audit": kept}, keep=["stock", "production", "users"], head=t.head,
-                        marks=_highest(audit=t.audit))
+    cutoff = audit.retention_cutoff(as_of)
+    day = cutoff.date()
+    rest = audit_columns(audit.audit_retention(t.audit, as_of).where(F.col("audit_date") == F.lit(day)))
+    kept = [name for name in t.head[3] if name != "audit"]
+    return store.commit({}, append={"audit": rest}, first_day={"audit": day + dt.timedelta(days=1)},
+                        keep=kept, head=t.head, marks=_highest(audit=t.audit))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import exprs as X
-from ..operators import access, audit, changes, dashboard, ledger, production, search, statements, stock, validate
+from ..operators import (access, audit, changes, dashboard, figures, ledger, production, search, statements, stock,
+                         validate, writes)
 from ..session import delete_at_exit
 from ..sources import fixtures, sinks
 from ..sources.catalog import Tables, audit_columns, open_tables
@@ -367,6 +368,18 @@ def _k4(t: Tables):
     return dashboard.dashboard_summary_flat(t.stock, t.production)
 
 
+@register("dashboard_bundle_kept", _bundle_sql())
+def _k4_kept(t: Tables):
+    """K4 with its figures and the chart per statut from the stored sums."""
+    return dashboard.dashboard_summary_flat(t.stock, t.production, t.figures())
+
+
+# A1, A2, A4, A6-A8 from the stored sums: the rows, so the twins, of the whole-table queries
+for _name in ("dashboard_kpis", "production_by_status", "production_by_month", "stock_report_kpis",
+              "production_report_kpis", "stats_kpis"):
+    register(f"{_name}_kept", ORACLES[_name])(lambda t, f=getattr(figures, _name): f(t.figures()))
+
+
 _W = WORD.lower()
 _HITS = f"""SELECT 'stock' AS source, id, materiel AS libelle FROM stock WHERE contains(lower(materiel), '{_W}')
   UNION ALL
@@ -633,7 +646,7 @@ def _m4(t: Tables):
 _PCREQ = f", req AS ({S.PRODUCTION_CHANGE_REQUESTS})"
 
 
-@register("update_production", S.q(_PCREQ + f""", latest AS (
+_UPDATED_JOBS = f""", latest AS (
   SELECT target_id, arg_max(produit, seq) AS produit, arg_max(quantite, seq) AS quantite,
     arg_max(responsable, seq) AS responsable, arg_max(date_prod, seq) AS date_prod,
     arg_max(cout, seq) AS cout, arg_max(statut, seq) AS statut, arg_max(stock_id, seq) AS stock_id,
@@ -649,7 +662,10 @@ SELECT p.id,
   CASE WHEN l.target_id IS NOT NULL THEN l.stock_id ELSE p.stock_id END AS stock_id,
   CASE WHEN l.target_id IS NOT NULL THEN COALESCE(NULLIF(l.qte_consommee, 0), 0) ELSE p.qte_consommee END AS qte_consommee,
   p.created_at, p.updated_at, p.updated_by
-FROM production p LEFT JOIN latest l ON p.id = l.target_id"""))
+FROM production p LEFT JOIN latest l ON p.id = l.target_id"""
+
+
+@register("update_production", S.q(_PCREQ + _UPDATED_JOBS))
 def _m5(t: Tables):
     upd = fixtures.production_change_requests(t.production).where(F.col("op") == "UPDATE")
     return changes.update_production(t.production, upd, TODAY)
@@ -662,6 +678,25 @@ def _m6(t: Tables):
     return changes.delete_production(t.production, d)
 
 
+# the jobs after the whole batch: updates, then deletes
+_JOBS_AFTER = _PCREQ + _UPDATED_JOBS.replace("\nSELECT p.id,", ", updated AS (SELECT p.id,") + """),
+jobs AS (SELECT * FROM updated u WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.op = 'DELETE' AND r.target_id = u.id))"""
+
+
+@register("figures_after_job_changes", S.q(_JOBS_AFTER + f""", k AS (
+  SELECT '{figures.STATUT}' AS part, statut AS cle, quantite, cout FROM jobs
+  UNION ALL SELECT '{figures.MONTH}', CAST(year(date_prod) AS VARCHAR) || '/' || CAST(month(date_prod) AS VARCHAR),
+    quantite, cout FROM jobs
+  UNION ALL SELECT '{figures.BAND}', {_ETAT}, quantite, NULL FROM stock)
+SELECT part, cle, COUNT(*) AS n, CAST(COALESCE(SUM(quantite), 0) AS BIGINT) AS unites,
+  CAST(COALESCE(SUM(cout), 0) AS DECIMAL(32,2)) AS cout FROM k GROUP BY part, cle"""))
+def _k4_after(t: Tables):
+    """The dashboard's partial sums after a batch of job changes: the stored sums with the
+    changed rows taken out and put in again; the jobs left alone are not added up."""
+    _, changed = writes.changed_jobs(t, fixtures.production_change_requests(t.production), TODAY)
+    return figures.change(t.figures(), production=changed)
+
+
 def _m7_requests(t: Tables) -> DataFrame:
     return t.production.select(F.col("id").alias("req_id"), "stock_id",
                                F.col("qte_consommee").alias("qte"), "date_prod")

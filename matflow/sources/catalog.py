@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import figures
 from ..session import ensure_checkpoint_dir
 from . import fixtures
 from .store import SnapshotStore
 
 DOMAIN_TABLES = ("stock", "production", "audit", "users")
 # bumped when the stored layout changes, so old snapshots are not reused
-LAYOUT_VERSION = 4
+LAYOUT_VERSION = 5
 
 
 @dataclass
@@ -43,6 +44,13 @@ class Tables:
         """The highest id of ``table`` ever given, as far as commits recorded it."""
         return self.head[4].get(table, 0) if self.head else 0
 
+    def figures(self) -> DataFrame:
+        """The partial sums of this version (``operators.figures``): the stored ones, or
+        those of the tables where none are kept."""
+        if self.store is not None and self.head and figures.TABLE in self.head[3]:
+            return self.store.read(figures.TABLE, self.head)
+        return figures.partial_sums(self.stock, self.production)
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = fixtures.read_raw(self.spark, self.sf_dir, name)
@@ -91,6 +99,10 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
     if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
         store.commit(fixtures.derive_tables(spark, sf_dir))
         head = store.head()
+    if figures.TABLE not in head[2]:
+        sums = figures.partial_sums(store.read("stock", head), store.read("production", head))
+        store.commit({figures.TABLE: sums}, keep=DOMAIN_TABLES, head=head)
+        head = store.head()
     t = Tables(spark, sf_dir,
                stock=store.read("stock", head),
                production=store.read("production", head),
@@ -115,7 +127,7 @@ def fork_tables(t: Tables, root: str) -> Tables:
     and open it: later commits there leave ``t``'s store untouched."""
     store = SnapshotStore(t.spark, root)
     store.commit({"stock": t.stock, "production": t.production,
-                  "audit": audit_columns(t.audit), "users": t.users})
+                  "audit": audit_columns(t.audit), "users": t.users, figures.TABLE: t.figures()})
     return tables_at(t.spark, store, t.sf_dir)
 
 

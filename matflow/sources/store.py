@@ -10,12 +10,14 @@ from the same version fails (``ConcurrentCommit``) and must start again.
 
 A commit can rewrite a table (new tag only), keep it (the previous tags) or
 append to it (previous tags plus one): appending jobs or audit rows writes
-only the new rows, not the table. Readers filter on ``batch`` (partition
-pruning).
+only the new rows, not the table. A commit can also name the first day that stays
+in the batches so far of a table laid out by day. Readers filter on ``batch`` and
+day (partition pruning).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 import uuid
@@ -30,6 +32,7 @@ _LOG_SCHEMA = T.StructType([
     T.StructField("batches", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     T.StructField("marks", T.MapType(T.StringType(), T.LongType())),
     T.StructField("committed_ms", T.LongType()),
+    T.StructField("first_days", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
 ])
 
 # batch directories of one table in one version
@@ -73,7 +76,15 @@ def _layout_audit(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
             ["audit_date"])
 
 
-LAYOUTS = {"stock": _layout_stock, "production": _layout_production,
+def _layout_figures(df: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
+    # a row per band, statut and month: one file
+    return df.coalesce(1), []
+
+
+#: Tables laid out in directories by day, and their day column.
+DAY_COLUMNS = {"audit": "audit_date"}
+
+LAYOUTS = {"figures": _layout_figures, "stock": _layout_stock, "production": _layout_production,
            "audit": _layout_audit, "users": _layout_users}
 
 
@@ -92,8 +103,8 @@ class SnapshotStore:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def head(self):
-        """(version, root, tables, batches per table, highest ids) of the newest
-        commit, or None."""
+        """(version, root, tables, batches per table, highest ids, first day of batches per
+        table) of the newest commit, or None."""
         fs, log = self._fs(self._log)
         if not fs.exists(log):
             return None
@@ -101,15 +112,19 @@ class SnapshotStore:
         if not e:
             return None
         b = {k: list(v) for k, v in (e[0]["batches"] or {}).items()}
-        return (e[0]["version"], self.root, sorted(b), b, dict(e[0]["marks"] or {}))
+        days = {k: dict(v) for k, v in (e[0]["first_days"] or {}).items()}
+        return (e[0]["version"], self.root, sorted(b), b, dict(e[0]["marks"] or {}), days)
 
     def read(self, table: str, head=None) -> DataFrame:
         h = head or self.head()
         if h is None:
             raise FileNotFoundError(f"no snapshot committed under {self.root}")
-        tags = h[3][table]
-        return (self.spark.read.parquet(f"{self.root}/{table}")
-                .where(F.col("batch").isin(tags)).drop("batch"))
+        first = h[5].get(table, {})
+        keep = F.col("batch").isin(h[3][table])
+        for day in sorted(set(first.values())):
+            cut = [tag for tag, d in first.items() if d == day]
+            keep = keep & (~F.col("batch").isin(cut) | (F.col(DAY_COLUMNS[table]) >= F.lit(day).cast("date")))
+        return self.spark.read.parquet(f"{self.root}/{table}").where(keep).drop("batch")
 
     def _write(self, name: str, df: DataFrame, tag: str, n: int | None) -> None:
         layout = LAYOUTS.get(name, lambda d, k: (d, []))
@@ -119,9 +134,10 @@ class SnapshotStore:
             w = w.partitionBy(*parts)
         w.parquet(f"{self.root}/{name}/batch={tag}")
 
-    def _record(self, version: int, batches: dict, marks: dict) -> None:
+    def _record(self, version: int, batches: dict, marks: dict, first_days: dict) -> None:
         fs, target = self._fs(f"{self._log}/v{version:09d}.json")
-        row = {"version": version, "batches": batches, "marks": marks, "committed_ms": int(time.time() * 1000)}
+        row = {"version": version, "batches": batches, "marks": marks, "committed_ms": int(time.time() * 1000),
+               "first_days": first_days}
         try:
             out = fs.create(target, False)     # fails if the file is there
         except Py4JJavaError as e:
@@ -132,12 +148,14 @@ class SnapshotStore:
         out.close()
 
     def commit(self, tables: dict[str, DataFrame], keep=(), append: dict | None = None,
-               marks: dict | None = None, head=None) -> int:
+               marks: dict | None = None, head=None, first_day: dict[str, dt.date] | None = None) -> int:
         """Write a new version: ``tables`` are rewritten, ``keep`` names
         tables taken over as they are, ``append`` adds rows to tables.
         Tables not named are dropped from the version. ``marks``: highest ids given,
         merged with those of the version before. ``head``: the version the batch was
-        computed from (default: the newest one)."""
+        computed from (default: the newest one). ``first_day``: per table, the day before
+        which no row of its batches so far stays (no row is read or written for that);
+        appended rows are not concerned."""
         h = head if head is not None else self.head()
         version = 0 if h is None else h[0] + 1
         prev, old_marks = ({}, {}) if h is None else (h[3], h[4])
@@ -149,6 +167,12 @@ class SnapshotStore:
             batches[name] = [tag]
         for name in keep:
             batches[name] = list(prev[name])
+        days = {} if h is None else {k: dict(v) for k, v in h[5].items()}
+        for name, day in (first_day or {}).items():
+            own = days.setdefault(name, {})
+            for t in prev[name]:
+                own[t] = max(own.get(t, ""), day.isoformat())
+        h = h and (*h[:5], days)
         for name, df in (append or {}).items():
             before = list(prev.get(name, []))
             if len(before) >= MAX_BATCHES:
@@ -160,5 +184,6 @@ class SnapshotStore:
                 self._write(name, df, tag, None)
                 batches[name] = before + [tag]
         merged = {**old_marks, **{k: max(int(v or 0), old_marks.get(k, 0)) for k, v in (marks or {}).items()}}
-        self._record(version, batches, merged)
+        days = {k: {t: d for t, d in v.items() if t in batches.get(k, ())} for k, v in days.items()}
+        self._record(version, batches, merged, {k: v for k, v in days.items() if v})
         return version

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from matflow.operators import validate, writes
+from matflow.operators import audit, dashboard, figures, production, validate, writes
 from matflow.sources import catalog, fixtures
 from matflow.sources.catalog import audit_columns, fork_tables, open_tables, tables_at
 from matflow.sources.store import MAX_BATCHES, ConcurrentCommit, SnapshotStore
@@ -96,6 +96,119 @@ def test_job_changes_and_retention(spark, tables):
     assert left.where(F.col("timestamp") < F.lit(str(as_of - dt.timedelta(days=366))).cast("timestamp_ntz")).count() == 0
 
 
+def _batch_bytes(store, table, tag):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{store.root}/{table}/batch={tag}")
+               for f in names if f.endswith(".parquet"))
+
+
+def test_retention_drops_days_and_writes_one(spark, tables):
+    """The rows of U4, with the limit's day alone written; later commits and a full list of
+    batches keep what was dropped out."""
+    days = [r.audit_date for r in tables.audit.select("audit_date").distinct().orderBy("audit_date").collect()]
+    noon = dt.datetime.combine(days[len(days) // 2], dt.time(12))
+    as_of = noon + dt.timedelta(days=365)
+    want = sorted(tuple(r) for r in audit_columns(audit.audit_retention(tables.audit, as_of)).collect())
+    # two rows of the day itself: one goes, one stays
+    one = audit_columns(tables.audit).limit(1)
+    edge = [one.withColumns({"id": F.lit(10**6 + i).cast("long"),
+                             "timestamp": F.lit(str(noon + dt.timedelta(hours=i))).cast("timestamp_ntz")}) for i in (-1, 1)]
+    tables.store.commit({}, append={"audit": edge[0].unionByName(edge[1])}, keep=["stock", "production", "users"],
+                        head=tables.head)
+    writes.commit_retention(tables_at(spark, tables.store), as_of)
+    t1 = tables_at(spark, tables.store)
+    got = sorted(tuple(r) for r in audit_columns(t1.audit).where("id <> 1000001").collect())
+    assert got == want and t1.audit.where("id >= 1000000").count() == 1
+    tags = t1.head[3]["audit"]
+    assert len(tags) == 3 and set(t1.head[5]["audit"]) == set(tags[:2])
+    folder = f"{t1.store.root}/audit/batch={tags[-1]}"
+    assert {d for d in os.listdir(folder) if d.startswith("audit_date")} <= {f"audit_date={noon.date()}"}
+    assert _batch_bytes(t1.store, "audit", tags[-1]) < _batch_bytes(t1.store, "audit", tags[0]) / 2
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    scan = tables_at(spark, t1.store).audit._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "audit_date" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    # a later limit, a commit that appends, and a rewrite of all batches as one
+    later = as_of + dt.timedelta(days=30)
+    want = sorted(tuple(r) for r in audit_columns(audit.audit_retention(t1.audit, later)).collect())
+    writes.commit_retention(t1, later)
+    t2 = tables_at(spark, tables.store)
+    assert sorted(tuple(r) for r in audit_columns(t2.audit).collect()) == want
+
+
+def test_retention_survives_the_rewrite_of_batches(spark, tables, monkeypatch):
+    from matflow.sources import store as module
+    monkeypatch.setattr(module, "MAX_BATCHES", 2)
+    top = tables.audit.agg(F.max("timestamp")).first()[0]
+    for back in (200, 150, 100, 50):
+        t = tables_at(spark, tables.store)
+        as_of = top - dt.timedelta(days=back) + dt.timedelta(days=365)
+        want = audit.audit_retention(t.audit, as_of).count()
+        writes.commit_retention(t, as_of)
+        t = tables_at(spark, tables.store)
+        assert t.audit.count() == want and len(t.head[3]["audit"]) <= 2
+        assert set(t.head[5].get("audit", {})) <= set(t.head[3]["audit"])
+
+
+def _same_figures(t):
+    """The stored sums, and all figures from them, against the whole tables."""
+    assert figures.TABLE in t.head[3]
+    stored = {tuple(r) for r in t.figures().collect()}
+    assert stored == {tuple(r) for r in figures.partial_sums(t.stock, t.production).collect()}
+    pairs = [(figures.dashboard_kpis, dashboard.dashboard_kpis(t.stock, t.production)),
+             (figures.production_by_status, production.production_by_status(t.production)),
+             (figures.production_by_month, production.production_by_month(t.production)),
+             (figures.stock_report_kpis, dashboard.stock_report_kpis(t.stock)),
+             (figures.production_report_kpis, dashboard.production_report_kpis(t.production)),
+             (figures.stats_kpis, dashboard.stats_kpis(t.stock, t.production))]
+    for made, whole in pairs:
+        got = made(t.figures())
+        assert got.schema.simpleString() == whole.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_figures_follow_every_commit(spark, tables):
+    _same_figures(tables)
+    s = tables.stock.orderBy("id").limit(3).collect()
+    material = spark.createDataFrame(
+        [(1, "UPDATE", s[0].id, "Fer", 3, None), (2, "UPDATE", s[0].id, "Fer", 40, None), (3, "DELETE", s[1].id, None, None, None),
+         (4, "INSERT", None, "Verre", 4, None), (5, "INSERT", None, " ", 4, None), (6, "DELETE", -9, None, None, None)], REQUEST)
+    writes.commit_stock_requests(tables, material, TODAY, NOW)
+    t1 = tables_at(spark, tables.store)
+    _same_figures(t1)
+    writes.commit_job_requests(t1, fixtures.production_text_requests(t1.production, tables.raw("orders")), TODAY, NOW)
+    t2 = tables_at(spark, tables.store)
+    _same_figures(t2)
+    writes.commit_job_changes(t2, fixtures.production_change_requests(t2.production), TODAY, NOW)
+    t3 = tables_at(spark, tables.store)
+    _same_figures(t3)
+    writes.commit_retention(t3, dt.datetime(2025, 1, 15))
+    _same_figures(tables_at(spark, tables.store))
+
+
+def test_figures_of_missing_values_and_empty_tables(spark, seed):
+    rows = [(None, None, None, None), (None, dt.date(2024, 2, 3), "x", 5), (2, dt.date(9999, 12, 31), "Critique", 7)]
+    jobs = spark.createDataFrame(rows, "quantite int, date_prod date, statut string, c int").withColumn(
+        "cout", F.col("c").cast("decimal(12,2)"))
+    material = spark.createDataFrame([(None,), (3,), (49,), (50,)], "quantite int")
+    sums = figures.partial_sums(material, jobs)
+    got = {(r.part, r.cle): (r.n, r.unites, int(r.cout)) for r in sums.collect()}
+    assert got == {("bande", None): (1, 0, 0), ("bande", "CRITIQUE"): (1, 3, 0), ("bande", "FAIBLE"): (1, 49, 0),
+                   ("bande", "OK"): (1, 50, 0), ("statut", None): (1, 0, 0), ("statut", "x"): (1, 0, 5),
+                   ("statut", "Critique"): (1, 2, 7), ("mois", None): (1, 0, 0), ("mois", "2024/2"): (1, 0, 5),
+                   ("mois", "9999/12"): (1, 2, 7)}
+    assert figures.change(sums, (material, material.limit(0)), (jobs, jobs.limit(0))).count() == 0
+    empty = figures.partial_sums(material.limit(0), jobs.limit(0))
+    assert figures.dashboard_kpis(empty).first()[:3] == (0, 0, 0)
+    assert figures.stats_kpis(empty).first().cout_moyen == 0
+    assert figures.production_by_month(sums).first().annee == 9999
+
+
+def test_kept_figures_read_no_table(tables):
+    plan = figures.dashboard_kpis(tables.figures())._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "figures" in scans[0]
+
+
 def test_broken_rules_stop_the_commit(spark, tables):
     bad = tables.stock.withColumn("quantite", F.lit(-1))
     with pytest.raises(ValueError):
