@@ -1,19 +1,22 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The benchmark's items are normalised to word ids and entered into one suffix
+The benchmark's items are normalised to words and entered into one suffix
 automaton (suffix links, longest lengths, and for each state the items that hold
-its string), which is sent to the tasks; training texts then stream through it: at
+its string); training texts then stream through it: at
 every word the automaton gives the length of the longest suffix read that occurs
 in an item. At ``window`` words or more, those words are a hit, as is a shorter
 item matched whole. This is one narrow pass without any shuffle.
 
-A benchmark of more than ``BLOCK_CHARS`` characters is cut into blocks by item,
-one automaton and one pass each, so what is sent out stays bounded; the spans of
-hit texts are then brought together by the text's digest.
+Items are cut into parts of ``PART_WORDS`` windows (neighbours overlap, so no window is
+lost) and dealt to blocks of about ``BLOCK_CHARS`` characters, whatever the length of an
+item and however often its id or text is repeated. Each block's automaton is built in a
+task and stored; a pass fetches one block's at a time, so what is sent out stays bounded.
+The hits that several blocks find in a row's text are brought together by a row id.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 
 import numpy as np
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from matflow.llm.common import fresh, shared_table
 
 WINDOW = 13
-#: Most characters of benchmark text in one automaton (bounds what is sent out).
+#: Characters of benchmark text in one automaton (bounds what is sent out).
 BLOCK_CHARS = 2_000_000
+#: Windows in one part of a long item.
+PART_WORDS = 4096
 
 # word characters: 0-9, a-z, and everything beyond ASCII; A-Z is lower-cased
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32)
@@ -191,10 +196,14 @@ def _struct(n: int, spans, items, text: str | None) -> dict:
             "clean": remove_spans(text, spans) if spans else None}
 
 
-def _matcher(automaton: Automaton, cut: bool):
+def _matcher(stored: bytes, cut: bool):
+    made = []       # in a task: the automaton, read at its first batch
+
     def run(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(pickle.loads(stored))
         values = texts.to_pylist()
-        return pa.array([_struct(*x, t if cut else None) for x, t in zip(automaton.match(values), values)], _KIND)
+        return pa.array([_struct(*x, t if cut else None) for x, t in zip(made[0].match(values), values)], _KIND)
     return F.arrow_udf(run, RESULT).asNondeterministic()
 
 
@@ -210,38 +219,75 @@ def _joined(cut: bool):
     return F.arrow_udf(run, RESULT).asNondeterministic()
 
 
-def _block_of(items: DataFrame, block: int, blocks: int, window: int) -> Automaton:
-    part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-    return Automaton([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], window)
+def _cut_items(window: int, size: int):
+    kind = pa.schema([("item_id", pa.string()), ("text", pa.string())])
 
+    def run(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                for at in range(0, max(len(words) - window, 0) + 1, size):
+                    part = words[at:at + size + window - 1]
+                    if part:
+                        ids.append(item)
+                        texts.append(b" ".join(part).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema=kind)
+    return run
 
-def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, window: int, block_chars: int,
-                cut: bool = False) -> DataFrame:
+
+def _build(window: int):
+    def run(part: pa.Table) -> pa.Table:
+        rows = sorted(zip(part["item_id"].to_pylist(), part["text"].to_pylist()),
+                      key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        stored = pickle.dumps(Automaton(rows, window), protocol=pickle.HIGHEST_PROTOCOL)
+        return pa.table({"block": part["block"].slice(0, 1), "automaton": pa.array([stored], pa.binary())})
+    return run
+
+
+def _automata(benchmark: DataFrame, window: int, block_chars: int) -> tuple[int, DataFrame]:
+    """(number of blocks, table (block, automaton)), one automaton of each block, built in
+    tasks. A block without a part has no row."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = shared_table(items.mapInArrow(_cut_items(window, PART_WORDS), "item_id string, text string").distinct(), "parts")
+    total = parts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(-(-total // block_chars)) or 1
+    # by id and text, so neither a repeated id nor a repeated text fills a block
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")
+    made = (parts.withColumn("block", block).groupBy("block")
+            .applyInArrow(_build(window), "block int, automaton binary"))
+    return blocks, shared_table(made, "automata")
+
+
+def _one(automata: DataFrame, block: int, window: int) -> bytes:
+    row = automata.where(F.col("block") == block).select("automaton").first()
+    return bytes(row[0]) if row else pickle.dumps(Automaton([], window))
+
+
+def _with_found(docs: DataFrame, benchmark: DataFrame, name: str, window: int, block_chars: int,
+                cut: bool = False) -> DataFrame:
+    blocks, automata = _automata(benchmark, window, block_chars)
     if blocks == 1:
-        return docs.withColumn(name, _matcher(_block_of(items, 0, 1, window), cut)(F.col("text")))
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    texts = docs.select(digest.alias("digest"), "text").dropDuplicates(["digest"])
+        return docs.withColumn(name, _matcher(_one(automata, 0, window), cut)(F.col("text")))
+    key, f = fresh(docs, "__row"), fresh(docs, "__f")
+    # stored, so that each pass sees the same row ids
+    rows = shared_table(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     hits = None
     for b in range(blocks):
-        own = (texts.select("digest", _matcher(_block_of(items, b, blocks, window), False)(F.col("text")).alias("f"))
-               .where("f.n_hit > 0"))
+        own = (rows.select(key, _matcher(_one(automata, b, window), False)(F.col("text")).alias(f))
+               .where(F.col(f"{f}.n_hit") > 0))
         own = shared_table(own, "hits")
         hits = own if hits is None else hits.unionByName(own)
     # at most one row per text and block meets here
-    merged = hits.groupBy("digest").agg(F.collect_list("f").alias("f"))
-    key, f = fresh(docs, "__digest"), fresh(docs, "__f")
-    merged = merged.select(F.col("digest").alias(key), F.col("f").alias(f))
-    return (docs.withColumn(key, digest).join(merged, key, "left")
-            .withColumn(name, _joined(cut)(F.col("text"), F.col(f))).drop(key, f))
+    merged = hits.groupBy(key).agg(F.collect_list(f).alias(f))
+    return rows.join(merged, key, "left").withColumn(name, _joined(cut)(F.col("text"), F.col(f))).drop(key, f)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                        coverage: int = 20, block_chars: int = BLOCK_CHARS, cut: bool = False) -> DataFrame:
     """``docs`` with a struct column ``found`` (n_words, n_hit, spans in words,
-    items and, with ``cut``, the text without its hits, null without any) and ``contaminated``: n_hit > 0 and coverage * n_hit >= n_words.
+    items and, with ``cut``, the text without its hits, null without any) and
+    ``contaminated``: n_hit > 0 and coverage * n_hit >= n_words.
 
     Null text has no words and is clean; texts of any length are taken whole; repeated
     rows are judged alike; an empty benchmark finds nothing. Item ids may be of any type

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from matflow.llm import components, decontaminate, exactdedup, simhash
 
@@ -206,6 +207,28 @@ def test_contamination_matches_brute_force(spark, least):
                        for r in got], key=key) == want
 
 
+def test_long_and_repeated_items_are_cut_into_parts(spark, monkeypatch):
+    """One item far beyond a block, one id and one text in a third of the items each."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 7)
+    rng = np.random.default_rng(5)
+    words = np.array(["a", "b", "c", "d"])
+    long = " ".join(rng.choice(words, 600))
+    items = [("l", long)] + [("same", " ".join(rng.choice(words, 15))) for _ in range(20)]
+    items += [(f"t{i}", long[:41]) for i in range(20)] + [("e", "z z z"), ("e", "z z z"), (None, "y y")]
+    docs = [(i, " ".join(rng.choice(words, 60))) for i in range(30)]
+    docs += [(100, long), (101, f"z z z z {long[200:260]} y y"), (102, long[300:330])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    blocks, automata = decontaminate._automata(bench, 13, 300)
+    rows = automata.select("block", F.length("automaton").alias("size")).collect()
+    assert blocks > 8 and len({r.block for r in rows}) == len(rows) > blocks / 2
+    assert max(r["size"] for r in rows) < 60_000
+    want = reference_hits(docs, items)
+    for chars in (300, 2_000_000):
+        got = decontaminate.find_contamination(frame(spark, docs), bench, block_chars=chars).collect()
+        assert sorted([(r.doc_id, r["found_"].n_words, r["found_"].n_hit, tuple(r["found_"]["items"]), r.contaminated)
+                       for r in got], key=key) == want
+
+
 def test_decontaminate_cuts_and_drops(spark):
     item = " ".join(f"b{i}" for i in range(14))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
