@@ -19,10 +19,9 @@ def stock_state(stock: DataFrame) -> DataFrame:
 def stock_list(stock: DataFrame, search: str | None = None) -> DataFrame:
     """P2 (and P3 with ``search``): state rows, ISO date text, newest first."""
     s = stock if search is None else stock_search(stock, search)
-    st = stock_state(s)
-    return (st.select("id", "materiel", "quantite", X.iso_date(F.col("date_ajout")).alias("date_ajout"),
-                      "etat", "alerte", F.col("date_ajout").alias("_d"))
-            .orderBy(F.desc("_d"), "id").drop("_d"))
+    # ordered as stored; texts are made once, after the sort's sampling and shuffle
+    st = stock_state(s.orderBy(F.desc("date_ajout"), "id"))
+    return st.withColumn("date_ajout", X.iso_date(F.col("date_ajout")))
 
 
 def like_pattern(search: str) -> str:

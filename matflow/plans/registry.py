@@ -1,8 +1,8 @@
 """Registered queries: one per operator of the inventory, each with its
 DuckDB SQL twin where one exists.
 
-Every query reads the domain tables of ``sf_dir`` (derived by Spark from the
-driver's tables, see ``sources.catalog``) and runs over all their rows. The
+Every query reads the domain tables of ``sf_dir`` it needs (derived by Spark from the
+driver's tables when first read, see ``sources.catalog``) and runs over all their rows. The
 fixed parameters below are query arguments (a search word, a record id, a
 clock), not row filters.
 """
@@ -46,7 +46,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(open_tables(spark, sf_dir))
+            return fn(open_tables(spark, sf_dir, on_use=True))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -4,6 +4,8 @@
 By default they are derived once per input snapshot and kept in the snapshot
 store under the cluster's shared ``spark.checkpoint.dir``; later queries read
 the stored, laid-out copy (as the source application reads its own tables).
+With ``on_use`` a table is derived when it is first read, so a query derives and
+stores no table that it does not read.
 With ``materialize=False`` the tables stay lazy plans over the raw parquet.
 """
 
@@ -21,7 +23,7 @@ from .. import schemas
 from ..operators import figures
 from ..session import ensure_checkpoint_dir
 from . import fixtures
-from .store import SnapshotStore
+from .store import ConcurrentCommit, SnapshotStore
 
 DOMAIN_TABLES = ("stock", "production", "audit", "users")
 # bumped when the stored layout changes, so old snapshots are not reused
@@ -57,6 +59,40 @@ class Tables:
         return self._raw[name]
 
 
+class StoredTables(Tables):
+    """The tables of an input folder in its snapshot store, each derived when it is first read."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store: SnapshotStore):
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
+        self.head, self._raw = store.head(), {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in DOMAIN_TABLES:
+            raise AttributeError(name)
+        self.derive(name)
+        setattr(self, name, self.store.read(name, self.head))
+        return getattr(self, name)
+
+    def figures(self) -> DataFrame:
+        self.derive(figures.TABLE)
+        return self.store.read(figures.TABLE, self.head)
+
+    def derive(self, *names: str) -> None:
+        """Commit those of the tables that the newest version does not hold."""
+        while missing := [n for n in names if self.head is None or n not in self.head[3]]:
+            if figures.TABLE in missing:
+                new = {figures.TABLE: figures.partial_sums(self.stock, self.production)}
+            else:
+                new = fixtures.derive_tables(self.spark, self.sf_dir, missing)
+            if store_for(self.spark, self.sf_dir).root != self.store.root:
+                raise RuntimeError(f"{self.sf_dir} has changed since it was opened: open it again")
+            try:
+                self.store.commit(new, keep=self.head[3] if self.head else (), head=self.head)
+            except ConcurrentCommit:     # perhaps of the same tables
+                pass
+            self.head = self.store.head()
+
+
 _STATUS = re.compile(r"path=([^;]*); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+)")
 
 
@@ -85,7 +121,7 @@ def store_for(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     return SnapshotStore(spark, f"{root.rstrip('/')}/matflow-store/v{LAYOUT_VERSION}-{_fingerprint(spark, sf_dir)}")
 
 
-def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Tables:
+def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = None, on_use: bool = False) -> Tables:
     if materialize is None:
         materialize = os.environ.get("MATFLOW_MATERIALIZE", "1") != "0"
     if not materialize:
@@ -93,23 +129,12 @@ def open_tables(spark: SparkSession, sf_dir: str, materialize: bool | None = Non
         return Tables(spark, sf_dir, t["stock"], t["production"], t["audit"], t["users"])
     store = store_for(spark, sf_dir)
     key = (spark.sparkContext.applicationId, store.root)
-    if key in _CACHE:
-        return _CACHE[key]
-    head = store.head()
-    if head is None or not set(DOMAIN_TABLES) <= set(head[2]):
-        store.commit(fixtures.derive_tables(spark, sf_dir))
-        head = store.head()
-    if figures.TABLE not in head[2]:
-        sums = figures.partial_sums(store.read("stock", head), store.read("production", head))
-        store.commit({figures.TABLE: sums}, keep=DOMAIN_TABLES, head=head)
-        head = store.head()
-    t = Tables(spark, sf_dir,
-               stock=store.read("stock", head),
-               production=store.read("production", head),
-               audit=store.read("audit", head),
-               users=store.read("users", head),
-               store=store, head=head)
-    _CACHE[key] = t
+    t = _CACHE.get(key)
+    if t is None:
+        t = _CACHE[key] = StoredTables(spark, sf_dir, store)
+    if not on_use:
+        t.derive(*DOMAIN_TABLES)
+        t.derive(figures.TABLE)
     return t
 
 

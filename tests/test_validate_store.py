@@ -2,6 +2,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from matflow.operators import validate
 from matflow.sources.store import SnapshotStore
 from matflow.streaming import streams
@@ -135,3 +137,46 @@ def test_stock_batch_commit(spark):
     assert nxt["missing"].count() == req.where("op = 'UPDATE' AND target_id < 0").count()
     assert writes.commit_stock_requests(t, req, today, now) == 1
     assert tables_at(spark, t.store).stock.count() == nxt["stock"].count()
+
+
+def test_a_query_derives_only_the_tables_it_reads(spark):
+    """stock_list runs where only ``part`` is there, production_csv without events."""
+    from conftest import SF_SMALL
+    from matflow.plans.registry import QUERIES
+    from matflow.sources.catalog import open_tables, store_for
+    root = streams.stream_root(spark) + "/in"
+    copy = lambda n: spark.read.parquet(f"{SF_SMALL}/{n}.parquet").write.parquet(f"{root}/{n}.parquet")
+    copy("part")
+    whole = open_tables(spark, SF_SMALL)
+    assert QUERIES["stock_list"](spark, root).count() == whole.stock.count()
+    assert store_for(spark, root).head()[2] == ["stock"]
+    for n in ("orders", "customer", "lineitem"):
+        copy(n)
+    assert QUERIES["production_csv"](spark, root).count() == whole.production.count()
+    assert store_for(spark, root).head()[2] == ["production", "stock"]
+
+
+def test_tables_of_changed_input_are_not_mixed(spark):
+    from conftest import SF_SMALL
+    from matflow.sources.catalog import open_tables
+    root = streams.stream_root(spark) + "/in"
+    for n in ("part", "customer"):
+        spark.read.parquet(f"{SF_SMALL}/{n}.parquet").write.parquet(f"{root}/{n}.parquet")
+    t = open_tables(spark, root, on_use=True)
+    n = t.stock.count()
+    spark.read.parquet(f"{SF_SMALL}/customer.parquet").write.mode("append").parquet(f"{root}/customer.parquet")
+    with pytest.raises(RuntimeError, match="has changed"):
+        t.users
+    assert t.stock.count() == n and open_tables(spark, root, on_use=True).users.count() > 0
+
+
+def test_lead_line_reads_the_columns_that_decide(spark):
+    from matflow.sources.fixtures import lead_lines
+    rows = [(1, 2, 7, 1, 5.0, "b"), (1, 2, 7, 1, 4.0, "a"), (1, 1, 9, 2, 3.0, "a"), (1, 1, 9, 1, 8.0, "z"),
+            (1, 1, 9, 1, 6.0, "z"), (2, None, None, 3, 1.0, "a"), (2, 1, 4, 3, 2.0, "a"), (None, 1, 5, 5, None, "a")]
+    path = streams.stream_root(spark) + "/lines"
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+                                "l_quantity double, l_returnflag string").write.parquet(path)
+    lead = lead_lines(spark.read.parquet(path))
+    assert {tuple(r) for r in lead.collect()} == {(1, 9, 6.0), (2, None, 1.0), (None, 5, None)}
+    assert "l_returnflag" not in lead._jdf.queryExecution().executedPlan().toString()
