@@ -36,12 +36,12 @@ def production_csv_rows(production: DataFrame, stock: DataFrame) -> DataFrame:
     j = production_with_material(
         production, stock, ["id", "produit", "quantite", "responsable", "date_prod", "cout",
                             "statut", "stock_id"])
-    return (j.select("id", "produit", "quantite", "responsable",
-                     X.format_date_fr(F.col("date_prod")).alias("date"),
-                     F.col("cout").cast("string").alias("cout"), "statut",
-                     F.coalesce(F.col("materiel_nom"), F.lit("")).alias("materiel"),
-                     F.col("date_prod").alias("_d"))
-            .orderBy(F.desc("_d"), F.desc("id")).drop("_d"))
+    # ordered as stored; texts are made once, after the sort's sampling and shuffle
+    return (j.orderBy(F.desc("date_prod"), F.desc("id"))
+            .select("id", "produit", "quantite", "responsable",
+                    X.format_date_fr(F.col("date_prod")).alias("date"),
+                    F.col("cout").cast("string").alias("cout"), "statut",
+                    F.coalesce(F.col("materiel_nom"), F.lit("")).alias("materiel")))
 
 
 def write_csv(rows: DataFrame, path: str, header: list[str], mode: str = "overwrite") -> None:
