@@ -12,9 +12,9 @@ express them. One plan serves keys of every size:
   state; for deductions of a narrowing range of entry states, by rounds); the tables
   of a key, one row per partition, are chained in partition order, and the entry
   states (at most two rows per partition) are joined back.
-* Then all segments are folded at the same time from their entry states:
-  ``mapInPandas`` walks the sorted rows batch by batch, carrying one state
-  record; segments whose outcome needs no fold never enter Python.
+* Then all segments are folded at the same time from their entry states: the sorted
+  rows are walked batch by batch, carrying one state record. Deductions that fit what
+  remains are a running sum over a whole batch.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,30 +69,42 @@ DEDUCTION_SCHEMA = T.StructType([
 ])
 
 
-def _deduct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential greedy fold over rows sorted by (material, partition, order);
-    a segment begins with its entry stock ``_start``."""
-    segment, remaining = None, 0
+def _deduct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequential greedy fold over rows sorted by (material, partition, order); a segment
+    begins with its entry stock ``_start``. Where the demand of a segment's rows in a batch
+    fits what remains, a running sum accepts them; only the others are walked row by row."""
+    segment, left = None, 0
     for b in batches:
-        keys, parts = b["stock_id"].to_numpy(), b["_p"].to_numpy()
-        wanted = b["qte"].to_numpy(dtype=np.int64)
-        start = b["_start"].to_numpy(dtype=np.int64)
-        n = len(b)
-        acc = np.zeros(n, dtype=bool)
-        before = np.zeros(n, dtype=np.int64)
-        after = np.zeros(n, dtype=np.int64)
-        for i in range(n):
-            if (keys[i], parts[i]) != segment:
-                segment, remaining = (keys[i], parts[i]), int(start[i])
-            before[i] = remaining
-            w = int(wanted[i])
-            if remaining >= w:
-                remaining -= w
-                acc[i] = True
-            after[i] = remaining
-        yield pd.DataFrame({"req_id": b["req_id"].to_numpy(dtype=np.int64),
-                            "stock_id": keys.astype(np.int64), "qte": wanted, "accepted": acc,
-                            "disponible": before, "restant": after})
+        keys, parts, wanted, start = (b.column(c).to_numpy() for c in ("stock_id", "_p", "qte", "_start"))
+        n = len(keys)
+        if not n:
+            continue
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])])
+        size = np.diff(np.r_[first, n])
+        entry = start[first]
+        if segment == (keys[0], parts[0]):
+            entry[0] = left
+        total = np.add.reduceat(wanted, first)
+        # a sum beyond 64 bits fits no stock
+        fits = (total <= entry) & (np.add.reduceat(wanted.astype(np.float64), first) < 2.0 ** 62)
+        used = np.cumsum(wanted)
+        after = np.repeat(entry + used[first] - wanted[first], size) - used
+        before = after + wanted
+        accepted = np.repeat(fits, size)
+        rest = entry - total
+        for k in np.flatnonzero(~fits).tolist():
+            a, z, now = int(first[k]), int(first[k] + size[k]), int(entry[k])
+            had, has, took = [], [], []
+            for w in wanted[a:z].tolist():
+                had.append(now)
+                took.append(now >= w)
+                now -= w if now >= w else 0
+                has.append(now)
+            before[a:z], after[a:z], accepted[a:z], rest[k] = had, has, took, now
+        segment, left = (keys[-1], parts[-1]), rest[-1]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("req_id"), b.column("stock_id"), b.column("qte"), pa.array(accepted), pa.array(before),
+             pa.array(after)], [f.name for f in DEDUCTION_SCHEMA])
 
 
 #: Most pieces of an entry map; beyond them only its range is followed.
@@ -231,8 +244,8 @@ def greedy_deduction(requests: DataFrame, order: list[str]) -> DataFrame:
     last of them, which must be unique). Returns req_id, stock_id, qte,
     accepted, the amount available before the request and what remains.
 
-    Every segment gets its entry stock; one whose demand fits it is accepted by a
-    running sum, the others are folded (see the module's text)."""
+    Every segment gets its entry stock and is folded where its rows lie (see the module's
+    text)."""
     cols = ["req_id", "stock_id", "qte", "opening", *[c for c in order if c not in
                                                        ("req_id", "stock_id", "qte", "opening")]]
     s, spanning = _range_split(requests.select(*cols), "stock_id", order)
@@ -242,16 +255,9 @@ def greedy_deduction(requests: DataFrame, order: list[str]) -> DataFrame:
              .withColumn("_start", F.coalesce("_start", "opening")))
     else:
         s = s.withColumn("_start", F.col("opening"))
-    segment = Window.partitionBy("stock_id", "_p")
-    s = s.withColumn("_total", F.sum("qte").over(segment))
-    fits = F.col("_total") <= F.col("_start")
-    used = F.sum("qte").over(segment.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    easy = s.where(fits).withColumn("_used", used).select(
-        "req_id", "stock_id", "qte", F.lit(True).alias("accepted"),
-        (F.col("_start") - F.col("_used") + F.col("qte")).alias("disponible"),
-        (F.col("_start") - F.col("_used")).alias("restant"))
-    hard = s.where(~fits).sortWithinPartitions("stock_id", "_p", *order).mapInPandas(_deduct, DEDUCTION_SCHEMA)
-    return easy.unionByName(hard)
+    # the rows are in their partitions and in order: the fold needs no further shuffle
+    return (s.select("req_id", "stock_id", "qte", "_start", "_p").where(F.col("_start").isNotNull())
+            .mapInArrow(_deduct, DEDUCTION_SCHEMA))
 
 
 # ---------------------------------------------------------------------------

@@ -267,3 +267,28 @@ def test_first_hit_windows_follow_the_hits(spark, no_coalesce):
                 debut, n = t, 0
             n += 1
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_deduction_folds_rows_where_they_lie(spark, no_coalesce):
+    """No shuffle behind the range split; rows without id keep their place, and segments
+    that span Arrow batches go on from what the batch before left."""
+    rows = [(i if i % 7 else None, i % 3, 1 + i % 5, 40 + i % 3, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "req_id long, stock_id long, qte long, opening long, ord long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        got = fold.greedy_deduction(df, ["ord"]).collect()
+    finally:
+        spark.conf.set(key, before)
+    # one segment a material: none to chain
+    apart = df.withColumn("stock_id", F.col("ord")).coalesce(1)
+    plan = fold.greedy_deduction(apart, ["ord"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    want, left = [], {0: 40, 1: 41, 2: 42}
+    for rid, sid, q, _, _ in rows:
+        ok, had = left[sid] >= q, left[sid]
+        left[sid] -= q if ok else 0
+        want.append((rid, sid, q, ok, had, left[sid]))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
