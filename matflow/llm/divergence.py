@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 els
 COUNT = "lang string, source string, term string, n long, docs long"
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode("utf-8").translate(_TABLE).split()
+def terms_of(text: str | bytes) -> list[bytes]:
+    return (text if isinstance(text, bytes) else text.encode("utf-8")).translate(_TABLE).split()
 
 
 def _count(batches):
@@ -61,20 +62,21 @@ def _count(batches):
 
     def flush():
         for (lang, source), (n, docs) in total.items():
-            names = list(n)
+            terms = pa.array(list(n), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()),
-                 pa.array([t.decode("utf-8") for t in names], pa.string()),
-                 pa.array([n[t] for t in names], pa.int64()), pa.array([docs[t] for t in names], pa.int64())],
+                [pa.repeat(pa.scalar(lang, pa.string()), len(terms)),
+                 pa.repeat(pa.scalar(source, pa.string()), len(terms)), terms.cast(pa.string()),
+                 pa.array(list(n.values()), pa.int64()), pa.array(list(map(docs.__getitem__, n)), pa.int64())],
                 ["lang", "source", "term", "n", "docs"])
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, text in zip(langs, sources, batch.column(2)):
+        for lang, source, text in zip(langs, sources, batch.column(2).cast(pa.binary())):
             n, docs = total.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(terms_of(text.as_py()))
+            own = terms_of(text.as_py())
             before = len(n)
+            # of lists and sets, so counted without a Python loop
             n.update(own)
-            docs.update(own.keys())
+            docs.update(set(own))
             held += len(n) - before
             if held >= HELD:
                 yield from flush()
@@ -108,9 +110,11 @@ class _Levels:
         self.sources = [s["source"] for s in row["sources"]]
         base = np.array([s["p0"] or 0 for s in row["sources"]], np.int64)
         cells = np.tile(base[:, None], (1, terms))
-        at = {s: i for i, s in enumerate(self.sources)}
-        for e in row["cells"] or []:
-            cells[at[e["source"]], e["nth"]] = e["p"]
+        met = row["cells"]     # an Arrow array of structs
+        if met is not None:
+            at = pc.index_in(met.field("source"), value_set=pa.array(self.sources, pa.string()))
+            cells[at.to_numpy(zero_copy_only=False), met.field("nth").to_numpy(zero_copy_only=False)] = (
+                met.field("p").to_numpy(zero_copy_only=False))
         # columns are (source, level) in order; each cell's column
         levels, level = np.unique(cells, return_inverse=True)
         key = np.arange(len(base))[:, None] * len(levels) + level.reshape(cells.shape)
@@ -143,7 +147,9 @@ def _joint_prices(a: _Levels, b: _Levels, columns: int) -> np.ndarray:
 
 def _products(columns: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        rows = [{**r, "cells": c.values} for r, c in zip(table.drop_columns(["cells"]).to_pylist(),
+                                                         table.column("cells"))]
+        rows.sort(key=lambda r: r["block"])
         terms = rows[0]["terms"]
         sides = [_Levels(r, terms) for r in rows]
         a, b = sides[0], sides[-1]

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,14 @@ def test_gaps_round_trip():
 
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(text_frame(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_divergence_counts_and_cells_stay_in_arrow():
+    rows = [("en", "a", "Ab ab c"), ("en", "b", "c " * 3), ("en", "a", "c é"), ("en", "a", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["lang", "source", "text"])
+    got = {(r["source"], r["term"]): (r["n"], r["docs"]) for out in divergence._count([batch]) for r in out.to_pylist()}
+    assert got == {("a", "ab"): (2, 1), ("a", "c"): (2, 2), ("a", "é"): (1, 1), ("b", "c"): (3, 1)}
+    cells = pa.array([{"source": "z", "nth": 9, "p": 9}, {"source": "b", "nth": 1, "p": 5},
+                      {"source": "a", "nth": 0, "p": 7}])[1:]
+    side = divergence._Levels({"sources": [{"source": "a", "p0": 2}, {"source": "b", "p0": 3}], "cells": cells}, 3)
+    assert side.level[side.column].tolist() == [[7, 2, 2], [3, 5, 3]]
