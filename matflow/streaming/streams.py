@@ -8,9 +8,10 @@
   order with the same step rule as the batch fold.
   R3 is keyed by user: rows wait in a ``ListState``. Accounts begin with their
   stored count and lock (initial state); tries on unknown accounts bypass the state.
-  R5 is keyed by groups of materials: rows wait in a ``MapState`` by bucket of
-  event time, and a timer at the end of each bucket folds that bucket alone,
-  so a handler holds the rows of one group and bucket, whatever waits behind it.
+  R5 is keyed by groups of materials, whose opening stock is the initial state: rows
+  wait in a ``MapState`` by bucket of event time, and a timer at the end of each bucket
+  folds that bucket alone, so a handler holds the rows of one group and bucket,
+  whatever waits behind it.
 
 The stream gives the rows of the batch twin as long as no row arrives later
 than the watermark delay; to flush the last rows a closing row far in the
@@ -32,7 +33,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from .. import constants as C
 from ..plans.fold import OUTCOME_UNKNOWN, lockout_step
-from ..plans.skew import left_join_spread_nulls
 from ..session import delete_at_exit, ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -195,72 +195,126 @@ class _BufferedFold(StatefulProcessor):
 class DeductionProcessor(StatefulProcessor):
     """Greedy deduction for a group of materials.
 
-    State: the waiting rows by bucket of event time (each a packed array), and the
-    remaining stock of the group's materials. ``most_rows`` refuses a handler call
-    with more rows than that (for tests and for alarms)."""
+    State: the group's materials (ids in order, and how many rows of each the stock
+    table holds) and what is left of them, from the first micro-batch on; the amounts
+    changed since ``left`` was last written whole; the waiting rows by bucket of event time
+    (packed arrays, one a micro-batch). Nothing is written a second time, but ``left`` when
+    as many changes as materials have gathered, so what a stream writes grows with its
+    rows, however many micro-batches there are. ``most_rows`` refuses a handler call with
+    more rows than that (for tests and for alarms)."""
 
-    ROW = np.dtype([(c, "<i8") for c in ("us", "req", "sid", "qte", "opening")])
+    ROW = np.dtype([("us", "<i8"), ("req", "<i8"), ("qte", "<i8"), ("at", "<i4")])   # at: place among the ids
 
     def __init__(self, tz: str = "UTC", bucket_ms: int = 3_600_000, most_rows: int | None = None):
         self.tz, self.bucket_ms, self.most_rows = tz, bucket_ms, most_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
-        self.stocks = handle.getValueState("stocks", "ids binary, remaining binary")
+        self.waiting = handle.getMapState("waiting", "bucket long, part int", "rows binary")
+        self.materials = handle.getValueState("materials", "ids binary, copies binary")
+        self.left = handle.getValueState("left", "remaining binary")
+        self.changed = handle.getListState("changed", "at binary, remaining binary")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The group's row of ``opening_stock``."""
+        ids, left = (np.asarray(initialState[c].iloc[0], "<i8") for c in ("ids", "opening"))
+        order = np.lexsort((left, ids))
+        ids, first, copies = np.unique(ids[order], return_index=True, return_counts=True)
+        # as a rule no id is there twice: no counts are kept then
+        self.materials.update((ids.tobytes(), b"" if (copies == 1).all() else copies.astype("<i4").tobytes()))
+        self.left.update((left[order][first].tobytes(),))
+
+    def _materials(self) -> tuple[np.ndarray, np.ndarray]:
+        held = self.materials.get() if self.materials.exists() else (b"", b"")
+        ids, copies = np.frombuffer(bytes(held[0]), "<i8"), np.frombuffer(bytes(held[1]), "<i4")
+        return ids, copies if len(copies) else np.ones(len(ids), "<i4")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new, ms = [], []
+        ids, copies = self._materials()
+        new, ms, out = [], [], []
         for pdf in rows:
+            sid, qte = (pdf[c].to_numpy(dtype=np.int64) for c in ("stock_id", "qte"))
+            named, counted = pdf["named"].to_numpy(dtype=bool), pdf["counted"].to_numpy(dtype=bool)
+            at, known = np.searchsorted(ids, sid), np.zeros(len(pdf), bool)
+            inside = named & (at < len(ids))
+            known[inside] = ids[at[inside]] == sid[inside]
+            needs = known & counted & (qte > 0)
+            # a known material without an amount is neither folded nor free, as in the batch form
+            free = np.flatnonzero(~needs & (counted | ~known))
+            times = np.ones(len(free), int)
+            times[known[free]] = copies[at[free[known[free]]]]
+            free = np.repeat(free, times)
+            if len(free):
+                out.append(pd.DataFrame({
+                    "req_id": pdf["req_id"].to_numpy()[free],
+                    "stock_id": pd.arrays.IntegerArray(sid[free], ~named[free]),
+                    "qte": pd.arrays.IntegerArray(qte[free], ~counted[free]),
+                    "accepted": known[free] | ~named[free],
+                    "motif": np.where(named[free] & ~known[free], "materiau_inconnu", None)}))
+            pdf = pdf[needs]
             part = np.empty(len(pdf), self.ROW)
-            for field, column in (("req", "req_id"), ("sid", "stock_id"), ("qte", "qte"), ("opening", "opening")):
-                part[field] = pdf[column].to_numpy(dtype=np.int64)
+            part["req"], part["qte"], part["at"] = pdf["req_id"].to_numpy(dtype=np.int64), qte[needs], at[needs]
             # epoch ms decides when a row is due; microseconds order the rows
             part["us"] = _us(pdf["ts"])
             new.append(part)
             ms.append(_epoch_ms(pdf["ts"], self.tz))
         new, bucket = np.concatenate(new), np.concatenate(ms) // self.bucket_ms
         for b in np.unique(bucket).tolist():
-            held = new[bucket == b].tobytes()
-            if self.waiting.containsKey((b,)):
-                held = bytes(self.waiting.getValue((b,))[0]) + held
-            self.waiting.updateValue((b,), (held,))
+            part = 0
+            while self.waiting.containsKey((b, part)):
+                part += 1
+            self.waiting.updateValue((b, part), (new[bucket == b].tobytes(),))
             self.handle.registerTimer((b + 1) * self.bucket_ms)
-        return iter([])
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         b = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        if not self.waiting.containsKey((b,)):
+        parts = []
+        while self.waiting.containsKey((b, len(parts))):
+            parts.append(np.frombuffer(bytes(self.waiting.getValue((b, len(parts)))[0]), self.ROW))
+        if not parts:
             return iter([])
-        due = np.frombuffer(bytes(self.waiting.getValue((b,))[0]), self.ROW)
+        due = np.concatenate(parts)
         if self.most_rows is not None and len(due) > self.most_rows:
             raise RuntimeError(f"{len(due)} rows of one group and bucket, {self.most_rows} expected at most")
-        self.waiting.removeKey((b,))
-        st = self.stocks.get() if self.stocks.exists() else (b"", b"")
-        ids, remaining = (np.frombuffer(bytes(x), "<i8") for x in st)
-        due = due[np.lexsort((due["req"], due["us"], due["sid"]))]
-        accepted, now = self.fold(due, dict(zip(ids.tolist(), remaining.tolist())))
-        self.stocks.update((np.array(list(now), "<i8").tobytes(), np.array(list(now.values()), "<i8").tobytes()))
+        for part in range(len(parts)):
+            self.waiting.removeKey((b, part))
+        ids, copies = self._materials()
+        before = np.frombuffer(bytes(self.left.get()[0]), "<i8").copy()
+        changes = 0
+        for at, remaining in self.changed.get():
+            at = np.frombuffer(bytes(at), "<i4")
+            before[at] = np.frombuffer(bytes(remaining), "<i8")
+            changes += len(at)
+        due = due[np.lexsort((due["req"], due["us"], due["at"]))]
+        due = np.repeat(due, copies[due["at"]])
+        accepted, now = self.fold(due, before)
+        at = np.flatnonzero(now != before)
+        if changes + len(at) >= len(ids):
+            self.left.update((now.tobytes(),))
+            self.changed.clear()
+        elif len(at):
+            self.changed.appendValue((at.astype("<i4").tobytes(), now[at].tobytes()))
         return iter([pd.DataFrame({
-            "req_id": due["req"], "stock_id": due["sid"], "qte": due["qte"], "accepted": accepted,
+            "req_id": due["req"], "stock_id": ids[due["at"]], "qte": due["qte"], "accepted": accepted,
             "motif": np.where(accepted, None, "stock_insuffisant")})])
 
     @staticmethod
-    def fold(due: np.ndarray, remaining: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
+    def fold(due: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decisions of rows sorted by material and order, and the stock left."""
-        accepted = np.ones(len(due), bool)
-        edge = np.flatnonzero(np.diff(due["sid"])) + 1
+        accepted, now = np.ones(len(due), bool), before.copy()
+        edge = np.flatnonzero(np.diff(due["at"])) + 1
         for a, z in zip(np.r_[0, edge].tolist(), np.r_[edge, len(due)].tolist()):
-            sid = int(due["sid"][a])
-            left, wanted = remaining.get(sid, int(due["opening"][a])), due["qte"][a:z]
+            at = due["at"][a]
+            left, wanted = int(before[at]), due["qte"][a:z]
             if int(wanted.sum()) <= left:
                 left -= int(wanted.sum())
             else:
                 for i, q in enumerate(wanted.tolist(), a):
                     accepted[i] = left >= q
                     left -= q if left >= q else 0
-            remaining[sid] = left
-        return accepted, remaining
+            now[at] = left
+        return accepted, now
 
     def close(self) -> None:
         pass
@@ -272,32 +326,42 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("motif", T.StringType())])
 
 
+def _group(groups: int, *ids: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(*[F.col(c).cast("long") for c in ids])), F.lit(groups)).alias("grp")
+
+
+def opening_stock(stock: DataFrame, groups: int) -> DataFrame:
+    """One row per group of materials: ids and opening amounts, in two arrays. An amount
+    that is not known covers no request."""
+    m = F.struct(F.col("id").cast("long").alias("id"),
+                 F.coalesce(F.col("quantite").cast("long"), F.lit(-1 << 63)).alias("opening"))
+    return (stock.where(F.col("id").isNotNull()).groupBy(_group(groups, "id")).agg(F.collect_list(m).alias("m"))
+            .select("grp", F.col("m.id").alias("ids"), F.col("m.opening").alias("opening")))
+
+
 def consume_stock_stream(requests: DataFrame, stock: DataFrame, delay: str = "1 hour",
                          bucket_ms: int = 3_600_000, groups: int | None = None,
                          most_rows: int | None = None) -> DataFrame:
     """M7 on a stream of (req_id, stock_id, qte, ts); ``stock`` is static.
 
-    Rows that need no state (no material, unknown material, amount <= 0)
-    bypass the stateful operator; the rest is keyed by ``groups`` groups of
-    materials (two a state partition; fixed for the life of a checkpoint).
+    The stock table is read once, in the first micro-batch, as the initial state of
+    ``groups`` groups of materials (two a state partition; fixed for the life of a
+    checkpoint); later ones shuffle their requests alone, once. Rows that need no state
+    (no material, unknown material, amount <= 0) are answered as they come; those
+    without material are dealt to the groups by their own id.
     """
     spark = requests.sparkSession
     use_rocksdb(spark)
     groups = groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    opening = stock.select(F.col("id").alias("_sid"), F.col("quantite").cast("long").alias("opening"))
-    r = (event_time(requests, delay)
-         .select("req_id", "stock_id", F.col("qte").cast("long").alias("qte"), "ts"))
-    j = left_join_spread_nulls(r, opening, "stock_id", "_sid")
-    known = F.col("_sid").isNotNull()
-    needs = known & (F.col("qte") > 0)
-    free = j.where(~needs).select(
-        "req_id", "stock_id", "qte", (known | F.col("stock_id").isNull()).alias("accepted"),
-        F.when(F.col("stock_id").isNotNull() & ~known, F.lit("materiau_inconnu")).alias("motif"))
+    # nulls go as flags: pandas has no whole numbers with nulls
+    r = event_time(requests, delay).select(
+        _group(groups, "stock_id", "req_id"), "req_id",
+        F.coalesce(F.col("stock_id").cast("long"), F.lit(0)).alias("stock_id"),
+        F.col("stock_id").isNotNull().alias("named"),
+        F.coalesce(F.col("qte").cast("long"), F.lit(0)).alias("qte"), F.col("qte").isNotNull().alias("counted"), "ts")
     processor = DeductionProcessor(_session_tz(requests), bucket_ms, most_rows)
-    folded = (j.where(needs).select(F.pmod(F.xxhash64("stock_id"), F.lit(groups)).alias("grp"),
-                                    "stock_id", "req_id", "qte", "opening", "ts")
-              .groupBy("grp").transformWithStateInPandas(processor, DECISION_SCHEMA, "Append", "EventTime"))
-    return free.unionByName(folded)
+    return r.groupBy("grp").transformWithStateInPandas(
+        processor, DECISION_SCHEMA, "Append", "EventTime", opening_stock(stock, groups).groupBy("grp"))
 
 
 class LockoutProcessor(_BufferedFold):
@@ -394,18 +458,6 @@ def login_lockout_stream(attempts: DataFrame, users: DataFrame | None = None, de
 # Running a stream over files to completion (tests and the registered query)
 # ---------------------------------------------------------------------------
 
-def run_to_table(stream: DataFrame, root: str) -> DataFrame:
-    """Run ``stream`` with ``availableNow`` into parquet under ``root`` (a
-    shared folder, with its checkpoint next to it) and read the result. The state
-    partition count is the session's ``spark.sql.shuffle.partitions``."""
-    spark = stream.sparkSession
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
 #: Requests of one step of ``deduction_stream_over``, on average.
 SLICE_ROWS = 2_000_000
 
@@ -413,12 +465,15 @@ SLICE_ROWS = 2_000_000
 def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataFrame, delay: str = "1 hour",
                           slice_rows: int = SLICE_ROWS, most_rows: int | None = None) -> DataFrame:
     """Write ``requests`` (req_id, stock_id, qte, ts) as parquet in slices of time, at least
-    three, stream them through R5 and return the result.
-
-    The slices come to the source folder one after the other; each time the query is
-    started again from its checkpoint and reads what is new, so a micro-batch holds one
-    slice, the watermark moves in between, and a handler folds a bucket of one. The
-    last slice carries a closing row, which is removed from the result."""
+    three, stream them through R5 into parquet and return the result.
+
+    The slices come to the source folder one after the other, each when the running
+    query is done with the one before, so a micro-batch holds one slice, the watermark
+    moves in between, and a handler folds a bucket of one. The query is not started anew:
+    its state stays where it is. The last slice carries a closing row and another one
+    follows it, whose micro-batch fires the last timers; both are removed from the result.
+    Folders are shared ones, the checkpoint next to the output. The state partition
+    count is the session's ``spark.sql.shuffle.partitions``."""
     root = stream_root(spark)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     n, low, high = requests.agg(F.count(F.lit(1)), F.min(us), F.max(us)).first()
@@ -426,33 +481,35 @@ def deduction_stream_over(spark: SparkSession, requests: DataFrame, stock: DataF
     marks = [k / slices for k in range(1, slices)]
     cuts = requests.agg(F.percentile_approx(us, marks, 10_000)).first()[0] or []
     nth = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < us)) if cuts else F.lit(0)
-    requests.withColumn("slice", nth).write.partitionBy("slice").parquet(f"{root}/slices")
-    closing = spark.createDataFrame(
-        [(SENTINEL_ID, None, 0, SENTINEL_TS)],
-        "req_id long, stock_id long, qte long, ts timestamp_ntz")
-    closing.write.parquet(f"{root}/closing")
     schema = T.StructType([T.StructField("req_id", T.LongType()), T.StructField("stock_id", T.LongType()),
                            T.StructField("qte", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    closing = spark.range(1).select(F.lit(SENTINEL_ID).cast("long").alias("req_id"), F.lit(None).cast("long").alias("stock_id"),
+                                    F.lit(0).cast("long").alias("qte"), F.lit(SENTINEL_TS).cast("timestamp_ntz").alias("ts"))
+    (requests.select(*schema.names, nth.alias("slice")).unionByName(closing.withColumn("slice", F.lit(slices - 1)))
+     .write.partitionBy("slice").parquet(f"{root}/slices"))
+    closing.write.parquet(f"{root}/closing")
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = jvm.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.Path(f"{root}/in"))
     stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
     width = max(3_600_000, ((high or 0) - (low or 0)) // 1000 // slices)
     out = consume_stock_stream(stream, stock, delay, width, most_rows=most_rows)
-    # between slices the next one's batch fires the timers; only the last needs one more
+    # the next slice's batch, or the closing row's, fires the timers: no batches without data
     extra = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(extra, "true")
-    for k in range(slices):
-        there = fs.rename(jvm.Path(f"{root}/slices/slice={k}"), jvm.Path(f"{root}/in/{k:09d}"))
-        if k == slices - 1:
-            fs.rename(jvm.Path(f"{root}/closing"), jvm.Path(f"{root}/in/closing"))
-        elif not there:      # no request in this slice
-            continue
-        spark.conf.set(extra, "true" if k == slices - 1 else "false")
-        try:
-            result = run_to_table(out, root)
-        finally:
-            spark.conf.set(extra, before)
+    spark.conf.set(extra, "false")
+    try:
+        query = (out.writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt").start())
+    finally:
+        spark.conf.set(extra, before)
+    try:
+        for folder, name in [*[(f"slices/slice={k}", f"{k:09d}") for k in range(slices)], ("closing", "closing")]:
+            if fs.rename(jvm.Path(f"{root}/{folder}"), jvm.Path(f"{root}/in/{name}")):   # else: no request in this slice
+                query.processAllAvailable()
+    finally:
+        query.stop()
+    result = spark.read.schema(out.schema).parquet(f"{root}/out")
     return result.where(F.col("req_id") != SENTINEL_ID)
 
 

@@ -1,6 +1,7 @@
 """Stream = batch: the streaming guards give the rows of their batch twins
 when fed shuffled files in several micro-batches plus a closing row."""
 import datetime as dt
+import os
 import uuid
 
 import pytest
@@ -56,6 +57,50 @@ def test_a_hot_material_is_folded_bucket_by_bucket(spark):
         streams.deduction_stream_over(spark, reqs, stock, slice_rows=600, most_rows=50).count()
 
 
+def test_the_stock_is_read_in_the_first_micro_batch_only(spark, tmp_path):
+    """Later micro-batches find it in the state: its files may be gone by then."""
+    schema = "req_id long, stock_id long, qte long, ts timestamp_ntz"
+    rows = [[(10 * k + i, i, 5, dt.datetime(2024, 1, 1 + 10 * k)) for i in range(1, 5)] for k in range(3)]
+    for k, part in enumerate([*rows, [(-1, None, 0, CLOSE)], [(-1, None, 0, CLOSE)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/b{k}")
+    spark.createDataFrame([(1, 100), (2, 9), (3, 0)], "id long, quantite int").write.parquet(f"{tmp_path}/stock")
+    os.mkdir(f"{tmp_path}/in")
+    out = streams.consume_stock_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"),
+                                       spark.read.parquet(f"{tmp_path}/stock"))
+    q = (out.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/ckpt").start())
+    try:
+        for k in range(5):
+            os.rename(f"{tmp_path}/b{k}", f"{tmp_path}/in/b{k}")
+            q.processAllAvailable()
+            if k == 0:
+                os.rename(f"{tmp_path}/stock", f"{tmp_path}/stock-gone")
+    finally:
+        q.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").where("req_id >= 0").collect()
+    assert sorted((r.req_id, r.accepted, r.motif) for r in got) == sorted(
+        (10 * k + i, ok, why) for k in range(3) for i, ok, why in [
+            (1, True, None), (2, k == 0, None if k == 0 else "stock_insuffisant"),
+            (3, False, "stock_insuffisant"), (4, False, "materiau_inconnu")])
+
+
+def test_stream_of_odd_rows_equals_batch(spark):
+    """Materials that are there twice or unknown, no material, no amount; many slices with
+    few changes each."""
+    reqs = spark.range(900).select(
+        F.col("id").alias("req_id"),
+        F.expr("CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 900 + id % 3 ELSE id * 31 % 400 END").alias("stock_id"),
+        F.expr("CASE WHEN id % 19 <> 0 THEN id * 7 % 11 - 1 END").alias("qte"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,id * 37 % 900,0,0)").alias("ts"))
+    stock = spark.range(400).select("id", (F.col("id") % 23).cast("int").alias("quantite"))
+    stock = stock.unionByName(stock.where("id % 10 = 0"))
+    got = streams.deduction_stream_over(spark, reqs, stock, slice_rows=150)
+    want = ledger.consume_stock(reqs, stock, ("ts", "req_id"))
+    rows = sorted(map(tuple, got.select(want.columns).collect()), key=repr)
+    assert rows == sorted(map(tuple, want.collect()), key=repr)
+    assert {r[4] for r in rows} == {None, "stock_insuffisant", "materiau_inconnu"}
+
+
 def test_lockout_stream_starts_from_the_stored_accounts(spark):
     """Three slices of time, the query started anew for each, accounts with stored counts
     and locks, and tries on accounts that do not exist."""
